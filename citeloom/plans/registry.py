@@ -1,9 +1,804 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the library, each over whole tables, and their DuckDB SQL.
+
+A query without SQL has tests against worked examples or its batch form instead.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import doi as D
+from ..functions import text as T
+from ..functions import web as U
+from ..operators import caches, lookups, notices, pages, reports, resolve, windows
+from ..sources import readers, writers
+from ..streaming import streams
+from .fixtures import LINE, d, sql, table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, *names: str):
+    """Register a query under its function's name, with SQL over derived tables."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _SQL[f.__name__] = sql(oracle, *names)
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# -- SQL shared by several queries --------------------------------------------------
+
+_REDUCED = """
+ev AS (
+  SELECT seq, trim(original_doi) AS origin_doi, nature, notice_doi, event_time,
+         CASE nature WHEN 'Retraction' THEN 3 WHEN 'Reinstatement' THEN 2 ELSE 1 END AS rnk,
+         notice_doi <> '' AND lower(notice_doi) <> 'unavailable' AS is_real
+  FROM notice_events WHERE nature IN ('Retraction', 'Expression of concern', 'Reinstatement')),
+latest AS (
+  SELECT *, row_number() OVER (PARTITION BY origin_doi ORDER BY event_time DESC, rnk DESC, seq) AS n, min(seq) OVER (PARTITION BY origin_doi) AS pos FROM ev),
+links AS (
+  SELECT e.origin_doi, e.nature, l.pos, e.notice_doi, row_number() OVER (PARTITION BY e.origin_doi ORDER BY e.is_real DESC, e.event_time DESC, e.seq) AS n
+  FROM ev e JOIN latest l ON l.n = 1 AND l.origin_doi = e.origin_doi AND l.nature = e.nature),
+reduced AS (
+  SELECT origin_doi, notice_doi, CASE nature WHEN 'Retraction' THEN 'retraction' ELSE 'concern' END AS kind, pos
+  FROM links WHERE n = 1 AND nature <> 'Reinstatement' AND notice_doi <> ''),
+folded AS (
+  SELECT doi, kind, notice_doi FROM (
+    SELECT *, row_number() OVER (PARTITION BY doi ORDER BY CASE kind WHEN 'retraction' THEN 0 ELSE 1 END) AS m FROM (
+      SELECT lower(origin_doi) AS doi, kind, notice_doi, row_number() OVER (PARTITION BY lower(origin_doi), kind ORDER BY pos DESC) AS n FROM reduced)
+    WHERE n = 1) WHERE m = 1)
+"""
+_SUFFIX = r"""[^\s,/\]}>'"<#?&\\]""".replace("'", "''")
+_TEXT_DOIS = rf"""
+hits AS (
+  SELECT doc_id, source, unnest(x) AS raw, unnest(range(len(x))) AS pos
+  FROM (SELECT doc_id, source, regexp_extract_all(text, '10\.[0-9]{{4,}}(?:\.[0-9]+)*/{_SUFFIX}+(?:/{_SUFFIX}+)*') AS x FROM texts)),
+text_dois AS (
+  SELECT doc_id, source, pos, lower(regexp_replace(regexp_replace(regexp_replace(raw, '[.,;:]+$', ''), '\).*$', ''), '[.,;:]+$', '')) AS doi FROM hits)
+"""
+
+
+def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.reduce_notices(table(spark, sf_dir, "notice_events"))
+
+
+# -- text and scalar functions --------------------------------------------------------
+
+
+@query(f"WITH {_REDUCED}, {_TEXT_DOIS} SELECT source, kind, count(*) AS mentions, count(DISTINCT t.doi) AS papers FROM text_dois t JOIN folded f ON f.doi = t.doi GROUP BY source, kind", "notice_events", "texts")
+def notice_hits_by_source(spark, sf_dir):
+    """Retracted or doubted papers that texts cite, by source."""
+    found = pages.extract_dois_from_text(table(spark, sf_dir, "texts").select("doc_id", "source", "text").withColumn("row", F.struct("doc_id", "source")), "text", "row")
+    hits = lookups.notice_lookup(found.select("row.source", "doi"), _notices(spark, sf_dir))
+    return hits.groupBy("source", "kind").agg(F.count("*").alias("mentions"), F.countDistinct("doi").alias("papers"))
+
+
+@query(f"WITH {_TEXT_DOIS} SELECT doc_id, CAST(pos AS INT) AS pos, doi FROM text_dois", "texts")
+def extract_dois_from_text(spark, sf_dir):
+    return pages.extract_dois_from_text(table(spark, sf_dir, "texts"), "text", "doc_id")
+
+
+@query(f"SELECT paper_id, CASE WHEN paper_id % 6 <> 4 THEN {d('paper_id')} END AS doi, paper_id % 6 <> 4 AS is_doi FROM raw_dois", "raw_dois")
+def normalise_doi(spark, sf_dir):
+    doi = D.normalise_doi(F.col("raw"))
+    return table(spark, sf_dir, "raw_dois").select("paper_id", doi.alias("doi"), doi.isNotNull().alias("is_doi"))
+
+
+@query("""SELECT paper_id, CASE paper_id % 5 WHEN 0 THEN doi WHEN 1 THEN doi WHEN 2 THEN doi WHEN 3 THEN doi END AS from_href,
+  concat(doi, '.x') AS cleaned, true AS valid_suffix FROM papers""", "papers")
+def doi_functions(spark, sf_dir):
+    p = table(spark, sf_dir, "papers")
+    k = F.col("paper_id") % 5
+    href = (
+        F.when(k == 0, F.concat(F.lit("https://doi.org/"), "doi")).when(k == 1, F.concat(F.lit("https://x.org/view?a=1&DOI="), F.replace("doi", F.lit("/"), F.lit("%2F"))))
+        .when(k == 2, F.concat(F.lit("https://x.org/v?identifierName=doi&identifierValue="), "doi")).when(k == 3, F.concat(F.lit("https://x.org/doi/abs/"), "doi", F.lit("?x=1")))
+        .otherwise(F.lit("https://x.org/about"))
+    )
+    return p.select("paper_id", D.doi_from_href(href).alias("from_href"), D.clean_doi_trailing(F.concat("doi", F.lit(".x(4)).;"))).alias("cleaned"), D.is_valid_doi_suffix(F.col("doi")).alias("valid_suffix"))
+
+
+@query("""SELECT paper_id, concat('see ', doi, ' now') AS decoded, doi AS unbroken, true AS candidate, concat('PMC', CAST(1000 + paper_id AS STRING)) AS pmcid,
+  concat('PMC', CAST(5000 + paper_id AS STRING)) AS pmcid_in_text, concat('PMC', CAST(7000 + paper_id AS STRING)) AS pmcid_in_href FROM papers""", "papers")
+def id_functions(spark, sf_dir):
+    p = table(spark, sf_dir, "papers")
+    n = lambda k: (F.col("paper_id") + k).cast("string")
+    href = F.array(F.lit("https://x.org"), F.concat(F.lit("https://www.ncbi.nlm.nih.gov/pmc/articles/PMC"), n(7000)))
+    return p.select(
+        "paper_id", D.decode_encoded_dois(F.concat(F.lit("see "), F.replace("doi", F.lit("/"), F.lit("%2F")), F.lit(" now"))).alias("decoded"),
+        D.strip_word_breaks(F.replace("doi", F.lit("/"), F.lit("/​"))).alias("unbroken"), D.contains_doi_candidate(F.col("doi"), F.array().cast("array<string>")).alias("candidate"),
+        D.normalise_pmcid(F.concat(F.lit(" pmc"), n(1000))).alias("pmcid"), D.pmcid_from_text_or_href(F.concat(F.lit("PMCID: PMC "), n(5000)), href).alias("pmcid_in_text"),
+        D.pmcid_from_text_or_href(F.col("title"), href).alias("pmcid_in_href"),
+    )
+
+
+@query("""SELECT paper_id, trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')) AS norm, lower(first_author) AS surname, year AS parsed_year,
+  first_author AS byline_author, year AS byline_year, title AS cleaned, CASE paper_id % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'failure' WHEN 2 THEN 'mixed' END AS outcome,
+  CASE WHEN paper_id % 3 = 0 THEN 'Lee' WHEN paper_id % 3 = 1 THEN 'Lee et al.' END AS label FROM papers""", "papers")
+def title_functions(spark, sf_dir):
+    p = table(spark, sf_dir, "papers")
+    k = F.col("paper_id")
+    person = F.struct(F.lit("first").alias("sequence"), F.lit("Kim").alias("given"), F.lit("Lee").alias("family"))
+    authors = F.when(k % 3 == 0, F.array(person)).when(k % 3 == 1, F.array(person, person)).otherwise(F.array().cast(readers.AUTHORS))
+    byline = T.byline_metadata(F.concat(F.lit("K. "), "first_author", F.lit(", B Other - Some Journal, "), F.col("year").cast("string"), F.lit(" - example.org")))
+    outcome = F.when(k % 4 == 0, "Successfully Replicated").when(k % 4 == 1, "failed").when(k % 4 == 2, "partial")
+    return p.select(
+        "paper_id", T.normalize_title(F.col("title")).alias("norm"), T.author_surname(F.concat(F.lit("José M. "), "first_author")).alias("surname"),
+        T.parse_year(F.concat(F.lit("vol 12345 ("), F.col("year").cast("string"), F.lit(")"))).alias("parsed_year"), byline["first_author"].alias("byline_author"), byline["year"].alias("byline_year"),
+        T.clean_reference_text(F.concat("title", F.lit(" | CrossRef | PubMed | Google Scholar."))).alias("cleaned"), T.outcome_class(outcome).alias("outcome"), T.author_label(authors).alias("label"),
+    )
+
+
+@query("""SELECT paper_id, concat(title, '. & Co. ', first_author, ', Press.') AS plain, concat('<i>', title, '</i> ', first_author) AS html, CASE WHEN paper_id % 2 = 0 THEN year END AS works_year,
+  'journal.example.org' AS host, true AS below, make_timestamp(year, 1 + paper_id % 12, 1 + paper_id % 28, paper_id % 24, 5, 0) AS notice_at FROM papers""", "papers")
+def citation_functions(spark, sf_dir):
+    p = table(spark, sf_dir, "papers")
+    k, year = F.col("paper_id"), F.col("year").cast("string")
+    raw = F.concat(F.lit("[7]  "), "title", F.lit(". &amp; Co. <i>"), "first_author", F.lit("</i>, edited by , Press."))
+    record = F.when(k % 2 == 0, F.concat(F.lit('{"issued":{"date-parts":[['), year, F.lit(",3]]}}"))).otherwise(F.concat(F.lit('{"issued":{"date-parts":[[null]]},"published":{"date-parts":[['), year, F.lit("]]}}")))
+    stamp = F.concat((1 + k % 12).cast("string"), F.lit("/"), (1 + k % 28).cast("string"), F.lit("/"), year, F.lit(" "), (k % 24).cast("string"), F.lit(":05"))
+    host = U.host_of(F.concat(F.lit("https://www.Journal.example.org/a/"), k.cast("string")))
+    return p.select(
+        "paper_id", T.tidy_citation(raw, F.lit("apa")).alias("plain"), T.tidy_citation_html(F.concat(F.lit("1. <i class='t'>"), "title", F.lit("</i> <span>"), "first_author", F.lit("</span>")), F.lit("mla")).alias("html"),
+        T.works_year(record).alias("works_year"), host.alias("host"), U.host_matches(host, F.lit("example.org")).alias("below"), T.parse_notice_date(stamp).alias("notice_at"),
+    )
+
+
+# -- notices and lookups ---------------------------------------------------------------
+
+
+@query(f"WITH {_REDUCED} SELECT * FROM reduced", "notice_events")
+def reduce_notices(spark, sf_dir):
+    return _notices(spark, sf_dir)
+
+
+@query(f"WITH {_REDUCED} SELECT kind, count(*) AS papers FROM reduced GROUP BY kind", "notice_events")
+def notice_counts(spark, sf_dir):
+    return notices.notice_counts(_notices(spark, sf_dir))
+
+
+@query(f"WITH {_REDUCED} SELECT c.page_id, c.pos, c.doi, f.kind, f.notice_doi FROM cites c JOIN folded f ON f.doi = c.doi", "notice_events", "cites")
+def notice_lookup(spark, sf_dir):
+    return lookups.notice_lookup(table(spark, sf_dir, "cites"), _notices(spark, sf_dir))
+
+
+@query("SELECT c.paper_id, c.doi, e.replications, e.reproductions, e.originals, CASE WHEN e.doi IS NULL THEN 'no-match' ELSE 'matched' END AS status FROM papers c LEFT JOIN evidence e ON e.doi = c.doi", "papers", "evidence")
+def evidence_lookup(spark, sf_dir):
+    return lookups.evidence_lookup(table(spark, sf_dir, "papers").select("paper_id", "doi"), table(spark, sf_dir, "evidence"))
+
+
+_STATE = "CASE WHEN h.http_status = 404 THEN false WHEN h.http_status = 200 THEN h.response_code = 1 END"
+
+
+@query(f"SELECT c.page_id, c.pos, c.doi, {_STATE} AS valid FROM cites c LEFT JOIN handles h ON h.doi = c.doi", "cites", "handles")
+def validate_dois(spark, sf_dir):
+    return lookups.validate_dois(table(spark, sf_dir, "cites"), table(spark, sf_dir, "handles"))
+
+
+@query(f"SELECT c.page_id, c.pos, c.doi, {_STATE} AS valid FROM cites c LEFT JOIN handles h ON h.doi = c.doi WHERE {_STATE} IS DISTINCT FROM false", "cites", "handles")
+def keep_not_invalid(spark, sf_dir):
+    return lookups.keep_not_invalid(validate_dois(spark, sf_dir))
+
+
+@query(f"SELECT c.page_id, c.pos, c.doi, {_STATE} AS valid FROM cites c JOIN handles h ON h.doi = c.doi WHERE {_STATE}", "cites", "handles")
+def keep_valid(spark, sf_dir):
+    return lookups.keep_valid(validate_dois(spark, sf_dir))
+
+
+@query("""SELECT DISTINCT upper(concat('pmc', CAST(1000 + l_partkey AS STRING))) AS pmcid, CASE WHEN m.status IS NULL THEN m.doi END AS doi,
+  CASE WHEN m.pmcid IS NULL THEN 'unknown' WHEN m.status = 'error' THEN 'missing' ELSE 'resolved' END AS state
+  FROM lineitem LEFT JOIN pmc_ids m ON m.pmcid = concat('pmc', CAST(1000 + l_partkey AS STRING))""", "pmc_ids")
+def pmc_lookup(spark, sf_dir):
+    ids = table(spark, sf_dir, "lineitem").select(F.concat(F.lit(" PMC"), (F.col("l_partkey") + 1000).cast("string")).alias("pmcid"))
+    return lookups.pmc_lookup(ids, table(spark, sf_dir, "pmc_ids"))
+
+
+@query("SELECT c.page_id, c.pos, c.doi, f.total_comments FROM cites c JOIN feedback f ON f.doi = c.doi", "cites", "feedback")
+def feedback_lookup(spark, sf_dir):
+    return lookups.feedback_lookup(table(spark, sf_dir, "cites"), table(spark, sf_dir, "feedback"))
+
+
+@query("""SELECT paper_id, doi, paper_id % 4 <> 3 AS is_oa, CASE WHEN paper_id % 4 <> 3 THEN concat('https://www.repo.example.org/', CAST(paper_id AS STRING), CASE WHEN paper_id % 2 = 0 THEN '.pdf' ELSE '' END) END AS url,
+  CASE paper_id % 4 WHEN 0 THEN 'Some University' WHEN 1 THEN 'repo.example.org' WHEN 2 THEN 'Publisher' END AS label, CASE WHEN paper_id % 4 = 3 THEN NULL ELSE 'accepted' END AS version,
+  CASE WHEN paper_id % 4 = 3 THEN 0 ELSE 2 END AS copies FROM papers""", "papers")
+def oa_status(spark, sf_dir):
+    p = table(spark, sf_dir, "papers").select("paper_id", "doi")
+    k = F.col("paper_id")
+    page = F.concat(F.lit("https://www.repo.example.org/"), k.cast("string"))
+    place = lambda url, pdf, host, inst: F.struct(url.alias("url"), pdf.alias("url_for_pdf"), host.alias("host_type"), F.lit("acceptedVersion").alias("version"), inst.alias("repository_institution"))
+    none = F.lit(None).cast("string")
+    best = place(page, F.when(k % 2 == 0, F.concat(page, F.lit(".pdf"))), F.when(k % 4 == 2, "publisher").otherwise("repository"), F.when(k % 4 == 0, " Some University ").otherwise(none))
+    other = place(F.concat(F.lit("https://other.example.org/"), k.cast("string")), none, F.lit("repository"), none)
+    records = p.withColumns({"is_oa": k % 4 != 3, "best_oa_location": F.when(k % 4 != 3, best), "oa_locations": F.when(k % 4 != 3, F.array(best, other, other))})
+    out = lookups.oa_status(p, records.drop("paper_id"))
+    first = F.get("locations", F.lit(0))
+    return out.select("paper_id", "doi", "is_oa", "url", first["label"].alias("label"), first["version"].alias("version"), F.size("locations").alias("copies"))
+
+
+@query("SELECT paper_id, doi, CASE WHEN paper_id % 5 < 2 THEN title WHEN paper_id % 5 = 2 THEN concat('Second: ', title) WHEN paper_id % 5 = 3 THEN concat('Talk: ', title) ELSE doi END AS title FROM papers", "papers")
+def title_by_doi(spark, sf_dir):
+    p = table(spark, sf_dir, "papers")
+    k = F.col("paper_id") % 5
+    first = p.where(k < 2).select("doi", "title")
+    second = p.where(k.isin(1, 2)).select("doi", F.concat(F.lit("Second: "), "title").alias("title"))
+    talk = p.where(k == 3).select("doi", F.concat(F.lit("Talk: "), "title").alias("title"))
+    return lookups.title_by_doi(p.select("paper_id", "doi"), first, second, talk)
+
+
+@query("""SELECT paper_id, doi, CASE paper_id % 4 WHEN 0 THEN 'apa' WHEN 1 THEN 'bibtex' WHEN 2 THEN 'nosuch' ELSE 'mla' END AS format,
+  CASE paper_id % 4 WHEN 0 THEN title WHEN 1 THEN concat('@article{', title, '}') WHEN 2 THEN title END AS citation FROM papers""", "papers")
+def citation_by_format(spark, sf_dir):
+    p = table(spark, sf_dir, "papers")
+    k = F.col("paper_id") % 4
+    fmt = F.when(k == 0, "apa").when(k == 1, "bibtex").when(k == 2, "nosuch").otherwise("mla")
+    asked = p.select("paper_id", "doi", fmt.alias("format"))
+    made = lambda f, raw, by: p.select("doi", F.lit(f).alias("format"), raw.alias("raw"), F.lit(by).alias("provider"))
+    rendered = (
+        made("apa", F.concat(F.lit("1. "), "title"), "crossref").union(made("apa", F.lit("other"), "resolver"))
+        .union(made("bibtex", F.concat(F.lit("@article{"), "title", F.lit("}")), "resolver")).union(made("mla", F.lit("<p> </p>"), "crossref"))
+    )
+    return lookups.citation_by_format(asked, rendered).drop("html")
+
+
+# -- entity resolution -------------------------------------------------------------------
+
+
+def _works(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "papers")
+    url = F.array(F.concat(F.lit("https://host"), (F.col("paper_id") % 30).cast("string"), F.lit(".example.org/x")))
+    return p.select("doi", "title", "first_author", "year", url.alias("urls"), F.when(F.col("paper_id") % 2 == 0, "crossref").otherwise("openalex").alias("source"))
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "papers")
+    k = F.col("paper_id")
+    title = F.when(k % 3 == 0, F.upper("title")).when(k % 3 == 1, F.concat("title", F.lit(": results"))).otherwise(F.col("title"))
+    return p.select(
+        k.alias("request_id"), title.alias("title"), F.when(k % 4 < 2, F.col("first_author")).alias("first_author"), F.when(k % 4 == 0, F.col("year")).alias("year"),
+        F.when(k % 8 == 7, F.concat(F.lit("https://www.host"), (k % 30).cast("string"), F.lit(".example.org/y"))).alias("source_url"),
+    )
+
+
+_ASKED = """
+req AS (
+  SELECT paper_id AS request_id, CASE paper_id % 3 WHEN 0 THEN upper(title) WHEN 1 THEN concat(title, ': results') ELSE title END AS title,
+         CASE WHEN paper_id % 4 < 2 THEN first_author END AS first_author, CASE WHEN paper_id % 4 = 0 THEN year END AS year,
+         CASE WHEN paper_id % 8 = 7 THEN concat('host', CAST(paper_id % 30 AS STRING), '.example.org') END AS host FROM papers),
+rk AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')) AS key FROM req),
+wk AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')) AS norm, CASE WHEN paper_id % 2 = 0 THEN 'crossref' ELSE 'openalex' END AS source,
+       concat('host', CAST(paper_id % 30 AS STRING), '.example.org') AS host FROM papers),
+kt AS (SELECT DISTINCT key, unnest(string_split(key, ' ')) AS token FROM rk),
+nt AS (SELECT DISTINCT norm, unnest(string_split(norm, ' ')) AS token FROM wk),
+df AS (SELECT token, count(*) AS df FROM nt GROUP BY token),
+ka AS (SELECT key, token FROM (SELECT key, token, row_number() OVER w AS n, sum(df) OVER w AS t FROM kt JOIN df USING (token) WINDOW w AS (PARTITION BY key ORDER BY df, token)) WHERE n = 1 OR (n <= 4 AND t <= 500)),
+na AS (SELECT norm, token FROM (SELECT norm, token, row_number() OVER w AS n, sum(df) OVER w AS t FROM nt JOIN df USING (token) WINDOW w AS (PARTITION BY norm ORDER BY df, token)) WHERE n = 1 OR (n <= 4 AND t <= 500)),
+pairs AS (SELECT key, norm FROM ka JOIN nt USING (token) UNION SELECT key, norm FROM na JOIN kt USING (token)),
+tok AS (
+  SELECT key, norm, list_sort(list_distinct(string_split(key, ' '))) AS a, list_sort(list_distinct(string_split(norm, ' '))) AS b FROM pairs),
+par AS (
+  SELECT key, norm, len(list_intersect(a, b)) AS shared, abs(length(key) - length(norm)) AS apart, array_to_string(list_sort(list_intersect(a, b)), ' ') AS s,
+         trim(concat(array_to_string(list_sort(list_intersect(a, b)), ' '), ' ', array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ' '))) AS ca,
+         trim(concat(array_to_string(list_sort(list_intersect(a, b)), ' '), ' ', array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ' '))) AS cb FROM tok),
+top AS (
+  SELECT * FROM (SELECT p.*, w.doi, w.title, w.source, w.first_author, w.year, w.host, row_number() OVER (PARTITION BY p.key, w.source ORDER BY shared DESC, apart, w.doi) AS n FROM par p JOIN wk w USING (norm)) WHERE n <= 5),
+cand AS (
+  SELECT *, greatest(length(s)::DOUBLE / length(ca), length(s)::DOUBLE / length(cb), (greatest(length(ca), length(cb)) - levenshtein(ca, cb))::DOUBLE / greatest(length(ca), length(cb))) * 100 AS score FROM top),
+good AS (SELECT * FROM cand WHERE score >= 88)
+"""
+_BEST = """
+ask AS (SELECT key, arg_min(struct_pack(a := first_author, y := year, h := host), request_id) AS m FROM rk GROUP BY key),
+e0 AS (SELECT g.*, ask.m.a AS wa, ask.m.y AS wy, coalesce(ask.m.h = g.host, false) AS bu, coalesce(abs(ask.m.y - g.year) <= 1, false) AS byr, coalesce(ask.m.a = g.first_author, false) AS ba, max(score) OVER (PARTITION BY key) AS hi FROM good g JOIN ask USING (key)),
+e1 AS (SELECT *, bool_or(bu) OVER (PARTITION BY key) AS f FROM e0 WHERE score >= hi - CASE WHEN wa IS NOT NULL OR wy IS NOT NULL THEN 5 ELSE 0 END),
+e2 AS (SELECT * EXCLUDE f, bool_or(byr) OVER (PARTITION BY key) AS f FROM e1 WHERE bu OR NOT f),
+e3 AS (SELECT * EXCLUDE f, bool_or(ba) OVER (PARTITION BY key) AS f FROM e2 WHERE byr OR NOT f),
+e4 AS (SELECT *, score + 8 * bu::INT + 3 * byr::INT + 3 * ba::INT AS merit FROM e3 WHERE ba OR NOT f),
+e5 AS (SELECT *, max(merit) OVER (PARTITION BY key) AS mm FROM e4),
+best AS (SELECT key, min(doi) AS doi FROM e5 WHERE merit = mm GROUP BY key HAVING min(doi) = max(doi))
+"""
+
+
+@query(f"WITH {_ASKED} SELECT key, doi, source, round(score, 6) AS score FROM good", "papers")
+def title_candidates(spark, sf_dir):
+    found = resolve.title_candidates(_requests(spark, sf_dir), _works(spark, sf_dir))
+    return found.select("key", "doi", "source", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_ASKED}, {_BEST} SELECT rk.request_id, best.doi FROM rk LEFT JOIN best USING (key)", "papers")
+def augment_dois(spark, sf_dir):
+    return resolve.augment_dois(_requests(spark, sf_dir), _works(spark, sf_dir)).select("request_id", "doi")
+
+
+@query(f"""WITH {_ASKED}, {_BEST} SELECT count(*) AS total, count(best.doi) AS resolved, count(CASE WHEN best.doi = p.doi THEN 1 END) AS correct,
+  count(CASE WHEN best.doi <> p.doi THEN 1 END) AS incorrect, count(CASE WHEN best.doi IS NULL THEN 1 END) AS unresolved
+  FROM rk JOIN papers p ON p.paper_id = rk.request_id LEFT JOIN best USING (key)""", "papers")
+def self_check_accuracy(spark, sf_dir):
+    """How the resolver does on papers whose DOI is known."""
+    found = resolve.augment_dois(_requests(spark, sf_dir), _works(spark, sf_dir)).select("request_id", F.col("doi").alias("resolved"))
+    known = table(spark, sf_dir, "papers").select(F.col("paper_id").alias("request_id"), F.concat("doi", F.lit("/full")).alias("expected"))
+    return resolve.self_check_accuracy(known.join(found, "request_id"))
+
+
+@query()
+def merge_candidates(spark, sf_dir):
+    """Two sources that know the same works."""
+    works = _works(spark, sf_dir)
+    both = works.withColumn("source", F.lit("crossref")).unionByName(works.withColumns({"source": F.lit("openalex"), "first_author": F.lit(None).cast("string")}))
+    return resolve.merge_candidates(resolve.title_candidates(_requests(spark, sf_dir), both)).withColumn("score", F.round("score", 6))
+
+
+def _entries(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "citations").join(table(spark, sf_dir, "papers"), F.col("cited") == F.col("paper_id"))
+    k = F.col("cited")
+    text = F.concat("title", F.lit(" "), F.col("year").cast("string"))
+    return c.select(
+        "page_id", F.col("ref_no").alias("pos"), text.alias("text"), F.when(F.col("place") != "none", F.col("doi")).alias("doi"), (F.col("place") == "text").alias("doi_in_text"),
+        F.when((F.col("place") == "none") & (k % 2 == 0), F.concat(F.lit("PMC"), (k + 1000).cast("string"))).alias("pmcid"),
+    )
+
+
+@query()
+def resolve_references(spark, sf_dir):
+    pmc = lookups.pmc_lookup(table(spark, sf_dir, "pmc_ids").select("pmcid"), table(spark, sf_dir, "pmc_ids")).select("pmcid", "doi")
+    return resolve.resolve_references(_entries(spark, sf_dir), _works(spark, sf_dir), pmc, table(spark, sf_dir, "handles"))
+
+
+@query(f"""WITH {_ASKED}, {_BEST}, rows_ AS (
+  SELECT rk.*, CASE WHEN request_id % 5 < 3 THEN {d('request_id')} END AS x, request_id % 5 = 0 AS confident FROM rk),
+st AS (SELECT r.*, {_STATE} AS valid FROM rows_ r LEFT JOIN handles h ON h.doi = r.x),
+ask2 AS (SELECT s.key, arg_min(struct_pack(a := first_author, y := year, h := host), request_id) AS m FROM st s WHERE NOT (coalesce(confident AND x IS NOT NULL, false) OR coalesce(valid, false)) GROUP BY s.key),
+f0 AS (SELECT g.*, ask2.m.a AS wa, ask2.m.y AS wy, coalesce(ask2.m.h = g.host, false) AS bu, coalesce(abs(ask2.m.y - g.year) <= 1, false) AS byr, coalesce(ask2.m.a = g.first_author, false) AS ba, max(score) OVER (PARTITION BY key) AS hi FROM good g JOIN ask2 USING (key)),
+f1 AS (SELECT *, bool_or(bu) OVER (PARTITION BY key) AS f FROM f0 WHERE score >= hi - CASE WHEN wa IS NOT NULL OR wy IS NOT NULL THEN 5 ELSE 0 END),
+f2 AS (SELECT * EXCLUDE f, bool_or(byr) OVER (PARTITION BY key) AS f FROM f1 WHERE bu OR NOT f),
+f3 AS (SELECT * EXCLUDE f, bool_or(ba) OVER (PARTITION BY key) AS f FROM f2 WHERE byr OR NOT f),
+f4 AS (SELECT *, score + 8 * bu::INT + 3 * byr::INT + 3 * ba::INT AS merit FROM f3 WHERE ba OR NOT f),
+f5 AS (SELECT *, max(merit) OVER (PARTITION BY key) AS mm FROM f4),
+b2 AS (SELECT key, min(doi) AS doi FROM f5 WHERE merit = mm GROUP BY key HAVING min(doi) = max(doi)),
+o AS (SELECT request_id AS row_id, x, b2.doi AS aug, CASE WHEN confident AND x IS NOT NULL THEN 'confident' WHEN coalesce(valid, false) THEN 'validated' WHEN x IS NOT NULL AND x = b2.doi THEN 'cross-validated'
+  WHEN x IS NOT NULL AND b2.doi IS NOT NULL THEN 'conflict' WHEN x IS NOT NULL THEN 'extracted-invalid' WHEN b2.doi IS NOT NULL THEN 'augmented-only' ELSE 'none' END AS outcome FROM st LEFT JOIN b2 USING (key))
+SELECT row_id, CASE WHEN outcome IN ('confident', 'validated', 'cross-validated') THEN x WHEN outcome IN ('conflict', 'augmented-only') THEN aug END AS resolved_doi,
+  CASE WHEN outcome IN ('confident', 'validated', 'cross-validated') THEN 'extracted' WHEN outcome IN ('conflict', 'augmented-only') THEN 'augmented' END AS doi_source, outcome FROM o""", "papers", "handles")
+def resolve_search_rows(spark, sf_dir):
+    r = _requests(spark, sf_dir)
+    p = table(spark, sf_dir, "papers").select(F.col("paper_id").alias("request_id"), "doi")
+    k = F.col("request_id")
+    rows = r.join(p, "request_id").select(k.alias("row_id"), "title", "first_author", "year", "source_url", F.when(k % 5 < 3, F.col("doi")).alias("doi"), (k % 5 == 0).alias("confident"))
+    return resolve.resolve_search_rows(rows, _works(spark, sf_dir), table(spark, sf_dir, "handles"))
+
+
+# -- pages -----------------------------------------------------------------------------------
+
+_P = "concat('10.', CAST(1000 + page_id % 97 AS STRING), '/part.', CAST(page_id AS STRING))"
+_PAGE_DOIS = f"""
+SELECT page_id, {_P} AS doi, 'meta' AS layer, 0 AS n, 'article' AS ctx FROM pages
+UNION ALL SELECT page_id, concat('10.6666/link.', CAST(page_id % 7 AS STRING)), 'links', 0, 'reference' FROM pages
+UNION ALL SELECT page_id, concat('10.8888/body.', CAST(page_id % 9 AS STRING)), 'text', 0, 'other' FROM pages
+UNION ALL SELECT page_id, concat('10.7777/ref.', CAST(page_id % 50 AS STRING)), 'text', 1, 'reference' FROM pages"""
+
+
+def _parsed(spark, sf_dir) -> DataFrame:
+    return pages.parse_pages(table(spark, sf_dir, "pages_x"))
+
+
+@query(f"SELECT page_id, doi, layer, CAST(n AS INT) AS pos FROM ({_PAGE_DOIS})")
+def extract_page_dois(spark, sf_dir):
+    return pages.extract_page_dois(_parsed(spark, sf_dir))
+
+
+@query(f"SELECT layer, count(*) AS dois FROM ({_PAGE_DOIS}) GROUP BY layer")
+def layer_yield(spark, sf_dir):
+    return reports.layer_yield(pages.extract_page_dois(_parsed(spark, sf_dir)))
+
+
+@query(f"SELECT page_id, 'meta' AS layer, 0 AS pos, {_P} AS doi FROM pages UNION ALL SELECT page_id, 'links', 0, concat('10.6666/link.', CAST(page_id % 7 AS STRING)) FROM pages UNION ALL SELECT page_id, 'text', 0, concat('10.8888/body.', CAST(page_id % 9 AS STRING)) FROM pages UNION ALL SELECT page_id, 'text', 1, concat('10.7777/ref.', CAST(page_id % 50 AS STRING)) FROM pages")
+def extraction_layers(spark, sf_dir):
+    p = _parsed(spark, sf_dir)
+    parts = [f(p) for f in (pages.extract_dois_from_url, pages.extract_dois_from_meta, pages.extract_dois_from_jsonld, pages.extract_dois_from_links, pages.extract_dois_from_visible_text)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query(f"SELECT page_id, {_P} AS primary_doi FROM pages")
+def primary_doi(spark, sf_dir):
+    return pages.primary_doi(_parsed(spark, sf_dir))
+
+
+@query(f"SELECT page_id, 'article' AS page_type, max(CASE WHEN ctx = 'article' THEN doi END) AS article, string_agg(CASE WHEN ctx = 'reference' THEN doi END, ' ' ORDER BY doi) AS reference, max(CASE WHEN ctx = 'other' THEN doi END) AS other, count(*) AS n_all FROM ({_PAGE_DOIS}) GROUP BY page_id")
+def classify_page_dois(spark, sf_dir):
+    text = lambda c: F.array_join(F.array_sort(c), " ").alias(c)
+    return pages.classify_page_dois(_parsed(spark, sf_dir)).select("page_id", "page_type", text("article"), text("reference"), text("other"), F.size("all").cast("long").alias("n_all"))
+
+
+@query(f"SELECT page_id, doi, CASE layer WHEN 'links' THEN 'link-doi-org' ELSE 'text' END AS kind FROM ({_PAGE_DOIS}) WHERE layer <> 'meta'")
+def doi_occurrences(spark, sf_dir):
+    return pages.doi_occurrences(_parsed(spark, sf_dir)).select("page_id", "doi", "kind")
+
+
+@query("""SELECT page_id, 0 AS pos, concat('First, A. Some earlier work on the topic. 2001. doi:10.7777/ref.', CAST(page_id % 50 AS STRING)) AS text, concat('10.7777/ref.', CAST(page_id % 50 AS STRING)) AS doi, true AS doi_in_text, NULL AS pmcid FROM pages
+UNION ALL SELECT page_id, 1, 'Second, B. Another study of it. 2003.', concat('10.6666/link.', CAST(page_id % 7 AS STRING)), false, NULL FROM pages
+UNION ALL SELECT page_id, 2, concat('Third, C. A report kept elsewhere. 2005. PMCID: PMC', CAST(1000 + page_id AS STRING)), NULL, false, concat('PMC', CAST(1000 + page_id AS STRING)) FROM pages
+UNION ALL SELECT page_id, 3, 'Fourth, D. A title without any key, 2007.', NULL, false, NULL FROM pages""")
+def reference_entries(spark, sf_dir):
+    return pages.reference_entries(_parsed(spark, sf_dir)).select("page_id", "pos", "text", "doi", "doi_in_text", "pmcid")
+
+
+@query("SELECT page_id, count(*) AS kept FROM pages, range(4) GROUP BY page_id")
+def in_reference_scope(spark, sf_dir):
+    hosts = table(spark, sf_dir, "pages").select(U.host_of(F.col("url")).alias("hostname")).distinct().where("hostname IS NOT NULL").withColumn("scope", F.lit("#refs"))
+    return pages.in_reference_scope(pages.reference_entries(_parsed(spark, sf_dir)), hosts).groupBy("page_id").agg(F.count("*").alias("kept"))
+
+
+@query("SELECT page_id, concat('Author', CAST(page_id % 40 AS STRING)) AS first_author, CAST(1990 + page_id % 30 AS INT) AS year, concat('Page title ', CAST(page_id AS STRING)) AS title, true AS scholarly, false AS bot_check FROM pages")
+def page_metadata(spark, sf_dir):
+    p = _parsed(spark, sf_dir)
+    flags = p.select("page_id", pages.is_scholarly_page(F.col("metas")).alias("scholarly"), pages.is_bot_check_page().alias("bot_check"))
+    return pages.page_metadata(p).join(pages.page_title(p), "page_id").join(flags, "page_id")
+
+
+_DECODED = """regexp_extract(html, '<title>([^<]*)</title>', 1)"""
+for _entity, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("amp", "&")):
+    _DECODED = f"replace({_DECODED}, '&{_entity};', '{_char}')"
+
+
+@query(f"SELECT page_id, trim({_DECODED}) AS title FROM pages")
+def page_title_plain(spark, sf_dir):
+    """Titles of the pages as given, from the document title."""
+    p = pages.parse_pages(table(spark, sf_dir, "pages"))
+    return p.select("page_id", F.trim("title").alias("title"))
+
+
+@query(r"SELECT page_id, url FROM pages WHERE NOT regexp_matches(regexp_replace(lower(regexp_extract(url, '://([^/:?#]+)', 1)), '^www\.', ''), '^(.*\.)?example\.(com|net)$')")
+def drop_blocked_domains(spark, sf_dir):
+    blocked = spark.createDataFrame([("example.com",), ("example.net",)], "domain string")
+    return pages.drop_blocked_domains(table(spark, sf_dir, "pages").select("page_id", "url"), blocked)
+
+
+@query("SELECT event_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE concat(' User', CAST(user_id AS STRING), ' ') END AS commenter FROM events WHERE user_id % 5 = 0 OR user_id NOT IN (7, 11, 13)")
+def hide_muted_commenters(spark, sf_dir):
+    k = F.col("user_id")
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(k % 5 != 0, F.concat(F.lit(" User"), k.cast("string"), F.lit(" "))).alias("commenter"))
+    return pages.hide_muted_commenters(rows, spark.createDataFrame([("user7",), (" USER11",), ("user13 ",)], "name string"))
+
+
+@query(f"""SELECT paper_id, CASE paper_id % 6 WHEN 5 THEN NULL ELSE {d('paper_id')} END AS doi, paper_id % 6 NOT IN (2, 4, 5) AS confident FROM papers WHERE paper_id % 7 <> 0""", "papers")
+def search_row_doi(spark, sf_dir):
+    p = table(spark, sf_dir, "papers")
+    k, doi = F.col("paper_id"), F.col("doi")
+    pre = lambda x: F.concat(F.lit(x), doi)
+    href = F.when(k % 6 == 0, pre("https://doi.org/")).when(k % 6 == 1, pre("https://x.org/?doi=")).when(k % 6 == 2, pre("https://x.org/edit/")).otherwise(F.lit("https://x.org/a"))
+    byline = F.when(k % 6 == 3, F.concat(F.lit("A B - J, 2010 - "), doi)).otherwise("A B - J, 2010")
+    links = F.when(k % 6 == 4, F.array(F.lit("https://x.org/a"), pre("https://y.org/pdf/"))).otherwise(F.array(F.lit("https://x.org/a")))
+    tag = F.when(k % 7 == 0, "[CITATION]")
+    rows = p.select("paper_id", "title", href.alias("href"), byline.alias("byline"), links.alias("hrefs"), tag.alias("type_tag"))
+    return pages.search_row_doi(rows).select("paper_id", "doi", "confident")
+
+
+@query()
+def augment_pages_from_title(spark, sf_dir):
+    """Pages without a DOI of their own, titled after a paper."""
+    p = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "papers"), F.col("page_id") + 1 == F.col("paper_id"))
+    titles = p.select("page_id", "title", "first_author", "year", "url", F.lit(True).alias("scholarly"))
+    have = pages.extract_page_dois(pages.parse_pages(table(spark, sf_dir, "pages")))
+    return resolve.augment_pages_from_title(titles, have, _works(spark, sf_dir))
+
+
+# -- aggregations ---------------------------------------------------------------------------------
+
+
+def _told(spark, sf_dir) -> DataFrame:
+    return lookups.evidence_lookup(table(spark, sf_dir, "cites"), table(spark, sf_dir, "evidence"))
+
+
+@query("""SELECT page_id, CAST(sum(replications) AS BIGINT) AS replications, CAST(sum(reproductions) AS BIGINT) AS reproductions, count(*) AS n_dois, string_agg(doi, ' ' ORDER BY doi) AS dois
+  FROM (SELECT DISTINCT page_id, doi FROM cites) JOIN evidence USING (doi) WHERE replications + reproductions > 0 GROUP BY page_id""", "cites", "evidence")
+def evidence_totals(spark, sf_dir):
+    return reports.evidence_totals(_told(spark, sf_dir)).withColumn("dois", F.array_join("dois", " "))
+
+
+@query(f"""WITH {_REDUCED}, s AS (SELECT page_id, count(CASE WHEN kind = 'retraction' THEN 1 END) AS retracted, count(CASE WHEN kind = 'concern' THEN 1 END) AS concerns
+  FROM (SELECT DISTINCT page_id, doi FROM cites) JOIN folded USING (doi) GROUP BY page_id)
+SELECT *, concat_ws(', ', CASE WHEN retracted > 0 THEN concat(retracted, ' retracted paper', CASE WHEN retracted = 1 THEN '' ELSE 's' END) END, CASE WHEN concerns > 0 THEN concat(concerns, ' expression', CASE WHEN concerns = 1 THEN '' ELSE 's' END, ' of concern') END) AS headline FROM s""", "notice_events", "cites")
+def notice_summary(spark, sf_dir):
+    return reports.notice_summary(notice_lookup(spark, sf_dir))
+
+
+@query(f"""WITH {_REDUCED} SELECT page_id, doi, total_comments AS comments, kind, replications, reproductions, originals FROM (SELECT DISTINCT page_id, doi FROM cites)
+  LEFT JOIN feedback USING (doi) LEFT JOIN folded USING (doi) LEFT JOIN evidence USING (doi)
+  WHERE coalesce(total_comments, 0) > 0 OR kind IS NOT NULL OR coalesce(replications + reproductions + originals, 0) > 0""", "notice_events", "cites", "feedback", "evidence")
+def flagged_references(spark, sf_dir):
+    folded = lookups.folded_notices(_notices(spark, sf_dir))
+    return reports.flagged_references(table(spark, sf_dir, "cites"), table(spark, sf_dir, "feedback"), folded, table(spark, sf_dir, "evidence"))
+
+
+@query(f"""WITH {_REDUCED} SELECT p.doi, CASE WHEN kind IS NOT NULL THEN kind WHEN replications > 0 THEN 'replications' WHEN reproductions > 0 THEN 'reproductions' ELSE 'none' END AS badge,
+  CASE WHEN kind IS NOT NULL THEN NULL WHEN replications > 0 THEN replications WHEN reproductions > 0 THEN reproductions END AS badge_count FROM papers p LEFT JOIN evidence USING (doi) LEFT JOIN folded USING (doi)""", "notice_events", "papers", "evidence")
+def badge_signal(spark, sf_dir):
+    folded = lookups.folded_notices(_notices(spark, sf_dir)).select("doi", "kind")
+    rows = lookups.evidence_lookup(table(spark, sf_dir, "papers").select("doi"), table(spark, sf_dir, "evidence")).join(folded, "doi", "left")
+    return reports.badge_signal(rows).select("doi", "badge", "badge_count")
+
+
+_TAGS = """concat_ws('; ', CASE WHEN replications > 0 THEN concat(replications, ' replication', CASE WHEN replications = 1 THEN '' ELSE 's' END) END,
+  CASE WHEN reproductions > 0 THEN concat(reproductions, ' reproduction', CASE WHEN reproductions = 1 THEN '' ELSE 's' END) END, CASE WHEN originals > 0 THEN 'in atlas' END,
+  CASE kind WHEN 'retraction' THEN 'retracted' WHEN 'concern' THEN 'concern' END, CASE WHEN total_comments > 0 THEN concat(total_comments, ' comment', CASE WHEN total_comments = 1 THEN '' ELSE 's' END) END)"""
+
+
+@query(f"WITH {_REDUCED}, t AS (SELECT page_id, doi, {_TAGS} AS tags FROM (SELECT DISTINCT page_id, doi FROM cites) LEFT JOIN feedback USING (doi) LEFT JOIN folded USING (doi) LEFT JOIN evidence USING (doi)) SELECT * FROM t WHERE tags <> ''", "notice_events", "cites", "feedback", "evidence")
+def reference_tags(spark, sf_dir):
+    rows = flagged_references(spark, sf_dir).withColumn("in_atlas", F.col("originals") > 0)
+    return reports.reference_tags(rows).select("page_id", "doi", F.array_join("tags", "; ").alias("tags"))
+
+
+@query(f"""WITH {_REDUCED}, c AS (SELECT page_id, min(pos) AS pos, doi FROM cites GROUP BY page_id, doi)
+SELECT page_id, CAST(sum(coalesce(replications, 0)) AS BIGINT) AS n_replications_total, CAST(sum(coalesce(reproductions, 0)) AS BIGINT) AS n_reproductions_total, CAST(sum(coalesce(originals, 0)) AS BIGINT) AS n_originals_total,
+  string_agg(CASE WHEN replications > 0 THEN doi END, ' ' ORDER BY pos) AS replications, arg_min(notice_doi, CASE WHEN notice_doi IS NOT NULL THEN pos END) AS notice, sum(coalesce(originals, 0)) > 0 AS is_replication
+FROM c LEFT JOIN evidence USING (doi) LEFT JOIN folded USING (doi) GROUP BY page_id""", "notice_events", "cites", "evidence")
+def article_panel(spark, sf_dir):
+    one = table(spark, sf_dir, "cites").groupBy("page_id", "doi").agg(F.min("pos").alias("pos"))
+    rows = lookups.evidence_lookup(one, table(spark, sf_dir, "evidence")).join(lookups.folded_notices(_notices(spark, sf_dir)).select("doi", F.col("notice_doi").alias("notice")), "doi", "left")
+    stats = F.struct(F.col("replications").alias("n_replications_total"), F.col("reproductions").alias("n_reproductions_total"), F.col("originals").alias("n_originals_total"))
+    lists = {k: F.when(F.col(k) > 0, F.array("doi")) for k in ("replications", "reproductions", "originals")}
+    panel = reports.article_panel(rows.withColumn("stats", stats).withColumns(lists))
+    joined = F.nullif(F.array_join("replications", " "), F.lit(""))
+    return panel.select("page_id", "n_replications_total", "n_reproductions_total", "n_originals_total", joined.alias("replications"), "notice", "is_replication")
+
+
+@query("""SELECT page_id, doi, total_comments FROM (SELECT page_id, doi, total_comments, row_number() OVER (PARTITION BY page_id ORDER BY total_comments DESC, pos) AS n, page_id
+  FROM cites JOIN feedback USING (doi) WHERE total_comments > 0) WHERE n = 1 AND page_id % 10 <> 0""", "cites", "feedback")
+def primary_feedback(spark, sf_dir):
+    url = F.when(F.col("page_id") % 10 == 0, "javascript:alert(1)").otherwise("https://talk.example.org/p/1")
+    return reports.primary_feedback(feedback_lookup(spark, sf_dir).withColumn("url", url), "example.org").select("page_id", "doi", "total_comments")
+
+
+def _reports(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "papers")
+    c = table(spark, sf_dir, "citations").join(p.select(F.col("paper_id").alias("cited"), "title", "year"), "cited")
+    role = F.when(F.col("place") == "text", "replication").when(F.col("place") == "href", "original").otherwise("reproduction")
+    person = F.array(F.struct(F.lit("first").alias("sequence"), F.lit(None).cast("string").alias("given"), F.lit("Lee").alias("family")))
+    pos = F.struct("page_id", "ref_no")
+    entries = c.select(F.expr(d("cited")).alias("doi"), role.alias("role"), pos.alias("pos"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), person.alias("authors"), "year", F.lit("J").alias("journal"), F.lit("success").alias("outcome"))
+    tags = reference_tags(spark, sf_dir).join(p.select("paper_id", F.col("doi").alias("own")), F.col("page_id") == F.col("paper_id"))
+    refs = tags.select(F.col("own").alias("doi"), F.col("doi").alias("pos"), F.col("doi").alias("ref_doi"), F.col("doi").alias("title"), F.split("tags", "; ").alias("tags"))
+    folded = lookups.folded_notices(_notices(spark, sf_dir))
+    papers = p.join(folded.select("doi", F.struct("kind", "notice_doi").alias("notice")), "doi", "left").select("doi", "title", "notice")
+    talk = table(spark, sf_dir, "feedback").where("total_comments > 0").select("doi", F.col("total_comments").alias("comments"), F.lit("https://talk.example.org").alias("url"))
+    return reports.meta_report(papers, entries, refs, talk)
+
+
+@query(f"""WITH {_REDUCED}, t AS (SELECT page_id, doi AS ref, {_TAGS} AS tags FROM (SELECT DISTINCT page_id, doi FROM cites) LEFT JOIN feedback USING (doi) LEFT JOIN folded USING (doi) LEFT JOIN evidence USING (doi)),
+e AS (SELECT cited, count(CASE WHEN place = 'text' THEN 1 END) AS a, count(CASE WHEN place = 'none' THEN 1 END) AS b, count(CASE WHEN place = 'href' THEN 1 END) AS c FROM citations GROUP BY cited),
+r AS (SELECT page_id, count(*) AS n FROM t WHERE tags <> '' GROUP BY page_id)
+SELECT p.doi, title, kind AS notice_kind, coalesce(a, 0) AS n_replications, coalesce(b, 0) AS n_reproductions, coalesce(c, 0) AS n_originals, coalesce(r.n, 0) AS n_references, CASE WHEN total_comments > 0 THEN total_comments END AS comments
+FROM papers p LEFT JOIN e ON e.cited = p.paper_id LEFT JOIN r ON r.page_id = p.paper_id LEFT JOIN folded USING (doi) LEFT JOIN feedback USING (doi)""", "notice_events", "cites", "citations", "papers", "feedback", "evidence")
+def meta_report(spark, sf_dir):
+    out = _reports(spark, sf_dir)
+    counts = [F.col(f"stats.n_{k}").cast("long").alias(f"n_{k}") for k in ("replications", "reproductions", "originals", "references")]
+    return out.select("doi", "title", F.col("notice.kind").alias("notice_kind"), *counts, F.col("discussion.comments").alias("comments"))
+
+
+REPORT_SCHEMA = "doi string, title string, notice struct<kind:string,notice_doi:string>, stats struct<n_replications:long,n_reproductions:long,n_originals:long,n_references:long>"
+
+
+@query("SELECT doi, title FROM papers", "papers")
+def report_round_trip(spark, sf_dir):
+    """Reports written as JSON texts and parsed again."""
+    return writers.parse_reports(writers.report_lines(_reports(spark, sf_dir)), REPORT_SCHEMA).select("doi", "title")
+
+
+@query()
+def panel_fingerprint(spark, sf_dir):
+    return reports.panel_fingerprint(flagged_references(spark, sf_dir), "page_id", ["doi", "comments", "kind", "replications", "reproductions", "originals"])
+
+
+# -- windows and set operations ---------------------------------------------------------------------
+
+
+@query(f"WITH {_REDUCED} SELECT page_id, doi, min(pos) AS pos, min(kind) AS kind FROM cites JOIN folded USING (doi) GROUP BY page_id, doi", "notice_events", "cites")
+def first_occurrence(spark, sf_dir):
+    return windows.first_occurrence(table(spark, sf_dir, "cites"), lookups.folded_notices(_notices(spark, sf_dir)))
+
+
+@query("SELECT page_id, pos, doi FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM cites) WHERE n <= 3", "cites")
+def cap_augmentations(spark, sf_dir):
+    return windows.cap_augmentations(table(spark, sf_dir, "cites"), 3)
+
+
+@query("""SELECT source, t, level, msg, least(total, 20) - back + 1 AS place, least(total, 20) AS shown, total FROM (
+  SELECT CAST(user_id AS STRING) AS source, ts AS t, event_type AS level, concat('event ', CAST(event_id AS STRING)) AS msg,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, concat('event ', CAST(event_id AS STRING)) DESC) AS back, count(*) OVER (PARTITION BY user_id) AS total FROM events) WHERE back <= 20""")
+def latest_log_entries(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    logs = e.select(F.col("user_id").cast("string").alias("source"), F.col("ts").alias("t"), F.col("event_type").alias("level"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("msg"))
+    return windows.latest_log_entries(logs, 20)
+
+
+@query(f"SELECT DISTINCT page_id, doi FROM cites EXCEPT SELECT page_id, doi FROM cites WHERE pos < {3 * LINE}", "cites")
+def new_dois(spark, sf_dir):
+    c = table(spark, sf_dir, "cites")
+    return windows.new_dois(c, c.where(F.col("pos") < 3 * LINE))
+
+
+@query(f"SELECT page_id, doi FROM cites WHERE pos < {4 * LINE} UNION SELECT page_id, doi FROM cites WHERE pos >= {3 * LINE}", "cites")
+def doi_set_union(spark, sf_dir):
+    c = table(spark, sf_dir, "cites")
+    return windows.doi_set_union(c.where(F.col("pos") < 4 * LINE), c.where(F.col("pos") >= 3 * LINE))
+
+
+@query(f"SELECT page_id, doi FROM cites EXCEPT SELECT page_id, doi FROM cites WHERE pos < {2 * LINE}", "cites")
+def doi_set_minus(spark, sf_dir):
+    c = table(spark, sf_dir, "cites")
+    return windows.doi_set_minus(c, c.where(F.col("pos") < 2 * LINE))
+
+
+@query("""SELECT request_id, tab, url, CAST(sum(CASE WHEN url IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY tab ORDER BY ts, request_id) AS BIGINT) AS visit
+  FROM (SELECT *, lag(url) OVER (PARTITION BY tab ORDER BY ts, request_id) AS prev FROM lookups)""", "lookups")
+def page_sessions(spark, sf_dir):
+    e = table(spark, sf_dir, "lookups").withColumnRenamed("request_id", "seq")
+    return windows.page_sessions(e).select(F.col("seq").alias("request_id"), "tab", "url", "visit")
+
+
+# -- caches ------------------------------------------------------------------------------------------
+
+_NOW = dt.datetime(1998, 1, 1)
+_LAST = "last AS (SELECT key, value, written_at FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY written_at DESC, value DESC NULLS LAST) AS n FROM cache WHERE NOT failed) WHERE n = 1)"
+
+
+def _cache(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "cache")
+    return caches.upsert_cache(c.limit(0), c.select("key", "value", "written_at", "failed"))
+
+
+@query(f"WITH {_LAST} SELECT * FROM last", "cache")
+def upsert_cache(spark, sf_dir):
+    return _cache(spark, sf_dir)
+
+
+@query(f"""WITH {_LAST} SELECT DISTINCT p.doi AS key, f.value, CASE WHEN f.key IS NULL THEN 'fetch' WHEN f.value IS NULL THEN 'miss' ELSE 'hit' END AS state
+  FROM papers p LEFT JOIN (SELECT * FROM last WHERE TIMESTAMP '1998-01-01' - written_at <= INTERVAL 365 DAY) f ON f.key = p.doi""", "cache", "papers")
+def split_cached(spark, sf_dir):
+    return caches.split_cached(table(spark, sf_dir, "papers").select(F.col("doi").alias("key")), _cache(spark, sf_dir), dt.timedelta(days=365), _NOW)
+
+
+_QUOTA = 200_000
+
+
+@query(f"""WITH c AS (SELECT concat(key, '#', CAST(seq AS STRING)) AS key, bytes, written_at AS created_at, CASE WHEN seq % 10 = 0 THEN TIMESTAMP '1995-01-01' END AS expires_at FROM cache),
+t AS (SELECT sum(bytes) AS total, sum(CASE WHEN expires_at IS NOT NULL THEN bytes ELSE 0 END) AS freed FROM c),
+w AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY created_at, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM c WHERE expires_at IS NULL)
+SELECT key, bytes, created_at FROM w, t WHERE freed + gone > total - {_QUOTA}""", "cache")
+def evict_to_quota(spark, sf_dir):
+    c = table(spark, sf_dir, "cache")
+    rows = c.select(F.concat("key", F.lit("#"), F.col("seq").cast("string")).alias("key"), "bytes", F.col("written_at").alias("created_at"), F.when(F.col("seq") % 10 == 0, F.lit("1995-01-01").cast("timestamp")).alias("expires_at"))
+    return caches.evict_to_quota(rows, _QUOTA, _NOW).select("key", "bytes", "created_at")
+
+
+@query("""SELECT request_id, key, ts, coalesce(ts - last <= INTERVAL 60 MINUTE, false) AS hit FROM (
+  SELECT *, max(CASE WHEN w THEN ts END) OVER (PARTITION BY key ORDER BY ts, CASE WHEN w THEN 0 ELSE 1 END ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM (
+    SELECT request_id, CAST(user_id AS STRING) AS key, ts, event_type = 'purchase' AS w FROM lookups)) WHERE NOT w""", "lookups")
+def cache_hits_asof(spark, sf_dir):
+    e = table(spark, sf_dir, "lookups").select("request_id", F.col("user_id").cast("string").alias("key"), "ts", "event_type")
+    return caches.cache_hits_asof(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'"), dt.timedelta(minutes=60))
+
+
+# -- streams: the events table replayed as files ---------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A fresh folder under the shared checkpoint folder; a local one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
+    k = F.get_json_object("props", "$.k").cast("long")
+    doi = F.concat(F.lit("10."), (1000 + k % 97).cast("string"), F.lit("/part."), k.cast("string"))
+    return e.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("tab"), F.col("ts").cast("timestamp").alias("ts"), "event_type", doi.alias("doi"))
+
+
+def _replayed(out: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over all files that there are, and return what it wrote."""
+    spark = out.sparkSession
+    at = _scratch(spark)
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
+
+    q = out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+@query("""SELECT tab, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS changes, sum(n) > 50 OR bool_or(body) AS "full" FROM (
+  SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY tab ORDER BY ts, event_id) AS burst FROM (
+    SELECT user_id AS tab, ts, event_id, event_id % 40 AS n, event_type = 'error' AS body, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY tab, burst""")
+def debounce_scans(spark, sf_dir):
+    """The quiet gap is 30 minutes here, as events are minutes apart."""
+    e = _events(spark, sf_dir).select("tab", "ts", (F.col("request_id") % 40).alias("nodes"), (F.col("event_type") == "error").alias("body"))
+    return _replayed(streams.debounce_scans(e, "30 minutes", "1 hour"), "complete")
+
+
+_DOI_OF = "concat('10.', CAST(1000 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 97 AS STRING), '/part.', json_extract_string(props, '$.k'))"
+
+
+@query(f"SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS batch_start, {_DOI_OF} AS doi, string_agg(CAST(event_id AS STRING), ' ' ORDER BY event_id) AS waiters FROM events GROUP BY 1, 2")
+def batch_lookups(spark, sf_dir):
+    out = _replayed(streams.batch_lookups(_events(spark, sf_dir), "10 minutes", "1 hour"), "complete")
+    return out.withColumn("waiters", F.array_join(F.transform("waiters", lambda x: x.cast("string")), " "))
+
+
+@query(f"SELECT DISTINCT {_DOI_OF} AS doi FROM events")
+def dedupe_in_flight(spark, sf_dir):
+    """All files come in one batch, so each DOI is asked for once."""
+    return _replayed(streams.dedupe_in_flight(_events(spark, sf_dir), "60 days"), "append").select("doi")
+
+
+@query(f"SELECT DISTINCT user_id AS tab, {_DOI_OF} AS doi FROM events")
+def seen_dois(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("visit", F.lit(1))
+    return _replayed(streams.seen_dois(e, "60 days"), "append").select("tab", "doi")
+
+
+@query("""SELECT key, request_id, ts, coalesce(ts - last <= INTERVAL 60 MINUTE, false) AS hit FROM (
+  SELECT *, max(CASE WHEN w THEN ts END) OVER (PARTITION BY key ORDER BY ts, CASE WHEN w THEN 0 ELSE 1 END ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM (
+    SELECT request_id, CAST(user_id AS STRING) AS key, ts, event_type = 'purchase' AS w FROM lookups)) WHERE NOT w""", "lookups")
+def ttl_cache_stream(spark, sf_dir):
+    """The stateful form of cache_hits_asof; the state store is RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    e = _events(spark, sf_dir).select(F.col("tab").cast("string").alias("key"), "request_id", "ts", (F.col("event_type") != "purchase").alias("is_read"))
+    return _replayed(streams.ttl_cache_stream(e, dt.timedelta(minutes=60), "60 days"), "append")
+
+
+@query(f"""WITH {_REDUCED}, e AS (SELECT event_id AS request_id, {_DOI_OF} AS doi FROM events)
+SELECT request_id, e.doi, replications, reproductions, originals, CASE WHEN v.doi IS NULL THEN 'no-match' ELSE 'matched' END AS status, kind, notice_doi FROM e LEFT JOIN evidence v ON v.doi = e.doi LEFT JOIN folded f ON f.doi = e.doi""", "notice_events", "evidence")
+def enrich_stream(spark, sf_dir):
+    e = _events(spark, sf_dir).select("request_id", "doi")
+    return _replayed(streams.enrich_stream(e, _notices(spark, sf_dir), table(spark, sf_dir, "evidence")), "append")
+
+
+# -- sources ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doi, title, first_author, CAST(year AS INT) AS year, 2 AS n_urls FROM papers", "papers")
+def works_from_json(spark, sf_dir):
+    """Work records of two formats, parsed."""
+    p = table(spark, sf_dir, "papers")
+    k = F.col("paper_id")
+    a = F.struct(F.upper("doi").alias("DOI"), F.array("title").alias("title"), F.array(F.struct(F.col("first_author").alias("family"))).alias("author"), F.struct(F.array(F.array("year")).alias("date-parts")).alias("issued"), F.lit("https://a.example.org").alias("URL"), F.array(F.struct(F.lit("https://b.example.org").alias("URL")), F.struct(F.lit("https://a.example.org").alias("URL"))).alias("link"))
+    place = lambda x, y: F.struct(F.lit(x).alias("landing_page_url"), F.lit(y).alias("pdf_url"))
+    b = F.struct(F.concat(F.lit("https://doi.org/"), "doi").alias("doi"), "title", F.col("year").alias("publication_year"), F.array(F.struct(F.struct(F.col("first_author").alias("display_name")).alias("author"))).alias("authorships"), place("https://a.example.org", None).alias("primary_location"), F.array(place("https://a.example.org", "https://b.example.org")).alias("locations"))
+    one = readers.works_from_json(p.where(k % 2 == 0).select(F.to_json(a).alias("value")), "crossref")
+    two = readers.works_from_json(p.where(k % 2 == 1).select(F.to_json(b).alias("value")), "openalex")
+    return one.unionByName(two).select("doi", "title", "first_author", "year", F.size("urls").alias("n_urls"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT doi, replications, reproductions, originals, replications % 5 <> 4 AS valid FROM evidence WHERE reproductions % 3 <> 2", "evidence")
+def evidence_from_json(spark, sf_dir):
+    """Evidence envelopes, one a record, with null and malformed ones."""
+    e = table(spark, sf_dir, "evidence")
+    counts = F.format_string('{"n_replications_total":%d,"n_reproductions_total":%d,"n_originals_total":%d}', "replications", "reproductions", "originals")
+    stats = F.when(F.col("replications") % 5 == 4, F.lit("7")).otherwise(counts)
+    record = F.when(F.col("reproductions") % 3 == 2, F.lit("null")).otherwise(F.concat(F.lit('{"title":"t","authors":"Lee","seen":'), counts, F.lit(',"record":{"stats":'), stats, F.lit("}}")))
+    lines = e.select(F.concat(F.lit('{"results":{"'), F.upper("doi"), F.lit('":'), record, F.lit("}}")).alias("value"), "doi", "replications", "reproductions", "originals")
+    out = readers.evidence_from_json(lines.select("value"))
+    return out.select("doi", "valid").join(e, "doi").select("doi", "replications", "reproductions", "originals", "valid")
