@@ -84,11 +84,12 @@ def strip_word_breaks(c: Column) -> Column:
 
 def found_dois(c: Column, pattern: str = DOI_PATTERN) -> Column:
     """Distinct DOIs of a text in order of appearance."""
-    text = decode_encoded_dois(strip_word_breaks(c))
+    whole = strip_word_breaks(c)
+    text = decode_encoded_dois(whole)
     clean = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), clean_doi_trailing)
     dois = F.transform(F.filter(clean, is_valid_doi_suffix), normalise_doi)
     some = F.array_distinct(F.filter(dois, lambda d: d.isNotNull()))
-    return F.when(c.rlike(r"10\.\d{4,}"), some).otherwise(F.array().cast("array<string>"))
+    return F.when(whole.rlike(r"10\.\d{4,}"), some).otherwise(F.array().cast("array<string>"))
 
 
 def _query_values(href: Column, name: str) -> Column:

@@ -17,11 +17,12 @@ def read_notice_csv(spark: SparkSession, path: str) -> DataFrame:
     Quotes are doubled inside fields and fields may span lines. ``seq`` follows the file order.
     """
     raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    raw = raw.toDF(*[c.strip() for c in raw.columns])
     if missing := [c for c in NOTICE_COLUMNS if c not in raw.columns]:
         raise ValueError(f"the CSV has no column {', '.join(missing)}")
     return raw.select(
-        F.monotonically_increasing_id().alias("seq"), F.trim("OriginalPaperDOI").alias("original_doi"), F.trim("RetractionNature").alias("nature"),
-        T.parse_notice_date(F.col("RetractionDate")).alias("event_time"), F.coalesce(F.trim("RetractionDOI"), F.lit("")).alias("notice_doi"),
+        F.monotonically_increasing_id().alias("seq"), D.trim(F.col("OriginalPaperDOI")).alias("original_doi"), D.trim(F.col("RetractionNature")).alias("nature"),
+        T.parse_notice_date(F.col("RetractionDate")).alias("event_time"), F.coalesce(D.trim(F.col("RetractionDOI")), F.lit("")).alias("notice_doi"),
     )
 
 
