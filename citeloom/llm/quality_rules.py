@@ -116,7 +116,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                 own = [t for t, x in zip(texts, langs) if x == lang]
                 for part in _slices(own):
                     seen = pc.value_counts(pa.array(_keys(own[part])[0]))
-                    held.append(pa.table({"lang": pa.array([lang] * len(seen)), "key": seen.field("values"), "n": seen.field("counts")}))
+                    held.append(pa.table({"lang": pa.array([lang] * len(seen), pa.string()), "key": seen.field("values"), "n": seen.field("counts")}))
             if sum(map(len, held)) > 2_000_000:
                 held = merge(held)
         for table in merge(held) if held else []:
