@@ -683,8 +683,8 @@ _QUOTA = 200_000
 
 @query(f"""WITH c AS (SELECT concat(key, '#', CAST(seq AS STRING)) AS key, bytes, written_at AS created_at, CASE WHEN seq % 10 = 0 THEN TIMESTAMP '1995-01-01' END AS expires_at FROM cache),
 t AS (SELECT sum(bytes) AS total, sum(CASE WHEN expires_at IS NOT NULL THEN bytes ELSE 0 END) AS freed FROM c),
-w AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY created_at, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM c WHERE expires_at IS NULL)
-SELECT key, bytes, created_at FROM w, t WHERE freed + gone > total - {_QUOTA}""", "cache")
+w AS (SELECT *, coalesce(sum(CASE WHEN expires_at IS NULL THEN bytes ELSE 0 END) OVER (ORDER BY created_at, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM c)
+SELECT key, bytes, created_at FROM w, t WHERE total < {_QUOTA} OR (expires_at IS NULL AND freed + gone > total - {_QUOTA})""", "cache")
 def evict_to_quota(spark, sf_dir):
     c = table(spark, sf_dir, "cache")
     rows = c.select(F.concat("key", F.lit("#"), F.col("seq").cast("string")).alias("key"), "bytes", F.col("written_at").alias("created_at"), F.when(F.col("seq") % 10 == 0, F.lit("1995-01-01").cast("timestamp")).alias("expires_at"))
