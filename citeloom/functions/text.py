@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -56,21 +56,39 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise((longer - F.levenshtein(a, b)) / longer)
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """0 to 100: the best similarity among the shared tokens and each title's tokens after them.
-
-    Each title begins with the shared tokens, so the distance to them is the
-    rest's length; only the two titles need an edit distance.
-    """
-    tokens = lambda c: F.array_distinct(F.filter(F.split(normalize_title(c), " "), lambda t: t != ""))
-    ta, tb = tokens(a), tokens(b)
-    shared = F.array_join(F.array_sort(F.array_intersect(ta, tb)), " ")
-    whole = lambda x, y: F.trim(F.concat_ws(" ", shared, F.array_join(F.array_sort(F.array_except(x, y)), " ")))
-    wa, wb = whole(ta, tb), whole(tb, ta)
+def title_tokens(normal: Column) -> Column:
+    """Distinct tokens of a normalised title."""
+    return F.array_distinct(F.filter(F.split(normal, " "), lambda t: t != ""))
+
+
+def _token_parts(ta: Column, tb: Column) -> tuple[Column, Column, Column]:
+    """Shared tokens, and what each title has besides, as sorted texts."""
+    text = lambda c: F.array_join(F.array_sort(c), " ")
+    return text(F.array_intersect(ta, tb)), text(F.array_except(ta, tb)), text(F.array_except(tb, ta))
+
+
+def _ratio(shared: Column, wa: Column, wb: Column) -> Column:
+    # Each title begins with the shared tokens, so its distance to them is the
+    # rest's length; only the two titles need an edit distance.
     part = lambda w: F.when(F.length(w) == 0, 1.0).otherwise(F.length(shared) / F.length(w))
     return F.greatest(part(wa), part(wb), similarity(wa, wb)) * 100
 
 
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """0 to 100: the best similarity among the shared tokens and each title's tokens after them."""
+    shared, ra, rb = _token_parts(title_tokens(normalize_title(a)), title_tokens(normalize_title(b)))
+    return _ratio(shared, F.trim(F.concat_ws(" ", shared, ra)), F.trim(F.concat_ws(" ", shared, rb)))
+
+
+def with_token_set_ratio(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``df`` with the ratio of two columns of normalised titles, in steps, so that no part is evaluated twice."""
+    ta, tb, shared, ra, rb = (f"__{x}" for x in ("ta", "tb", "shared", "ra", "rb"))
+    out = df.withColumns({ta: title_tokens(F.col(a)), tb: title_tokens(F.col(b))})
+    out = out.withColumns(dict(zip((shared, ra, rb), _token_parts(F.col(ta), F.col(tb)))))
+    out = out.withColumns({x: F.trim(F.concat_ws(" ", shared, x)) for x in (ra, rb)})
+    return out.withColumn(name, _ratio(F.col(shared), F.col(ra), F.col(rb))).drop(ta, tb, shared, ra, rb)
+
+
 #: Labels of action links that publishers put after a citation, fixed values.
 LINK_LABELS = (
     r"Cross\s?Ref", r"PubMed(?:\s+Central)?", r"Web\s+of\s+Science", r"Google\s+Scholar", "ISI", "Medline", "Scopus", "CAS",

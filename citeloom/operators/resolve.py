@@ -22,15 +22,11 @@ BAND = 5.0
 MERITS = {"url": 8, "year": 3, "author": 3}
 TOP = 5
 RAREST = 4
-BLOCK = 500
+BLOCK = 100
 MIN_CITATION = 16
 MAX_AUGMENTED = 30
 
 
-def _tokens(key: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(key, " "), lambda t: t != ""))
-
-
 def _rarest(rows: DataFrame, frequency: DataFrame, ids: list[str], k: int) -> DataFrame:
     """(ids, token) of each row's rarest token, and of up to ``k`` while they bring ``BLOCK`` titles at most."""
     known = rows.select(*ids, F.explode("tokens").alias("token")).join(frequency, "token")
@@ -45,20 +41,20 @@ def title_candidates(requests: DataFrame, works: DataFrame, top: int = TOP, rare
     Candidates rank by shared tokens, then by the difference in length, then by
     DOI; the first ``top`` of a source are scored and those at the threshold kept.
     """
-    keys = requests.select(T.normalize_title(F.col("title")).alias("key")).where("key <> ''").distinct().withColumn("tokens", _tokens(F.col("key")))
+    keys = requests.select(T.normalize_title(F.col("title")).alias("key")).where("key <> ''").distinct().withColumn("tokens", T.title_tokens(F.col("key")))
     works = works.where("doi IS NOT NULL AND title IS NOT NULL")
-    right = works.withColumn("norm", T.normalize_title(F.col("title"))).withColumn("tokens", _tokens(F.col("norm")))
+    right = works.withColumn("norm", T.normalize_title(F.col("title"))).withColumn("tokens", T.title_tokens(F.col("norm")))
     titles = right.select("norm", "tokens").distinct()
     # titles, not works: equal titles are compared once
     frequency = titles.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     a = _rarest(keys, frequency, ["key"], rarest).join(titles.select("norm", F.explode("tokens").alias("token")), "token")
     b = _rarest(titles, frequency, ["norm"], rarest).join(keys.select("key", F.explode("tokens").alias("token")), "token")
     pairs = a.select("key", "norm").union(b.select("key", "norm")).distinct()
-    shared = F.size(F.array_intersect(_tokens(F.col("key")), _tokens(F.col("norm"))))
+    shared = F.size(F.array_intersect(T.title_tokens(F.col("key")), T.title_tokens(F.col("norm"))))
     scored = pairs.withColumn("shared", shared).withColumn("apart", F.abs(F.length("key") - F.length("norm")))
     best = Window.partitionBy("key", "source").orderBy(F.desc("shared"), "apart", "doi")
     found = scored.join(right.drop("tokens"), "norm").withColumn("n", F.row_number().over(best)).where(F.col("n") <= top)
-    found = found.withColumn("score", T.token_set_ratio(F.col("key"), F.col("norm"))).where(F.col("score") >= threshold)
+    found = T.with_token_set_ratio(found, "key", "norm", "score").where(F.col("score") >= threshold)
     return found.select("key", "doi", "title", "score", "source", "first_author", "year", "urls")
 
 

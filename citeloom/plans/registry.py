@@ -288,8 +288,8 @@ wk AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')) AS
 kt AS (SELECT DISTINCT key, unnest(string_split(key, ' ')) AS token FROM rk),
 nt AS (SELECT DISTINCT norm, unnest(string_split(norm, ' ')) AS token FROM wk),
 df AS (SELECT token, count(*) AS df FROM nt GROUP BY token),
-ka AS (SELECT key, token FROM (SELECT key, token, row_number() OVER w AS n, sum(df) OVER w AS t FROM kt JOIN df USING (token) WINDOW w AS (PARTITION BY key ORDER BY df, token)) WHERE n = 1 OR (n <= 4 AND t <= 500)),
-na AS (SELECT norm, token FROM (SELECT norm, token, row_number() OVER w AS n, sum(df) OVER w AS t FROM nt JOIN df USING (token) WINDOW w AS (PARTITION BY norm ORDER BY df, token)) WHERE n = 1 OR (n <= 4 AND t <= 500)),
+ka AS (SELECT key, token FROM (SELECT key, token, row_number() OVER w AS n, sum(df) OVER w AS t FROM kt JOIN df USING (token) WINDOW w AS (PARTITION BY key ORDER BY df, token)) WHERE n = 1 OR (n <= 4 AND t <= 100)),
+na AS (SELECT norm, token FROM (SELECT norm, token, row_number() OVER w AS n, sum(df) OVER w AS t FROM nt JOIN df USING (token) WINDOW w AS (PARTITION BY norm ORDER BY df, token)) WHERE n = 1 OR (n <= 4 AND t <= 100)),
 pairs AS (SELECT key, norm FROM ka JOIN nt USING (token) UNION SELECT key, norm FROM na JOIN kt USING (token)),
 tok AS (
   SELECT key, norm, list_sort(list_distinct(string_split(key, ' '))) AS a, list_sort(list_distinct(string_split(norm, ' '))) AS b FROM pairs),
