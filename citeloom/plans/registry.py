@@ -162,6 +162,14 @@ def citation_functions(spark, sf_dir):
     )
 
 
+@query("""SELECT paper_id, round((greatest(length(title), length(other)) - levenshtein(title, other))::DOUBLE / greatest(length(title), length(other)), 6) AS similarity, 100.0 AS ratio, 'listing' AS page_type
+  FROM (SELECT paper_id, title, concat('on ', title, ' again') AS other FROM papers)""", "papers")
+def fuzzy_functions(spark, sf_dir):
+    other = F.concat(F.lit("on "), "title", F.lit(" again"))
+    kind = pages.page_type(F.lit(None).cast("string"), F.concat(F.lit("https://x.org/issue/"), F.col("paper_id").cast("string")))
+    return table(spark, sf_dir, "papers").select("paper_id", F.round(T.similarity(F.col("title"), other), 6).alias("similarity"), T.token_set_ratio(F.col("title"), other).alias("ratio"), kind.alias("page_type"))
+
+
 # -- notices and lookups ---------------------------------------------------------------
 
 
@@ -336,12 +344,15 @@ def self_check_accuracy(spark, sf_dir):
     return resolve.self_check_accuracy(known.join(found, "request_id"))
 
 
-@query()
+_BOTH = _ASKED.replace("CASE WHEN paper_id % 2 = 0 THEN 'crossref' ELSE 'openalex' END AS source", "'crossref' AS source")
+
+
+@query(f"WITH {_BOTH} SELECT key, doi, title, round(score, 6) AS score, source, first_author, year, concat('https://', host, '/x') AS urls FROM good", "papers")
 def merge_candidates(spark, sf_dir):
     """Two sources that know the same works."""
     works = _works(spark, sf_dir)
     both = works.withColumn("source", F.lit("crossref")).unionByName(works.withColumns({"source": F.lit("openalex"), "first_author": F.lit(None).cast("string")}))
-    return resolve.merge_candidates(resolve.title_candidates(_requests(spark, sf_dir), both)).withColumn("score", F.round("score", 6))
+    return resolve.merge_candidates(resolve.title_candidates(_requests(spark, sf_dir), both)).withColumns({"score": F.round("score", 6), "urls": F.array_join("urls", " ")})
 
 
 def _entries(spark, sf_dir) -> DataFrame:
@@ -354,7 +365,21 @@ def _entries(spark, sf_dir) -> DataFrame:
     )
 
 
-@query()
+_REFS = """
+ent AS (
+  SELECT c.page_id, c.ref_no AS pos, c.cited, c.place, p.doi AS own, concat(p.title, ' ', CAST(p.year AS STRING)) AS text,
+         CASE WHEN c.place = 'href' THEN 'hidden' WHEN c.place = 'none' AND c.cited % 2 = 0 THEN 'pmc' WHEN c.place = 'none' THEN 'augment' END AS mode
+  FROM citations c JOIN papers p ON p.paper_id = c.cited),
+req AS (SELECT DISTINCT text AS request_id, text AS title, CAST(NULL AS STRING) AS first_author, CAST(NULL AS INT) AS year, CAST(NULL AS STRING) AS host FROM ent WHERE mode = 'augment'),
+""" + _ASKED[_ASKED.index("rk AS") :]
+
+
+@query(f"""WITH {_REFS}, {_BEST},
+aug AS (SELECT e.page_id, e.pos, b.doi, {_STATE} AS valid FROM ent e JOIN rk ON rk.request_id = e.text JOIN best b USING (key) LEFT JOIN handles h ON h.doi = b.doi WHERE e.mode = 'augment')
+SELECT page_id, pos, own AS doi, mode FROM ent WHERE mode = 'hidden'
+UNION ALL SELECT e.page_id, e.pos, e.own, e.mode FROM ent e JOIN pmc_ids m ON m.pmcid = concat('pmc', CAST(1000 + e.cited AS STRING)) AND m.status IS NULL
+  WHERE e.mode = 'pmc' AND NOT EXISTS (SELECT 1 FROM aug a WHERE a.page_id = e.page_id AND a.doi = e.own AND a.valid = false)
+UNION ALL SELECT page_id, pos, doi, 'augment' FROM aug WHERE valid IS DISTINCT FROM false""", "papers", "citations", "pmc_ids", "handles")
 def resolve_references(spark, sf_dir):
     pmc = lookups.pmc_lookup(table(spark, sf_dir, "pmc_ids").select("pmcid"), table(spark, sf_dir, "pmc_ids")).select("pmcid", "doi")
     return resolve.resolve_references(_entries(spark, sf_dir), _works(spark, sf_dir), pmc, table(spark, sf_dir, "handles"))
@@ -604,7 +629,10 @@ def report_round_trip(spark, sf_dir):
     return writers.parse_reports(writers.report_lines(_reports(spark, sf_dir)), REPORT_SCHEMA).select("doi", "title")
 
 
-@query()
+@query(f"""WITH {_REDUCED}, f AS (SELECT page_id, to_json(struct_pack(doi := doi, comments := total_comments, kind := kind, replications := replications, reproductions := reproductions, originals := originals))::VARCHAR AS j
+  FROM (SELECT DISTINCT page_id, doi FROM cites) LEFT JOIN feedback USING (doi) LEFT JOIN folded USING (doi) LEFT JOIN evidence USING (doi)
+  WHERE coalesce(total_comments, 0) > 0 OR kind IS NOT NULL OR coalesce(replications + reproductions + originals, 0) > 0)
+SELECT page_id, sha256(string_agg(j, '|' ORDER BY j)) AS fingerprint FROM f GROUP BY page_id""", "notice_events", "cites", "feedback", "evidence")
 def panel_fingerprint(spark, sf_dir):
     return reports.panel_fingerprint(flagged_references(spark, sf_dir), "page_id", ["doi", "comments", "kind", "replications", "reproductions", "originals"])
 
