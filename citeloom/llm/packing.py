@@ -19,10 +19,12 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ WINDOW = 2048
 PIECE = 512
 GROUP = 2048
 END_ID = 1
-CACHE = 400_000
+CACHE = 1_200_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -42,9 +44,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: How the tokenizer splits lower-cased ASCII text into pieces, a fixed value.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
-
+#: How the tokenizer splits lower-cased text into pieces, and its letters for bytes:
+#: printable ones stand for themselves, the others follow from 256. Fixed values.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _SEPARATORS = re.compile("[\x1c-\x1f]").search
 
 
@@ -59,34 +63,27 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable() and "<|" not in word:
-            ids = b"".join(map(self.piece, _PIECES(word.lower())))
+        if max(word) < "\u0250" and "<|" not in word:  # Latin: composed as it is
+            low = word.lower()
+            parts = _PIECES(low)
+            if parts == [word]:
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+            else:  # its pieces are words themselves
+                ids = b"".join(map(self.__getitem__, parts))
         else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(self) >= CACHE:
             self.clear()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
-    def piece(self, text: str) -> bytes:
-        ids = self.pieces.get(text)
-        if ids is None:
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
-            if len(self.pieces) >= CACHE // 2:
-                self.pieces.clear()
-            if len(text) <= 64:
-                self.pieces[text] = ids
-        return ids
-
     def text(self, text: str | None) -> bytes:
         text = text or ""
         if _SEPARATORS(text):  # white space to Python alone
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
 
