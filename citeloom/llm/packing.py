@@ -21,6 +21,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ WINDOW = 2048
 PIECE = 512
 GROUP = 2048
 END_ID = 1
-CACHE = 1_200_000
+CACHE = 1_500_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -65,17 +66,21 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
         if max(word) < "\u0250" and "<|" not in word:  # Latin: composed as it is
             low = word.lower()
-            parts = _PIECES(low)
+            core = low.rstrip(punctuation)
+            if core.isalpha():  # most words: letters, then perhaps marks
+                parts = [core, low[len(core) :]] if len(core) < len(low) else [low]
+            else:
+                parts = _PIECES(low)
             if parts == [word]:
                 ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
             else:  # its pieces are words themselves
                 ids = b"".join(map(self.__getitem__, parts))
         else:
             ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(self) >= CACHE:
-            self.clear()
         if len(word) <= 64:
             self[word] = ids
         return ids
