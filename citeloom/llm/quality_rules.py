@@ -7,7 +7,9 @@ probabilities joins, over the table of n-gram types. The finished model is
 folded to ``2**BITS`` hashes an order, which bounds its size whatever the
 corpus, and kept as sorted hash arrays with a probability or back-off weight for
 each hash. A document is rejected when the mean log probability of its letters
-lies outside its language's band: the quartiles of the documents that pass the
+lies outside its language's band; a piece of ``PIECE`` characters that is
+``FOREIGN`` less likely than its language's mean is scored under the language that
+fits it best, so that texts in two languages are no outliers. The band: the quartiles of the documents that pass the
 base rules, widened by ``SPREAD`` times their distance, and more for short
 documents, whose means scatter more.
 
@@ -34,6 +36,8 @@ ORDER = 4
 BITS = 22
 SPREAD = 3.0
 SHORT = 100  # words at which a band is wider by the square root of two
+PIECE = 64
+FOREIGN = 0.5
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT = 30  # per cent
@@ -134,7 +138,7 @@ def _discounts(types: DataFrame) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, m, key, logp, back): log probability and, as a context, back-off weight of each n-gram type of orders 1 to ``order``."""
+    """(lang, m, key, value): log probability of each n-gram type of order m; for -m, its back-off weight as a context; for 0, the corpus's mean log probability."""
     tables = {order: materialise(counts)}
     for m in range(order - 1, 0, -1):  # continuation counts: in how many types of the next order it is the end
         keep = (1 << (_CHAR * m)) - 1
@@ -142,7 +146,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         tables[m] = materialise(ends.agg(F.count("*").alias("n")))
     lower, out = None, []
     for m in range(1, order + 1):
-        types = tables[m].join(_discounts(tables[m]), "lang").withColumn("context", F.shiftright("key", _CHAR))
+        types = tables[m].join(F.broadcast(_discounts(tables[m])), "lang")  # a row for each language
+        types = types.withColumn("context", F.shiftright("key", _CHAR))
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         types = types.withColumn("cut", cut)
         context = types.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"))
@@ -155,12 +160,13 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
             rows = rows.join(lower.select("lang", F.col("key").alias("end"), F.col("p").alias("below")), ["lang", "end"])
             below = F.col("below")
         p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("mass") / F.col("total") * below
-        lower = materialise(rows.select("lang", "key", p.alias("p")))
+        lower = materialise(rows.select("lang", "key", "n", p.alias("p")))
         out.append(lower.select("lang", F.lit(m).alias("m"), "key", F.log("p").alias("value")))
         weight = context.select("lang", F.lit(-m).alias("m"), F.col("context").alias("key"), F.log(F.col("mass") / F.col("total")).alias("value"))
         out.append(weight)
-    rows = out[0]
-    for more in out[1:]:
+    mean = lower.groupBy("lang").agg((F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("value"))
+    rows = mean.select("lang", F.lit(0).alias("m"), F.lit(0).cast("long").alias("key"), "value")
+    for more in out:
         rows = rows.unionByName(more)
     return rows
 
@@ -174,15 +180,15 @@ def _fold(key: np.ndarray, lang: int | np.ndarray) -> np.ndarray:
 
 def hash_arrays(model: DataFrame) -> dict:
     """The model as sorted hash arrays: {m: (hashes, values)}; negative m are back-off weights. At most 2**BITS hashes each."""
-    langs = sorted(r[0] for r in model.select("lang").distinct().collect())
-    number = {x: k for k, x in enumerate(langs)}
+    means = {r["lang"]: r["value"] for r in model.where("m = 0").collect()}  # a row for each language
+    number = {x: k for k, x in enumerate(sorted(means))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(_fold(batch.column(2).to_numpy(), own).astype(np.int64)), batch.column(3)], names=["m", "h", "value"])
 
-    folded = model.select("lang", "m", "key", "value").mapInArrow(run, "m int, h long, value double").groupBy("m", "h").agg(F.avg("value").alias("value"))
+    folded = model.where("m <> 0").select("lang", "m", "key", "value").mapInArrow(run, "m int, h long, value double").groupBy("m", "h").agg(F.avg("value").alias("value"))
     table = folded.toArrow()
     arrays = {}
     m, h, v = (table.column(k).to_numpy() for k in ("m", "h", "value"))
@@ -190,7 +196,7 @@ def hash_arrays(model: DataFrame) -> dict:
         at = np.flatnonzero(m == own)
         at = at[np.argsort(h[at])]
         arrays[own] = (h[at].astype(np.uint32), v[at].astype(np.float32))
-    return {"langs": number, "arrays": arrays}
+    return {"langs": number, "means": means, "arrays": arrays}
 
 
 def _look(arrays: dict, m: int, key: np.ndarray, lang: int) -> np.ndarray:
@@ -219,13 +225,33 @@ def log_probability(key: np.ndarray, lang: int, arrays: dict, order: int = ORDER
     return np.where(np.isnan(out), weight - _CHAR * np.log(2.0), out)[place]
 
 
+def text_scores(texts: list[str], lang: str, model: dict) -> np.ndarray:
+    """Mean log probability of each text's characters, nan for none."""
+    key, sizes = _keys(texts)
+    number, arrays = model["langs"], model["arrays"]
+    logp = log_probability(key, number.get(lang, -1), arrays)
+    pieces = -(-sizes // PIECE)
+    if not pieces.sum():
+        return np.full(len(texts), np.nan)
+    first = np.cumsum(sizes) - sizes
+    start = np.repeat(first, pieces) + PIECE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    total, length = np.add.reduceat(logp, start), np.diff(np.append(start, len(logp)))
+    weak = np.flatnonzero(total < (model["means"].get(lang, 0.0) - FOREIGN) * length)
+    if len(weak):
+        size = length[weak]
+        begin = np.cumsum(size) - size
+        own = key[np.repeat(start[weak] - begin, size) + np.arange(size.sum())]
+        for other in number.values():
+            total[weak] = np.maximum(total[weak], np.add.reduceat(log_probability(own, other, arrays), begin))
+    return np.bincount(np.repeat(np.arange(len(texts)), pieces), weights=total, minlength=len(texts)) / np.where(sizes > 0, sizes, np.nan)
+
+
 def measure(docs: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
     """(id, lang, base counts, score): score is the mean log probability of the text's characters, null for none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS hashes an order
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, arrays = shared.value["langs"], shared.value["arrays"]
         for batch in batches:
             langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             counts = np.concatenate([base_counts(texts[part]) for part in _slices(texts)])
@@ -233,10 +259,7 @@ def measure(docs: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
             for lang in sorted(set(langs)):
                 rows = [k for k, x in enumerate(langs) if x == lang]
                 for part in _slices(rows_texts := [texts[k] for k in rows]):
-                    key, sizes = _keys(rows_texts[part])
-                    logp = log_probability(key, number.get(lang, -1), arrays)
-                    total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logp, minlength=len(sizes))
-                    score[rows[part]] = total / np.where(sizes > 0, sizes, np.nan)
+                    score[rows[part]] = text_scores(rows_texts[part], lang, shared.value)
             columns = [pa.array(c) for c in counts.T.copy()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(score, from_pandas=True)], names=["id", "lang", *names, "score"])
 
