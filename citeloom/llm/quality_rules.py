@@ -280,7 +280,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     band = quarters.select("lang", low.alias("low"), high.alias("high"))
     room = spread * (F.col("high") - F.col("low")) * F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
     inside = F.coalesce(F.col("score").between(F.col("low") - room, F.col("high") + room), F.lit(False))
-    return measured.join(band, "lang", "left").select(
+    return measured.join(F.broadcast(band), "lang", "left").select(  # a row for each language
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.col("score").alias("log_probability"), (~F.col("base_failed") & inside).alias("kept"),
     )
