@@ -17,7 +17,6 @@ worker's cache of word ids is emptied at ``CACHE`` words.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -50,7 +49,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_SEPARATORS = re.compile("[\x1c-\x1f]").search
+#: White space to Python alone.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class WordIds(dict):
@@ -68,7 +68,7 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        if max(word) < "\u0250" and "<|" not in word:  # Latin: composed as it is
+        if (word.isascii() or max(word) < "\u0250") and "<|" not in word:  # Latin: composed as it is
             low = word.lower()
             core = low.rstrip(punctuation)
             if core.isalpha():  # most words: letters, then perhaps marks
@@ -76,7 +76,8 @@ class WordIds(dict):
             else:
                 parts = _PIECES(low)
             if parts == [word]:
-                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+                letters = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
             else:  # its pieces are words themselves
                 ids = b"".join(map(self.__getitem__, parts))
         else:
@@ -87,10 +88,17 @@ class WordIds(dict):
 
     def text(self, text: str | None) -> bytes:
         text = text or ""
-        if _SEPARATORS(text):  # white space to Python alone
+        if any(map(text.__contains__, _SEPARATORS)):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
+    def count(self, text: str | None) -> int:
+        """How many ids a text has."""
+        text = text or ""
+        if any(map(text.__contains__, _SEPARATORS)):
+            return len(self.text(text)) // 4
+        return sum(map(len, map(self.__getitem__, text.split()))) // 4
+
 
 _loaded: dict[str, WordIds] = {}
 

@@ -86,7 +86,7 @@ def count_sequences(docs: DataFrame, path: str, text_col: str = "text", length:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = word_ids(path), 0
         for batch in batches:
-            n += sum(len(words.text(t)) // 4 + 1 for t in batch.column(0).to_pylist())
+            n += batch.num_rows + sum(map(words.count, batch.column(0).to_pylist()))
         yield pa.RecordBatch.from_pydict({"p": [TaskContext.get().partitionId()], "n": [-(-n // length)]})
 
     return {r["p"]: r["n"] for r in docs.select(text_col).mapInArrow(run, "p long, n long").collect()}
