@@ -24,9 +24,22 @@ from .common import materialise, n_words
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Sources up to which a table with a row for each is sent to all tasks; beyond, the join is salted.
+SENT = 20_000
+SALTS = 32
 _LEVELS = (48, 36)  # bits below the histogram's buckets, coarse then fine
 
 
+def with_source(rows: DataFrame, per: DataFrame, salt: Column) -> DataFrame:
+    """``rows`` (source, ...) joined with ``per`` (s, ...), one row a source, without bringing a hot source together."""
+    same = F.col("source").eqNullSafe(F.col("s"))
+    if per.count() <= SENT:
+        return rows.join(F.broadcast(per), same).drop("s")
+    spread = per.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__deal", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, same & (F.col("__deal") == F.col("__salt"))).drop("s", "__deal", "__salt")
+
+
 def doc_hash(id_col: Column) -> Column:
     """60 bits of the id's MD5 as a long."""
     text = F.coalesce(id_col.cast("string"), F.lit(""))
@@ -74,8 +87,9 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
             F.min("bucket").alias("bucket"),
             F.min_by(F.col("taken") + F.col("after") - F.col("words"), "bucket").alias("taken"),
         )
+        state = materialise(state)
         edge = state.select(F.col("source").alias("s"), F.col("bucket").alias("at"))
-        rows = rows.join(edge, rows["source"].eqNullSafe(edge["s"]) & (F.shiftright("h", bits) == F.col("at"))).select("source", "h", "size")
+        rows = with_source(rows, edge, F.col("h")).where(F.shiftright("h", bits) == F.col("at")).select("source", "h", "size")
     exact = rows.groupBy("source", "h").agg(F.sum("size").alias("words"))
     exact = exact.withColumn("after", F.sum("words").over(Window.partitionBy("source").orderBy("h")))
     s = state.select(F.col("source").alias("s"), "budget", "taken")
@@ -95,11 +109,11 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col)).alias("h"))
     )
     goals = materialise(targets(sized))
-    cut = thresholds(sized.select("source", "h", "size"), goals)
-    goal = goals.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("source")
+    cut = thresholds(sized.select("source", "h", "size"), goals).withColumnRenamed("source", "s")
+    goal = materialise(goals.join(cut, F.col("source").eqNullSafe(F.col("s"))).drop("source"))
     copies = F.col("passes") + (F.col("h") < F.col("below")).cast("int")
     return (
-        sized.join(goal, F.col("source").eqNullSafe(F.col("s")))
+        with_source(sized, goal, F.col("h"))
         .withColumn("copies", copies)
         .select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
@@ -108,10 +122,11 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed rows: each row of ``docs`` as often as the mix takes it."""
     sized = materialise(docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col)).alias("h")))
-    cut = materialise(thresholds(sized, materialise(targets(sized)))).toDF("__s", "__passes", "__below")
-    copies = F.col("__passes") + (doc_hash(F.col(id_col)) < F.col("__below")).cast("int")
-    rows = docs.join(cut, F.col(source_col).eqNullSafe(F.col("__s")))
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    cut = materialise(thresholds(sized, materialise(targets(sized))).toDF("s", "passes", "below"))
+    rows = docs.select(F.col(source_col).alias("source"), F.struct(*docs.columns).alias("doc"))
+    own = F.col(f"doc.{id_col}")
+    copies = F.col("passes") + (doc_hash(own) < F.col("below")).cast("int")
+    return with_source(rows, cut, own).withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select("doc.*")
 
 
 #: ``plan_mix`` over ``documents`` for DuckDB.
