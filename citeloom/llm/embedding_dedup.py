@@ -50,27 +50,34 @@ AUDIT = 1024
 RECALL = 0.97
 
 
-def unit_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, unit): unit vectors as bytes of doubles, null where a vector can't link."""
+def packed(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, str]:
+    """((id, vec), kind): components as bytes of their own type, null where a vector can't link; ``kind`` names that type.
+
+    Vectors travel as they came, floats in half the bytes of doubles; tasks turn
+    them into unit vectors of doubles.
+    """
+    column = F.col(vec_col)
+    kind = "<f4" if vectors.schema[vec_col].dataType.elementType.simpleString() == "float" else "<f8"
+    column = column if kind == "<f4" else column.cast("array<double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x in batch.column(1).to_pylist():
-                x = None if x is None or not len(x) or any(c is None for c in x) else np.array(x, np.float64)
-                if x is not None and np.isfinite(x).all() and (most := np.abs(x).max()) > 0:
-                    x = x / most  # so that no square overflows or vanishes
-                    out.append((x / np.sqrt(x @ x)).tobytes())
-                else:
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "unit"])
+                x = None if x is None or not len(x) or any(c is None for c in x) else np.array(x, kind)
+                out.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "vec"])
 
-    kind = vectors.schema[id_col].dataType.simpleString()
-    return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInArrow(run, f"id {kind}, unit binary")
+    name = vectors.schema[id_col].dataType.simpleString()
+    return vectors.select(F.col(id_col).alias("id"), column.alias("v")).mapInArrow(run, f"id {name}, vec binary"), kind
 
 
-def matrix(column) -> np.ndarray:
-    return np.stack([np.frombuffer(x) for x in column.to_pylist()])
+def matrix(column, kind: str) -> np.ndarray:
+    """Unit vectors of doubles."""
+    values = column.to_pylist()
+    x = np.frombuffer(b"".join(values), kind).reshape(len(values), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)  # so that no square overflows or vanishes
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def fit_centroids(sample: np.ndarray, k: int, steps: int = 4) -> np.ndarray:
@@ -175,11 +182,11 @@ def medoids(x: np.ndarray, k: int = MEDOIDS) -> np.ndarray:
     return np.unique((x @ centre.T).argmax(0))
 
 
-def _task(table: pa.Table, beam: int, cosine: float) -> pa.Table:
+def _task(table: pa.Table, beam: int, cosine: float, kind: str) -> pa.Table:
     """Links of one pair of chunks (i, j) of a shard: weights and local components."""
     table = table.sort_by([("chunk", "ascending"), ("key", "ascending")])
     shard, i, j = (table.column(c)[0].as_py() for c in ("shard", "i", "j"))
-    x, key, weight, chunk = matrix(table.column("unit")), *(table.column(c).to_numpy() for c in ("key", "copies", "chunk"))
+    x, key, weight, chunk = matrix(table.column("vec"), kind), *(table.column(c).to_numpy() for c in ("key", "copies", "chunk"))
     shards = np.array(table.column("shards").to_pylist())
     base, query = np.flatnonzero(chunk == j), np.flatnonzero(chunk == i)
     count, label = np.zeros(len(key), np.int64), np.arange(len(key))
@@ -218,48 +225,48 @@ def _task(table: pa.Table, beam: int, cosine: float) -> pa.Table:
     return pa.table({"key": key[some], "links": count[some], "root": key[label[some]]})
 
 
-def _search(reps: DataFrame, n: int, overlap: int, beam: int, cosine: float) -> DataFrame:
-    """(key, links, root) of linked vectors, from rows (key, copies, unit)."""
+def _search(reps: DataFrame, n: int, overlap: int, beam: int, cosine: float, kind: str) -> DataFrame:
+    """(key, links, root) of linked vectors, from rows (key, copies, vec)."""
     spark = reps.sparkSession
     k = int(min(CENTROIDS, max(1, -(-n * overlap // CHUNK))))
     size = min(SAMPLE, max(1, 64 * k))
-    sample = reps.orderBy(F.xxhash64("key"), "key").limit(size).select("unit").toArrow()
-    centre = fit_centroids(matrix(sample.column("unit")), k)
+    sample = reps.orderBy(F.xxhash64("key"), "key").limit(size).select("vec").toArrow()
+    centre = fit_centroids(matrix(sample.column("vec"), kind), k)
     overlap = min(overlap, len(centre))
     shared = spark.sparkContext.broadcast(centre)  # CENTROIDS vectors at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cos = matrix(batch.column("unit")) @ shared.value.T
+                cos = matrix(batch.column("vec"), kind) @ shared.value.T
                 own = np.argpartition(-cos, overlap - 1, axis=1)[:, :overlap]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.tolist(), pa.list_(pa.int64()))], names=[*batch.schema.names, "shards"])
 
-    placed = materialise(reps.mapInArrow(assign, "key long, copies long, unit binary, shards array<long>"))
-    members = placed.select("key", "copies", "unit", "shards", F.explode("shards").alias("shard"))
+    placed = materialise(reps.mapInArrow(assign, "key long, copies long, vec binary, shards array<long>"))
+    members = placed.select("key", "copies", "vec", "shards", F.explode("shards").alias("shard"))
     sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
     members = members.join(sizes, "shard").withColumn("chunk", F.expr("pmod(xxhash64(key, shard), chunks)"))
 
     def graph(table: pa.Table) -> pa.Table:
         key = table.column("key").to_numpy()
-        lists = build_graph(matrix(table.column("unit")))
+        lists = build_graph(matrix(table.column("vec"), kind))
         return pa.table({"key": key, "near": pa.array([key[x].tolist() for x in lists], pa.list_(pa.int64()))})
 
-    edges = members.select("shard", "chunk", "key", "unit").groupBy("shard", "chunk").applyInArrow(graph, "key long, near array<long>")
+    edges = members.select("shard", "chunk", "key", "vec").groupBy("shard", "chunk").applyInArrow(graph, "key long, near array<long>")
     union = edges.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # overlap lists each
     tasks = (
         members.join(union, "key").withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)")))
         .withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-        .select("shard", "i", "j", "chunk", "key", "copies", "unit", "shards", "near")
+        .select("shard", "i", "j", "chunk", "key", "copies", "vec", "shards", "near")
     )
-    out = tasks.groupBy("shard", "i", "j").applyInArrow(lambda t: _task(t, beam, cosine), "key long, links long, root long")
+    out = tasks.groupBy("shard", "i", "j").applyInArrow(lambda t: _task(t, beam, cosine, kind), "key long, links long, root long")
     return materialise(out)
 
 
-def audit(reps: DataFrame, found: DataFrame, cosine: float) -> float:
+def audit(reps: DataFrame, found: DataFrame, cosine: float, kind: str) -> float:
     """Recall of a bounded sample of queries against all vectors."""
-    sample = reps.orderBy(F.xxhash64(F.lit(7), "key"), "key").limit(AUDIT).select("key", "unit").toArrow()
-    key, x = sample.column("key").to_numpy(), matrix(sample.column("unit"))
+    sample = reps.orderBy(F.xxhash64(F.lit(7), "key"), "key").limit(AUDIT).select("key", "vec").toArrow()
+    key, x = sample.column("key").to_numpy(), matrix(sample.column("vec"), kind)
     shared = reps.sparkSession.sparkContext.broadcast((key, x))  # AUDIT vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +274,7 @@ def audit(reps: DataFrame, found: DataFrame, cosine: float) -> float:
         for batch in batches:
             if batch.num_rows:
                 own, weight = batch.column("key").to_numpy(), batch.column("copies").to_numpy()
-                near = (x @ matrix(batch.column("unit")).T >= cosine) & (key[:, None] != own[None, :])
+                near = (x @ matrix(batch.column("vec"), kind).T >= cosine) & (key[:, None] != own[None, :])
                 yield pa.RecordBatch.from_pydict({"key": key, "truth": near @ weight})
 
     truth = reps.mapInArrow(run, "key long, truth long").groupBy("key").agg(F.sum("truth").alias("truth"))
@@ -278,19 +285,19 @@ def audit(reps: DataFrame, found: DataFrame, cosine: float) -> float:
 
 def link(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(id, n_links, component_id, kept, audit_recall) of every row."""
-    rows = unit_rows(vectors, id_col, vec_col)
-    rows = materialise(rows.withColumns({"d1": F.xxhash64(F.lit(1), "unit"), "d2": F.xxhash64(F.lit(2), "unit")}))
-    lengths = rows.where("unit IS NOT NULL").groupBy(F.length("unit").alias("b")).count()
+    rows, kind = packed(vectors, id_col, vec_col)
+    rows = materialise(rows.withColumns({"d1": F.xxhash64(F.lit(1), "vec"), "d2": F.xxhash64(F.lit(2), "vec")}))
+    lengths = rows.where("vec IS NOT NULL").groupBy(F.length("vec").alias("b")).count()
     usual = lengths.orderBy(F.desc("count"), "b").first()
-    usable = rows.where((F.length("unit") == (usual["b"] if usual else -1)))
-    reps = usable.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    usable = rows.where((F.length("vec") == (usual["b"] if usual else -1)))
+    reps = usable.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
     reps = materialise(reps.withColumn("key", F.monotonically_increasing_id()))
-    points, n = reps.select("key", "copies", "unit"), reps.count()
+    points, n = reps.select("key", "copies", "vec"), reps.count()
     recall, overlap, beam = 1.0, OVERLAP, BEAM
     found = materialise(points.select("key", F.lit(0).cast("long").alias("links"), F.col("key").alias("root")).limit(0))
     for _ in range(3 if n > 1 else 0):
-        found = _search(points, n, overlap, beam, cosine)
-        recall = audit(points, found, cosine)
+        found = _search(points, n, overlap, beam, cosine, kind)
+        recall = audit(points, found, cosine, kind)
         if recall >= RECALL:
             break
         overlap, beam = overlap + 2, 2 * beam
@@ -300,7 +307,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     told = materialise(told.withColumn("root", F.coalesce("root", "key")))
     least = told.groupBy("root").agg(F.min("least").alias("component"))
     told = told.join(least, "root").select("d1", "d2", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    usable = F.length("unit") == (usual["b"] if usual else -1)
+    usable = F.length("vec") == (usual["b"] if usual else -1)
     out = rows.select("id", "d1", "d2", F.coalesce(usable, F.lit(False)).alias("usable")).join(told, ["d1", "d2"], "left")
     component = F.when(F.col("usable"), F.col("component")).otherwise(F.col("id"))
     return out.select(
