@@ -1,10 +1,9 @@
 """Entity resolution: titles to DOIs, references and search results to DOIs.
 
 Works are a table (doi, title, first_author, year, urls, source); requests are
-(request_id, title, first_author, year, source_url). No all-pairs comparison: a
-pair is scored only if one side's rarest tokens occur in the other, which keeps
-subset titles in both directions and leaves very common tokens to titles that
-have nothing rarer.
+(request_id, title, first_author, year, source_url). Pairs meet on tokens, the
+rarest of each title that any match at the threshold must share one of, and are
+scored only if their lengths and pairs of letters allow the threshold.
 """
 
 from __future__ import annotations
@@ -21,39 +20,80 @@ THRESHOLD = 88.0
 BAND = 5.0
 MERITS = {"url": 8, "year": 3, "author": 3}
 TOP = 5
-RAREST = 4
-BLOCK = 100
+DEAL = 1024
+SLACK = 1e-6
 MIN_CITATION = 16
 MAX_AUGMENTED = 30
 
 
-def _rarest(rows: DataFrame, frequency: DataFrame, ids: list[str], k: int) -> DataFrame:
-    """(ids, token) of each row's rarest token, and of up to ``k`` while they bring ``BLOCK`` titles at most."""
-    known = rows.select(*ids, F.explode("tokens").alias("token")).join(frequency, "token")
-    order = Window.partitionBy(*ids).orderBy("df", "token")
-    ranked = known.withColumns({"n": F.row_number().over(order), "reach": F.sum("df").over(order)})
-    return ranked.where((F.col("n") == 1) | ((F.col("n") <= k) & (F.col("reach") <= BLOCK))).select(*ids, "token")
+def _titles(rows: DataFrame, name: str) -> DataFrame:
+    """(name, tokens, length, bits): the length of its distinct tokens joined, and its pairs of letters in a set of 256 bits."""
+    rows = rows.withColumn("tokens", T.title_tokens(F.col(name))).withColumn("length", F.length(F.array_join("tokens", " ")))
+    pairs = F.array_distinct(F.transform(F.regexp_extract_all(F.col(name), F.lit("(?=([^ ]{2}))"), F.lit(1)), lambda p: F.pmod(F.xxhash64(p), F.lit(256)).cast("int")))
+    word = lambda k: F.aggregate(F.filter("at", lambda i: F.floor(i / 64) == k), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)))
+    return rows.withColumn("at", pairs).withColumns({f"bits{k}": word(k) for k in range(4)}).drop("at")
 
 
-def title_candidates(requests: DataFrame, works: DataFrame, top: int = TOP, rarest: int = RAREST, threshold: float = THRESHOLD) -> DataFrame:
+def _by_rarity(rows: DataFrame, name: str, frequency: DataFrame, wanted: Column) -> DataFrame:
+    """``rows`` by token, rarest first, as far as ``wanted`` says of ``n``, a token's place, and ``before``, the length up to it."""
+    order = Window.partitionBy(name).orderBy(F.coalesce("df", F.lit(0)), "token")
+    each = rows.select("*", F.explode("tokens").alias("token")).join(frequency, "token", "left")
+    each = each.withColumns({"n": F.row_number().over(order), "before": F.sum(F.length("token") + 1).over(order) - F.length("token") - 1})
+    return each.where(wanted & F.col("df").isNotNull()).drop("df", "n", "before")
+
+
+def _meet(keys: DataFrame, norms: DataFrame, possible: Column) -> DataFrame:
+    """(key, norm) of rows of one token that are ``possible``; a token's rows are dealt into blocks of ``DEAL`` on both sides."""
+    blocks = lambda rows, name: rows.groupBy("token").agg(F.ceil(F.count("*") / DEAL).cast("long").alias(name))
+    both = blocks(keys, "k_blocks").join(blocks(norms, "n_blocks"), "token")
+    own = lambda name, n: F.pmod(F.xxhash64(name), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = keys.join(both, "token").withColumn("i", own("key", "k_blocks")).withColumn("j", every("n_blocks")).alias("a")
+    b = norms.join(both, "token").withColumn("j", own("norm", "n_blocks")).withColumn("i", every("k_blocks")).alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("token", "i", "j")]
+    return a.join(b.hint("merge"), [*same, possible]).select("key", "norm")
+
+
+def _possible(cut: float) -> Column:
+    """Whether titles ``a`` and ``b`` can differ by ``cut`` of a length at most: an edit changes two pairs of letters, a letter more adds one."""
+    lacks = lambda x, y: sum(F.bit_count(F.col(f"{x}.bits{k}").bitwiseAND(F.bitwise_not(f"{y}.bits{k}"))) for k in range(4))
+    la, lb = F.col("a.length"), F.col("b.length")
+    most = cut * F.greatest(la, lb) + SLACK
+    spelt = (F.abs(la - lb) <= most) & (lacks("a", "b") <= 2 * most) & (lacks("b", "a") <= 2 * most)
+    return spelt | (lacks("a", "b") <= cut * la + SLACK) | (lacks("b", "a") <= cut * lb + SLACK)
+
+
+def title_candidates(requests: DataFrame, works: DataFrame, top: int = TOP, threshold: float = THRESHOLD) -> DataFrame:
     """(key, doi, title, score, source, first_author, year, urls): the best works of each source for each distinct title.
 
-    Candidates rank by shared tokens, then by the difference in length, then by
-    DOI; the first ``top`` of a source are scored and those at the threshold kept.
+    Works that share a token are candidates. They rank by shared tokens, then by
+    the difference in length, then by DOI; the first ``top`` of a source are
+    scored and those at the threshold kept. Titles that reach the threshold are
+    found first, then all that share as many tokens with the same request.
     """
-    keys = requests.select(T.normalize_title(F.col("title")).alias("key")).where("key <> ''").distinct().withColumn("tokens", T.title_tokens(F.col("key")))
+    cut = 1 - threshold / 100
+    keys = _titles(requests.select(T.normalize_title(F.col("title")).alias("key")).where("key <> ''").distinct(), "key").persist()
     works = works.where("doi IS NOT NULL AND title IS NOT NULL")
-    right = works.withColumn("norm", T.normalize_title(F.col("title"))).withColumn("tokens", T.title_tokens(F.col("norm")))
-    titles = right.select("norm", "tokens").distinct()
+    right = works.withColumn("norm", T.normalize_title(F.col("title")))
     # titles, not works: equal titles are compared once
+    titles = _titles(right.select("norm").distinct(), "norm").persist()
     frequency = titles.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    a = _rarest(keys, frequency, ["key"], rarest).join(titles.select("norm", F.explode("tokens").alias("token")), "token")
-    b = _rarest(titles, frequency, ["norm"], rarest).join(keys.select("key", F.explode("tokens").alias("token")), "token")
-    pairs = a.select("key", "norm").union(b.select("key", "norm")).distinct()
+    every = lambda rows: rows.select("*", F.explode("tokens").alias("token"))
+    # what a near subset lacks weighs ``cut`` of its length at most; in near spellings an edit spoils two tokens at most
+    subset = F.col("before") <= cut * F.col("length") + SLACK
+    spelt = F.col("n") <= 2 * F.floor(cut / (1 - cut) * F.col("length") + SLACK) + 1
+    a = _meet(_by_rarity(keys, "key", frequency, subset | spelt), every(titles), _possible(cut))
+    b = _meet(every(keys), _by_rarity(titles, "norm", frequency, subset), _possible(cut))
+    # grouped, as a filter would move below the steps of the ratio and repeat them
+    good = T.with_token_set_ratio(a.union(b).distinct(), "key", "norm", "score").groupBy("key", "norm").agg(F.max("score").alias("score")).where(F.col("score") >= threshold)
     shared = F.size(F.array_intersect(T.title_tokens(F.col("key")), T.title_tokens(F.col("norm"))))
+    asked = keys.join(good.groupBy("key").agg(F.min(shared).alias("least")), "key").persist()
+    # of n tokens, those that share ``least`` share one of the first n - least + 1
+    rivals = _by_rarity(asked, "key", frequency, F.col("n") <= F.size("tokens") - F.col("least") + 1)
+    pairs = _meet(rivals, every(titles), F.size(F.array_intersect("a.tokens", "b.tokens")) >= F.col("a.least")).distinct()
     scored = pairs.withColumn("shared", shared).withColumn("apart", F.abs(F.length("key") - F.length("norm")))
     best = Window.partitionBy("key", "source").orderBy(F.desc("shared"), "apart", "doi")
-    found = scored.join(right.drop("tokens"), "norm").withColumn("n", F.row_number().over(best)).where(F.col("n") <= top)
+    found = scored.join(right, "norm").withColumn("n", F.row_number().over(best)).where(F.col("n") <= top)
     found = T.with_token_set_ratio(found, "key", "norm", "score").where(F.col("score") >= threshold)
     return found.select("key", "doi", "title", "score", "source", "first_author", "year", "urls")
 

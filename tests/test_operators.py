@@ -197,3 +197,21 @@ def test_feedback_and_titles(spark):
 def test_muted(spark):
     c = spark.createDataFrame([(1, " Bot "), (2, None), (3, "Ann")], "id int, commenter string")
     assert sorted(r.id for r in pages.hide_muted_commenters(c, spark.createDataFrame([("BOT",)], "name string")).collect()) == [2, 3]
+
+
+def test_title_candidates_against_brute_force(spark):
+    """Common words everywhere, one rare word spelt otherwise, both spellings known: every pair at the threshold is found."""
+    from pyspark.sql import functions as F
+
+    from citeloom.functions import text as T
+
+    common = "randomised controlled trial therapy patients outcomes treatment"
+    titles = [f"{common} tumour{k}x" for k in range(130)] + [f"tumor{k}x registry" for k in range(5)] + ["anemic hemoglobin tumors trial"]
+    asks = [t.replace("tumour", "tumor") for t in titles[:5]] + ["anaemic haemoglobin tumours trial"]
+    works = spark.createDataFrame([(f"10.1/{k}", t, None, None, None, "s") for k, t in enumerate(titles)], "doi string, title string, first_author string, year int, urls array<string>, source string")
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(asks)], "request_id int, title string")
+    got = {(r.key, r.doi) for r in resolve.title_candidates(rows, works, top=1000).collect()}
+    pairs = rows.select(F.col("title").alias("key")).distinct().crossJoin(works.select("doi", F.col("title").alias("norm")))
+    want = {(r.key, r.doi) for r in pairs.where(T.token_set_ratio(F.col("key"), F.col("norm")) >= 88).collect()}
+    assert (asks[0], "10.1/0") in want and (asks[-1], f"10.1/{len(titles) - 1}") in want
+    assert got == want
