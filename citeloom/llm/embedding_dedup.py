@@ -10,7 +10,7 @@ the shard's medoids (and from the query's own node) towards the query, then
 expands every node in range until no new one appears. Each cosine is computed,
 so nothing below the limit links. A sample of queries is held against all
 vectors; if its recall is under ``RECALL`` the search is repeated with wider
-overlap and beam.
+overlap and beam, and after three tries all vectors are compared.
 
 A shard with more than ``CHUNK`` vectors is dealt into chunks, each with a graph
 of its own, and each pair of chunks is a task. A task reports link counts and
@@ -264,7 +264,10 @@ def _search(reps: DataFrame, n: int, overlap: int, beam: int, cosine: float, kin
 
 
 def audit(reps: DataFrame, found: DataFrame, cosine: float, kind: str) -> float:
-    """Recall of a bounded sample of queries against all vectors."""
+    """Recall of a bounded sample of queries against all vectors: the mean of queries with links.
+
+    Queries with more than ``DEGREE`` links and the others are judged apart; the lesser counts.
+    """
     sample = reps.orderBy(F.xxhash64(F.lit(7), "key"), "key").limit(AUDIT).select("key", "vec").toArrow()
     key, x = sample.column("key").to_numpy(), matrix(sample.column("vec"), kind)
     shared = reps.sparkSession.sparkContext.broadcast((key, x))  # AUDIT vectors at most
@@ -279,8 +282,35 @@ def audit(reps: DataFrame, found: DataFrame, cosine: float, kind: str) -> float:
 
     truth = reps.mapInArrow(run, "key long, truth long").groupBy("key").agg(F.sum("truth").alias("truth"))
     seen = found.groupBy("key").agg(F.sum("links").alias("links"))
-    row = truth.join(seen, "key", "left").agg(F.sum("truth"), F.sum("links")).first()
-    return (row[1] or 0) / row[0] if row[0] else 1.0
+    share = F.least(F.coalesce("links", F.lit(0)) / F.col("truth"), F.lit(1.0))
+    means = truth.join(seen, "key", "left").where("truth > 0").groupBy(F.col("truth") > DEGREE).agg(F.avg(share).alias("mean"))
+    return means.agg(F.coalesce(F.min("mean"), F.lit(1.0))).first()[0]
+
+
+def _exact(reps: DataFrame, n: int, cosine: float, kind: str) -> DataFrame:
+    """As ``_search``, by comparing all pairs of vectors; each pair of chunks is a task."""
+    chunks = F.lit(-(-n // CHUNK)).cast("long")
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+        x, key, weight, chunk = matrix(table.column("vec"), kind), *(table.column(c).to_numpy() for c in ("key", "copies", "chunk"))
+        base, query = np.flatnonzero(chunk == j), np.flatnonzero(chunk == i)
+        count, label = np.zeros(len(key), np.int64), np.arange(len(key))
+        for lo in range(0, len(query), 256):
+            own = query[lo : lo + 256]
+            a, b = np.nonzero(x[own] @ x[base].T >= cosine)
+            a, b = own[a], base[b]
+            if i == j:
+                a, b = a[a < b], b[a < b]
+            np.add.at(count, a, weight[b])
+            np.add.at(count, b, weight[a])
+            fold(label, a, b)
+        some = np.flatnonzero(count)
+        return pa.table({"key": key[some], "links": count[some], "root": key[label[some]]})
+
+    rows = reps.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    tasks = rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).select("i", "j", "chunk", "key", "copies", "vec")
+    return materialise(tasks.groupBy("i", "j").applyInArrow(run, "key long, links long, root long"))
 
 
 def link(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -301,6 +331,9 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         if recall >= RECALL:
             break
         overlap, beam = overlap + 2, 2 * beam
+    if recall < RECALL:
+        found = _exact(points, n, cosine, kind)
+        recall = audit(points, found, cosine, kind)
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).toDF("key", "root")
     told = reps.select("d1", "d2", "key", "least", "copies").join(links, "key", "left").join(parts, "key", "left")

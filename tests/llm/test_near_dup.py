@@ -103,3 +103,20 @@ def test_float_vectors_and_copies(spark):
     rows = [(k, [1.0, 2.0, float(k % 2)]) for k in range(6)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in E.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert got == {k: (5, 0) for k in range(6)}  # cosine of the two kinds is over 0.9
+
+
+@pytest.mark.parametrize("chunk", [2048, 40])
+def test_links_lost_outside_a_hot_group_are_found(spark, monkeypatch, chunk):
+    """A search that misses every small group, beside a hot group with nearly all links."""
+    search = E._search
+    monkeypatch.setattr(E, "_search", lambda *a: search(*a).where("links > 5"))
+    monkeypatch.setattr(E, "CHUNK", chunk)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(31, 16))
+    x = np.concatenate([x[:1] + 0.02 * rng.normal(size=(60, 16)), x[1:16], x[1:16] + 0.02 * rng.normal(size=(15, 16))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in E.link(rows).collect()}
+    assert [got[k].n_links for k in range(len(x))] == linked.sum(1).tolist()
+    assert [got[k].component_id for k in range(len(x))] == components(len(x), np.argwhere(linked).tolist())
