@@ -293,22 +293,20 @@ req AS (
 rk AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')) AS key FROM req),
 wk AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')) AS norm, CASE WHEN paper_id % 2 = 0 THEN 'crossref' ELSE 'openalex' END AS source,
        concat('host', CAST(paper_id % 30 AS STRING), '.example.org') AS host FROM papers),
-kt AS (SELECT DISTINCT key, unnest(string_split(key, ' ')) AS token FROM rk),
+kt AS (SELECT DISTINCT key, unnest(string_split(key, ' ')) AS token FROM rk WHERE key <> ''),
 nt AS (SELECT DISTINCT norm, unnest(string_split(norm, ' ')) AS token FROM wk),
-df AS (SELECT token, count(*) AS df FROM nt GROUP BY token),
-ka AS (SELECT key, token FROM (SELECT key, token, row_number() OVER w AS n, sum(df) OVER w AS t FROM kt JOIN df USING (token) WINDOW w AS (PARTITION BY key ORDER BY df, token)) WHERE n = 1 OR (n <= 4 AND t <= 100)),
-na AS (SELECT norm, token FROM (SELECT norm, token, row_number() OVER w AS n, sum(df) OVER w AS t FROM nt JOIN df USING (token) WINDOW w AS (PARTITION BY norm ORDER BY df, token)) WHERE n = 1 OR (n <= 4 AND t <= 100)),
-pairs AS (SELECT key, norm FROM ka JOIN nt USING (token) UNION SELECT key, norm FROM na JOIN kt USING (token)),
+pairs AS (SELECT key, norm, count(*) AS shared FROM kt JOIN nt USING (token) GROUP BY key, norm),
+top AS (
+  SELECT * FROM (SELECT p.key, p.norm, w.doi, w.title, w.source, w.first_author, w.year, w.host,
+    row_number() OVER (PARTITION BY p.key, w.source ORDER BY shared DESC, abs(length(p.key) - length(p.norm)), w.doi) AS n FROM pairs p JOIN wk w USING (norm)) WHERE n <= 5),
 tok AS (
-  SELECT key, norm, list_sort(list_distinct(string_split(key, ' '))) AS a, list_sort(list_distinct(string_split(norm, ' '))) AS b FROM pairs),
+  SELECT *, list_sort(list_distinct(string_split(key, ' '))) AS a, list_sort(list_distinct(string_split(norm, ' '))) AS b FROM top),
 par AS (
-  SELECT key, norm, len(list_intersect(a, b)) AS shared, abs(length(key) - length(norm)) AS apart, array_to_string(list_sort(list_intersect(a, b)), ' ') AS s,
+  SELECT * EXCLUDE (a, b), array_to_string(list_sort(list_intersect(a, b)), ' ') AS s,
          trim(concat(array_to_string(list_sort(list_intersect(a, b)), ' '), ' ', array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ' '))) AS ca,
          trim(concat(array_to_string(list_sort(list_intersect(a, b)), ' '), ' ', array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ' '))) AS cb FROM tok),
-top AS (
-  SELECT * FROM (SELECT p.*, w.doi, w.title, w.source, w.first_author, w.year, w.host, row_number() OVER (PARTITION BY p.key, w.source ORDER BY shared DESC, apart, w.doi) AS n FROM par p JOIN wk w USING (norm)) WHERE n <= 5),
 cand AS (
-  SELECT *, greatest(length(s)::DOUBLE / length(ca), length(s)::DOUBLE / length(cb), (greatest(length(ca), length(cb)) - levenshtein(ca, cb))::DOUBLE / greatest(length(ca), length(cb))) * 100 AS score FROM top),
+  SELECT *, greatest(length(s)::DOUBLE / length(ca), length(s)::DOUBLE / length(cb), (greatest(length(ca), length(cb)) - levenshtein(ca, cb))::DOUBLE / greatest(length(ca), length(cb))) * 100 AS score FROM par),
 good AS (SELECT * FROM cand WHERE score >= 88)
 """
 _BEST = """
