@@ -1,17 +1,20 @@
 """Materialise token sequences in training order, as fixed-stride binary shards.
 
 Each input partition is one stream of token ids, documents ended by an end id,
-cut into sequences of ``LENGTH`` ids; the stream's last sequence is padded. A
-first pass counts the sequences of each partition, which numbers all of them
-0..N-1. A keyed Feistel permutation over the next power of four, walked along
-its cycle until it falls below N, gives every number a slot of its own, so the
-training order is a random permutation that needs no shuffle list and can be
-inverted. A second pass ranges the sequences by slot into shards of ``SHARD``
-slots. In a shard every sequence has the same stride, so a reader resumes at any
-slot by seeking. Tokenizing twice is less disk than keeping the ids in between.
-
-Null texts hold the end id alone. Repeated rows and rows without an id are
-written like all others. An empty table gives no shard. Other columns are not read.
+cut into sequences of ``LENGTH`` ids; the stream's last sequence is padded. The
+texts are tokenized once: the streams are written, compressed, to the shared
+folder, and their sizes number all sequences 0..N-1. A keyed Feistel permutation
+over the next power of four, walked along its cycle until it falls below N, gives
+every number a slot of its own, so the training order is a random permutation
+that needs no shuffle list and can be inverted. Sequences are then partitioned
+by ranges of slots, of about ``RANGE`` bytes and whole shards; between tasks
+those of one range travel together, compressed. A task puts its range in order
+and writes shards of ``SHARD`` slots. In a shard every sequence has the same
+stride, so a reader resumes at any slot by seeking.
+
+Ids take two bytes; a tokenizer with more than 65,536 ids is refused. Null texts
+hold the end id alone. Repeated rows and rows without an id are written like all
+others. An empty table gives no shard. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,16 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import materialise
 from .packing import END_ID, tokenizer_path, word_ids
 
 LENGTH = 512
 SHARD = 4096
 KEY = 0x5EED
+#: Bytes of sequences that a writing task holds, and sequences that a task holds before it passes them on.
+RANGE = 64 << 20
+HELD = 16_384
+BLOCK = 64
 ROUNDS = 6
 
 
@@ -73,59 +81,73 @@ def _streams(batches: Iterator[pa.RecordBatch], words, width: int) -> Iterator[b
     for batch in batches:
         for text in batch.column(0).to_pylist():
             held += np.frombuffer(words.text(text), "<u4").astype("<u2").tobytes() + end
-            if len(held) >= 256 * width:
+            if len(held) >= 2 * width:
                 whole = len(held) // width * width
                 yield from (bytes(held[i : i + width]) for i in range(0, whole, width))
                 del held[:whole]
     yield from (bytes(held[i : i + width]) for i in range(0, len(held), width))
 
 
-def count_sequences(docs: DataFrame, path: str, text_col: str = "text", length: int = LENGTH) -> dict[int, int]:
-    """How many sequences each input partition gives; as many numbers as there are partitions."""
+def tokenized(docs: DataFrame, path: str, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """(p, first, n, ids): the stream of each input partition ``p`` in blocks of ``n`` bytes from byte ``first`` on, compressed; written to the shared folder."""
+    if word_ids(path).tokenizer.get_vocab_size() > 1 << 16:
+        raise ValueError("ids of more than 16 bits don't fit the shards")
+    width = 2 * length * BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n = word_ids(path), 0
-        for batch in batches:
-            n += batch.num_rows + sum(map(words.count, batch.column(0).to_pylist()))
-        yield pa.RecordBatch.from_pydict({"p": [TaskContext.get().partitionId()], "n": [-(-n // length)]})
+        p, first, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3).compress
+        for own in _streams(batches, word_ids(path), width):
+            yield pa.RecordBatch.from_pydict({"p": [p], "first": [first], "n": [len(own)], "ids": pa.array([pack(own)], pa.binary())})
+            first += len(own)
 
-    return {r["p"]: r["n"] for r in docs.select(text_col).mapInArrow(run, "p long, n long").collect()}
+    return materialise(docs.select(text_col).mapInArrow(run, "p long, first long, n long, ids binary"), compression="uncompressed")
 
 
-def sequences(docs: DataFrame, path: str, counts: dict[int, int], text_col: str = "text", length: int = LENGTH, key: int = KEY) -> DataFrame:
-    """(slot, n_tokens, ids): sequences as unsigned 16-bit bytes, each with its slot in the training order."""
+def sequences(streams: DataFrame, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> tuple[DataFrame, int, int]:
+    """((range, n, slots, sizes, ids), total, slots in a range): sequences with their slots in the training order, those of one range together."""
+    stride = 2 * length
+    sizes = streams.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect()  # a number for each input partition
     first, total = {}, 0
-    for p in sorted(counts):
-        first[p], total = total, total + counts[p]
-    end, width = np.array([END_ID], "<u2").tobytes(), 2 * length
+    for r in sizes:
+        first[r["p"]], total = total, total - (-r["n"] // stride)
+    wide = shard * max(1, RANGE // (shard * stride))
+    end = np.array([END_ID], "<u2").tobytes()
+    shared = streams.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, done, held = TaskContext.get().partitionId(), 0, []
-
-        def take():
-            nonlocal done
-            slots = permute(np.arange(first[p] + done, first[p] + done + len(held)), total, key)
-            done += len(held)
-            if done > counts[p]:
-                raise ValueError("the input changed between the passes")
-            tokens = pa.array([len(x) // 2 for x in held], pa.int64())
-            whole = pa.array([x + end * (length - len(x) // 2) for x in held], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(slots), tokens, whole], names=["slot", "n_tokens", "ids"])
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        number, size, held = [], [], []
+
+        def give() -> pa.RecordBatch:
+            slot = permute(np.concatenate(number), total, key)
+            order = np.argsort(slot)
+            slot, tokens = slot[order], np.concatenate(size)[order]
+            rows = np.frombuffer(b"".join(held), "<u2").reshape(-1, length)[order]
+            cut = np.append(np.flatnonzero(np.diff(slot // wide, prepend=-1)), len(slot))
+            parts = list(zip(cut, cut[1:]))
+            return pa.RecordBatch.from_arrays([
+                pa.array([slot[i] // wide for i, _ in parts], pa.int64()), pa.array([j - i for i, j in parts], pa.int64()),
+                pa.array([pack((slot[i:j] % wide).astype("<u4").tobytes()) for i, j in parts], pa.binary()),
+                pa.array([pack(tokens[i:j].astype("<u4").tobytes()) for i, j in parts], pa.binary()),
+                pa.array([pack(rows[i:j].tobytes()) for i, j in parts], pa.binary()),
+            ], names=["range", "n", "slots", "sizes", "ids"])
 
-        for own in _streams(batches, word_ids(path), width):
-            held.append(own)
-            if len(held) == 4096:
-                yield take()
-                held = []
+        for batch in batches:
+            for p, at, n, ids in zip(*[batch.column(k).to_pylist() for k in ("p", "first", "n", "ids")]):
+                own = -(-n // stride)
+                number.append(shared.value[p] + at // stride + np.arange(own))
+                size.append(np.minimum(n - stride * np.arange(own), stride) // 2)
+                held.append(unpack(ids) + end * ((own * stride - n) // 2))
+                if sum(map(len, size)) >= HELD:
+                    yield give()
+                    number, size, held = [], [], []
         if held:
-            yield take()
-        if done != counts.get(p, 0):
-            raise ValueError("the input changed between the passes")
+            yield give()
 
-    return docs.select(text_col).mapInArrow(run, "slot long, n_tokens long, ids binary")
+    return streams.mapInArrow(run, "range long, n long, slots binary, sizes binary, ids binary"), total, wide
 
 
-def write_shards(slotted: DataFrame, path: str, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+def write_shards(slotted: DataFrame, total: int, wide: int, path: str, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """Write ``path/shard-NNNNNN.bin`` and return the manifest (shard, first_slot, n_sequences, n_tokens, n_bytes, crc32).
 
     A file is written under a task's own name and then moved, so a repeated or
@@ -133,42 +155,42 @@ def write_shards(slotted: DataFrame, path: str, length: int = LENGTH, shard: int
     ``pyarrow.fs`` opens and that all executors share.
     """
     stride = 2 * length
+    keys = ("shard", "first_slot", "n_sequences", "n_tokens", "n_bytes", "crc32")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(store, base: str, no: int, first: int, rows: np.ndarray, sizes: np.ndarray) -> dict:
         import uuid
 
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(path)
-        out, state = None, None
+        temp, data = f"{base}/.{no:06d}-{uuid.uuid4().hex}", rows.tobytes()
+        with store.open_output_stream(temp) as out:
+            out.write(data)
+        store.move(temp, f"{base}/shard-{no:06d}.bin")
+        return dict(zip(keys, (no, first, len(rows), int(sizes.sum()), len(rows) * stride, zlib.crc32(data))))
 
-        def close():
-            out.close()
-            store.move(state["temp"], f"{base}/shard-{state['shard']:06d}.bin")
-            keys = ("shard", "first_slot", "n_sequences", "n_tokens", "n_bytes", "crc32")
-            return pa.RecordBatch.from_pydict({k: pa.array([state[k]], pa.int64()) for k in keys})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
+        unpack, ranges = zstandard.ZstdDecompressor().decompress, {}
         for batch in batches:
-            for no, slot, n, ids in zip(*[batch.column(k).to_pylist() for k in ("shard", "slot", "n_tokens", "ids")]):
-                if state is None or state["shard"] != no:
-                    if state is not None:
-                        yield close()
-                    store.create_dir(base, recursive=True)
-                    temp = f"{base}/.{no:06d}-{uuid.uuid4().hex}"
-                    state = {"shard": no, "first_slot": slot, "n_sequences": 0, "n_tokens": 0, "n_bytes": 0, "crc32": 0, "temp": temp}
-                    out = store.open_output_stream(temp)
-                if len(ids) != stride or slot != state["first_slot"] + state["n_sequences"]:
-                    raise ValueError("a shard needs its slots in order and a fixed stride")
-                out.write(ids)
-                state |= {"n_sequences": state["n_sequences"] + 1, "n_tokens": state["n_tokens"] + n, "n_bytes": state["n_bytes"] + stride, "crc32": zlib.crc32(ids, state["crc32"])}
-        if state is not None:
-            yield close()
-
-    ordered = (
-        slotted.select(F.floor(F.col("slot") / shard).alias("shard"), "slot", "n_tokens", "ids")
-        .repartition(partitions(slotted.sparkSession), "shard").sortWithinPartitions("shard", "slot")
-    )
-    return ordered.mapInArrow(run, "shard long, first_slot long, n_sequences long, n_tokens long, n_bytes long, crc32 long")
+            for r, *own in zip(*[batch.column(k).to_pylist() for k in ("range", "slots", "sizes", "ids")]):
+                if r not in ranges:
+                    n = min(wide, total - r * wide)
+                    ranges[r] = np.empty((n, length), "<u2"), np.zeros(n, np.int64)
+                at, sizes, ids = map(unpack, own)
+                at = np.frombuffer(at, "<u4")
+                ranges[r][0][at] = np.frombuffer(ids, "<u2").reshape(-1, length)
+                ranges[r][1][at] = np.frombuffer(sizes, "<u4")
+        if ranges:
+            store, base = fs.FileSystem.from_uri(path)
+            store.create_dir(base, recursive=True)
+        for r, (rows, sizes) in ranges.items():
+            if not sizes.all():  # a sequence holds a token at least
+                raise ValueError("a range lacks some of its slots")
+            for i in range(0, len(rows), shard):
+                first = r * wide + i
+                yield pa.RecordBatch.from_pylist([put(store, base, first // shard, first, rows[i : i + shard], sizes[i : i + shard])], pa.schema([(k, pa.int64()) for k in keys]))
+
+    dealt = slotted.repartitionById(max(1, -(-total // wide)), F.col("range").cast("int"))
+    return dealt.mapInArrow(run, ", ".join(f"{k} long" for k in keys))
 
 
 def read_sequences(spark: SparkSession, path: str, manifest: DataFrame, start: int = 0, length: int = LENGTH) -> DataFrame:
@@ -195,6 +217,6 @@ def read_sequences(spark: SparkSession, path: str, manifest: DataFrame, start: i
 
 def build(docs: DataFrame, out: str, path: str | None = None, text_col: str = "text", length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
     """Write the shards to ``out`` and return their manifest."""
-    path = path or tokenizer_path()
-    counts = count_sequences(docs, path, text_col, length)
-    return write_shards(sequences(docs, path, counts, text_col, length, key), out, length, shard)
+    streams = tokenized(docs, path or tokenizer_path(), text_col, length)
+    slotted, total, wide = sequences(streams, length, shard, key)
+    return write_shards(slotted, total, wide, out, length, shard)
