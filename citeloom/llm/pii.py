@@ -3,26 +3,34 @@
 Native: DataFrame expressions alone.
 
 Base spans are leftmost and non-overlapping within each kind (email, ip, card,
-phone). Terms are judged by information content, after C-sanitisation: a base
-value ``e`` is a protected entity, and a term ``t`` in its context discloses
-``PMI(e; t) / IC(e)`` of it, with ``IC(e) = -log2 p(e)`` and ``PMI(e; t) =
-log2(p(t | e) / p(t))``. 1 means that the term occurs nowhere but with the entity.
-``p(t)`` comes from the document frequency over the whole corpus. ``p(t | e)``
-counts distinct contexts of the entity, so copies of one passage count once, and
-a term needs ``SUPPORT`` of them. Above ``GENERALISE`` a term is replaced by its
-shape, above ``REMOVE`` by a placeholder. A context is ``CONTEXT`` terms to
-either side, within ``REACH`` characters; only there, in documents that hold the entity, are terms touched.
-
-Null texts are empty and have no spans. A row is treated by itself: repeated
-rows and null ids are kept; extra columns pass through ``sanitise``.
+phone). Terms are judged by information content, after C-sanitisation. A base
+value is a protected entity ``e``, and so is the group that it belongs to: the
+domain of an address, the network of an ip, the issuer of a card, the area of a
+phone. A term ``t`` discloses ``PMI(e; t)`` bits of the entity's information
+``IC(e) = -log2 p(e)``; what it leaves unknown is ``IC(e) - PMI(e; t) = -log2
+p(e | t)``, which does not depend on the corpus's size. ``p(e | t)`` comes from
+rows: those in which ``t`` stands in a context of ``e``, over all rows of the
+corpus that hold ``t``, plus one not seen. A term that leaves ``GENERALISE``
+bits or less is replaced by its shape, at ``REMOVE`` or less by a placeholder: a
+word that is found once in the corpus, beside an address, is generalised; one
+that is found twice, each time beside the address, goes.
+
+A context is ``CONTEXT`` terms to either side, up to the next match of the same
+kind and within ``REACH`` characters. What is decided of an entity and a term
+holds for every place of the term in every row that holds the entity. Copies of
+a row count like other rows. Terms inside base spans are left to those.
+
+Null texts are empty and have no spans; in ``sanitise`` they stay null. A row is
+treated by itself: repeated rows and null ids are kept; other columns pass
+through ``sanitise`` whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Possessive forms of the plain ones: they match the same
@@ -37,13 +45,43 @@ PATTERNS = {
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: What lies between terms.
 _TERM_GAP = r"[^\p{L}\p{N}]++"
+_TERM = r"[\p{L}\p{N}]++"
 CONTEXT = 8
 REACH = 200
-SUPPORT = 2
-GENERALISE = 0.8
-REMOVE = 0.95
+GENERALISE = 1.0
+REMOVE = 0.6
 _SPANS = "array<struct<start:int,kind:int,end:int,text:string>>"
-_TERMS = "array<struct<start:int,end:int,disclosure:double>>"
+_TERMS = "array<struct<start:int,end:int,left:double>>"
+_CHUNK = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(lengths: Column) -> Column:
+    """Running sums of an array of ints, by chunks, so that growing arrays stay short."""
+    grown = lambda items, of: F.aggregate(items, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + of(x))))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _CHUNK).cast("int")), lambda i: F.slice(lengths, i * _CHUNK + 1, F.lit(_CHUNK)))
+    inner = F.transform(chunks, lambda c: grown(c, lambda x: x))
+    shifted = lambda c, before: F.transform(F.slice(c, 2, F.lit(_CHUNK)), lambda x: x + before)
+    sums = let(inner, lambda parts: F.flatten(F.zip_with(parts, F.slice(grown(parts, lambda c: F.element_at(c, -1)), F.lit(1), F.size(parts)), shifted)))
+    return F.when(F.size(lengths) > 0, sums).otherwise(F.array().cast("array<int>"))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """(text, before, after, end) of all matches: each one, what lies before and after it up to the next, and where it ends."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def zipped(both):
+        n = F.size(both["found"])
+        sides = F.zip_with(F.slice(both["gaps"], F.lit(1), n), F.slice(both["gaps"], F.lit(2), n), lambda g, h: F.struct(g.alias("before"), h.alias("after")))
+        rows = F.zip_with(both["found"], sides, lambda m, g: F.struct(m.alias("text"), g["before"].alias("before"), g["after"].alias("after")))
+        ends = let(F.transform(rows, lambda r: F.length(r["before"]) + F.length(r["text"])), running)
+        return F.zip_with(rows, ends, lambda r, e: F.struct(r["text"].alias("text"), r["before"].alias("before"), r["after"].alias("after"), e.alias("end")))
+
+    return let(F.struct(found.alias("found"), gaps.alias("gaps")), zipped)
 
 
 def _luhn(digits: Column) -> Column:
@@ -67,23 +105,6 @@ def _valid(kind: str, text: Column) -> Column:
     return F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(False)
 
 
-def spans_of(text: Column, pattern: str, kind: int, valid) -> Column:
-    """Spans of all matches, by the lengths of matches and of what lies between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    step = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("all"))
-
-    def grow(acc, x):
-        lo = acc["at"] + F.length(x["g"])
-        hi = lo + F.length(x["m"])
-        span = F.struct(lo.alias("start"), F.lit(kind).alias("kind"), hi.alias("end"), x["m"].alias("text"))
-        return F.struct(hi.alias("at"), F.concat(acc["all"], F.array(span)).alias("all"))
-
-    spans = F.aggregate(step, start, grow, lambda acc: acc["all"])
-    return F.filter(spans, lambda s: valid(s["text"]))
-
-
 def base_spans(text: Column) -> Column:
     """Spans (start, kind, end, text) of the base kinds, by start, then kind."""
     likely = {
@@ -92,11 +113,16 @@ def base_spans(text: Column) -> Column:
         "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"),
         "phone": F.contains(text, F.lit("+")),
     }  # a cheap look before the full search
-    each = [
-        F.when(likely[kind], spans_of(text, PATTERNS[kind], k, lambda t, kind=kind: _valid(kind, t))).otherwise(F.array().cast(_SPANS))
-        for k, kind in enumerate(KINDS)
-    ]
-    return F.array_sort(F.concat(*each))
+    return F.array_sort(F.concat(*[F.when(likely[kind], _spans(text, k)).otherwise(F.array().cast(_SPANS)) for k, kind in enumerate(KINDS)]))
+
+
+def _valid_matches(text: Column, kind: str) -> Column:
+    return F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["text"]))
+
+
+def _spans(text: Column, k: int) -> Column:
+    span = lambda m: F.struct((m["end"] - F.length(m["text"])).alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), m["text"].alias("text"))
+    return F.transform(_valid_matches(text, KINDS[k]), span)
 
 
 def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -105,67 +131,67 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(hashes).alias("term_hash")).groupBy("term_hash").agg(F.count("*").alias("df"))
 
 
+def _entities(kind: Column, value: Column) -> Column:
+    """A value and the group that it belongs to."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    whole = F.when(kind < 2, F.lower(value)).otherwise(digits)
+    group = F.when(kind == 0, F.substring_index(F.lower(value), "@", -1)).when(kind == 1, F.substring_index(value, ".", 2)).when(kind == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 5))
+    name = lambda level, x: F.concat_ws(":", F.lit(level), kind.cast("string"), x)
+    return F.array(name("value", whole), name("group", group))
+
+
 def contexts(found: DataFrame, width: int = CONTEXT, reach: int = REACH) -> DataFrame:
-    """(row, entity, context, term_hash, start, end): each term beside each base span, from rows (row, text, base)."""
-    text = F.col("text")
-
-    def beside(s):
-        lo, hi = F.greatest(s["start"] - reach, F.lit(0)), s["end"]
-        entity = F.concat_ws(":", s["kind"].cast("string"), F.lower(s["text"])).alias("entity")
-        left = F.struct(lo.alias("at"), F.substring(text, lo + 1, s["start"] - lo).alias("part"))
-        right = F.struct(hi.alias("at"), F.substring(text, hi + 1, F.lit(reach)).alias("part"))
-        return F.struct(entity, left.alias("left"), right.alias("right"))
-
-    bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    span = found.select("row", bare.alias("base"), F.explode(F.transform("base", beside)).alias("s"))
-    term = r"[\p{L}\p{N}]++"
-    words = lambda side: spans_of(F.col(f"s.{side}.part"), term, 0, lambda t: F.lit(True))
-    place = lambda side: lambda w: F.struct(
-        F.xxhash64(F.lower(w["text"])).alias("term_hash"), (F.col(f"s.{side}.at") + w["start"]).alias("start"), (F.col(f"s.{side}.at") + w["end"]).alias("end")
-    )
-    left, right = words("left"), words("right")
-    span = span.select(
-        "row", "base", "s.entity",
-        F.concat(
-            F.transform(F.slice(left, F.greatest(F.size(left) - width + 1, F.lit(1)), F.lit(width)), place("left")),
-            F.transform(F.slice(right, 1, width), place("right")),
-        ).alias("words"),
-    )
-    span = span.withColumn("context", F.xxhash64(F.transform("words", lambda w: w["term_hash"])))
-    rows = span.select("row", "base", "entity", "context", F.explode("words").alias("w")).select("row", "base", "entity", "context", "w.*")
-    apart = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    return rows.where(apart).drop("base")
-
-
-def disclosing(near: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """(entity, term_hash, disclosure) of terms above the lower threshold."""
-    per = near.select("entity", "context", "term_hash").distinct()
-    joint = per.groupBy("entity", "term_hash").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    entity = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("seen"))
-    n = F.lit(float(docs.count()))
-    pairs = joint.join(entity, "entity").join(document_frequency(docs, text_col), "term_hash")
-    pmi = F.log2(F.col("both") / F.col("seen") * n / F.col("df"))
-    ic = F.log2(F.greatest(n / F.col("seen"), F.lit(1.0)))
-    return (
-        pairs.withColumn("disclosure", F.least(F.lit(1.0), F.when(ic > 0, pmi / ic).otherwise(0.0)))
-        .where(F.col("disclosure") >= GENERALISE).select("entity", "term_hash", "disclosure")
-    )
+    """(row, entity, term_hash): each term in a context of each entity of a row once, from rows (row, text)."""
+    # a word that the reach cuts through is no term
+    left = lambda g: F.when(F.length(g) > reach, F.regexp_replace(F.substring(g, -reach, reach), rf"^{_TERM}", "")).otherwise(g)
+    right = lambda g: F.when(F.length(g) > reach, F.regexp_replace(F.substring(g, 1, reach), rf"{_TERM}$", "")).otherwise(g)
+    beside = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m["text"].alias("value"), left(m["before"]).alias("left"), right(m["after"]).alias("right"))
+    each = F.concat(*[F.transform(_valid_matches(F.col("text"), kind), beside(k)) for k, kind in enumerate(KINDS)])
+    span = found.select("row", F.explode(each).alias("s")).select("row", "s.*")
+    words = lambda side: F.filter(F.split(F.lower(F.col(side)), _TERM_GAP), lambda t: t != "")
+    span = span.select("row", "kind", "value", words("left").alias("l"), words("right").alias("r"))
+    near = F.concat(F.slice("l", F.greatest(F.size("l") - width + 1, F.lit(1)), F.lit(width)), F.slice("r", 1, width))
+    pairs = span.select("row", F.explode(_entities(F.col("kind"), F.col("value"))).alias("entity"), near.alias("near"))
+    return pairs.select("row", "entity", F.explode("near").alias("term")).select("row", "entity", F.xxhash64("term").alias("term_hash")).distinct()
+
+
+def disclosing(near: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(entity, term_hash, left): pairs of which the term leaves ``GENERALISE`` bits or less."""
+    joint = near.groupBy("entity", "term_hash").agg(F.count("*").alias("both"))
+    bits = -F.log2(F.col("both") / (F.col("df") + 1))
+    return joint.join(frequency, "term_hash").withColumn("left", bits).where(F.col("left") <= GENERALISE).select("entity", "term_hash", "left")
+
+
+def term_spans(found: DataFrame, near: DataFrame, told: DataFrame) -> DataFrame:
+    """(row, terms): of rows (row, text, base), where terms stand that disclose an entity of the row, apart from base spans."""
+    place = lambda m: F.struct(F.xxhash64(F.lower(m["text"])).alias("term_hash"), (m["end"] - F.length(m["text"])).alias("start"), m["end"].alias("end"))
+    tokens = found.select("row", F.explode(F.transform(matches(F.col("text"), _TERM), place)).alias("t")).select("row", "t.*")
+    # a row's terms first, each once: it may hold a term at many places and many entities
+    own = tokens.select("row", "term_hash").distinct().join(told, "term_hash").join(near.select("row", "entity").distinct(), ["row", "entity"])
+    hits = tokens.join(own.groupBy("row", "term_hash").agg(F.min("left").alias("left")), ["row", "term_hash"]).select("row", "start", "end", "left")
+    base = found.select("row", F.explode("base").alias("s")).select("row", "s.start", "s.end", F.lit(None).cast("double").alias("left"))
+    rows = hits.unionByName(base).withColumn("cover", F.when(F.col("left").isNull(), F.struct("start", "end")))
+    order = Window.partitionBy("row").orderBy("start", F.col("left").isNotNull())
+    until = F.max(F.col("cover.end")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    next_ = F.first(F.col("cover.start"), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumns({"until": until, "next": next_}).where(F.col("left").isNotNull())
+    apart = rows.where((F.coalesce("until", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("end") <= F.col("next"))))
+    return apart.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "left"))).alias("terms"))
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__base`` and ``__terms``: arrays of spans (start, kind, end, text) and (start, end, disclosure)."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__base", base_spans(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = materialise(numbered)
-    found = rows.where(F.size("__base") > 0).select(F.col("__row").alias("row"), F.col(text_col).alias("text"), F.col("__base").alias("base"))
+    """(doc, base, terms): each row as a struct, and its spans: (start, kind, end, text) and (start, end, left)."""
+    text = F.coalesce(F.col("doc").getField(text_col), F.lit(""))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = materialise(rows.select("doc", "row", base_spans(text).alias("base")))
+    found = rows.where(F.size("base") > 0).select("row", text.alias("text"), "base")
     near = materialise(contexts(found))
-    hits = near.join(disclosing(near, rows, text_col), ["entity", "term_hash"])
-    hits = hits.groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    hits = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("__terms"))
+    told = materialise(disclosing(near, document_frequency(rows.select(text.alias("text")))))
     # only rows with base spans are shuffled
-    some = rows.where(F.size("__base") > 0).join(hits.withColumnRenamed("row", "__row"), "__row", "left")
-    some = some.withColumn("__terms", F.coalesce("__terms", F.array().cast(_TERMS)))
-    none = rows.where(F.size("__base") == 0).withColumn("__terms", F.array().cast(_TERMS))
-    return some.unionByName(none).drop("__row")
+    some = rows.where(F.size("base") > 0).join(term_spans(found, near, told), "row", "left")
+    some = some.select("doc", "base", F.coalesce("terms", F.array().cast(_TERMS)).alias("terms"))
+    return some.unionByName(rows.where(F.size("base") == 0).select("doc", "base", F.array().cast(_TERMS).alias("terms")))
 
 
 def joined(spans: Column) -> Column:
@@ -176,41 +202,55 @@ def joined(spans: Column) -> Column:
 
 def all_spans() -> Column:
     """Base and term spans of ``find``'s rows by start, then kind."""
-    shape = lambda s, kind, weight: F.struct(s["start"].alias("start"), kind.alias("kind"), s["end"].alias("end"), weight.alias("disclosure"))
-    base = F.transform("__base", lambda s: shape(s, s["kind"], F.lit(0.0)))
-    term = F.transform("__terms", lambda s: shape(s, F.lit(len(KINDS)), s["disclosure"]))
+    shape = lambda s, kind, weight: F.struct(s["start"].alias("start"), kind.alias("kind"), s["end"].alias("end"), weight.alias("left"))
+    base = F.transform("base", lambda s: shape(s, s["kind"], F.lit(0.0)))
+    term = F.transform("terms", lambda s: shape(s, F.lit(len(KINDS)), s["left"]))
     return F.array_sort(F.concat(base, term))
 
 
-def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with base spans and disclosing terms replaced in the text; all columns as they were."""
-    found = find(docs, text_col)
-    text = F.col(text_col)
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with spans replaced: bytes of gaps and replacements, joined once."""
     tag = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        raw = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    def new(s, raw):
         shape = F.when(raw.rlike(r"^\p{N}+$"), F.lit("<number>")).when(raw.rlike(r"^\p{Lu}"), F.lit("<Name>")).otherwise(F.lit("<word>"))
-        new = F.when(s["kind"] < len(KINDS), F.element_at(tag, F.least(s["kind"], F.lit(len(KINDS) - 1)) + 1)).when(s["disclosure"] >= REMOVE, F.lit("<TERM>")).otherwise(shape)
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        inside = s["end"] <= acc["at"]
-        # a span that begins inside the last one only lengthens what is cut
-        overlap = s["start"] < acc["at"]
+        return F.when(s["kind"] < len(KINDS), F.element_at(tag, F.least(s["kind"], F.lit(len(KINDS) - 1)) + 1)).when(s["left"] <= REMOVE, F.lit("<TERM>")).otherwise(shape)
+
+    # overlapping spans of two kinds are one, named by the first
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int,left:double>>").alias("out"))
+    item = lambda a, e, s: F.struct(a.alias("start"), e.alias("end"), s["kind"].alias("kind"), s["left"].alias("left"))
+
+    def merge(acc, s):
+        last = F.element_at(acc["out"], -1)
+        longer = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(item(last["start"], s["end"], last)))
         return (
-            F.when(inside, acc)
-            .when(overlap, F.struct(s["end"].alias("at"), acc["out"].alias("out")))
-            .otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, new).alias("out")))
+            F.when(s["end"] <= acc["at"], acc)
+            .when((s["start"] < acc["at"]) & (F.size(acc["out"]) > 0), F.struct(s["end"].alias("at"), longer.alias("out")))
+            .otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(item(s["start"], s["end"], s))).alias("out")))
         )
 
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("__spans") > 0, clean).otherwise(text)
-    return found.withColumn("__spans", all_spans()).withColumn(text_col, new).select(*docs.columns)
+    merged = F.aggregate(spans, start, merge, lambda acc: acc["out"])
+
+    def rebuilt(m):
+        before = F.concat(F.array(F.lit(0)), F.transform(m, lambda s: s["end"]))
+        parts = F.zip_with(m, F.slice(before, F.lit(1), F.size(m)), lambda s, at: F.concat(F.substring(text, at + 1, s["start"] - at), new(s, F.substring(text, s["start"] + 1, s["end"] - s["start"]))))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(before, -1) + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, let(merged, rebuilt)).otherwise(text)
+
+
+def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with base spans and disclosing terms replaced in the text; all columns as they were."""
+    found = find(docs, text_col)
+    text = F.col("doc").getField(text_col)
+    new = _replaced(text, all_spans())
+    return found.select(*[(new if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts by kind, the hash of base spans, and all spans."""
+    """Counts by kind, the hash of base spans, all spans, and how many terms are generalised and removed."""
     found = find(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     of = lambda k: lambda s: s["kind"] == k
-    count = [F.size(F.filter("__base", of(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *count, F.sha2(joined(F.col("__base")), 256).alias("base_sha256"), joined(all_spans()).alias("spans"))
+    count = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    terms = [F.size(F.filter("terms", f)).cast("long").alias(n) for n, f in (("n_generalised", lambda s: s["left"] > REMOVE), ("n_removed", lambda s: s["left"] <= REMOVE))]
+    return found.select(F.col("doc.doc_id").alias("doc_id"), *count, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(all_spans()).alias("spans"), *terms)
