@@ -171,9 +171,10 @@ def term_spans(found: DataFrame, near: DataFrame, told: DataFrame) -> DataFrame:
     hits = tokens.join(own.groupBy("row", "term_hash").agg(F.min("left").alias("left")), ["row", "term_hash"]).select("row", "start", "end", "left")
     base = found.select("row", F.explode("base").alias("s")).select("row", "s.start", "s.end", F.lit(None).cast("double").alias("left"))
     rows = hits.unionByName(base).withColumn("cover", F.when(F.col("left").isNull(), F.struct("start", "end")))
-    order = Window.partitionBy("row").orderBy("start", F.col("left").isNotNull())
-    until = F.max(F.col("cover.end")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    next_ = F.first(F.col("cover.start"), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # two running windows: a frame that ends with the partition would be summed anew for each row
+    sofar = lambda *by: Window.partitionBy("row").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    until = F.max("cover.end").over(sofar("start", F.col("left").isNotNull()))
+    next_ = F.min("cover.start").over(sofar(F.desc("start"), F.col("left").isNotNull()))
     rows = rows.withColumns({"until": until, "next": next_}).where(F.col("left").isNotNull())
     apart = rows.where((F.coalesce("until", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("end") <= F.col("next"))))
     return apart.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "left"))).alias("terms"))
