@@ -380,12 +380,36 @@ def test_quality_model(spark):
     good = [" ".join(rng.choice(["the", "and", "house", "river", "stone."], 40)) for _ in range(300)]
     bad = [" ".join(w + "***" for w in rng.choice(["THE", "AND", "HOUSE"], 40)) for _ in range(100)]
     rows = [(k, t, "en", f"s{k % 3}", k) for k, t in enumerate(good + bad)] + [(None, good[0], "en", None, 0), (900, None, None, None, 0), (901, good[1] * 500, "en", "s1", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score long")
+    names = ["score", "y", "content", "meta", "doc", "__score"]
+    docs = spark.createDataFrame([(*r[:4], *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` long" for n in names))
     labels = spark.createDataFrame([(k, int(k < 300), 0) for k in range(0, 400, 2)] * 2 + [(5, None, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.kept for r in quality_model.classify(docs, labels).collect()}
     held = [k for k in range(400) if k % 2]
     assert np.mean([got[k] == (k < 300) for k in held]) > 0.98
     kept = quality_model.filter_quality(docs, labels)
     assert kept.columns == docs.columns and 290 <= kept.count() <= 305
+    assert all(r[n] == k for r in kept.collect() for k, n in enumerate(names))
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(k or -1 for k, v in [(r.doc_id, r.kept) for r in quality_model.classify(docs, labels).collect()] if v)
     assert quality_model.classify(docs, labels.limit(0)).where("kept AND score = 0.5").count() == docs.count()
     assert quality_model.classify(docs.limit(0), labels).count() == 0
+    assert quality_model.filter_quality(docs.select("doc_id", "text"), labels).count() > 0
+
+
+def test_co_training_sums_over_all_unlabelled_rows(spark):
+    """The sums in Spark against one array: the same weights, and rows beyond any sample move them."""
+    rng = np.random.default_rng(1)
+    y = (rng.random(60) < 0.5).astype(float)
+    make = lambda t, n, d: np.float16(np.concatenate([rng.normal(size=(n, d)) + 1.5 * (2 * t[:, None] - 1) / d, np.ones((n, 1))], 1))
+    views = tuple(make(y, 60, d).astype(float) for d in (5, 3))
+    t = (rng.random(20_000) < 0.5).astype(float)
+    pools = tuple(make(t, 20_000, d) for d in (5, 3))
+    rows = spark.createDataFrame([(a.tobytes(), b.tobytes()) for a, b in zip(*pools)], "content binary, meta binary").repartition(7).cache()
+    plain = lambda x: lambda of, size: of(tuple(p[x].astype(float) for p in pools)) if len(pools[0][x]) else np.zeros(size)
+    one = quality_model.co_train(views, y, plain(slice(None)))
+    spread = quality_model.co_train(views, y, lambda of, size: quality_model.total(rows, of, size))
+    few = quality_model.co_train(views, y, plain(slice(0, 8000)))
+    for a, b, c in zip(one["weights"], spread["weights"], few["weights"]):
+        assert np.allclose(a, b, atol=1e-5) and not np.allclose(a, c, atol=1e-5)
+    counts = np.bincount(rng.integers(0, quality_model._BINS, 10_000), minlength=quality_model._BINS)
+    low, high = quality_model.thresholds(counts, 0.1)
+    assert abs(low + 27) < 0.7 and abs(high - 27) < 0.7
