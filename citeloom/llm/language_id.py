@@ -137,7 +137,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
 def viterbi(score: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
     """The best state of each word; texts of ``counts`` words lie one after another in ``score``."""
-    states = np.zeros(len(score), np.int8)
+    states = np.zeros(len(score), np.int32)
     order = np.argsort(-counts, kind="stable")
     n = counts[order]
     first = (np.cumsum(counts) - counts)[order]
@@ -146,9 +146,9 @@ def viterbi(score: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray
     longest = int(n[0])
     active = np.searchsorted(-n, -np.arange(longest), side="left")  # texts with more than t words
     stay = np.zeros(score.shape, bool)
-    best = np.zeros(len(score), np.int8)
+    best = np.zeros(len(score), np.int32)
     value = score[first[: active[0]]].copy()
-    end = np.zeros(len(counts), np.int8)
+    end = np.zeros(len(counts), np.int32)
     for t in range(1, longest + 1):
         a = active[t] if t < longest else 0
         done = slice(a, len(value))

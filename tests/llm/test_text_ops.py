@@ -2,7 +2,8 @@ import hashlib
 import os
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -172,6 +173,68 @@ def test_language_spans(spark):
     assert {r.lang_pred for r in language_id.identify(df, none).collect()} == {"und"}
 
 
+def plain_language(train, asked):
+    """The operator by its definition, a word and a language at a time."""
+    words = lambda t: regex.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (t or "").lower()))
+    script = lambda c: next((n for lo, hi, n in language_id.SCRIPTS if lo <= ord(c) <= hi), "other")
+
+    def grams(w):
+        return language_id._trigrams([w])[0].tolist()
+
+    grams = lru_cache(None)(grams)
+    langs = sorted({x for _, x in train})
+    counts, letters = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for t, x in train:
+        for w in words(t):
+            counts[x].update(grams(w))
+            letters[x][script(w[0])] += len(w)
+    used = len(set().union(*counts.values()))
+    logp = {x: defaultdict(lambda c=sum(counts[x].values()): np.log(0.5 / (c + 0.5 * used)), {b: np.log((n + 0.5) / (sum(counts[x].values()) + 0.5 * used)) for b, n in counts[x].items()}) for x in langs}
+    share = {x: {s: n / sum(letters[x].values()) for s, n in letters[x].items()} for x in langs}
+
+    def barred(x, s):
+        return -1e4 if share[x].get(s, 0) < language_id.USES and any(v.get(s, 0) >= language_id.USES for v in share.values()) else 0.0
+
+    out = []
+    for t in asked:
+        own = words(t)
+        value, back = {x: 0.0 for x in langs}, []
+        for k, w in enumerate(own):
+            top = max(value.values()) - language_id.SWITCH if k else -np.inf
+            from_ = {x: x if value[x] >= top else max(value, key=lambda v: value[v]) for x in langs} if k else {}
+            value = {x: (max(value[x], top) if k else 0.0) + sum(logp[x][b] for b in grams(w)) + barred(x, script(w[0])) for x in langs}
+            back.append(from_)
+        state, n = max(value, key=lambda v: value[v]) if own else None, Counter()
+        for k in range(len(own) - 1, -1, -1):
+            n[state] += len(own[k])
+            state = back[k].get(state)
+        best = max(sorted(n), key=lambda x: n[x]) if n else "und"
+        out.append((best, n[best] / sum(n.values()) if n else 0.0))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    """Every prediction over the smallest table."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    rows = [(r.doc_id, (r.text or "")[:3000], r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn = [(t, x) for k, t, x in rows if x is not None and zlib.crc32(str(k).encode()) % 4 != 2]
+    model = language_id.train(df.where(~language_id.held_out(F.col("doc_id"))))
+    got = {r.id: (r.lang_pred, r.score) for r in language_id.identify(df, model).collect()}
+    for (k, _, _), (lang, score) in zip(rows, plain_language(learn, [t for _, t, _ in rows])):
+        assert got[k][0] == lang and got[k][1] == pytest.approx(score), k
+
+
+def test_more_languages_than_a_byte_holds(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(300 * 6)]
+    rows = [(k * 10 + j, " ".join(rng.choice(words[6 * k : 6 * k + 6], 30)), f"l{k:03d}") for k in range(300) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    got = language_id.identify(df, language_id.train(df)).join(df.select(F.col("doc_id").alias("id"), "lang"), "id")
+    assert got.where("lang_pred = lang").count() == 900
+
+
 def test_viterbi_against_brute_force():
     rng = np.random.default_rng(4)
     counts = np.array([3, 0, 5, 1, 4])
