@@ -48,6 +48,25 @@ def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys up to which a table with a row for each is sent to all tasks; beyond, the join is salted.
+SENT = 20_000
+SALTS = 32
+
+
+def join_small(rows: DataFrame, per: DataFrame, key: str, salt: str) -> DataFrame:
+    """``rows`` left-joined with ``per``, which has one row a key, without bringing the rows of a hot key together.
+
+    A null key meets a null key. ``salt`` is a column of ``rows`` that differs among rows of a key.
+    """
+    there = per.withColumnRenamed(key, "__key")
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    if per.count() <= SENT:
+        return rows.join(F.broadcast(there), same, "left").drop("__key")
+    spread = there.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__deal", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, same & (F.col("__deal") == F.col("__salt")), "left").drop("__key", "__deal", "__salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -1,48 +1,62 @@
 """Quality rules: base counts and n-gram perplexity bands.
 
 Perplexity comes from a modified Kneser-Ney model of letters, order ``ORDER``,
-for each language. Spark counts n-grams over the whole corpus; counts of
-counts, contexts and continuation counts are aggregations, and the recursive
-probabilities joins, over the table of n-gram types. The finished model is
-folded to ``2**BITS`` hashes an order, which bounds its size whatever the
-corpus, and kept as sorted hash arrays with a probability or back-off weight for
-each hash. A document is rejected when the mean log probability of its letters
-lies outside its language's band; a piece of ``PIECE`` characters that is
-``FOREIGN`` less likely than its language's mean is scored under the language that
-fits it best, so that texts in two languages are no outliers. The band: the quartiles of the documents that pass the
-base rules, widened by ``SPREAD`` times their distance, and more for short
+for each language, and one of all languages together. Spark counts n-grams over
+the whole corpus; counts of counts, contexts and continuation counts are
+aggregations, and the recursive probabilities joins, over the table of n-gram
+types. An n-gram is kept whole, so types grow with the corpus and nothing is
+folded together.
+
+A model that has seen a document would find it likely, whatever it says. So the
+corpus is dealt into two halves by a hash of the text (copies fall together),
+both are counted, and a document is scored by the model of the other half.
+
+Scoring gathers nothing on the driver: the first pass over the documents gives
+the n-gram types of each input partition, these are joined with the model, and
+written as one file for each input partition. The second pass reads the file of
+its own partition as sorted hash arrays. Documents must come in the same
+partitions twice, as a written table does; an n-gram that is missing from a
+partition's file is an error.
+
+A text's score is the mean log probability of its letters. Pieces of ``PIECE``
+letters that are ``FOREIGN`` less likely than their language's mean are scored
+by the model of all languages, if they are no more than ``MOST_FOREIGN`` of the
+text: so a quotation in another language makes no outlier, a text that is not in
+its language does. A document is rejected when its score lies outside its
+language's band: the quartiles of the documents that pass the base rules, taken
+from a histogram, widened by ``SPREAD`` times their distance, and more for short
 documents, whose means scatter more.
 
-An n-gram key packs ``ORDER`` characters of 12 bits; code points above that are
-folded. Null texts have no words and fail the base rules. A null language is a
-language of its own. Rows are judged by themselves: repeated rows and null ids
-are kept. Other columns are not read.
+Null texts have no words and fail the base rules. A null language is a language
+of its own. Rows are judged by themselves: repeated rows and null ids are kept.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_small, materialise, shared_dir
 
-ORDER = 4
-BITS = 22
+ORDER = 5
 SPREAD = 3.0
 SHORT = 100  # words at which a band is wider by the square root of two
 PIECE = 64
 FOREIGN = 0.5
+MOST_FOREIGN = 0.5
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT = 30  # per cent
-_CHAR = 12
-_START = 2  # pads the beginning of a text
+STEP = 0.001  # of the histogram of scores
+_START = "\x02"  # pads the beginning of a text
 _SLICE = 2_000_000
 _KIND = np.zeros(256, np.uint8)  # of a byte: 1 continues a code point, 2 white space, 3 a symbol
 _KIND[0x80:0xC0] = 1
@@ -84,16 +98,37 @@ def base_counts(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of the texts, one for each character, and the characters of each text."""
-    pad = chr(_START) * (ORDER - 1)
-    code = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & ((1 << _CHAR) - 1)
-    key = code[: len(code) - ORDER + 1].copy()
-    for j in range(1, ORDER):
-        key = (key << _CHAR) | code[j : j + len(key)]
+def fold_of(text: str) -> int:
+    """The half of the corpus that a text counts for."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) & 1
+
+
+def _hash(windows: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams, rows of code points."""
+    out = np.zeros(len(windows), np.uint64)
+    with np.errstate(over="ignore"):
+        for c in windows.T:
+            out = (out ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, hashes, sizes): the n-gram that ends at each character of the texts, and the characters of each text."""
+    pad = _START * (ORDER - 1)
+    code = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le"), np.uint32)
     sizes = np.array([len(t) for t in texts])
-    last = np.arange(sizes.sum()) + np.repeat((ORDER - 1) * np.arange(len(texts)), sizes)
-    return key[last], sizes
+    first = np.arange(sizes.sum()) + np.repeat((ORDER - 1) * np.arange(len(texts)), sizes)
+    windows = np.lib.stride_tricks.sliding_window_view(code, ORDER) if len(code) >= ORDER else np.zeros((0, ORDER), np.uint32)
+    return windows[first], _hash(windows)[first], sizes
+
+
+def _strings(code: np.ndarray) -> pa.Array:
+    """Rows of code points as strings."""
+    width = (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)).sum(1)
+    data = code.astype("<u4").tobytes().decode("utf-32-le").encode()
+    offsets = np.concatenate(([0], np.cumsum(width))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(code), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
 
 
 def _slices(texts: list[str]) -> Iterator[slice]:
@@ -107,159 +142,169 @@ def _slices(texts: list[str]) -> Iterator[slice]:
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(lang, key, n): counts of every n-gram of the highest order, from rows (lang, text)."""
+    """(p, lang, fold, key, n): counts of every n-gram of the highest order by input partition, from rows (lang, text)."""
 
     def merge(held: list[pa.Table]) -> list[pa.Table]:
-        return [pa.concat_tables(held).group_by(["lang", "key"]).aggregate([("n", "sum")]).rename_columns(["lang", "key", "n"])]
+        by = ["lang", "fold", "key"]
+        return [pa.concat_tables(held).group_by(by).aggregate([("n", "sum")]).rename_columns([*by, "n"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for batch in batches:
-            langs, texts = (batch.column(k).to_pylist() for k in ("lang", "text"))
-            for lang in sorted(set(langs)):
-                own = [t for t, x in zip(texts, langs) if x == lang]
+            groups: dict[tuple, list[str]] = {}
+            for lang, text in zip(*(batch.column(k).to_pylist() for k in ("lang", "text"))):
+                groups.setdefault((lang, fold_of(text)), []).append(text)
+            for (lang, fold), own in groups.items():
                 for part in _slices(own):
-                    seen = pc.value_counts(pa.array(_keys(own[part])[0]))
-                    held.append(pa.table({"lang": pa.array([lang] * len(seen), pa.string()), "key": seen.field("values"), "n": seen.field("counts")}))
+                    code, h, _ = _grams(own[part])
+                    seen = pa.array(h).dictionary_encode().indices.to_numpy()
+                    n = np.bincount(seen) if len(seen) else np.zeros(0, np.int64)
+                    at = np.zeros(len(n), np.int64)
+                    at[seen] = np.arange(len(seen))  # any place of each
+                    held.append(pa.table({"lang": pa.array([lang] * len(n), pa.string()), "fold": np.full(len(n), fold), "key": _strings(code[at]), "n": n}))
             if sum(map(len, held)) > 2_000_000:
                 held = merge(held)
+        p = TaskContext.get().partitionId()
         for table in merge(held) if held else []:
+            table = table.select(["lang", "fold", "key", "n"]).add_column(0, "p", pa.array(np.full(len(table), p)))
             yield from table.to_batches(max_chunksize=100_000)
 
-    return docs.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "p long, lang string, fold long, key string, n long")
 
 
 def _discounts(types: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3): modified Kneser-Ney discounts from counts of counts."""
-    n = [F.greatest(F.count_if(F.col("n") == k), F.lit(1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    d = [F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.1)), F.lit(k - 0.1)).alias(f"d{k}") for k in (1, 2, 3)]
+    """(lang, d<fold>_<1, 2, 3>): modified Kneser-Ney discounts of both halves from counts of counts."""
+    n = [F.greatest(F.count_if(F.col(f"n{f}") == k), F.lit(1)).alias(f"c{f}_{k}") for f in (0, 1) for k in (1, 2, 3, 4)]
+    c = lambda f, k: F.col(f"c{f}_{k}")
+    y = lambda f: c(f, 1) / (c(f, 1) + 2 * c(f, 2))
+    d = [F.least(F.greatest(k - (k + 1) * y(f) * c(f, k + 1) / c(f, k), F.lit(0.1)), F.lit(k - 0.1)).alias(f"d{f}_{k}") for f in (0, 1) for k in (1, 2, 3)]
     return types.groupBy("lang").agg(*n).select("lang", *d)
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, m, key, value): log probability of each n-gram type of order m; for -m, its back-off weight as a context; for 0, the corpus's mean log probability."""
-    tables = {order: materialise(counts)}
+    """(lang, key, n0, n1, p0, p1): of each n-gram of the highest order the counts of both halves, and its probability by the model of each.
+
+    Takes rows (lang, key, n0, n1). An n-gram that a half has not seen backs off
+    there; all of a language's n-grams are known to its probabilities.
+    """
+    tables = {order: counts}
     for m in range(order - 1, 0, -1):  # continuation counts: in how many types of the next order it is the end
-        keep = (1 << (_CHAR * m)) - 1
-        ends = tables[m + 1].groupBy("lang", F.col("key").bitwiseAND(keep).alias("key"))
-        tables[m] = materialise(ends.agg(F.count("*").alias("n")))
-    lower, out = None, []
+        ends = tables[m + 1].groupBy("lang", F.substring("key", -m, m).alias("key"))
+        tables[m] = materialise(ends.agg(*[F.count_if(F.col(f"n{f}") > 0).alias(f"n{f}") for f in (0, 1)]))
+    lower = None
     for m in range(1, order + 1):
-        types = tables[m].join(F.broadcast(_discounts(tables[m])), "lang")  # a row for each language
-        types = types.withColumn("context", F.shiftright("key", _CHAR))
-        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        types = types.withColumn("cut", cut)
-        context = types.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"))
+        types = join_small(tables[m], materialise(_discounts(tables[m])), "lang", "key")
+        cut = lambda f: F.when(F.col(f"n{f}") == 0, 0.0).when(F.col(f"n{f}") == 1, F.col(f"d{f}_1")).when(F.col(f"n{f}") == 2, F.col(f"d{f}_2")).otherwise(F.col(f"d{f}_3"))
+        types = types.withColumns({"context": F.substring("key", 1, m - 1), "cut0": cut(0), "cut1": cut(1)})
+        sums = [F.sum(f"n{f}").alias(f"total{f}") for f in (0, 1)] + [F.sum(f"cut{f}").alias(f"mass{f}") for f in (0, 1)]
+        context = types.groupBy("lang", "context").agg(*sums, F.count("*").alias("width"))
         rows = types.join(context, ["lang", "context"])
         if m == 1:
-            below = F.lit(1.0 / (1 << _CHAR))
+            below = lambda f: 1.0 / (F.col("width") + 1)  # a character of the language, or one not seen
         else:
-            keep = (1 << (_CHAR * (m - 1))) - 1
-            rows = rows.withColumn("end", F.col("key").bitwiseAND(keep))
-            rows = rows.join(lower.select("lang", F.col("key").alias("end"), F.col("p").alias("below")), ["lang", "end"])
-            below = F.col("below")
-        p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("mass") / F.col("total") * below
-        lower = materialise(rows.select("lang", "key", "n", p.alias("p")))
-        out.append(lower.select("lang", F.lit(m).alias("m"), "key", F.log("p").alias("value")))
-        weight = context.select("lang", F.lit(-m).alias("m"), F.col("context").alias("key"), F.log(F.col("mass") / F.col("total")).alias("value"))
-        out.append(weight)
-    mean = lower.groupBy("lang").agg((F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("value"))
-    rows = mean.select("lang", F.lit(0).alias("m"), F.lit(0).cast("long").alias("key"), "value")
-    for more in out:
-        rows = rows.unionByName(more)
-    return rows
-
-
-def _fold(key: np.ndarray, lang: int | np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (key.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(lang).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x >> np.uint64(64 - BITS)).astype(np.uint32)
-
-
-def hash_arrays(model: DataFrame) -> dict:
-    """The model as sorted hash arrays: {m: (hashes, values)}; negative m are back-off weights. At most 2**BITS hashes each."""
-    means = {r["lang"]: r["value"] for r in model.where("m = 0").collect()}  # a row for each language
-    number = {x: k for k, x in enumerate(sorted(means))}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(_fold(batch.column(2).to_numpy(), own).astype(np.int64)), batch.column(3)], names=["m", "h", "value"])
-
-    folded = model.where("m <> 0").select("lang", "m", "key", "value").mapInArrow(run, "m int, h long, value double").groupBy("m", "h").agg(F.avg("value").alias("value"))
-    table = folded.toArrow()
-    arrays = {}
-    m, h, v = (table.column(k).to_numpy() for k in ("m", "h", "value"))
-    for own in np.unique(m).tolist():
-        at = np.flatnonzero(m == own)
-        at = at[np.argsort(h[at])]
-        arrays[own] = (h[at].astype(np.uint32), v[at].astype(np.float32))
-    return {"langs": number, "means": means, "arrays": arrays}
-
-
-def _look(arrays: dict, m: int, key: np.ndarray, lang: int) -> np.ndarray:
-    """Values of keys, nan where there is none."""
-    if m not in arrays:
-        return np.full(len(key), np.nan)
-    hashes, values = arrays[m]
-    h = _fold(key, lang)
-    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-    return np.where(hashes[at] == h, values[at], np.nan)
-
-
-def log_probability(key: np.ndarray, lang: int, arrays: dict, order: int = ORDER) -> np.ndarray:
-    """Of each n-gram's last character, backing off to shorter contexts where it is unseen."""
-    seen = pa.array(key).dictionary_encode()
-    key, place = seen.dictionary.to_numpy(), seen.indices.to_numpy()
-    out, weight = np.full(len(key), np.nan), np.zeros(len(key))
-    for m in range(order, 0, -1):
-        open_ = np.flatnonzero(np.isnan(out))
-        if not len(open_):
-            break
-        part = key[open_] & ((1 << (_CHAR * m)) - 1)
-        out[open_] = weight[open_] + _look(arrays, m, part, lang)
-        back = _look(arrays, -m, part >> _CHAR, lang)
-        weight[open_] += np.where(np.isnan(back), 0.0, back)
-    return np.where(np.isnan(out), weight - _CHAR * np.log(2.0), out)[place]
-
-
-def text_scores(texts: list[str], lang: str, model: dict) -> np.ndarray:
+            rows = rows.withColumn("end", F.substring("key", -(m - 1), m - 1))
+            rows = rows.join(lower.select("lang", F.col("key").alias("end"), F.col("p0").alias("b0"), F.col("p1").alias("b1")), ["lang", "end"])
+            below = lambda f: F.col(f"b{f}")
+        p = lambda f: F.when(F.col(f"total{f}") > 0, (F.col(f"n{f}") - F.col(f"cut{f}")) / F.col(f"total{f}") + F.col(f"mass{f}") / F.col(f"total{f}") * below(f)).otherwise(below(f))
+        lower = materialise(rows.select("lang", "key", "n0", "n1", p(0).alias("p0"), p(1).alias("p1")))
+    return lower
+
+
+#: The model of all languages; no language code holds this character.
+_ALL = "\x02"
+
+
+def model_files(rows: DataFrame) -> str:
+    """Write the model as each input partition needs it, and return the folder: files of (lang, fold, key, own, all), log probabilities.
+
+    An empty key stands for a language's mean log probability.
+    """
+    parts = materialise(count_ngrams(rows), compression="zstd")
+    half = [F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)]
+    types = materialise(parts.groupBy("lang", "key").agg(*half))
+    every = types.groupBy(F.lit(_ALL).alias("lang"), "key").agg(*[F.sum(f"n{f}").alias(f"n{f}") for f in (0, 1)])
+    model = kneser_ney(materialise(types.unionByName(every)))
+    own, all_ = model.where(F.col("lang") != _ALL), model.where(F.col("lang") == _ALL).select("key", F.col("p0").alias("a0"), F.col("p1").alias("a1"))
+    mean = own.groupBy("lang").agg((F.sum(F.col("n0") * F.log("p1") + F.col("n1") * F.log("p0")) / F.sum(F.col("n0") + F.col("n1"))).alias("own"))
+    told = own.join(all_, "key").select("lang", "key", "p0", "p1", "a0", "a1")
+    other = lambda x: F.log(F.when(F.col("fold") == 0, F.col(f"{x}1")).otherwise(F.col(f"{x}0"))).cast("float")
+    each = parts.join(told, ["lang", "key"]).select("p", "lang", "fold", "key", other("p").alias("own"), other("a").alias("all"))
+    means = parts.select("p", "lang").distinct().join(mean, "lang").select("p", "lang", F.lit(0).cast("long").alias("fold"), F.lit("").alias("key"), F.col("own").cast("float").alias("own"), F.lit(0.0).cast("float").alias("all"))
+    at = shared_dir(rows.sparkSession)
+    n = max(1, parts.select("p").distinct().count())
+    each.unionByName(means).repartition(n, "p").write.partitionBy("p").parquet(at)
+    return at
+
+
+class Model:
+    """The sorted hash arrays of one input partition, by language and half."""
+
+    def __init__(self, at: str, p: int):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(at)
+        self.means, self.arrays = {}, {}
+        if store.get_file_info(f"{base}/p={p}").type == fs.FileType.NotFound:
+            return
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(f"{base}/p={p}")) if f.path.endswith(".parquet"))
+        table = pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read() for f in files])
+        group = table.select(["lang", "fold"]).to_pandas().groupby(["lang", "fold"]).indices
+        for (lang, fold), rows in group.items():
+            own = table.take(pa.array(rows))
+            keys = own.column("key").to_pylist()
+            if "" in keys:
+                k = keys.index("")
+                self.means[lang] = own.column("own")[k].as_py()
+                own = own.filter(pa.array([x != "" for x in keys]))
+            code = np.frombuffer("".join(own.column("key").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+            h = _hash(code)
+            order = np.argsort(h)
+            self.arrays[lang, fold] = h[order], *(own.column(c).to_numpy()[order] for c in ("own", "all"))
+
+    def look(self, lang: str, fold: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes, *values = self.arrays.get((lang, fold), (np.zeros(0, np.uint64),) * 3)
+        seen = pa.array(h).dictionary_encode()
+        key, place = seen.dictionary.to_numpy(), seen.indices.to_numpy()
+        at = np.minimum(np.searchsorted(hashes, key), max(len(hashes) - 1, 0))
+        if len(key) and (not len(hashes) or (hashes[at] != key).any()):
+            raise ValueError("the documents changed between the passes")
+        return tuple(v[at][place].astype(np.float64) for v in values)
+
+
+def text_scores(texts: list[str], lang: str, fold: int, model: Model) -> np.ndarray:
     """Mean log probability of each text's characters, nan for none."""
-    key, sizes = _keys(texts)
-    number, arrays = model["langs"], model["arrays"]
-    logp = log_probability(key, number.get(lang, -1), arrays)
+    _, h, sizes = _grams(texts)
     pieces = -(-sizes // PIECE)
     if not pieces.sum():
         return np.full(len(texts), np.nan)
+    own, all_ = model.look(lang, fold, h)
     first = np.cumsum(sizes) - sizes
     start = np.repeat(first, pieces) + PIECE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    total, length = np.add.reduceat(logp, start), np.diff(np.append(start, len(logp)))
-    weak = np.flatnonzero(total < (model["means"].get(lang, 0.0) - FOREIGN) * length)
-    if len(weak):
-        size = length[weak]
-        begin = np.cumsum(size) - size
-        own = key[np.repeat(start[weak] - begin, size) + np.arange(size.sum())]
-        for other in number.values():
-            total[weak] = np.maximum(total[weak], np.add.reduceat(log_probability(own, other, arrays), begin))
-    return np.bincount(np.repeat(np.arange(len(texts)), pieces), weights=total, minlength=len(texts)) / np.where(sizes > 0, sizes, np.nan)
-
-
-def measure(docs: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
+    total, other, length = np.add.reduceat(own, start), np.add.reduceat(all_, start), np.diff(np.append(start, len(own)))
+    text = np.repeat(np.arange(len(texts)), pieces)
+    weak = total < (model.means[lang] - FOREIGN) * length
+    share = np.bincount(text, weights=weak * length, minlength=len(texts)) / np.maximum(sizes, 1)
+    total = np.where(weak & (share <= MOST_FOREIGN)[text], np.maximum(total, other), total)
+    return np.bincount(text, weights=total, minlength=len(texts)) / np.where(sizes > 0, sizes, np.nan)
+
+
+def measure(docs: DataFrame, at: str, id_col: str = "doc_id") -> DataFrame:
     """(id, lang, base counts, score): score is the mean log probability of the text's characters, null for none."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS hashes an order
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(at, TaskContext.get().partitionId())
         for batch in batches:
             langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             counts = np.concatenate([base_counts(texts[part]) for part in _slices(texts)])
-            score = np.full(len(texts), np.nan)
-            for lang in sorted(set(langs)):
-                rows = [k for k, x in enumerate(langs) if x == lang]
-                for part in _slices(rows_texts := [texts[k] for k in rows]):
-                    score[rows[part]] = text_scores(rows_texts[part], lang, shared.value)
+            score, groups = np.full(len(texts), np.nan), {}
+            for k, (lang, text) in enumerate(zip(langs, texts)):
+                groups.setdefault((lang, fold_of(text)), []).append(k)
+            for (lang, fold), rows in groups.items():
+                own = [texts[k] for k in rows]
+                for part in _slices(own):
+                    score[rows[part]] = text_scores(own[part], lang, fold, model)
             columns = [pa.array(c) for c in counts.T.copy()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(score, from_pandas=True)], names=["id", "lang", *names, "score"])
 
@@ -268,19 +313,25 @@ def measure(docs: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, lang string, {', '.join(f'{n} long' for n in names)}, score double")
 
 
+def bands(measured: DataFrame) -> DataFrame:
+    """(lang, low, high): quartiles of scores of documents that pass the base rules, to ``STEP``; the same on each run."""
+    bins = measured.where(~F.col("base_failed") & F.col("score").isNotNull()).groupBy("lang", F.floor(F.col("score") / STEP).alias("bin")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("lang")  # a language's bins, not its documents
+    bins = bins.withColumns({"upto": F.sum("n").over(whole.orderBy("bin")), "all": F.sum("n").over(whole)})
+    quarter = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) * STEP)
+    return bins.groupBy("lang").agg(quarter(0.25).alias("low"), quarter(0.75).alias("high"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", spread: float = SPREAD) -> DataFrame:
     """(id, base counts, base_failed, log_probability, kept) of every row."""
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    model = hash_arrays(kneser_ney(count_ngrams(rows.select("lang", "text"))))
-    measured = measure(rows, model, id_col)
+    # one projection for both passes, so that both have the same partitions
+    measured = measure(rows, model_files(rows), id_col)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     measured = materialise(measured.withColumn("base_failed", failed))
-    quarters = measured.where(~F.col("base_failed")).groupBy("lang").agg(F.percentile_approx("score", [0.25, 0.75], 10_000).alias("q"))
-    low, high = F.col("q")[0], F.col("q")[1]
-    band = quarters.select("lang", low.alias("low"), high.alias("high"))
     room = spread * (F.col("high") - F.col("low")) * F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
     inside = F.coalesce(F.col("score").between(F.col("low") - room, F.col("high") + room), F.lit(False))
-    return measured.join(F.broadcast(band), "lang", "left").select(  # a row for each language
+    return join_small(measured, materialise(bands(measured)), "lang", "id").select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.col("score").alias("log_probability"), (~F.col("base_failed") & inside).alias("kept"),
     )

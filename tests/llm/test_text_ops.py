@@ -384,45 +384,89 @@ def test_base_counts():
     assert quality_rules.base_counts(given).tolist() == [plain_base(t) for t in given]
 
 
-def plain_kneser_ney(samples, order):
-    """Modified Kneser-Ney probabilities of all seen n-grams, by its definition."""
-    counts = defaultdict(int)
-    for t in samples:
-        padded = "\x02" * (order - 1) + t
-        for k in range(len(t)):
-            counts[padded[k : k + order]] += 1
-    tables = {order: dict(counts)}
+def plain_kneser_ney(halves, order):
+    """({n-gram: probability by each half's model}, counts) of all n-grams of both halves, by the definition of modified Kneser-Ney."""
+    tables = {order: [Counter(), Counter()]}
+    for f, samples in enumerate(halves):
+        for t in samples:
+            padded = "\x02" * (order - 1) + t
+            tables[order][f].update(padded[k : k + order] for k in range(len(t)))
     for m in range(order - 1, 0, -1):
-        tables[m] = defaultdict(int)
-        for g in tables[m + 1]:
-            tables[m][g[1:]] += 1
-    p = {"": 1 / 4096}
-    for m in range(1, order + 1):
-        n = [max(1, sum(v == k for v in tables[m].values())) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        d = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k - 0.1) for k in (1, 2, 3)]
-        cut = lambda v, d=d: d[min(v, 3) - 1]
-        total, mass = defaultdict(int), defaultdict(float)
-        for g, v in tables[m].items():
-            total[g[:-1]] += v
-            mass[g[:-1]] += cut(v)
-        for g, v in tables[m].items():
-            p[g] = (v - cut(v)) / total[g[:-1]] + mass[g[:-1]] / total[g[:-1]] * p[g[1:]]
-    return p
+        tables[m] = [Counter(g[1:] for g in tables[m + 1][f]) for f in (0, 1)]
+    out = []
+    for f in (0, 1):
+        p = {}
+        for m in range(1, order + 1):
+            seen = set(tables[m][0]) | set(tables[m][1])
+            own = tables[m][f]
+            n = [max(1, sum(v == k for v in own.values())) for k in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k - 0.1) for k in (1, 2, 3)]
+            cut = lambda v, d=d: d[min(v, 3) - 1] if v else 0.0
+            total, mass = Counter(), defaultdict(float)
+            for g, v in own.items():
+                total[g[:-1]] += v
+                mass[g[:-1]] += cut(v)
+            for g in seen:
+                c, below = g[:-1], p[g[1:]] if m > 1 else 1 / (len(seen) + 1)
+                p[g] = (own[g] - cut(own[g])) / total[c] + mass[c] / total[c] * below if total[c] else below
+        out.append(p)
+    return out, tables[order]
 
 
 def test_kneser_ney(spark):
-    samples = texts(11, 40, 12)
+    samples = [*texts(11, 40, 12), "é😀 漢字 é😀x"]
     rows = spark.createDataFrame([("en", t) for t in samples], "lang string, text string")
-    model = quality_rules.kneser_ney(quality_rules.count_ngrams(rows)).where("m > 0").collect()
-    want = plain_kneser_ney(samples, quality_rules.ORDER)
+    half = [F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)]
+    model = quality_rules.kneser_ney(quality_rules.count_ngrams(rows).groupBy("lang", "key").agg(*half)).collect()
+    (p0, p1), (n0, n1) = plain_kneser_ney([[t for t in samples if quality_rules.fold_of(t) == f] for f in (0, 1)], quality_rules.ORDER)
+    assert {r.key for r in model} == set(n0) | set(n1)
+    assert all((r.n0, r.n1) == (n0[r.key], n1[r.key]) and r.p0 == pytest.approx(p0[r.key]) and r.p1 == pytest.approx(p1[r.key]) for r in model)
+
+
+def plain_judge(rows):
+    """{id: (score, kept)} of rows (id, text, lang), by the definition."""
+    order, folds = quality_rules.ORDER, quality_rules.fold_of
+    clean = [(k, t or "", x or "") for k, t, x in rows]
+    models = {x: plain_kneser_ney([[t for _, t, y in clean if folds(t) == f and x in (y, None)] for f in (0, 1)], order) for x in [*{x for *_, x in clean}, None]}
+    mean = {}
+    for x, ((p0, p1), (n0, n1)) in models.items():
+        total = n0.total() + n1.total()
+        mean[x] = (sum(v * np.log(p1[g]) for g, v in n0.items()) + sum(v * np.log(p0[g]) for g, v in n1.items())) / total if total else 0.0
+    scores = {}
+    for k, t, x in clean:
+        padded, other = "\x02" * (order - 1) + t, 1 - folds(t)
+        own, every = ([np.log(models[y][0][other][padded[i : i + order]]) for i in range(len(t))] for y in (x, None))
+        parts = [(sum(own[i : i + 64]), sum(every[i : i + 64]), len(own[i : i + 64])) for i in range(0, len(t), 64)]
+        weak = [a < (mean[x] - 0.5) * n for a, _, n in parts]
+        foreign = sum(n for (_, _, n), w in zip(parts, weak) if w) <= 0.5 * len(t)
+        scores[k] = sum(max(a, b) if w and foreign else a for (a, b, _), w in zip(parts, weak)) / len(t) if t else None
+    counts = {k: plain_base(t) for k, t, _ in clean}
+    failed = {k: c[0] < 20 or 100 * c[4] > 30 * c[0] for k, c in counts.items()}
+    out = {}
+    for x in {x for *_, x in clean}:
+        own = sorted(np.floor(scores[k] / 0.001) for k, t, y in clean if y == x and not failed[k] and t)
+        q = [own[int(np.ceil(share * len(own))) - 1] * 0.001 for share in (0.25, 0.75)] if own else None
+        for k, t, y in clean:
+            if y == x:
+                room = 3.0 * (q[1] - q[0]) * np.sqrt(1 + 100 / max(1, counts[k][0])) if q else 0
+                gap = min(scores[k] - (q[0] - room), (q[1] + room) - scores[k]) if q and t else None
+                out[k] = (scores[k], not failed[k] and gap is not None and gap >= 0, gap)
+    return out
 
-    def name(key, m):
-        return "".join(chr(key >> 12 * k & 4095) for k in reversed(range(m)))
 
-    got = {name(r.key, r.m): np.exp(r.value) for r in model}
-    assert set(got) == set(want) - {""}
-    assert all(got[g] == pytest.approx(want[g]) for g in got)
+def test_quality_rules_against_brute_force(spark):
+    """Scores and verdicts of a whole table by the definition."""
+    rng = np.random.default_rng(4)
+    rows = [(k, t, "en" if k % 3 else "de") for k, t in enumerate(texts(13, 90, 30))]
+    rows += [(900 + k, "".join(chr(c) for c in rng.integers(33, 126, 300)) + " x" * 30, "en") for k in range(4)]
+    rows += [(950, None, "en"), (951, "w1 w2 " * 40, None), (952, rows[1][1], "en"), (953, rows[3][1] + " " + rows[1][1], "de"), (954, "漢字 " * 50 + rows[4][1], "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).cache()
+    df.count()
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    for k, (score, kept, gap) in plain_judge(rows).items():
+        assert (got[k].log_probability is None and score is None) or got[k].log_probability == pytest.approx(score, abs=1e-5), k
+        assert got[k].kept == kept or (gap is not None and abs(gap) < 1e-4), k
 
 
 def test_quality_rules(spark):
