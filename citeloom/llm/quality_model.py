@@ -10,9 +10,10 @@ document.
 
 Labelled rows come from a bounded sample, at most ``LABELLED`` documents chosen
 by hash. Unlabelled rows are all rows: features are computed once and written to
-the shared folder; in each round a histogram of log odds over all of them gives
-the thresholds of the surest ``SURE`` share, and each step of Newton's method
-adds up gradients and Hessians in Spark. Pseudo-labels together weigh ``WEIGHT``
+the shared folder; in each round a histogram of calibrated log odds over all of
+them gives the thresholds of the surest ``SURE`` share, and each step of Newton's
+method adds up gradients and Hessians in Spark. A view teaches only what it is
+``CERTAIN`` of, by what its odds turn out to be worth on labelled documents. Pseudo-labels together weigh ``WEIGHT``
 times the labelled rows, however many they are. A document is kept at ``score
 >= KEEP``.
 
@@ -39,8 +40,10 @@ from .common import materialise
 
 LABELLED = 8_000
 ROUNDS = 3
-STEPS = 4
+STEPS = 5
+LONGEST = 2.0  # of a weight's change in a step
 SURE = 0.1  # share of the unlabelled rows that a view labels in a round, half for each class
+CERTAIN = 3.0  # calibrated log odds
 WEIGHT = 0.3
 KEEP = 0.5
 WORDS = 64  # buckets of hashed words, and as many of pairs
@@ -99,7 +102,7 @@ def views_of(texts, langs, sources) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
     """Weighted ridge logistic regression by Newton's method."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -107,6 +110,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, st
         g = x.T @ (weight * (p - y)) + ridge * w
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
         step = np.linalg.solve(h, g)
+        step *= min(1.0, LONGEST / np.abs(step).max()) if step.any() else 1.0
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -157,7 +161,7 @@ def thresholds(counts: np.ndarray, share: float) -> tuple[float, float]:
     k = max(1.0, counts.sum() * share / 2)
     edge = lambda c: int(np.searchsorted(np.cumsum(c), k))
     width = 60 / _BINS
-    return min(-2.0, -30 + width * (edge(counts) + 1)), max(2.0, 30 - width * (edge(counts[::-1]) + 1))
+    return min(-CERTAIN, -30 + width * (edge(counts) + 1)), max(CERTAIN, 30 - width * (edge(counts[::-1]) + 1))
 
 
 def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Callable, rounds: int = ROUNDS, steps: int = STEPS) -> dict:
@@ -169,11 +173,16 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Callable
     hold = np.arange(len(y)) % 3 == 2
     given = [v[~hold] for v in views]
     weights = [fit(x, y[~hold], np.ones((~hold).sum())) for x in given]
+
+    def calibrated():
+        """Scale and shift of each view's log odds, by labelled documents that it did not learn from."""
+        return [fit(np.stack([views[v][hold] @ weights[v], np.ones(hold.sum())], 1), y[hold], np.ones(hold.sum()), ridge=0.01) for v in (0, 1)]
+
     for _ in range(rounds):
-        frozen = [w.copy() for w in weights]
+        frozen = [(w * c[0], c[1]) for w, c in zip(weights, calibrated())]
 
         def histogram(x, frozen=frozen):
-            at = [np.clip(((x[v] @ frozen[v] + 30) / 60 * _BINS).astype(np.int64), 0, _BINS - 1) for v in (0, 1)]
+            at = [np.clip(((x[v] @ frozen[v][0] + frozen[v][1] + 30) / 60 * _BINS).astype(np.int64), 0, _BINS - 1) for v in (0, 1)]
             return np.concatenate([np.bincount(a, minlength=_BINS).astype(float) for a in at])
 
         counts = pool(histogram, 2 * _BINS)
@@ -186,7 +195,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Callable
             def slopes(x, frozen=frozen, limits=limits, weights=weights):
                 out = []
                 for v in (0, 1):  # learns from what the other view is sure of
-                    odds = x[1 - v] @ frozen[1 - v]
+                    odds = x[1 - v] @ frozen[1 - v][0] + frozen[1 - v][1]
                     low, high = limits[1 - v]
                     sure = (odds <= low) | (odds >= high)
                     out.append(_slopes(x[v][sure], (odds[sure] > 0).astype(float), weights[v]))
@@ -200,15 +209,12 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Callable
                 g = own[:d] + each * part[:d] + weights[v]
                 h = (own[d:-1] + each * part[d:-1]).reshape(d, d) + np.eye(d)
                 step = np.linalg.solve(h, g)
+                step *= min(1.0, LONGEST / np.abs(step).max()) if step.any() else 1.0
                 weights[v] = np.round(weights[v] - step, 6)
                 moved = max(moved, np.abs(step).max())
             if moved < 1e-3:
                 break
-    held = np.flatnonzero(hold)
-    scales = []
-    for v in (0, 1):
-        z = np.stack([views[v][held] @ weights[v], np.ones(len(held))], 1)
-        scales.append(fit(z, y[held], np.ones(len(held)), ridge=0.01))
+    held, scales = np.flatnonzero(hold), calibrated()
     both = np.stack([views[v][held] @ weights[v] * scales[v][0] + scales[v][1] for v in (0, 1)] + [np.ones(len(held))], 1)
     return {"weights": weights, "scales": scales, "blend": fit(both, y[held], np.ones(len(held)), ridge=0.01)}
 

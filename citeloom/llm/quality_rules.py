@@ -24,7 +24,8 @@ by the model of all languages, if they are no more than ``MOST_FOREIGN`` of the
 text: so a quotation in another language makes no outlier, a text that is not in
 its language does. A document is rejected when its score lies outside its
 language's band: the quartiles of the documents that pass the base rules, taken
-from a histogram, widened by ``SPREAD`` times their distance, and more for short
+from a histogram, widened by ``UNLIKELY`` times their distance below and by
+``PREDICTABLE`` times above, where near copies of a text lie, and more for short
 documents, whose means scatter more.
 
 Null texts have no words and fail the base rules. A null language is a language
@@ -47,7 +48,8 @@ from pyspark.sql import functions as F
 from .common import join_small, materialise, shared_dir
 
 ORDER = 5
-SPREAD = 3.0
+UNLIKELY = 3.0
+PREDICTABLE = 6.0
 SHORT = 100  # words at which a band is wider by the square root of two
 PIECE = 64
 FOREIGN = 0.5
@@ -322,15 +324,15 @@ def bands(measured: DataFrame) -> DataFrame:
     return bins.groupBy("lang").agg(quarter(0.25).alias("low"), quarter(0.75).alias("high"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", spread: float = SPREAD) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = UNLIKELY, above: float = PREDICTABLE) -> DataFrame:
     """(id, base counts, base_failed, log_probability, kept) of every row."""
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # one projection for both passes, so that both have the same partitions
     measured = measure(rows, model_files(rows), id_col)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     measured = materialise(measured.withColumn("base_failed", failed))
-    room = spread * (F.col("high") - F.col("low")) * F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
-    inside = F.coalesce(F.col("score").between(F.col("low") - room, F.col("high") + room), F.lit(False))
+    room = (F.col("high") - F.col("low")) * F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
+    inside = F.coalesce(F.col("score").between(F.col("low") - below * room, F.col("high") + above * room), F.lit(False))
     return join_small(measured, materialise(bands(measured)), "lang", "id").select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.col("score").alias("log_probability"), (~F.col("base_failed") & inside).alias("kept"),

@@ -449,8 +449,8 @@ def plain_judge(rows):
         q = [own[int(np.ceil(share * len(own))) - 1] * 0.001 for share in (0.25, 0.75)] if own else None
         for k, t, y in clean:
             if y == x:
-                room = 3.0 * (q[1] - q[0]) * np.sqrt(1 + 100 / max(1, counts[k][0])) if q else 0
-                gap = min(scores[k] - (q[0] - room), (q[1] + room) - scores[k]) if q and t else None
+                room = (q[1] - q[0]) * np.sqrt(1 + 100 / max(1, counts[k][0])) if q else 0
+                gap = min(scores[k] - (q[0] - 3 * room), (q[1] + 6 * room) - scores[k]) if q and t else None
                 out[k] = (scores[k], not failed[k] and gap is not None and gap >= 0, gap)
     return out
 
@@ -519,4 +519,4 @@ def test_co_training_sums_over_all_unlabelled_rows(spark):
         assert np.allclose(a, b, atol=1e-5) and not np.allclose(a, c, atol=1e-5)
     counts = np.bincount(rng.integers(0, quality_model._BINS, 10_000), minlength=quality_model._BINS)
     low, high = quality_model.thresholds(counts, 0.1)
-    assert abs(low + 27) < 0.7 and abs(high - 27) < 0.7
+    assert abs(low + 27) < 0.7 and abs(high - 27) < 0.7 and quality_model.thresholds(np.eye(1, quality_model._BINS, 3000)[0], 0.1) == (-3.0, 3.0)
