@@ -1,31 +1,42 @@
 """SimHash near-duplicates by a binary-trie self-join.
 
-Fingerprints of 64 bits link when they differ in at most ``BUDGET`` bits. Four
-bands of 16 bits cannot all differ within a budget of three, so each linked
-pair agrees on a band: for each band the fingerprints are rotated to start with
-it and shuffled on its value, which deals out the top of the trie. Below it a
-task walks pairs of trie nodes together, adds up differing bits and prunes a
-pair of nodes when the budget is exceeded.
-
-Copies share one fingerprint and are joined as one. A band value with more than
-``BLOCK`` distinct fingerprints is dealt into blocks and every pair of blocks is
-a task of its own, so no task holds more than two blocks and no link is lost. A
-task reports the components it finds as stars, never all pairs.
-
-Null and word-less texts have fingerprint zero and link like any other.
-Repeated rows are kept as rows; rows without an id are kept and never give a
-component its id. Other columns are not read.
+Two settings share the walk over the trie. It takes pairs of trie nodes
+together, adds up differing bits and prunes a pair of nodes when the budget is
+exceeded.
+
+``near_duplicates``: fingerprints of 64 bits link when they differ in at most
+``BUDGET`` bits. Four bands of 16 bits cannot all differ within a budget of
+three, so each linked pair agrees on a band: for each band the fingerprints are
+rotated to start with it and shuffled on its value, which deals out the top of
+the trie. A band value with more than ``BLOCK`` distinct fingerprints is dealt
+out further, by the trie's next bits: each pair of prefixes within the budget is
+a task of its own, so no link is lost.
+
+``keep_one``: fingerprints of 256 bits over shingles of five words link when
+they differ in at most ``WIDE`` bits, as texts whose shingles have a Jaccard
+similarity of 0.8 do on average. No band must agree at such a distance, so
+candidates share one of many bands of chosen bits, as many as find ``RECALL`` of
+the pairs at 0.8 (and more of closer ones); bands widen as the table grows, so
+that unlike fingerprints seldom meet. Heavy bands are dealt into blocks, and
+pairs of blocks are tasks.
+
+Copies share one fingerprint and are joined as one. A task reports the
+components it finds as stars, never all pairs. Null and word-less texts have
+fingerprint zero and link like any other. Repeated rows are kept as rows by
+``near_duplicates``; rows without an id are kept and never give a component its
+id. Other columns are not read and pass through ``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, partitions
@@ -34,6 +45,11 @@ BUDGET = 3
 BLOCK = 4096
 SHINGLE = 3
 SEED = 42
+WORDS = 4  # of 64 bits in a wide fingerprint
+WIDE = 38
+WIDE_SHINGLE = 5
+RECALL = 0.9
+DEEPEST = 16  # bits by which a heavy band is dealt out
 _LANES = np.uint64(0x0101010101010101)
 _FLUSH = 1_000_000
 
@@ -88,6 +104,24 @@ def fingerprint_texts(texts, n: int = SHINGLE) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
+def wide_fingerprints(texts, n: int = WIDE_SHINGLE) -> np.ndarray:
+    """Fingerprints of ``WORDS`` unsigned 64-bit integers, from as many mixes of each shingle's hash."""
+    held = [np.array(_hashes(t, n), np.uint64) for t in texts]
+    counts = np.array([len(h) for h in held])
+    out = np.zeros((len(held), WORDS), np.uint64)
+    parts = np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(counts) // _FLUSH)) + 1, [len(held)]))
+    for lo, hi in zip(parts, parts[1:]):
+        if hi > lo and counts[lo:hi].any():
+            h = np.concatenate(held[lo:hi])
+            for k in range(WORDS):
+                with np.errstate(over="ignore"):
+                    x = (h ^ np.uint64(k * 0x2545F4914F6CDD1D & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+                    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                    x ^= x >> np.uint64(32)
+                out[lo:hi, k] = _majority(x, counts[lo:hi])
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """(id, fp): the fingerprint of each row as a signed 64-bit integer."""
 
@@ -112,10 +146,10 @@ def fold(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = jumped
 
 
-def trie_pairs(fp: np.ndarray, nodes: np.ndarray, depth: int, budget: int = BUDGET, leaf: int = 64, wide: int = 250_000):
+def trie_pairs(fp: np.ndarray, nodes: np.ndarray, depth: int, budget: int = BUDGET, leaf: int = 64, wide: int = 50_000):
     """Yield positions (i, j) of fingerprints within ``budget`` bits.
 
-    ``fp`` is sorted inside each node. ``nodes`` has a row (a_from, a_to,
+    ``fp`` has a row of words for each fingerprint and is sorted inside each node. ``nodes`` has a row (a_from, a_to,
     b_from, b_to) for each pair of trie nodes whose first ``depth`` bits agree;
     a node paired with itself stands for the pairs inside it.
     """
@@ -123,10 +157,10 @@ def trie_pairs(fp: np.ndarray, nodes: np.ndarray, depth: int, budget: int = BUDG
 
     def middle(lo, hi, d):
         if d not in ones:
-            ones[d] = np.concatenate(([0], np.cumsum((fp >> np.uint64(63 - d)) & np.uint64(1)).astype(np.int64)))
+            ones[d] = np.concatenate(([0], np.cumsum((fp[:, d // 64] >> np.uint64(63 - d % 64)) & np.uint64(1)).astype(np.int64)))
         return hi - (ones[d][hi] - ones[d][lo])
 
-    stack = [(depth, nodes, np.zeros(len(nodes), np.int8))]
+    stack = [(depth, nodes, np.zeros(len(nodes), np.int16))]
     while stack:
         d, n, diff = stack.pop()
         if len(n) > wide:  # bounded memory: the second half waits
@@ -134,7 +168,7 @@ def trie_pairs(fp: np.ndarray, nodes: np.ndarray, depth: int, budget: int = BUDG
             stack += [(d, n[half:], diff[half:]), (d, n[:half], diff[:half])]
             continue
         size = (n[:, 1] - n[:, 0]) * (n[:, 3] - n[:, 2])
-        small = (size <= leaf) | (d == 64)
+        small = (size <= leaf) | (d == 64 * fp.shape[1])
         if small.any():
             s = n[small]
             width = s[:, 3] - s[:, 2]
@@ -142,7 +176,7 @@ def trie_pairs(fp: np.ndarray, nodes: np.ndarray, depth: int, budget: int = BUDG
             pair = np.repeat(np.arange(len(s)), count)
             at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             i, j = s[pair, 0] + at // width[pair], s[pair, 2] + at % width[pair]
-            near = (np.bitwise_count(fp[i] ^ fp[j]) <= budget) & ((s[pair, 0] != s[pair, 2]) | (i < j))
+            near = (np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= budget) & ((s[pair, 0] != s[pair, 2]) | (i < j))
             if near.any():
                 yield i[near], j[near]
         n, diff = n[~small], diff[~small]
@@ -165,14 +199,16 @@ def trie_pairs(fp: np.ndarray, nodes: np.ndarray, depth: int, budget: int = BUDG
         stack.append((d + 1, np.concatenate(rows), np.concatenate(diffs)))
 
 
-def _stars(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
-    """Links among whole groups of rows (band, value, i, j, block, fp), as stars of local components."""
-    rotated = np.ascontiguousarray(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
-    turn = (16 * pdf["band"].to_numpy(np.uint64)) % np.uint64(64)
-    rotated = np.where(turn == 0, rotated, (rotated << turn) | (rotated >> ((np.uint64(64) - turn) % np.uint64(64))))
-    keys = [pdf[c].to_numpy(np.int64) for c in ("band", "value", "i", "j", "block")]
-    order = np.lexsort((rotated, *keys[::-1]))
-    rotated, keys = rotated[order], [k[order] for k in keys]
+def _rotated(fp: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Fingerprints turned to start with their band."""
+    turn = 16 * band.astype(np.uint64) % np.uint64(64)
+    return np.where(turn == 0, fp, (fp << turn) | (fp >> ((np.uint64(64) - turn) % np.uint64(64))))
+
+
+def _stars(words: np.ndarray, node: np.ndarray, keys: list[np.ndarray], depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) nodes linked in whole groups of rows, as stars of local components; ``keys`` are band, value, i, j, block."""
+    order = np.lexsort((*words.T[::-1], *keys[::-1]))
+    words, keys = words[order], [k[order] for k in keys]
     change = np.zeros(len(order), bool)
     change[0] = True
     for k in keys:
@@ -183,56 +219,114 @@ def _stars(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
     own = i == j
     first = np.flatnonzero(~own & (block == i))
     first = first[first + 1 < len(lo)]
-    first = first[(i[first + 1] == i[first]) & (j[first + 1] == j[first]) & (block[first + 1] == j[first])]
+    first = first[np.all([k[lo[first + 1]] == k[lo[first]] for k in keys[:4]], axis=0) & (block[first + 1] == j[first])]
     nodes = np.concatenate([
         np.stack([lo[own], hi[own], lo[own], hi[own]], 1),
         np.stack([lo[first], hi[first], lo[first + 1], hi[first + 1]], 1),
     ])
     labels = np.arange(len(order))
-    for a, b in trie_pairs(rotated, nodes, 16, budget):
+    for a, b in trie_pairs(words, nodes, depth, budget):
         fold(labels, a, b)
-    fp = pdf["fp"].to_numpy(np.int64)[order]
     moved = labels != np.arange(len(order))
-    return pd.DataFrame({"a": fp[moved], "b": fp[labels[moved]]})
+    node = node[order]
+    return node[moved], node[labels[moved]]
 
 
-def fingerprint_links(fps: DataFrame, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
-    """(a, b) edges whose components are those of all pairs of fingerprints within ``budget`` (3 at most) bits."""
-    if not 0 <= budget <= 3:
-        raise ValueError("four bands need a budget of three bits at most")
-    spark = fps.sparkSession
-    band = F.posexplode(F.array(*[F.shiftrightunsigned("fp", 48 - 16 * k).bitwiseAND(0xFFFF) for k in range(4)]))
-    rows = fps.select("fp", band.alias("band", "value"))
-    heavy = (
-        rows.groupBy("band", "value").count().where(F.col("count") > block)
-        .select("band", "value", F.ceil(F.col("count") / block).cast("long").alias("blocks"))
-    )
-    rows = (
-        rows.join(heavy, ["band", "value"], "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("block", F.expr("pmod(xxhash64(fp), blocks)"))
-        .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        .select("fp", "band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    )
-
+def _walk(rows: DataFrame, stars) -> DataFrame:
+    """(a, b) from rows with band, value, i, j, block; whole groups are taken together, many small ones at a time."""
     keys = ["band", "value", "i", "j"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by group; whole groups are taken together, many small ones at a time."""
         held = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             last = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1)
             if not last.all():
-                yield _stars(pdf[~last], budget)
+                yield pd.DataFrame(dict(zip("ab", stars(pdf[~last]))))
             held = pdf[last]
         if held is not None:
-            yield _stars(held, budget)
+            yield pd.DataFrame(dict(zip("ab", stars(held))))
 
-    parts = rows.repartition(partitions(spark), *keys)
+    parts = rows.repartition(partitions(rows.sparkSession), *keys)
     return parts.sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
 
 
+def _group_keys(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [pdf[c].to_numpy(np.int64) for c in ("band", "value", "i", "j", "block")]
+
+
+def _masks(spark: SparkSession, most: int, budget: int) -> DataFrame:
+    """(bits, masks): for each number of bits the differences of prefixes within the budget."""
+    some = [sorted({sum(1 << x for x in c) for k in range(budget + 1) for c in combinations(range(d), k)}) for d in range(most + 1)]
+    return spark.createDataFrame(list(enumerate(some)), "bits int, masks array<long>")
+
+
+def fingerprint_links(fps: DataFrame, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
+    """(a, b) edges whose components are those of all pairs of fingerprints within ``budget`` (3 at most) bits."""
+    if not 0 <= budget <= 3:
+        raise ValueError("four bands need a budget of three bits at most")
+    band = F.posexplode(F.array(*[F.shiftrightunsigned("fp", 48 - 16 * k).bitwiseAND(0xFFFF) for k in range(4)]))
+    rows = fps.select("fp", band.alias("band", "value"))
+    # a heavy band's fingerprints by the next bits of the trie, which double the nodes at each level
+    heavy = rows.groupBy("band", "value").count().where(F.col("count") > block)
+    bits = F.least(F.ceil(F.log2(F.col("count") / block)), F.lit(DEEPEST)).cast("int")
+    heavy = heavy.select("band", "value", bits.alias("bits")).join(_masks(fps.sparkSession, DEEPEST, budget), "bits")
+    shift = lambda way, by: F.call_function(way, F.col("fp"), by.cast("int"))
+    turned = shift("shiftleft", 16 * F.col("band") + 16).bitwiseOR(shift("shiftrightunsigned", 48 - 16 * F.col("band")))
+    turned = F.when(F.col("band") == 3, F.col("fp")).otherwise(turned)  # the bits after the band
+    rows = rows.join(heavy, ["band", "value"], "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
+    rows = rows.withColumn("block", F.when(F.col("bits") > 0, F.call_function("shiftrightunsigned", turned, 64 - F.col("bits"))).otherwise(F.lit(0).cast("long")))
+    rows = rows.withColumn("mask", F.explode(F.coalesce("masks", F.array(F.lit(0).cast("long"))))).withColumn("other", F.col("block").bitwiseXOR(F.col("mask")))
+    rows = rows.select("fp", "band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+
+    def stars(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        fp = pdf["fp"].to_numpy(np.int64)
+        own = _rotated(np.ascontiguousarray(fp).view(np.uint64), pdf["band"].to_numpy(np.uint64))
+        return _stars(own[:, None], fp, _group_keys(pdf), 16, budget)
+
+    return _walk(rows, stars)
+
+
+def wide_bands(n: int, recall: float = RECALL) -> np.ndarray:
+    """Bits of each band for ``n`` fingerprints: rows of positions, enough rows for ``recall`` of pairs that differ in ``WIDE`` bits."""
+    width = max(16, (max(n, 2) - 1).bit_length() - 8)
+    agree = (1 - WIDE / (64 * WORDS)) ** width
+    rng = np.random.default_rng(1)
+    return np.array([rng.choice(64 * WORDS, width, replace=False) for _ in range(int(np.ceil(np.log(1 - recall) / np.log(1 - agree))))])
+
+
+def wide_links(fps: DataFrame, n: int, budget: int = WIDE, block: int = BLOCK) -> DataFrame:
+    """(a, b) edges among the ``n`` rows (key, fp) whose wide fingerprints differ in at most ``budget`` bits and share a band."""
+    at = wide_bands(n)
+    power = 1 << np.arange(at.shape[1])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
+                value = bits[:, at].astype(np.int64) @ power
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.tile(np.arange(len(at)), part.num_rows)), pa.array(value.ravel()),
+                    part.column("key").take(index := pa.array(np.repeat(np.arange(part.num_rows), len(at)))), part.column("fp").take(index),
+                ], names=["band", "value", "key", "fp"])
+
+    rows = fps.mapInArrow(deal, "band long, value long, key long, fp binary")
+    sizes = rows.groupBy("band", "value").count()
+    many = materialise(sizes.where("count > 1").select("band", "value", F.ceil(F.col("count") / block).cast("long").alias("blocks")))
+    rows = (
+        rows.join(many, ["band", "value"])
+        .withColumn("block", F.expr("pmod(xxhash64(key), blocks)"))
+        .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        .select("key", "fp", "band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    )
+
+    def stars(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        words = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), WORDS)
+        return _stars(words, pdf["key"].to_numpy(np.int64), _group_keys(pdf), 0, budget)
+
+    return _walk(rows, stars)
+
+
 def classes(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(fp, root) for each distinct fingerprint; those of one component share a root."""
     distinct = materialise(fps.select("fp").distinct())
@@ -250,18 +344,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one with the least id (first of repeated rows); columns stay as they are."""
-    uid, fp = "__row_id", "__fp"
+    """One row of each component of near copies, the one with the least id (first of repeated rows); columns stay as they are."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = fingerprint_texts(batch.column(text_col).to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, fp])
-
-    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
-    rows = materialise(numbered.mapInArrow(run, numbered.withColumn(fp, F.lit(0).cast("long")).schema))
-    roots = materialise(classes(rows.select(F.col(fp).alias("fp"))))
-    first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(uid).alias("row"))
-    by_fp = rows.groupBy(F.col(fp).alias("fp")).agg(F.min(first).alias("first"))
-    kept = roots.join(by_fp, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(uid))
-    return rows.join(kept, uid, "left_semi").select(*docs.columns)
+            own = wide_fingerprints(batch.column(0).field(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in own], pa.binary())], names=["doc", "row", "fp"])
+
+    rows = materialise(whole.mapInArrow(run, whole.withColumn("fp", F.lit(b"")).schema))
+    own = F.col("doc").getField(id_col)
+    first = F.struct(own.isNull().alias("no_id"), own.alias("id"), F.col("row"))
+    distinct = materialise(rows.groupBy("fp").agg(F.min(first).alias("first")).withColumn("key", F.monotonically_increasing_id()))
+    found = connected_components(wide_links(distinct.select("key", "fp"), distinct.count())).withColumnRenamed("node", "key")
+    groups = distinct.select("key", "first").join(found, "key", "left").groupBy(F.coalesce("component", "key").alias("root"))
+    kept = groups.agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -56,11 +56,60 @@ def test_near_duplicates_of_documents(spark):
     fps = [plain_fingerprint(t) for t in docs]
     want = components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
     assert [got[k].component_id for k in range(len(docs))] == want
+    assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def shingles(text, n=5):
+    words = (text or "").split()
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_keep_one_of_near_copies(spark, monkeypatch, block):
+    """Texts with a changed word fall together with their original at 0.8 and more; other texts stay."""
+    monkeypatch.setattr(S.wide_links, "__defaults__", (S.WIDE, block))
+    rng = np.random.default_rng(4)
+    names = [f"w{k}" for k in range(3000)]
+    docs, group = [], []
+    for g in range(60):
+        words = list(rng.choice(names, 150))
+        for c in range(int(rng.integers(1, 8))):
+            own = list(words)
+            for k in rng.integers(0, 150, int(rng.integers(0, 2)) if c else 0):
+                own[k] = "changed"
+            docs.append(" ".join(own))
+            group.append(g)
+    docs += [None, "", " \n", docs[0], "half " + " ".join(docs[5].split()[:75]) + " other".join(map(str, range(90)))]
+    group += [100, 100, 100, group[0], 101]
+    names = ["row", "fp", "doc", "key", "first", "__row_id", "__fp"]
+    rows = [(k, t, *range(len(names))) for k, t in enumerate(docs)]
+    df = spark.createDataFrame(rows + [(None, docs[3], *range(len(names)))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
     kept = S.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
-    assert S.keep_one(df.union(df)).count() == len(set(want))
-    assert S.near_duplicates(df.limit(0)).count() == 0 and S.keep_one(df.limit(0)).count() == 0
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got) == sorted({g: k for k, g in reversed(list(enumerate(group)))}.values())
+    assert all(r[n] == k and r.text == docs[r.doc_id] for r in got for k, n in enumerate(names))
+    assert S.keep_one(df.union(df)).count() == len(set(group)) and S.keep_one(df.limit(0)).count() == 0
+    fps = S.wide_fingerprints(docs)
+    apart = lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum())
+    close = [apart(i, j) for i in range(len(docs)) for j in range(i) if group[i] == group[j] and len(shingles(docs[i]) & shingles(docs[j])) >= 0.9 * len(shingles(docs[i]) | shingles(docs[j]))]
+    assert np.mean(np.array(close) <= S.WIDE) > 0.97 and min(apart(i, j) for i in range(len(docs)) for j in range(i) if group[i] != group[j]) > S.WIDE
+
+
+def test_wide_fingerprints():
+    """Each word of a fingerprint is the majority of a mix of the shingles' hashes."""
+    given = [None, "one two", "a b c d e f", *texts(3, 30)]
+    got = S.wide_fingerprints(given)
+    for t, own in zip(given, got):
+        words = (t or "").split()
+        parts = [" ".join(words[k : k + 5]) for k in range(len(words) - 4)] or ([" ".join(words)] if words else [])
+        for k in range(4):
+            mixed = []
+            for p in parts:
+                x = (xxhash.xxh64_intdigest(p, 42) ^ (k * 0x2545F4914F6CDD1D & 2**64 - 1)) * 0x9E3779B97F4A7C15 % 2**64
+                x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64
+                mixed.append(x ^ x >> 32)
+            assert int(own[k]) == sum(1 << b for b in range(64) if mixed and 2 * sum(h >> b & 1 for h in mixed) > len(mixed))
 
 
 def test_connected_components_of_a_chain_and_a_hub(spark):
