@@ -6,8 +6,8 @@ belongs to its ``overlap`` nearest. Each cluster shard builds a graph from
 nearest candidates and a few random far ones, pruned robustly (a candidate is
 dropped when a chosen neighbour is closer to it by ``ALPHA``); a vector's
 neighbour lists from all its shards are united. The search walks greedily from
-the shard's medoids (and from the query's own node) towards the query, then
-expands every node in range until no new one appears. Each cosine is computed,
+the shard's medoids, the query's own node and its neighbours in any shard towards
+the query, then expands every node in range until no new one appears. Each cosine is computed,
 so nothing below the limit links. A sample of queries is held against all
 vectors; if its recall is under ``RECALL`` the search is repeated with wider
 overlap and beam, and after three tries all vectors are compared.
@@ -18,8 +18,10 @@ local components, never all pairs; a pair in several shards counts in the first
 that its vectors share.
 
 Centroids are fitted on at most ``SAMPLE`` vectors and number ``CENTROIDS`` at
-most; all vectors are indexed. Vectors that are null, zero, hold null or
-non-finite components, or have another length than most link with nothing.
+most; all vectors are indexed. Vectors of different lengths don't link; those of
+another length than most are compared with all of their own length. Vectors that
+are null, zero, or hold null or non-finite components link with nothing. The
+recall of a table whose audited queries have no link is null: not measured.
 Repeated rows link like other equal vectors. Labels and other columns are not read.
 """
 
@@ -46,7 +48,7 @@ ALPHA = 1.2
 MEDOIDS = 8
 SAMPLE = 32_768
 CENTROIDS = 4096
-AUDIT = 1024
+AUDIT = 4096
 RECALL = 0.97
 
 
@@ -128,10 +130,11 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATE
     return np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n)))
 
 
-def range_search(base: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, own: np.ndarray | None, beam: int, cosine: float = COSINE, slack: float = SLACK):
+def range_search(base: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, seeds: list[np.ndarray], beam: int, cosine: float = COSINE, slack: float = SLACK):
     """Yield positions (query, base) at ``cosine`` or more found by greedy search and range expansion.
 
-    ``graph`` has a row of neighbours for each base vector, filled up with -1.
+    ``graph`` has a row of neighbours for each base vector, filled up with -1; a
+    query's search begins at ``entries`` and at its own ``seeds``.
     """
     n = len(base)
     for lo in range(0, len(queries), 256):
@@ -151,8 +154,8 @@ def range_search(base: np.ndarray, graph: np.ndarray, entries: np.ndarray, queri
 
         every = np.arange(len(q))
         visit(np.repeat(every, len(entries)), np.tile(entries, len(q)))
-        if own is not None:
-            visit(every, own[lo : lo + 256])
+        part = seeds[lo : lo + 256]
+        visit(np.repeat(every, [len(x) for x in part]), np.concatenate(part).astype(np.int64))
         width = min(4, n)
         for _ in range(-(-beam // width)):
             open_ = np.where(done, -4.0, sim)
@@ -193,17 +196,19 @@ def _task(table: pa.Table, beam: int, cosine: float, kind: str) -> pa.Table:
     if len(base) and len(query):
         lists = table.column("near").to_pylist()
         own_key = key[base]
-        rows = []
-        for b in base:
+
+        def inside(b: int) -> np.ndarray:
             near = np.array(lists[b] or [], np.int64)
             at = np.minimum(np.searchsorted(own_key, near), len(own_key) - 1)
-            rows.append(at[own_key[at] == near])
+            return at[own_key[at] == near]
+
+        rows = [inside(b) for b in base]
         graph = np.full((len(base), max(1, max(map(len, rows)))), -1)
         for k, r in enumerate(rows):
             graph[k, : len(r)] = r
         found: list[np.ndarray] = []
-        own = np.arange(len(base)) if i == j else None
-        for a, b in range_search(x[base], graph, medoids(x[base]), x[query], own, beam, cosine):
+        seeds = [np.array([k]) for k in range(len(base))] if i == j else [inside(q) for q in query]
+        for a, b in range_search(x[base], graph, medoids(x[base]), x[query], seeds, beam, cosine):
             a, b = query[a], base[b]
             if i == j:  # either end may find a pair
                 found.append(np.minimum(a, b)[a != b] * len(key) + np.maximum(a, b)[a != b])
@@ -263,10 +268,11 @@ def _search(reps: DataFrame, n: int, overlap: int, beam: int, cosine: float, kin
     return materialise(out)
 
 
-def audit(reps: DataFrame, found: DataFrame, cosine: float, kind: str) -> float:
+def audit(reps: DataFrame, found: DataFrame, cosine: float, kind: str) -> float | None:
     """Recall of a bounded sample of queries against all vectors: the mean of queries with links.
 
-    Queries with more than ``DEGREE`` links and the others are judged apart; the lesser counts.
+    Queries with more than ``DEGREE`` links and the others are judged apart; the
+    lesser counts. None if no query has a link.
     """
     sample = reps.orderBy(F.xxhash64(F.lit(7), "key"), "key").limit(AUDIT).select("key", "vec").toArrow()
     key, x = sample.column("key").to_numpy(), matrix(sample.column("vec"), kind)
@@ -284,12 +290,11 @@ def audit(reps: DataFrame, found: DataFrame, cosine: float, kind: str) -> float:
     seen = found.groupBy("key").agg(F.sum("links").alias("links"))
     share = F.least(F.coalesce("links", F.lit(0)) / F.col("truth"), F.lit(1.0))
     means = truth.join(seen, "key", "left").where("truth > 0").groupBy(F.col("truth") > DEGREE).agg(F.avg(share).alias("mean"))
-    return means.agg(F.coalesce(F.min("mean"), F.lit(1.0))).first()[0]
+    return means.agg(F.min("mean")).first()[0]
 
 
-def _exact(reps: DataFrame, n: int, cosine: float, kind: str) -> DataFrame:
-    """As ``_search``, by comparing all pairs of vectors; each pair of chunks is a task."""
-    chunks = F.lit(-(-n // CHUNK)).cast("long")
+def _exact(reps: DataFrame, cosine: float, kind: str) -> DataFrame:
+    """As ``_search``, by comparing all pairs of vectors of one length; each pair of chunks is a task."""
 
     def run(table: pa.Table) -> pa.Table:
         i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
@@ -308,9 +313,11 @@ def _exact(reps: DataFrame, n: int, cosine: float, kind: str) -> DataFrame:
         some = np.flatnonzero(count)
         return pa.table({"key": key[some], "links": count[some], "root": key[label[some]]})
 
-    rows = reps.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    tasks = rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).select("i", "j", "chunk", "key", "copies", "vec")
-    return materialise(tasks.groupBy("i", "j").applyInArrow(run, "key long, links long, root long"))
+    rows = reps.withColumn("size", F.length("vec"))
+    sizes = rows.groupBy("size").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
+    rows = rows.join(sizes, "size").withColumn("chunk", F.expr("pmod(xxhash64(key), chunks)")).withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)")))
+    tasks = rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).select("size", "i", "j", "chunk", "key", "copies", "vec")
+    return materialise(tasks.groupBy("size", "i", "j").applyInArrow(run, "key long, links long, root long"))
 
 
 def link(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -319,31 +326,32 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     rows = materialise(rows.withColumns({"d1": F.xxhash64(F.lit(1), "vec"), "d2": F.xxhash64(F.lit(2), "vec")}))
     lengths = rows.where("vec IS NOT NULL").groupBy(F.length("vec").alias("b")).count()
     usual = lengths.orderBy(F.desc("count"), "b").first()
-    usable = rows.where((F.length("vec") == (usual["b"] if usual else -1)))
-    reps = usable.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    reps = rows.where("vec IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
     reps = materialise(reps.withColumn("key", F.monotonically_increasing_id()))
-    points, n = reps.select("key", "copies", "vec"), reps.count()
-    recall, overlap, beam = 1.0, OVERLAP, BEAM
+    main = F.length("vec") == (usual["b"] if usual else -1)
+    points = reps.where(main).select("key", "copies", "vec")
+    n, recall, overlap, beam = points.count(), None, OVERLAP, BEAM
     found = materialise(points.select("key", F.lit(0).cast("long").alias("links"), F.col("key").alias("root")).limit(0))
     for _ in range(3 if n > 1 else 0):
         found = _search(points, n, overlap, beam, cosine, kind)
         recall = audit(points, found, cosine, kind)
-        if recall >= RECALL:
+        if recall is None or recall >= RECALL:
             break
         overlap, beam = overlap + 2, 2 * beam
-    if recall < RECALL:
-        found = _exact(points, n, cosine, kind)
+    if recall is not None and recall < RECALL:
+        found = _exact(points, cosine, kind)
         recall = audit(points, found, cosine, kind)
+    if lengths.count() > 1:
+        found = found.unionByName(_exact(reps.where(~main).select("key", "copies", "vec"), cosine, kind))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).toDF("key", "root")
     told = reps.select("d1", "d2", "key", "least", "copies").join(links, "key", "left").join(parts, "key", "left")
     told = materialise(told.withColumn("root", F.coalesce("root", "key")))
     least = told.groupBy("root").agg(F.min("least").alias("component"))
     told = told.join(least, "root").select("d1", "d2", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    usable = F.length("vec") == (usual["b"] if usual else -1)
-    out = rows.select("id", "d1", "d2", F.coalesce(usable, F.lit(False)).alias("usable")).join(told, ["d1", "d2"], "left")
-    component = F.when(F.col("usable"), F.col("component")).otherwise(F.col("id"))
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce(F.when(F.col("usable"), F.col("n")), F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), F.lit(float(recall)).alias("audit_recall"),
+    linked = rows.where("vec IS NOT NULL").select("id", "d1", "d2").join(told, ["d1", "d2"]).select("id", "component", "n")
+    alone = rows.where("vec IS NULL").select("id", F.col("id").alias("component"), F.lit(0).cast("long").alias("n"))
+    return linked.unionByName(alone).select(
+        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"),
+        F.col("component").eqNullSafe(F.col("id")).alias("kept"), F.lit(recall).cast("double").alias("audit_recall"),
     )

@@ -130,7 +130,7 @@ def vectors(seed, n=300, near=120):
 def test_embedding_links(spark, monkeypatch, chunk):
     monkeypatch.setattr(E, "CHUNK", chunk)
     x = vectors(2)
-    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(900, (2 * x[0]).tolist(), 0), (901, None, 0), (902, [0.0] * 16, 0), (903, [None] + [1.0] * 15, 0), (904, [float("nan")] * 16, 0), (905, [1.0, 2.0], 0)]
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(900, (2 * x[0]).tolist(), 0), (901, None, 0), (902, [0.0] * 16, 0), (903, [None] + [1.0] * 15, 0), (904, [float("nan")] * 16, 0), (905, [1.0, 2.0], 0), (906, [3.0], 0), (907, [2.0, 4.1], 0), (908, [-1.0, 1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key int")
     got = {r.vec_id: r for r in E.link(df).collect()}
     assert len(got) == len(rows)
@@ -143,11 +143,34 @@ def test_embedding_links(spark, monkeypatch, chunk):
     assert found >= 0.97 * linked.sum()
     want = components(len(y), np.argwhere(linked).tolist())
     assert sum(got[i].component_id != ids[want[k]] for k, i in enumerate(ids)) <= 3
-    for odd in (901, 902, 903, 904, 905):
+    assert [(got[k].n_links, got[k].component_id) for k in (905, 907, 908)] == [(1, 905), (1, 905), (0, 908)]  # of another length
+    for odd in (901, 902, 903, 904, 906):
         assert (got[odd].n_links, got[odd].component_id, got[odd].kept) == (0, odd, True)
     assert E.link(df.limit(0)).count() == 0
 
 
+def test_recall_without_links_is_not_measured(spark):
+    rows = [(k, [float(k == 0), float(k == 1), float(k == 2)]) for k in range(3)]
+    assert {r.audit_recall for r in E.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()} == {None}
+
+
+@pytest.mark.parametrize("chunk", [2048, 64, 16])
+def test_every_link_of_hot_and_chained_groups(spark, monkeypatch, chunk):
+    """A hot group, a chain whose ends don't link, and pairs: as brute force has them, at several sizes of chunks."""
+    monkeypatch.setattr(E, "CHUNK", chunk)
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=(1, 24)) + 0.1 * rng.normal(size=(120, 24))
+    turn = np.arange(40) * 0.4
+    chain = np.stack([np.cos(turn), np.sin(turn), *np.zeros((22, 40))], 1)
+    pair = rng.normal(size=(40, 24))
+    x = np.concatenate([hot, chain, pair, pair + 0.05 * rng.normal(size=pair.shape)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r for r in E.link(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[k].n_links for k in range(len(x))] == linked.sum(1).tolist()
+    assert [got[k].component_id for k in range(len(x))] == components(len(x), np.argwhere(linked).tolist())
+
+
 def test_float_vectors_and_copies(spark):
     rows = [(k, [1.0, 2.0, float(k % 2)]) for k in range(6)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in E.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
