@@ -41,13 +41,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_small, materialise, shared_dir
 
-ORDER = 5
+ORDER = 4
 UNLIKELY = 3.0
 PREDICTABLE = 6.0
 SHORT = 100  # words at which a band is wider by the square root of two
@@ -144,11 +145,11 @@ def _slices(texts: list[str]) -> Iterator[slice]:
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(p, lang, fold, key, n): counts of every n-gram of the highest order by input partition, from rows (lang, text)."""
+    """(p, lang, key, n0, n1): counts of every n-gram of the highest order in both halves by input partition, from rows (lang, text)."""
 
     def merge(held: list[pa.Table]) -> list[pa.Table]:
-        by = ["lang", "fold", "key"]
-        return [pa.concat_tables(held).group_by(by).aggregate([("n", "sum")]).rename_columns([*by, "n"])]
+        names = ["lang", "key", "n0", "n1"]
+        return [pa.concat_tables(held).group_by(names[:2]).aggregate([("n0", "sum"), ("n1", "sum")]).rename_columns(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -163,15 +164,15 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                     n = np.bincount(seen) if len(seen) else np.zeros(0, np.int64)
                     at = np.zeros(len(n), np.int64)
                     at[seen] = np.arange(len(seen))  # any place of each
-                    held.append(pa.table({"lang": pa.array([lang] * len(n), pa.string()), "fold": np.full(len(n), fold), "key": _strings(code[at]), "n": n}))
+                    held.append(pa.table({"lang": pa.array([lang] * len(n), pa.string()), "key": _strings(code[at]), f"n{fold}": n, f"n{1 - fold}": np.zeros_like(n)}).select(["lang", "key", "n0", "n1"]))
             if sum(map(len, held)) > 2_000_000:
                 held = merge(held)
         p = TaskContext.get().partitionId()
         for table in merge(held) if held else []:
-            table = table.select(["lang", "fold", "key", "n"]).add_column(0, "p", pa.array(np.full(len(table), p)))
+            table = table.add_column(0, "p", pa.array(np.full(len(table), p)))
             yield from table.to_batches(max_chunksize=100_000)
 
-    return docs.mapInArrow(run, "p long, lang string, fold long, key string, n long")
+    return docs.mapInArrow(run, "p long, lang string, key string, n0 long, n1 long")
 
 
 def _discounts(types: DataFrame) -> DataFrame:
@@ -217,29 +218,29 @@ _ALL = "\x02"
 
 
 def model_files(rows: DataFrame) -> str:
-    """Write the model as each input partition needs it, and return the folder: files of (lang, fold, key, own, all), log probabilities.
+    """Write the model as each input partition needs it, and return the folder.
 
-    An empty key stands for a language's mean log probability.
+    Files of (lang, key, own0, own1, all0, all1): log probabilities for the texts of each half, by the model of the
+    other one. An empty key stands for a language's mean log probability.
     """
     parts = materialise(count_ngrams(rows), compression="zstd")
-    half = [F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)]
-    types = materialise(parts.groupBy("lang", "key").agg(*half))
+    types = materialise(parts.groupBy("lang", "key").agg(*[F.sum(f"n{f}").alias(f"n{f}") for f in (0, 1)]))
     every = types.groupBy(F.lit(_ALL).alias("lang"), "key").agg(*[F.sum(f"n{f}").alias(f"n{f}") for f in (0, 1)])
-    model = kneser_ney(materialise(types.unionByName(every)))
-    own, all_ = model.where(F.col("lang") != _ALL), model.where(F.col("lang") == _ALL).select("key", F.col("p0").alias("a0"), F.col("p1").alias("a1"))
-    mean = own.groupBy("lang").agg((F.sum(F.col("n0") * F.log("p1") + F.col("n1") * F.log("p0")) / F.sum(F.col("n0") + F.col("n1"))).alias("own"))
-    told = own.join(all_, "key").select("lang", "key", "p0", "p1", "a0", "a1")
-    other = lambda x: F.log(F.when(F.col("fold") == 0, F.col(f"{x}1")).otherwise(F.col(f"{x}0"))).cast("float")
-    each = parts.join(told, ["lang", "key"]).select("p", "lang", "fold", "key", other("p").alias("own"), other("a").alias("all"))
-    means = parts.select("p", "lang").distinct().join(mean, "lang").select("p", "lang", F.lit(0).cast("long").alias("fold"), F.lit("").alias("key"), F.col("own").cast("float").alias("own"), F.lit(0.0).cast("float").alias("all"))
-    at = shared_dir(rows.sparkSession)
-    n = max(1, parts.select("p").distinct().count())
-    each.unionByName(means).repartition(n, "p").write.partitionBy("p").parquet(at)
+    model = kneser_ney(types.unionByName(every))
+    value = lambda name: [F.log(f"p{1 - f}").cast("float").alias(f"{name}{f}") for f in (0, 1)]
+    own = model.where(F.col("lang") != _ALL)
+    mean = own.groupBy("lang").agg(((F.sum(F.col("n0") * F.log("p1") + F.col("n1") * F.log("p0"))) / F.sum(F.col("n0") + F.col("n1"))).cast("float").alias("mean"))
+    told = own.select("lang", "key", *value("own")).join(model.where(F.col("lang") == _ALL).select("key", *value("all")), "key")
+    each = parts.select("p", "lang", "key").join(told, ["lang", "key"])
+    names = ["own0", "own1", "all0", "all1"]
+    means = parts.select("p", "lang").distinct().join(mean, "lang").select("p", "lang", F.lit("").alias("key"), *[F.col("mean").alias(n) for n in names])
+    at, n = shared_dir(rows.sparkSession), max(1, parts.select("p").distinct().count())
+    each.unionByName(means).select("p", "lang", "key", *names).repartition(n, "p").write.option("compression", "zstd").partitionBy("p").parquet(at)
     return at
 
 
 class Model:
-    """The sorted hash arrays of one input partition, by language and half."""
+    """The sorted hash arrays of one input partition, by language."""
 
     def __init__(self, at: str, p: int):
         import pyarrow.parquet as pq
@@ -251,27 +252,24 @@ class Model:
             return
         files = sorted(f.path for f in store.get_file_info(fs.FileSelector(f"{base}/p={p}")) if f.path.endswith(".parquet"))
         table = pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read() for f in files])
-        group = table.select(["lang", "fold"]).to_pandas().groupby(["lang", "fold"]).indices
-        for (lang, fold), rows in group.items():
+        for lang, rows in table.select(["lang"]).to_pandas().groupby("lang").indices.items():
             own = table.take(pa.array(rows))
-            keys = own.column("key").to_pylist()
-            if "" in keys:
-                k = keys.index("")
-                self.means[lang] = own.column("own")[k].as_py()
-                own = own.filter(pa.array([x != "" for x in keys]))
-            code = np.frombuffer("".join(own.column("key").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+            whole = own.filter(pc.not_equal(own.column("key"), ""))
+            self.means[lang] = own.filter(pc.equal(own.column("key"), "")).column("own0")[0].as_py()
+            code = np.frombuffer("".join(whole.column("key").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
             h = _hash(code)
             order = np.argsort(h)
-            self.arrays[lang, fold] = h[order], *(own.column(c).to_numpy()[order] for c in ("own", "all"))
+            self.arrays[lang] = h[order], {c: whole.column(c).to_numpy()[order] for c in ("own0", "own1", "all0", "all1")}
 
     def look(self, lang: str, fold: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes, *values = self.arrays.get((lang, fold), (np.zeros(0, np.uint64),) * 3)
+        """Log probabilities of n-grams by hash: by the language's model and by that of all."""
+        hashes, values = self.arrays.get(lang, (np.zeros(0, np.uint64), {}))
         seen = pa.array(h).dictionary_encode()
         key, place = seen.dictionary.to_numpy(), seen.indices.to_numpy()
         at = np.minimum(np.searchsorted(hashes, key), max(len(hashes) - 1, 0))
         if len(key) and (not len(hashes) or (hashes[at] != key).any()):
             raise ValueError("the documents changed between the passes")
-        return tuple(v[at][place].astype(np.float64) for v in values)
+        return tuple(values[f"{name}{fold}"][at][place].astype(np.float64) for name in ("own", "all"))
 
 
 def text_scores(texts: list[str], lang: str, fold: int, model: Model) -> np.ndarray:

@@ -417,7 +417,7 @@ def plain_kneser_ney(halves, order):
 def test_kneser_ney(spark):
     samples = [*texts(11, 40, 12), "é😀 漢字 é😀x"]
     rows = spark.createDataFrame([("en", t) for t in samples], "lang string, text string")
-    half = [F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)]
+    half = [F.sum(f"n{f}").alias(f"n{f}") for f in (0, 1)]
     model = quality_rules.kneser_ney(quality_rules.count_ngrams(rows).groupBy("lang", "key").agg(*half)).collect()
     (p0, p1), (n0, n1) = plain_kneser_ney([[t for t in samples if quality_rules.fold_of(t) == f] for f in (0, 1)], quality_rules.ORDER)
     assert {r.key for r in model} == set(n0) | set(n1)
