@@ -136,14 +136,17 @@ def _decode_entities(c: Column) -> Column:
     return c
 
 
-def _polish(c: Column) -> Column:
-    """Drop empty editor phrases and the entry's number; collapse spaces."""
-    for pattern, new in (
-        (r"(?i)\.\s*edited by\s*,\s*", ". "), (r"(?i),?\s*edited by\s*,\s*", ", "), (r"(?i)\s*edited by\s*\.\s*", " "),
-        (r"(?i)\.\s*,\s*ed\.\s+", ". "), (r"^(?:\[\d+\]|\d+\.)\s*", ""), (rf"[{SPACE}]+", " "),
-    ):
-        c = F.regexp_replace(c, pattern, new)
-    return trim(c)
+def _without_empty_editor(c: Column) -> Column:
+    """Without "edited by" or "ed." that names nobody: the mark before it stays, or the comma after it where none stands before."""
+    after_mark = F.regexp_replace(c, r"(?i)([.,])\s*edited by\s*[.,]\s*", "$1 ")
+    bare = F.regexp_replace(after_mark, r"(?i)\s*edited by\s*(?:(,)|\.)\s*", "$1 ")
+    return F.regexp_replace(bare, r"(?i)(\.)\s*,\s*ed\.\s+", "$1 ")
+
+
+def _one_line(c: Column) -> Column:
+    """A citation without an editor phrase that names nobody and without its number in the list; runs of space are one."""
+    numbered = F.regexp_replace(_without_empty_editor(c), r"^(?:\[\d+\]|\d+\.)\s*", "")
+    return trim(F.regexp_replace(numbered, rf"[{SPACE}]+", " "))
 
 
 def _verbatim(fmt: Column) -> Column:
@@ -153,11 +156,11 @@ def _verbatim(fmt: Column) -> Column:
 def tidy_citation(raw: Column, fmt: Column) -> Column:
     """Plain text of a rendered citation; BibTeX and RIS keep their layout."""
     text = trim(_decode_entities(F.regexp_replace(raw, "<[^>]*>", "")))
-    return F.when(_verbatim(fmt), text).otherwise(_polish(text))
+    return F.when(_verbatim(fmt), text).otherwise(_one_line(text))
 
 
 def tidy_citation_html(raw: Column, fmt: Column) -> Column:
-    """The citation with bare emphasis tags only; null for BibTeX and RIS."""
+    """The citation with bare emphasis tags only; null for BibTeX and RIS, and where nothing is left."""
     other = F.regexp_replace(raw, rf"(?i)</?(?!(?:{_INLINE})\b)[a-z0-9]+[^>]*>", "")
     bare = F.regexp_replace(other, rf"(?i)<(/?)({_INLINE})\b[^>]*>", "<$1$2>")
-    return F.when(~_verbatim(fmt), _polish(trim(bare)))
+    return F.when(~_verbatim(fmt), F.nullif(_one_line(trim(bare)), F.lit("")))

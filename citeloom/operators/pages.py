@@ -29,6 +29,7 @@ _BLOCK = frozenset("address article aside blockquote br dd div dl dt fieldset fi
 _HIDDEN = frozenset(("script", "style", "noscript"))
 _CLOSES = {"li": "li", "p": "p", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 #: Names that mark a reference list; plural forms only.
+#: Names and headings of reference lists, fixed values.
 _LIST_NAME = re.compile(r"(?:^|[-_\s])(?:cites|citations|bibliograph(?:y|ies)|references|reflist|ref-list|works-cited|footnotes|cited-by)(?:$|[-_\s])", re.I)
 _LIST_HEADING = re.compile(r"^(?:\d+\.?\s*)?(?:references|bibliography|works\s+cited|literature\s+cited)\s*:?$", re.I)
 _PANEL_TEXT, _PANEL_HOPS = 100, 8
@@ -207,6 +208,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 # -- layers ---------------------------------------------------------------------
 
 #: Where a page's own DOI stands in its meta tags, in order of trust.
+#: Metadata names that hold a page's DOI, in order, fixed values.
 DOI_METAS = (("name", "citation_doi"), ("name", "DC.identifier"), ("name", "dc.identifier"), ("name", "DOI"), ("property", "citation_doi"))
 LAYERS = ("url", "meta", "jsonld", "links", "text")
 
@@ -381,6 +383,7 @@ def in_reference_scope(entries: DataFrame, site_rules: DataFrame) -> DataFrame:
 
 # -- metadata ---------------------------------------------------------------------
 
+#: Metadata names for author, date and title, in order, and those that scholarly pages have, fixed values.
 AUTHOR_METAS = (("name", "citation_author"), ("name", "dc.creator"), ("name", "DC.creator"), ("name", "author"))
 DATE_METAS = (("name", "citation_publication_date"), ("name", "citation_online_date"), ("name", "dc.date"), ("name", "DC.date"), ("property", "article:published_time"))
 TITLE_METAS = (("name", "citation_title"), ("name", "dc.title"), ("property", "og:title"), ("name", "twitter:title"))

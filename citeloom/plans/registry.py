@@ -104,7 +104,7 @@ def normalise_doi(spark, sf_dir):
 
 
 @query("""SELECT paper_id, CASE paper_id % 5 WHEN 0 THEN doi WHEN 1 THEN doi WHEN 2 THEN doi WHEN 3 THEN doi END AS from_href,
-  concat(doi, '.x') AS cleaned, true AS valid_suffix FROM papers""", "papers")
+  concat(doi, '.x') AS cleaned, paper_id % 5 <> 4 AS valid_suffix FROM papers""", "papers")
 def doi_functions(spark, sf_dir):
     p = table(spark, sf_dir, "papers")
     k = F.col("paper_id") % 5
@@ -113,10 +113,10 @@ def doi_functions(spark, sf_dir):
         .when(k == 2, F.concat(F.lit("https://x.org/v?identifierName=doi&identifierValue="), "doi")).when(k == 3, F.concat(F.lit("https://x.org/doi/abs/"), "doi", F.lit("?x=1")))
         .otherwise(F.lit("https://x.org/about"))
     )
-    return p.select("paper_id", D.doi_from_href(href).alias("from_href"), D.clean_doi_trailing(F.concat("doi", F.lit(".x(4)).;"))).alias("cleaned"), D.is_valid_doi_suffix(F.col("doi")).alias("valid_suffix"))
+    return p.select("paper_id", D.doi_from_href(href).alias("from_href"), D.clean_doi_trailing(F.concat("doi", F.lit(".x(4)).;"))).alias("cleaned"), D.is_valid_doi_suffix(F.when(k == 4, "10.1234/x").otherwise(F.col("doi"))).alias("valid_suffix"))
 
 
-@query("""SELECT paper_id, concat('see ', doi, ' now') AS decoded, doi AS unbroken, true AS candidate, concat('PMC', CAST(1000 + paper_id AS STRING)) AS pmcid,
+@query("""SELECT paper_id, concat('see ', doi, ' now') AS decoded, doi AS unbroken, paper_id % 3 <> 0 OR paper_id % 2 = 0 AS candidate, concat('PMC', CAST(1000 + paper_id AS STRING)) AS pmcid,
   concat('PMC', CAST(5000 + paper_id AS STRING)) AS pmcid_in_text, concat('PMC', CAST(7000 + paper_id AS STRING)) AS pmcid_in_href FROM papers""", "papers")
 def id_functions(spark, sf_dir):
     p = table(spark, sf_dir, "papers")
@@ -124,7 +124,7 @@ def id_functions(spark, sf_dir):
     href = F.array(F.lit("https://x.org"), F.concat(F.lit("https://www.ncbi.nlm.nih.gov/pmc/articles/PMC"), n(7000)))
     return p.select(
         "paper_id", D.decode_encoded_dois(F.concat(F.lit("see "), F.replace("doi", F.lit("/"), F.lit("%2F")), F.lit(" now"))).alias("decoded"),
-        D.strip_word_breaks(F.replace("doi", F.lit("/"), F.lit("/​"))).alias("unbroken"), D.contains_doi_candidate(F.col("doi"), F.array().cast("array<string>")).alias("candidate"),
+        D.strip_word_breaks(F.replace("doi", F.lit("/"), F.lit("/​"))).alias("unbroken"), D.contains_doi_candidate(F.when(F.col("paper_id") % 3 == 0, F.col("title")).otherwise(F.concat(F.lit("see the paper "), "doi")), F.when(F.col("paper_id") % 2 == 0, F.array(F.concat(F.lit("https://x.org/"), "doi"))).otherwise(F.array(F.lit("https://x.org/a")))).alias("candidate"),
         D.normalise_pmcid(F.concat(F.lit(" pmc"), n(1000))).alias("pmcid"), D.pmcid_from_text_or_href(F.concat(F.lit("PMCID: PMC "), n(5000)), href).alias("pmcid_in_text"),
         D.pmcid_from_text_or_href(F.col("title"), href).alias("pmcid_in_href"),
     )
@@ -148,26 +148,36 @@ def title_functions(spark, sf_dir):
 
 
 @query("""SELECT paper_id, concat(title, '. & Co. ', first_author, ', Press.') AS plain, concat('<i>', title, '</i> ', first_author) AS html, CASE WHEN paper_id % 2 = 0 THEN year END AS works_year,
-  'journal.example.org' AS host, true AS below, make_timestamp(year, 1 + paper_id % 12, 1 + paper_id % 28, paper_id % 24, 5, 0) AS notice_at FROM papers""", "papers")
+  concat('j', paper_id % 5, CASE WHEN paper_id % 2 = 0 THEN '.example.org' ELSE '.myexample.org' END) AS host, paper_id % 2 = 0 AS below, make_timestamp(year, 1 + paper_id % 12, 1 + paper_id % 28, paper_id % 24, 5, 0) AS notice_at FROM papers""", "papers")
 def citation_functions(spark, sf_dir):
     p = table(spark, sf_dir, "papers")
     k, year = F.col("paper_id"), F.col("year").cast("string")
     raw = F.concat(F.lit("[7]  "), "title", F.lit(". &amp; Co. <i>"), "first_author", F.lit("</i>, edited by , Press."))
     record = F.when(k % 2 == 0, F.concat(F.lit('{"issued":{"date-parts":[['), year, F.lit(",3]]}}"))).otherwise(F.concat(F.lit('{"issued":{"date-parts":[[null]]},"published":{"date-parts":[['), year, F.lit("]]}}")))
     stamp = F.concat((1 + k % 12).cast("string"), F.lit("/"), (1 + k % 28).cast("string"), F.lit("/"), year, F.lit(" "), (k % 24).cast("string"), F.lit(":05"))
-    host = U.host_of(F.concat(F.lit("https://www.Journal.example.org/a/"), k.cast("string")))
+    host = U.host_of(F.concat(F.lit("https://www.J"), (k % 5).cast("string"), F.when(k % 2 == 0, ".example.org").otherwise(".MyExample.org"), F.lit("/a/"), k.cast("string")))
     return p.select(
         "paper_id", T.tidy_citation(raw, F.lit("apa")).alias("plain"), T.tidy_citation_html(F.concat(F.lit("1. <i class='t'>"), "title", F.lit("</i> <span>"), "first_author", F.lit("</span>")), F.lit("mla")).alias("html"),
         T.works_year(record).alias("works_year"), host.alias("host"), U.host_matches(host, F.lit("example.org")).alias("below"), T.parse_notice_date(stamp).alias("notice_at"),
     )
 
 
-@query("""SELECT paper_id, round((greatest(length(title), length(other)) - levenshtein(title, other))::DOUBLE / greatest(length(title), length(other)), 6) AS similarity, 100.0 AS ratio, 'listing' AS page_type
-  FROM (SELECT paper_id, title, concat('on ', title, ' again') AS other FROM papers)""", "papers")
+@query("""SELECT paper_id, round((greatest(length(title), length(other)) - levenshtein(title, other))::DOUBLE / greatest(length(title), length(other)), 6) AS similarity,
+  CASE paper_id % 3 WHEN 0 THEN 100.0 ELSE round(100 * greatest(length(s)::DOUBLE / length(ca), length(s)::DOUBLE / length(cb), (greatest(length(ca), length(cb)) - levenshtein(ca, cb))::DOUBLE / greatest(length(ca), length(cb))), 6) END AS ratio,
+  CASE WHEN paper_id % 4 = 0 THEN 'article' WHEN paper_id % 2 = 0 THEN 'listing' ELSE 'unknown' END AS page_type
+  FROM (SELECT *, array_to_string(list_sort(list_intersect(a, b)), ' ') AS s,
+    trim(concat(array_to_string(list_sort(list_intersect(a, b)), ' '), ' ', array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ' '))) AS ca,
+    trim(concat(array_to_string(list_sort(list_intersect(a, b)), ' '), ' ', array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ' '))) AS cb
+    FROM (SELECT *, list_distinct(string_split(trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')), ' ')) AS a, list_distinct(string_split(trim(regexp_replace(lower(other), '[^a-z0-9_]+', ' ', 'g')), ' ')) AS b
+      FROM (SELECT paper_id, title, CASE paper_id % 3 WHEN 0 THEN concat('on ', title, ' again') WHEN 1 THEN concat(replace(title, 'trial', 'trails'), ' again') ELSE concat('Author ', first_author, ' wrote of ', title[10:]) END AS other FROM papers)))""", "papers")
 def fuzzy_functions(spark, sf_dir):
-    other = F.concat(F.lit("on "), "title", F.lit(" again"))
-    kind = pages.page_type(F.lit(None).cast("string"), F.concat(F.lit("https://x.org/issue/"), F.col("paper_id").cast("string")))
-    return table(spark, sf_dir, "papers").select("paper_id", F.round(T.similarity(F.col("title"), other), 6).alias("similarity"), T.token_set_ratio(F.col("title"), other).alias("ratio"), kind.alias("page_type"))
+    k = F.col("paper_id")
+    other = (
+        F.when(k % 3 == 0, F.concat(F.lit("on "), "title", F.lit(" again"))).when(k % 3 == 1, F.concat(F.replace("title", F.lit("trial"), F.lit("trails")), F.lit(" again")))
+        .otherwise(F.concat(F.lit("Author "), "first_author", F.lit(" wrote of "), F.substring("title", 10, 1000)))
+    )
+    kind = pages.page_type(F.when(k % 4 == 0, F.col("doi")), F.concat(F.when(k % 2 == 0, "https://x.org/issue/").otherwise("https://x.org/paper/"), k.cast("string")))
+    return table(spark, sf_dir, "papers").select("paper_id", F.round(T.similarity(F.col("title"), other), 6).alias("similarity"), F.round(T.token_set_ratio(F.col("title"), other), 6).alias("ratio"), kind.alias("page_type"))
 
 
 # -- notices and lookups ---------------------------------------------------------------
@@ -515,13 +525,22 @@ def search_row_doi(spark, sf_dir):
     return pages.search_row_doi(rows).select("paper_id", "doi", "confident")
 
 
-@query()
+_PAGES_ASKED = """
+req AS (
+  SELECT page_id AS request_id, CASE page_id % 3 WHEN 0 THEN upper(title) WHEN 1 THEN concat(title, ': results') ELSE title END AS title,
+         CASE WHEN page_id % 4 < 2 THEN first_author END AS first_author, CASE WHEN page_id % 4 = 0 THEN year END AS year, CAST(NULL AS STRING) AS host
+  FROM pages JOIN papers ON page_id + 1 = paper_id WHERE page_id % 5 <> 0 AND page_id % 7 <> 3),
+""" + _ASKED[_ASKED.index("rk AS") :]
+
+
+@query(f"WITH {_PAGES_ASKED}, {_BEST} SELECT rk.request_id AS page_id, best.doi FROM rk JOIN best USING (key)", "papers")
 def augment_pages_from_title(spark, sf_dir):
-    """Pages without a DOI of their own, titled after a paper."""
+    """Pages titled after a paper; a seventh of them has a DOI of its own, a fifth is not scholarly."""
     p = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "papers"), F.col("page_id") + 1 == F.col("paper_id"))
-    titles = p.select("page_id", "title", "first_author", "year", "url", F.lit(True).alias("scholarly"))
-    have = pages.extract_page_dois(pages.parse_pages(table(spark, sf_dir, "pages")))
-    return resolve.augment_pages_from_title(titles, have, _works(spark, sf_dir))
+    k = F.col("page_id")
+    title = F.when(k % 3 == 0, F.upper("title")).when(k % 3 == 1, F.concat("title", F.lit(": results"))).otherwise(F.col("title"))
+    titles = p.select("page_id", title.alias("title"), F.when(k % 4 < 2, F.col("first_author")).alias("first_author"), F.when(k % 4 == 0, F.col("year")).alias("year"), F.lit(None).cast("string").alias("url"), (k % 5 != 0).alias("scholarly"))
+    return resolve.augment_pages_from_title(titles, p.where(k % 7 == 3).select("page_id", F.lit("10.1/own").alias("doi")), _works(spark, sf_dir))
 
 
 # -- aggregations ---------------------------------------------------------------------------------
@@ -730,7 +749,11 @@ def cache_hits_asof(spark, sf_dir):
 
 def _scratch(spark: SparkSession) -> str:
     """A fresh folder under the shared checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -779,10 +802,11 @@ def dedupe_in_flight(spark, sf_dir):
     return _replayed(streams.dedupe_in_flight(_events(spark, sf_dir), "60 days"), "append").select("doi")
 
 
-@query(f"SELECT DISTINCT user_id AS tab, {_DOI_OF} AS doi FROM events")
+@query(f"SELECT DISTINCT user_id AS tab, date_trunc('day', ts) AS visit, {_DOI_OF} AS doi FROM events")
 def seen_dois(spark, sf_dir):
-    e = _events(spark, sf_dir).withColumn("visit", F.lit(1))
-    return _replayed(streams.seen_dois(e, "60 days"), "append").select("tab", "doi")
+    """A tab's visit is a day here: a DOI comes once in each."""
+    e = _events(spark, sf_dir).withColumn("visit", F.date_trunc("day", "ts"))
+    return _replayed(streams.seen_dois(e, "60 days"), "append").select("tab", "visit", "doi")
 
 
 @query("""SELECT key, request_id, ts, coalesce(ts - last <= INTERVAL 60 MINUTE, false) AS hit FROM (
@@ -790,9 +814,14 @@ def seen_dois(spark, sf_dir):
     SELECT request_id, CAST(user_id AS STRING) AS key, ts, event_type = 'purchase' AS w FROM lookups)) WHERE NOT w""", "lookups")
 def ttl_cache_stream(spark, sf_dir):
     """The stateful form of cache_hits_asof; the state store is RocksDB."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
     e = _events(spark, sf_dir).select(F.col("tab").cast("string").alias("key"), "request_id", "ts", (F.col("event_type") != "purchase").alias("is_read"))
-    return _replayed(streams.ttl_cache_stream(e, dt.timedelta(minutes=60), "60 days"), "append")
+    spark.conf.set(name, store)
+    try:
+        return _replayed(streams.ttl_cache_stream(e, dt.timedelta(minutes=60), "60 days"), "append")
+    finally:  # other streams of the session keep their own
+        spark.conf.set(name, before)
 
 
 @query(f"""WITH {_REDUCED}, e AS (SELECT event_id AS request_id, {_DOI_OF} AS doi FROM events)
@@ -802,6 +831,45 @@ def enrich_stream(spark, sf_dir):
     return _replayed(streams.enrich_stream(e, _notices(spark, sf_dir), table(spark, sf_dir, "evidence")), "append")
 
 
+# -- files, written and read again ---
+
+
+@query("SELECT original_doi, nature, event_time, notice_doi FROM notice_events", "notice_events")
+def read_notice_csv(spark, sf_dir):
+    """A CSV with quotes, commas and line ends inside fields."""
+    e = table(spark, sf_dir, "notice_events")
+    title = F.concat(F.lit('A "quoted", title\n of '), "original_doi")
+    at = f"{_scratch(spark)}/csv"
+    e.select(
+        title.alias("Title"), F.col("nature").alias("RetractionNature"), F.date_format("event_time", "M/d/yyyy H:mm").alias(" RetractionDate"),
+        F.col("notice_doi").alias("RetractionDOI"), F.concat(F.lit(" "), "original_doi").alias("OriginalPaperDOI"),
+    ).write.csv(at, header=True, quote='"', escape='"')
+    return readers.read_notice_csv(spark, at).drop("seq")
+
+
+@query(f"WITH {_REDUCED} SELECT * FROM reduced", "notice_events")
+def write_notices(spark, sf_dir):
+    """Notices written twice, the second time over the first."""
+    at = f"{_scratch(spark)}/notices"
+    writers.write_notices(_notices(spark, sf_dir).limit(1), at)
+    writers.write_notices(_notices(spark, sf_dir), at)
+    return writers.read_notices(spark, at).select("origin_doi", "notice_doi", "kind", "pos")
+
+
+@query(f"""WITH {_REDUCED}, t AS (SELECT page_id, doi AS ref, {_TAGS} AS tags FROM (SELECT DISTINCT page_id, doi FROM cites) LEFT JOIN feedback USING (doi) LEFT JOIN folded USING (doi) LEFT JOIN evidence USING (doi)),
+e AS (SELECT cited, count(CASE WHEN place = 'text' THEN 1 END) AS a, count(CASE WHEN place = 'none' THEN 1 END) AS b, count(CASE WHEN place = 'href' THEN 1 END) AS c FROM citations GROUP BY cited),
+r AS (SELECT page_id, count(*) AS n FROM t WHERE tags <> '' GROUP BY page_id)
+SELECT p.doi, title, kind AS notice_kind, notice_doi, coalesce(a, 0) AS n_replications, coalesce(b, 0) AS n_reproductions, coalesce(c, 0) AS n_originals, coalesce(r.n, 0) AS n_references
+FROM papers p LEFT JOIN e ON e.cited = p.paper_id LEFT JOIN r ON r.page_id = p.paper_id LEFT JOIN folded USING (doi)""", "notice_events", "cites", "citations", "papers", "feedback", "evidence")
+def write_reports(spark, sf_dir):
+    """Reports written to files and read again, beside lines that are none."""
+    at = f"{_scratch(spark)}/reports"
+    writers.write_reports(_reports(spark, sf_dir), at)
+    table(spark, sf_dir, "papers").selectExpr("""explode(array('{"v":2,"doi":"x","title":"t"}', '{"v":1,"doi":"x","title":7}', '{broken'))""").write.mode("append").text(at)
+    counts = [F.col(f"stats.n_{k}").alias(f"n_{k}") for k in ("replications", "reproductions", "originals", "references")]
+    return writers.read_reports(spark, at, REPORT_SCHEMA).select("doi", "title", F.col("notice.kind").alias("notice_kind"), F.col("notice.notice_doi").alias("notice_doi"), *counts)
+
+
 # -- sources ------------------------------------------------------------------------------------------------
 
 

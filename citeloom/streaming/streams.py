@@ -39,43 +39,59 @@ def dedupe_in_flight(stream: DataFrame, watermark: str = "10 seconds") -> DataFr
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["doi"])
 
 
-def seen_dois(stream: DataFrame, watermark: str = "10 seconds") -> DataFrame:
-    """DOIs not seen before in a tab's visit; state goes with the watermark."""
-    return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["tab", "visit", "doi"])
+def seen_dois(stream: DataFrame, longest: str = "1 day") -> DataFrame:
+    """DOIs not seen before in a tab's visit, from rows (tab, visit, doi), where ``visit`` is the time at which the visit began.
+
+    A new visit starts with none seen. What was seen in a visit is kept while
+    visits that began up to ``longest`` before the newest may go on.
+    """
+    return stream.withWatermark("visit", longest).dropDuplicates(["tab", "visit", "doi"])
 
 
 class _LastWrite(StatefulProcessor):
-    """Keeps a key's last write; a read hits while that is at most ``ttl`` old."""
+    """Keeps a key's last write while a read may still hit; a read hits while that is at most ``ttl`` old."""
 
     def __init__(self, ttl: dt.timedelta):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "ts timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
         pdf = pd.concat(list(rows)).sort_values(["ts", "is_read"], kind="stable")
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for row in pdf.itertuples():
-            if row.is_read:
-                hit = last is not None and row.ts - pd.Timestamp(last) <= self.ttl
-                out.append((key[0], row.request_id, row.ts, hit))
-            else:
-                last = row.ts if last is None else max(pd.Timestamp(last), row.ts)
-        if last is not None:
-            self.last.update((pd.Timestamp(last).to_pydatetime(),))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "request_id", "ts", "hit"])
+        wrote = pdf["ts"].where(~pdf["is_read"].astype(bool)).ffill()
+        if self.last.exists():
+            held = pd.Timestamp(self.last.get()[0])
+            wrote = wrote.fillna(held).clip(lower=held)
+        if len(pdf) and pd.notna(wrote.iloc[-1]):
+            last = wrote.iloc[-1]
+            self.last.update((last.to_pydatetime(),))
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            # a day more, as times come here without their zone
+            self.handle.registerTimer(int((last + self.ttl + pd.Timedelta(days=1)).timestamp() * 1000))
+        read = pdf["is_read"].astype(bool)
+        if read.any():
+            out = pdf.loc[read, ["request_id", "ts"]]
+            out.insert(0, "key", key[0])
+            yield out.assign(hit=((pdf["ts"] - wrote) <= self.ttl)[read])
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.last.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
 def ttl_cache_stream(stream: DataFrame, ttl: dt.timedelta, watermark: str = "10 seconds") -> DataFrame:
-    """(key, request_id, ts, hit) of reads in a stream (key, request_id, ts, is_read) of reads and writes."""
+    """(key, request_id, ts, hit) of reads in a stream (key, request_id, ts, is_read) of reads and writes.
+
+    A key's state goes once the watermark is past what its last write can answer.
+    """
     return stream.withWatermark("ts", watermark).groupBy("key").transformWithStateInPandas(
-        _LastWrite(ttl), outputStructType="key string, request_id long, ts timestamp, hit boolean", outputMode="Append", timeMode="None"
+        _LastWrite(ttl), outputStructType="key string, request_id long, ts timestamp, hit boolean", outputMode="Append", timeMode="EventTime"
     )
 
 
