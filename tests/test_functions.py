@@ -131,3 +131,11 @@ def test_hosts_and_reference_text(spark):
     assert apply(spark, U.host_suffixes, ["a.b.org"]) == [["a.b.org", "b.org", "org"]]
     assert apply(spark, lambda c: U.host_matches(c, F.lit("b.org")), ["a.b.org", "b.org", "ab.org"]) == [True, True, False]
     assert apply(spark, T.clean_reference_text, ["S. T. 2001. CrossRef | PubMed, Google Scholar.", "Web of Science", "A PDFs"]) == ["S. T. 2001.", "Web of Science", "A PDFs"]
+
+
+def test_editor_phrases_without_a_name(spark):
+    plain = lambda c: T.tidy_citation(c, F.lit("apa"))
+    given = ["A title. edited by , Press", "A title, edited by , Press", "A title edited by , Press", "A title edited by . Press", "A title. , ed. Press", "A title, edited by B. Lee, Press"]
+    want = ["A title. Press", "A title, Press", "A title, Press", "A title Press", "A title. Press", "A title, edited by B. Lee, Press"]
+    assert apply(spark, plain, given) == want
+    assert apply(spark, lambda c: T.tidy_citation_html(c, F.lit("mla")), ["<span> </span>", "[3] <p></p>", "<b class='x'>a</b>"]) == [None, None, "<b>a</b>"]
