@@ -81,8 +81,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` holds two long columns ``a`` and ``b``. Large-star and small-star
     rounds alternate until the edges are stars; the number of rounds grows with
-    the logarithm of a component's size. A node's neighbours are only reduced
-    to a minimum and joined back, so a hub is never collected into one task.
+    the logarithm of a component's size. A node's neighbours are reduced to a
+    minimum, which is written and joined back: both sides of a join are then
+    plain shuffles, which adaptive execution splits where a hub is large, or
+    the minima are small enough for Spark to send to all tasks.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = materialise(e), None
@@ -94,10 +96,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             )
         before = size
         both = e.union(e.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = materialise(large.distinct())
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct())

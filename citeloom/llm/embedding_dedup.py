@@ -15,10 +15,12 @@ overlap and beam, and after three tries all vectors are compared.
 A shard with more than ``CHUNK`` vectors is dealt into chunks, each with a graph
 of its own, and each pair of chunks is a task. A task reports link counts and
 local components, never all pairs; a pair in several shards counts in the first
-that its vectors share.
+that its vectors share, and joins their components wherever it is found.
 
-Centroids are fitted on at most ``SAMPLE`` vectors and number ``CENTROIDS`` at
-most; all vectors are indexed. Vectors of different lengths don't link; those of
+Centroids are as many as keep shards at about ``CHUNK`` vectors. They are fitted
+on at most ``SAMPLE`` vectors; where more than ``CENTROIDS`` are needed, those are
+fitted within cells, each on at most ``SEEDS`` of its vectors a centroid. All
+vectors are indexed. Vectors of different lengths don't link; those of
 another length than most are compared with all of their own length. Vectors that
 are null, zero, or hold null or non-finite components link with nothing. The
 recall of a table whose audited queries have no link is null: not measured.
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise
@@ -48,6 +50,8 @@ ALPHA = 1.2
 MEDOIDS = 8
 SAMPLE = 32_768
 CENTROIDS = 4096
+SEEDS = 16
+PART = 8192
 AUDIT = 4096
 RECALL = 0.97
 
@@ -221,34 +225,86 @@ def _task(table: pa.Table, beam: int, cosine: float, kind: str) -> pa.Table:
             for m in range(shards.shape[1]):
                 both = (shards[b] == shards[a, m][:, None]).any(1)
                 common = np.where(both, np.minimum(common, shards[a, m]), common)
+            fold(label, a, b)
             mine = common == shard
             a, b = a[mine], b[mine]
             np.add.at(count, a, weight[b])
             np.add.at(count, b, weight[a])
-            fold(label, a, b)
-    some = np.flatnonzero(count)
+    some = np.flatnonzero((count > 0) | (label != np.arange(len(key))))
     return pa.table({"key": key[some], "links": count[some], "root": key[label[some]]})
 
 
-def _search(reps: DataFrame, n: int, overlap: int, beam: int, cosine: float, kind: str) -> DataFrame:
-    """(key, links, root) of linked vectors, from rows (key, copies, vec)."""
-    spark = reps.sparkSession
-    k = int(min(CENTROIDS, max(1, -(-n * overlap // CHUNK))))
-    size = min(SAMPLE, max(1, 64 * k))
-    sample = reps.orderBy(F.xxhash64("key"), "key").limit(size).select("vec").toArrow()
-    centre = fit_centroids(matrix(sample.column("vec"), kind), k)
-    overlap = min(overlap, len(centre))
-    shared = spark.sparkContext.broadcast(centre)  # CENTROIDS vectors at most
+def nearest(x: np.ndarray, centre: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, cosines) of the ``most`` nearest of ``centre`` to each vector, the nearest first."""
+    most, number, cosine = min(most, len(centre)), [], []
+    for i in range(0, len(x), 512):
+        cos = x[i : i + 512] @ centre.T
+        own = np.argpartition(-cos, most - 1, axis=1)[:, :most]
+        at = np.take_along_axis(cos, own, 1)
+        order = np.argsort(-at, axis=1, kind="stable")
+        number.append(np.take_along_axis(own, order, 1))
+        cosine.append(np.take_along_axis(at, order, 1))
+    return np.concatenate(number), np.concatenate(cosine)
+
+
+def _placed(reps: DataFrame, centre: np.ndarray, overlap: int, kind: str) -> DataFrame:
+    """``reps`` with ``shards``, the numbers of each vector's nearest centroids; written."""
+    shared = reps.sparkSession.sparkContext.broadcast(centre)  # SAMPLE vectors at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cos = matrix(batch.column("vec"), kind) @ shared.value.T
-                own = np.argpartition(-cos, overlap - 1, axis=1)[:, :overlap]
+                own = nearest(matrix(batch.column("vec"), kind), shared.value, overlap)[0]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.tolist(), pa.list_(pa.int64()))], names=[*batch.schema.names, "shards"])
 
-    placed = materialise(reps.mapInArrow(assign, "key long, copies long, vec binary, shards array<long>"))
-    members = placed.select("key", "copies", "vec", "shards", F.explode("shards").alias("shard"))
+    return materialise(reps.mapInArrow(assign, "key long, copies long, vec binary, shards array<long>"))
+
+
+def _placed_in_cells(reps: DataFrame, cells: np.ndarray, k: int, overlap: int, kind: str) -> DataFrame:
+    """As ``_placed`` for about ``k`` centroids, fitted within ``cells``.
+
+    A vector looks at the centroids of its nearest cells. They never meet in one
+    place: vectors of a cell are dealt into parts of about ``PART``, and each part
+    gets the centroids of its cell.
+    """
+    each = -(-k // len(cells))
+    placed = _placed(reps, cells, overlap, kind)
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("key"), "key"))
+    sample = placed.select("key", "vec", F.get("shards", F.lit(0)).alias("cell")).withColumn("rank", rank).where(F.col("rank") <= SEEDS * each)
+
+    def fit(table: pa.Table) -> pa.Table:
+        centre = fit_centroids(matrix(table.column("vec"), kind), each)
+        return pa.table({"cell": table.column("cell")[:1], "centres": pa.array([centre.tobytes()], pa.binary())})
+
+    fitted = sample.select("cell", "vec").groupBy("cell").applyInArrow(fit, "cell long, centres binary")
+    rows = placed.select("key", "vec", F.explode("shards").alias("cell"))
+    parts = materialise(rows.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts")))
+    rows = rows.join(parts, "cell").select("cell", F.expr("pmod(xxhash64(key), parts)").alias("part"), "key", "vec")
+    fitted = fitted.join(parts, "cell").select("cell", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "centres")
+
+    def assign(own: pa.Table, centres: pa.Table) -> pa.Table:
+        key, shard, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if own.num_rows and centres.num_rows:  # a cell that is nobody's nearest has no centroids
+            x = matrix(own.column("vec"), kind)
+            number, cosine = nearest(x, np.frombuffer(centres.column("centres")[0].as_py()).reshape(-1, x.shape[1]), overlap)
+            key = np.repeat(own.column("key").to_numpy(), number.shape[1])
+            shard, cosine = own.column("cell")[0].as_py() * each + number.ravel(), cosine.ravel()
+        return pa.table({"key": key, "shard": shard, "cosine": cosine})
+
+    told = rows.groupBy("cell", "part").cogroup(fitted.groupBy("cell", "part")).applyInArrow(assign, "key long, shard long, cosine double")
+    best = told.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "shard")))["shard"].alias("best"))
+    same_size = F.transform(F.sequence(F.lit(0), F.lit(overlap - 1)), lambda i: F.coalesce(F.get("best", i), F.get("best", F.lit(0))))
+    return materialise(reps.join(best.select("key", same_size.alias("shards")), "key").select("key", "copies", "vec", "shards"))
+
+
+def _search(reps: DataFrame, n: int, overlap: int, beam: int, cosine: float, kind: str) -> DataFrame:
+    """(key, links, root) of linked vectors, from rows (key, copies, vec)."""
+    k = max(1, -(-n * overlap // CHUNK))
+    first = k if k <= CENTROIDS else int(np.ceil(np.sqrt(k)))
+    sample = reps.orderBy(F.xxhash64("key"), "key").limit(min(SAMPLE, 64 * first)).select("vec").toArrow()
+    centre = fit_centroids(matrix(sample.column("vec"), kind), first)
+    placed = _placed(reps, centre, overlap, kind) if k <= CENTROIDS else _placed_in_cells(reps, centre, k, overlap, kind)
+    members = placed.select("key", "copies", "vec", "shards", F.explode(F.array_distinct("shards")).alias("shard"))
     sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
     members = members.join(sizes, "shard").withColumn("chunk", F.expr("pmod(xxhash64(key, shard), chunks)"))
 

@@ -154,10 +154,15 @@ def test_recall_without_links_is_not_measured(spark):
     assert {r.audit_recall for r in E.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()} == {None}
 
 
-@pytest.mark.parametrize("chunk", [2048, 64, 16])
-def test_every_link_of_hot_and_chained_groups(spark, monkeypatch, chunk):
-    """A hot group, a chain whose ends don't link, and pairs: as brute force has them, at several sizes of chunks."""
+@pytest.mark.parametrize("chunk, centroids, part", [(2048, 4096, 8192), (64, 4096, 8192), (16, 4096, 8192), (16, 8, 20)])
+def test_every_link_of_hot_and_chained_groups(spark, monkeypatch, chunk, centroids, part):
+    """A hot group, a chain whose ends don't link, and pairs: as brute force has them, at several sizes of chunks.
+
+    The last case needs more centroids than are fitted at once.
+    """
     monkeypatch.setattr(E, "CHUNK", chunk)
+    monkeypatch.setattr(E, "CENTROIDS", centroids)
+    monkeypatch.setattr(E, "PART", part)
     rng = np.random.default_rng(9)
     hot = rng.normal(size=(1, 24)) + 0.1 * rng.normal(size=(120, 24))
     turn = np.arange(40) * 0.4
