@@ -163,6 +163,7 @@ def test_every_link_of_hot_and_chained_groups(spark, monkeypatch, chunk, centroi
     monkeypatch.setattr(E, "CHUNK", chunk)
     monkeypatch.setattr(E, "CENTROIDS", centroids)
     monkeypatch.setattr(E, "PART", part)
+    monkeypatch.setattr(E, "_exact", None)  # the search alone
     rng = np.random.default_rng(9)
     hot = rng.normal(size=(1, 24)) + 0.1 * rng.normal(size=(120, 24))
     turn = np.arange(40) * 0.4
