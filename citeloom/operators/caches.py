@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Iterator
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that one task may walk in order.
+WALKED = 100_000
+
 
 def _time(now: dt.datetime | Column) -> Column:
     return now if isinstance(now, Column) else F.lit(now).cast("timestamp")
@@ -29,33 +34,54 @@ def upsert_cache(cache: DataFrame, updates: DataFrame, keep_misses: bool = True)
     return both.groupBy("key").agg(last.alias("r")).select("key", "r.value", "r.written_at")
 
 
+def _ages(rows: Callable[[], DataFrame]) -> Iterator[Column]:
+    """Ever finer groups of rows in the order of created_at and key: hours, seconds, instants, then a letter of the key at a time.
+
+    ``rows`` gives the rows that are still undecided; letters that all their keys share are passed over.
+    """
+    for micros in (3_600_000_000, 1_000_000, 1):
+        yield F.coalesce(F.floor(F.unix_micros("created_at") / micros), F.lit(-(1 << 60)))
+    key = F.coalesce("key", F.lit(""))
+    while True:
+        ends = rows().agg(F.min(key).alias("a"), F.max(key).alias("z")).first()
+        if ends["a"] == ends["z"]:
+            return
+        yield F.substring(key, 1, len(commonprefix(ends)) + 1)
+
+
 def evict_to_quota(cache: DataFrame, quota: int, now: dt.datetime | Column) -> DataFrame:
-    """Rows (key, bytes, created_at, expires_at) that stay.
+    """Rows (key, bytes, created_at, expires_at) that stay; the key is a string.
 
     At the quota or above it, expired rows go, then the oldest until the bytes
-    freed exceed what is over; a missing created_at is oldest. 0 means no limit.
-    A running sum over all rows would be one task's work: bytes are summed by
-    hour first, and only the hour in which the sum is reached is walked by row.
+    freed exceed what is over; a missing created_at is oldest, and rows of one
+    age go by key. 0 means no limit. A running sum over all rows would be one
+    task's work: bytes are summed by group first, and the group in which the sum
+    is reached is divided further until ``WALKED`` rows or one key are left.
     """
     total = cache.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
     if not quota or total < quota:
         return cache
     over = total - quota
     dead = F.coalesce(F.col("expires_at") <= _time(now), F.lit(False))
-    freed = cache.where(dead).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
-    live = cache.where(~dead)
-    if freed > over:
-        return live
-    hour = F.coalesce(F.floor(F.unix_seconds("created_at") / 3600), F.lit(-(1 << 40)))
-    rows = live.withColumn("__hour", hour)
-    hours = rows.groupBy("__hour").agg(F.sum("bytes").alias("b"))
-    hours = hours.withColumn("after", F.sum("b").over(Window.orderBy("__hour")))
-    edge = hours.where(F.col("after") + freed > over).orderBy("__hour").select("__hour", (F.col("after") - F.col("b")).alias("before")).first()
-    if edge is None:
-        return live.limit(0)
+    before = cache.where(dead).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
+    open_ = cache.where(~dead)
+    if before > over:
+        return open_
+    stay = open_.limit(0)
+    for group in _ages(lambda: open_):
+        sums = open_.groupBy(group.alias("at")).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.count("*").alias("n"))
+        sums = sums.withColumn("after", F.sum("b").over(Window.orderBy("at")))  # a row for each group
+        edge = sums.where(F.col("after") > over - before).orderBy("at").first()
+        if edge is None:
+            return stay
+        stay = stay.unionByName(open_.where(group > edge["at"]))
+        open_ = open_.where(group == edge["at"])
+        before += edge["after"] - edge["b"]
+        if edge["n"] <= WALKED:
+            break
     order = Window.orderBy(F.col("created_at").asc_nulls_first(), "key").rowsBetween(Window.unboundedPreceding, -1)
-    walked = rows.where(F.col("__hour") == edge["__hour"]).withColumn("__gone", F.coalesce(F.sum("bytes").over(order), F.lit(0)) + edge["before"] + freed)
-    return rows.where(F.col("__hour") > edge["__hour"]).drop("__hour").unionByName(walked.where(F.col("__gone") > over).drop("__hour", "__gone"))
+    walked = open_.withColumn("__gone", F.coalesce(F.sum("bytes").over(order), F.lit(0)) + before)
+    return stay.unionByName(walked.where(F.col("__gone") > over).drop("__gone"))
 
 
 def cache_hits_asof(requests: DataFrame, writes: DataFrame, ttl: dt.timedelta) -> DataFrame:

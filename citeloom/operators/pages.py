@@ -165,9 +165,12 @@ def _parse(html: str | None) -> tuple:
     body = next((n for n in every if n.tag == "body"), root)
     boxes = _outermost([n for n in every if _LIST_NAME.search(n.attrs.get("class", "")) or _LIST_NAME.search(n.attrs.get("id", ""))])
     entries = [e for box in boxes for e in _list_entries(box)] or _heading_entries(root)
-    texts = []
+    texts, linked = [], set()  # linked: links and all below them; parents come before their children
+    for node in every:
+        if node.tag == "a" or id(node.parent) in linked:
+            linked.add(id(node))
     for node in [body, *body.elements()]:
-        if node.tag not in _HIDDEN and node.tag != "a" and not any(a.tag == "a" for a in node.ancestors()):
+        if node.tag not in _HIDDEN and id(node) not in linked:
             texts += [(node, i, k) for i, k in enumerate(node.kids) if isinstance(k, str) and k]
     first = lambda tag: next((n.text(False).strip() for n in every if n.tag == tag), None)
     return (

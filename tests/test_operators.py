@@ -141,6 +141,24 @@ def test_evict(spark, quota, kept):
     assert "".join(sorted(r.key for r in caches.evict_to_quota(df, quota, t(2024, 1, 10)).collect())) == kept
 
 
+@pytest.mark.parametrize("walked", [100_000, 3])
+def test_evict_of_one_age(spark, monkeypatch, walked):
+    """Many rows without a date, of one second, of one instant: as a walk over all rows in order has it."""
+    monkeypatch.setattr(caches, "WALKED", walked)
+    t = dt.datetime
+    when = [None] * 20 + [t(2024, 1, 3, 5, 0, 0, k % 3) for k in range(20)] + [t(2024, 1, 3, 5, k) for k in range(10)]
+    rows = [(f"https://x.org/{k * 7919 % 101:03d}" if k else None, 1 + k % 4, w, None) for k, w in enumerate(when)]
+    df = spark.createDataFrame(rows, "key string, bytes long, created_at timestamp, expires_at timestamp")
+    total = sum(r[1] for r in rows)
+    for quota in (total - 17, 40):
+        gone, want = 0, set()
+        for key, size, *_ in sorted(rows, key=lambda r: (r[2] or t.min, r[0] or "")):
+            if gone > total - quota:
+                want.add(key)
+            gone += size
+        assert {r.key for r in caches.evict_to_quota(df, quota, t(2024, 1, 10)).collect()} == want
+
+
 def test_reports_reject_what_is_not_theirs(spark, tmp_path):
     lines = ['{"v":1,"title":"ok","doi":"d"}', '{"v":2,"title":"x"}', '{"v":1,"title":7}', "{broken", "null"]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
