@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 
 LABELLED = 8_000
 ROUNDS = 3
@@ -224,7 +224,7 @@ def features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), *[F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("text", "lang", "source")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             content, meta = views_of(*[batch.column(k).to_pylist() for k in ("text", "lang", "source")])
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r.tobytes() for r in x], pa.binary()) for x in (content, meta)]], names=["id", "content", "meta"])
 
@@ -275,12 +275,11 @@ def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                doc = batch.column(0)
-                names = [doc.type.field(k).name for k in range(doc.type.num_fields)]
-                texts, langs, sources = (doc.field(names.index(c)).to_pylist() if c in names else [None] * len(doc) for c in ("text", "lang", "source"))
-                keep = pa.array(score_rows(model, views_of(texts, langs, sources)) >= KEEP)
-                yield pa.RecordBatch.from_arrays([doc.filter(keep)], names=["doc"])
+        for batch in slices(batches):
+            doc = batch.column(0)
+            names = [doc.type.field(k).name for k in range(doc.type.num_fields)]
+            texts, langs, sources = (doc.field(names.index(c)).to_pylist() if c in names else [None] * len(doc) for c in ("text", "lang", "source"))
+            keep = pa.array(score_rows(model, views_of(texts, langs, sources)) >= KEEP)
+            yield pa.RecordBatch.from_arrays([doc.filter(keep)], names=["doc"])
 
     return whole.mapInArrow(run, whole.schema).select("doc.*")

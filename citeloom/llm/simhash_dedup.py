@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, partitions
+from .common import connected_components, materialise, partitions, slices
 
 BUDGET = 3
 BLOCK = 4096
@@ -52,6 +52,7 @@ RECALL = 0.9
 DEEPEST = 16  # bits by which a heavy band is dealt out
 _LANES = np.uint64(0x0101010101010101)
 _FLUSH = 1_000_000
+_COMPARED = 200_000  # pairs in leaves at a time
 
 
 def _hashes(text: str | None, n: int) -> list[int]:
@@ -170,15 +171,16 @@ def trie_pairs(fp: np.ndarray, nodes: np.ndarray, depth: int, budget: int = BUDG
         size = (n[:, 1] - n[:, 0]) * (n[:, 3] - n[:, 2])
         small = (size <= leaf) | (d == 64 * fp.shape[1])
         if small.any():
-            s = n[small]
-            width = s[:, 3] - s[:, 2]
-            count = size[small]
-            pair = np.repeat(np.arange(len(s)), count)
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            i, j = s[pair, 0] + at // width[pair], s[pair, 2] + at % width[pair]
-            near = (np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= budget) & ((s[pair, 0] != s[pair, 2]) | (i < j))
-            if near.any():
-                yield i[near], j[near]
+            parts = np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(size[small]) // _COMPARED)) + 1, [small.sum()]))
+            for lo, hi in zip(parts, parts[1:]):
+                s, count = n[small][lo:hi], size[small][lo:hi]
+                width = s[:, 3] - s[:, 2]
+                pair = np.repeat(np.arange(len(s)), count)
+                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                i, j = s[pair, 0] + at // width[pair], s[pair, 2] + at % width[pair]
+                near = (np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= budget) & ((s[pair, 0] != s[pair, 2]) | (i < j))
+                if near.any():
+                    yield i[near], j[near]
         n, diff = n[~small], diff[~small]
         if not len(n):
             continue
@@ -349,7 +351,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own = wide_fingerprints(batch.column(0).field(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in own], pa.binary())], names=["doc", "row", "fp"])
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 from .packing import END_ID, tokenizer_path, word_ids
 
 LENGTH = 512
@@ -78,7 +78,7 @@ def permute(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) ->
 def _streams(batches: Iterator[pa.RecordBatch], words, width: int) -> Iterator[bytes]:
     """The ids of a partition's texts in pieces of ``width`` bytes; the last one may be shorter."""
     end, held = np.array([END_ID], "<u2").tobytes(), bytearray()
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             held += np.frombuffer(words.text(text), "<u4").astype("<u2").tobytes() + end
             if len(held) >= 2 * width:
