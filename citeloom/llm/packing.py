@@ -34,7 +34,7 @@ WINDOW = 2048
 PIECE = 512
 GROUP = 2048
 END_ID = 1
-CACHE = 1_500_000
+CACHE = 690_000  # as many as fit before the table of a dict doubles to 42 MB
 TOKENIZER = "word_bpe_49k.json"
 
 
