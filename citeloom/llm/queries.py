@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, language_id, mixing, packing, pii, quality_model, quality_rules, simhash_dedup, token_store
+from . import chat, embedding_dedup, language_id, mixing, packing, pii, piece_codec, prefix_trie, quality_model, quality_rules, simhash_dedup, token_store, whitening
 from .common import read_table, shared_dir
 
 
@@ -56,15 +56,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = piece_codec.encode(read_table(spark, sf_dir, "documents"), decoded=True)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_embedding_near_dedup, op2_chat_formatting, op3_pii, op4_language_id, op5_token_store,
             op6_packing, op7_simhash_near_dedup, op8_mixing, op9_quality_model, op10_quality_rules,
+            op11_piece_codec, op12_whitening, op13_prefix_trie,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL, "op8_mixing": mixing.SQL}
+    return {"op2_chat_formatting": chat.SQL, "op8_mixing": mixing.SQL, "op13_prefix_trie": prefix_trie.SQL}
