@@ -11,7 +11,7 @@ SPACE = r"\t\n\x0B\f\r\x20\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u300
 WORD_BREAKS = "\u200b\u200c\u200d\u00ad\u2060"
 
 _HEAD = r"10\.\d{4,}+(?:\.\d++)*+"
-#: A slash and a bare word before a separator or the end is page routing.
+#: A slash and a bare word before a separator or the end is page routing, a fixed pattern.
 _ROUTE = rf"(?![a-zA-Z-]++(?:[/{SPACE},#?&<>{{}}\[\]]|\z))"
 
 
@@ -19,7 +19,7 @@ def _pattern(suffix: str) -> str:
     return rf"({_HEAD}/{suffix}++(?:/{_ROUTE}{suffix}++)*+)"
 
 
-#: DOIs in links, addresses and plain text.
+#: DOIs in links, addresses and plain text; with the next, fixed patterns.
 DOI_PATTERN = _pattern(rf"[^{SPACE},/\]}}>'\"<#?&\\]")
 #: DOIs in rendered text, where ``<``, ``>`` and ``}`` belong to old-style identifiers.
 DOI_TEXT_PATTERN = _pattern(rf"[^{SPACE},/\]'\"#?&\\]")

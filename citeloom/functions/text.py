@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -136,17 +137,51 @@ def _decode_entities(c: Column) -> Column:
     return c
 
 
-def _without_empty_editor(c: Column) -> Column:
-    """Without "edited by" or "ed." that names nobody: the mark before it stays, or the comma after it where none stands before."""
-    after_mark = F.regexp_replace(c, r"(?i)([.,])\s*edited by\s*[.,]\s*", "$1 ")
-    bare = F.regexp_replace(after_mark, r"(?i)\s*edited by\s*(?:(,)|\.)\s*", "$1 ")
-    return F.regexp_replace(bare, r"(?i)(\.)\s*,\s*ed\.\s+", "$1 ")
+def _left(c: Column) -> Column:
+    return F.regexp_replace(c, rf"\A[{SPACE}]+", "")
+
+
+def _right(c: Column) -> Column:
+    return F.regexp_replace(c, rf"[{SPACE}]+\z", "")
+
+
+def _rejoined(c: Column, phrase: str, join: Callable[[Column, Column, Column], Column]) -> Column:
+    """``c`` split at a phrase and put together again: ``join`` takes what stands so far, the phrase as it is spelt, and what follows it."""
+    parts, found = F.split(c, phrase), F.regexp_extract_all(c, F.lit(f"({phrase})"), F.lit(1))
+    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    steps = F.zip_with(found, rest, lambda p, after: F.struct(p.alias("phrase"), after.alias("after")))
+    return F.aggregate(steps, F.get(parts, F.lit(0)), lambda so_far, step: join(so_far, step["phrase"], step["after"]))
+
+
+def _editor_joined(before: Column, phrase: Column, after: Column) -> Column:
+    # the phrase names nobody if a mark follows it at once
+    mark, left = F.substring(_left(after), 1, 1), _right(before)
+    rest = _left(F.substr(_left(after), F.lit(2)))
+    stop = F.when(F.endswith(left, F.lit(".")), left).otherwise(F.concat(F.when(F.endswith(left, F.lit(",")), F.left(left, F.length(left) - 1)).otherwise(left), F.lit(",")))
+    return F.when(mark == ",", F.concat(stop, F.lit(" "), rest)).when(mark == ".", F.concat(left, F.lit(" "), rest)).otherwise(F.concat(before, phrase, after))
+
+
+def _abbreviated_joined(before: Column, comma: Column, after: Column) -> Column:
+    # ", ed." that follows a full stop
+    part = _left(after)
+    empty = (F.lower(F.left(part, F.lit(3))) == "ed.") & F.endswith(_right(before), F.lit(".")) & F.substr(part, F.lit(4)).rlike(rf"\A[{SPACE}]")
+    return F.when(empty, F.concat(_right(before), F.lit(" "), _left(F.substr(part, F.lit(4))))).otherwise(F.concat(before, comma, after))
+
+
+def _unnumbered(c: Column) -> Column:
+    """Without the place in a list that a citation begins with: digits and a full stop, or digits in brackets."""
+    digits = "0123456789"
+    open_ = F.startswith(c, F.lit("["))
+    inside = F.when(open_, F.substr(c, F.lit(2))).otherwise(c)
+    after = F.ltrim(inside, F.lit(digits))
+    numbered = (F.length(after) < F.length(inside)) & F.startswith(after, F.when(open_, F.lit("]")).otherwise(F.lit(".")))
+    return F.when(numbered, F.substr(after, F.lit(2))).otherwise(c)
 
 
 def _one_line(c: Column) -> Column:
-    """A citation without an editor phrase that names nobody and without its number in the list; runs of space are one."""
-    numbered = F.regexp_replace(_without_empty_editor(c), r"^(?:\[\d+\]|\d+\.)\s*", "")
-    return trim(F.regexp_replace(numbered, rf"[{SPACE}]+", " "))
+    """A citation without editor phrases that name nobody and without its number in the list; runs of space are one."""
+    named = _rejoined(_rejoined(c, "(?i)edited by", _editor_joined), ",", _abbreviated_joined)
+    return trim(F.regexp_replace(_unnumbered(named), rf"[{SPACE}]+", " "))
 
 
 def _verbatim(fmt: Column) -> Column:

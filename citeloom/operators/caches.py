@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator
-from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one task may walk in order.
-WALKED = 100_000
+from ..sources.staging import staged
+from . import scans
 
 
 def _time(now: dt.datetime | Column) -> Column:
@@ -34,64 +32,44 @@ def upsert_cache(cache: DataFrame, updates: DataFrame, keep_misses: bool = True)
     return both.groupBy("key").agg(last.alias("r")).select("key", "r.value", "r.written_at")
 
 
-def _ages(rows: Callable[[], DataFrame]) -> Iterator[Column]:
-    """Ever finer groups of rows in the order of created_at and key: hours, seconds, instants, then a letter of the key at a time.
-
-    ``rows`` gives the rows that are still undecided; letters that all their keys share are passed over.
-    """
-    for micros in (3_600_000_000, 1_000_000, 1):
-        yield F.coalesce(F.floor(F.unix_micros("created_at") / micros), F.lit(-(1 << 60)))
-    key = F.coalesce("key", F.lit(""))
-    while True:
-        ends = rows().agg(F.min(key).alias("a"), F.max(key).alias("z")).first()
-        if ends["a"] == ends["z"]:
-            return
-        yield F.substring(key, 1, len(commonprefix(ends)) + 1)
-
-
 def evict_to_quota(cache: DataFrame, quota: int, now: dt.datetime | Column) -> DataFrame:
     """Rows (key, bytes, created_at, expires_at) that stay; the key is a string.
 
     At the quota or above it, expired rows go, then the oldest until the bytes
     freed exceed what is over; a missing created_at is oldest, and rows of one
-    age go by key. 0 means no limit. A running sum over all rows would be one
-    task's work: bytes are summed by group first, and the group in which the sum
-    is reached is divided further until ``WALKED`` rows or one key are left.
+    age go by key. 0 means no limit. Rows are sorted over tasks once; a running sum
+    is taken over one row a task, and over the rows of the one in which the bytes
+    freed suffice, whatever ties.
     """
     total = cache.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
     if not quota or total < quota:
         return cache
     over = total - quota
     dead = F.coalesce(F.col("expires_at") <= _time(now), F.lit(False))
-    before = cache.where(dead).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
-    open_ = cache.where(~dead)
-    if before > over:
-        return open_
-    stay = open_.limit(0)
-    for group in _ages(lambda: open_):
-        sums = open_.groupBy(group.alias("at")).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.count("*").alias("n"))
-        sums = sums.withColumn("after", F.sum("b").over(Window.orderBy("at")))  # a row for each group
-        edge = sums.where(F.col("after") > over - before).orderBy("at").first()
-        if edge is None:
-            return stay
-        stay = stay.unionByName(open_.where(group > edge["at"]))
-        open_ = open_.where(group == edge["at"])
-        before += edge["after"] - edge["b"]
-        if edge["n"] <= WALKED:
-            break
-    order = Window.orderBy(F.col("created_at").asc_nulls_first(), "key").rowsBetween(Window.unboundedPreceding, -1)
-    walked = open_.withColumn("__gone", F.coalesce(F.sum("bytes").over(order), F.lit(0)) + before)
-    return stay.unionByName(walked.where(F.col("__gone") > over).drop("__gone"))
+    first = cache.where(dead).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
+    rows = scans.in_order(cache.where(~dead).select("created_at", "key", "bytes", F.struct("*").alias("row")), "created_at", "key")
+    parts = rows.groupBy("part").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"))
+    before = F.coalesce(F.sum("b").over(Window.orderBy("part").rowsBetween(*scans.BEFORE)), F.lit(0)) + first
+    parts = staged(parts.withColumn("before", before))  # a row for each part
+    stay = rows.join(parts.where(F.col("before") > over).select("part"), "part").select("row.*")
+    edge = rows.join(parts.where((F.col("before") <= over) & (F.col("before") + F.col("b") > over)), "part")
+    own = Window.partitionBy("part").orderBy("at").rowsBetween(*scans.BEFORE)
+    walked = edge.withColumn("gone", F.col("before") + F.coalesce(F.sum("bytes").over(own), F.lit(0)))
+    return stay.unionByName(walked.where(F.col("gone") > over).select("row.*"))
 
 
 def cache_hits_asof(requests: DataFrame, writes: DataFrame, ttl: dt.timedelta) -> DataFrame:
     """``requests`` (request_id, key, ts) with ``hit``: whether the key's last write (key, ts) up to then is at most ``ttl`` old.
 
-    Both are one sequence a key, so a window carries the last write forward; no range join.
+    Both are one sequence by key and time, dealt over tasks wherever a key is
+    large; each part begins with the last write of the parts before it.
     """
     r = requests.select("request_id", "key", "ts", F.lit(1).alias("o"), F.lit(None).cast("timestamp").alias("w"))
     w = writes.select(F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), "key", "ts", F.lit(0).alias("o"), F.col("ts").alias("w"))
-    order = Window.partitionBy("key").orderBy("ts", "o").rowsBetween(Window.unboundedPreceding, 0)
-    rows = r.unionByName(w).withColumn("last", F.last("w", ignorenulls=True).over(order)).where("o = 1")
-    hit = F.unix_micros("ts") - F.unix_micros("last") <= int(ttl.total_seconds() * 1e6)
+    rows = scans.in_order(r.unionByName(w), "key", "ts", "o")
+    parts = rows.groupBy("key", "part").agg(F.max("w").alias("w"))
+    parts = parts.select("key", "part", F.max("w").over(Window.partitionBy("key").orderBy("part").rowsBetween(*scans.BEFORE)).alias("carried"))
+    own = F.max("w").over(Window.partitionBy("key", "part").orderBy("at").rowsBetween(*scans.UPTO))
+    rows = scans.with_parts(rows.withColumn("own", own).where("o = 1"), parts, "key", "part")
+    hit = F.unix_micros("ts") - F.unix_micros(F.coalesce("own", "carried")) <= int(ttl.total_seconds() * 1e6)
     return rows.select("request_id", "key", "ts", F.coalesce(hit, F.lit(False)).alias("hit"))

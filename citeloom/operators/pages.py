@@ -28,8 +28,7 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _BLOCK = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 _HIDDEN = frozenset(("script", "style", "noscript"))
 _CLOSES = {"li": "li", "p": "p", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
-#: Names that mark a reference list; plural forms only.
-#: Names and headings of reference lists, fixed values.
+#: Names (plural forms only) and headings that mark a reference list, fixed values.
 _LIST_NAME = re.compile(r"(?:^|[-_\s])(?:cites|citations|bibliograph(?:y|ies)|references|reflist|ref-list|works-cited|footnotes|cited-by)(?:$|[-_\s])", re.I)
 _LIST_HEADING = re.compile(r"^(?:\d+\.?\s*)?(?:references|bibliography|works\s+cited|literature\s+cited)\s*:?$", re.I)
 _PANEL_TEXT, _PANEL_HOPS = 100, 8
@@ -210,8 +209,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 # -- layers ---------------------------------------------------------------------
 
-#: Where a page's own DOI stands in its meta tags, in order of trust.
-#: Metadata names that hold a page's DOI, in order, fixed values.
+#: Metadata names that hold a page's own DOI, in order of trust, fixed values.
 DOI_METAS = (("name", "citation_doi"), ("name", "DC.identifier"), ("name", "dc.identifier"), ("name", "DOI"), ("property", "citation_doi"))
 LAYERS = ("url", "meta", "jsonld", "links", "text")
 
@@ -330,10 +328,14 @@ def classify_page_dois(parsed: DataFrame) -> DataFrame:
     return rows.select("page_id", page_type(F.get("article", F.lit(0)), F.col("url")).alias("page_type"), "article", "reference", "other", "page_wide", every.alias("all"))
 
 
+#: Parts of a path that listings have, fixed values.
+LISTINGS = "toc|issues?|volumes?|search|browse|list|results?|catalog|archive|index"
+
+
 def page_type(own: Column, url: Column) -> Column:
     """article with a DOI of its own, else listing by the path, else unknown."""
     path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
-    listing = path.rlike(r"/(toc|issues?|volumes?|search|browse|list|results?|catalog|archive|index)(/|\z)")
+    listing = path.rlike(rf"/({LISTINGS})(/|\z)")
     return F.when(own.isNotNull(), "article").when(listing, "listing").otherwise("unknown")
 
 

@@ -1,19 +1,26 @@
 """Entity resolution: titles to DOIs, references and search results to DOIs.
 
 Works are a table (doi, title, first_author, year, urls, source); requests are
-(request_id, title, first_author, year, source_url). Pairs meet on tokens, the
-rarest of each title that any match at the threshold must share one of, and are
-scored only if their lengths and pairs of letters allow the threshold.
+(request_id, title, first_author, year, source_url). A title that another one
+holds almost whole shares one of its rarest tokens with it. Titles that are
+spelled alike need share none: titles of like length are compared in blocks by
+their counts of letters and digits, which an edit changes by one at most, and
+only pairs whose counts allow the threshold leave a block to be scored.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import doi as D
 from ..functions import text as T
 from ..functions.web import host_of
+from ..sources.staging import staged
 from .lookups import validate_dois
 
 THRESHOLD = 88.0
@@ -21,17 +28,38 @@ BAND = 5.0
 MERITS = {"url": 8, "year": 3, "author": 3}
 TOP = 5
 DEAL = 1024
+BLOCK = 2048
 SLACK = 1e-6
 MIN_CITATION = 16
 MAX_AUGMENTED = 30
 
 
+def _set_bits(numbers: Column, words: int) -> list[Column]:
+    """A set of numbers below 64 ``words`` as so many 64-bit words."""
+    one = F.lit(1).cast("long")
+    word = lambda k: F.aggregate(F.filter(numbers, lambda i: F.floor(i / 64) == k), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", one, i % 64)))
+    return [word(k) for k in range(words)]
+
+
 def _titles(rows: DataFrame, name: str) -> DataFrame:
-    """(name, tokens, length, bits): the length of its distinct tokens joined, and its pairs of letters in a set of 256 bits."""
+    """(name, tokens, length, bits, mark): the length of its distinct tokens joined, its pairs of letters in a set of 256 bits and its tokens in one of 128."""
     rows = rows.withColumn("tokens", T.title_tokens(F.col(name))).withColumn("length", F.length(F.array_join("tokens", " ")))
-    pairs = F.array_distinct(F.transform(F.regexp_extract_all(F.col(name), F.lit("(?=([^ ]{2}))"), F.lit(1)), lambda p: F.pmod(F.xxhash64(p), F.lit(256)).cast("int")))
-    word = lambda k: F.aggregate(F.filter("at", lambda i: F.floor(i / 64) == k), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)))
-    return rows.withColumn("at", pairs).withColumns({f"bits{k}": word(k) for k in range(4)}).drop("at")
+    pairs = F.regexp_extract_all(F.col(name), F.lit("(?=([^ ]{2}))"), F.lit(1))
+    hashed = lambda c, n: F.transform(c, lambda x: F.pmod(F.xxhash64(x), F.lit(n)).cast("int"))
+    rows = rows.withColumns({"at": F.array_distinct(hashed(pairs, 256)), "of": hashed(F.col("tokens"), 128)})
+    named = {f"bits{k}": c for k, c in enumerate(_set_bits(F.col("at"), 4))} | {f"mark{k}": c for k, c in enumerate(_set_bits(F.col("of"), 2))}
+    return rows.withColumns(named).drop("at", "of")
+
+
+def _share(least: Column) -> Column:
+    """Whether titles ``a`` and ``b`` share so many tokens; their marks tell first that most pairs can't.
+
+    Tokens of ``a`` that fall on one bit count as shared.
+    """
+    count = lambda x: sum(F.bit_count(x(k)) for k in (0, 1))
+    a = lambda k: F.col(f"a.mark{k}")
+    most = count(lambda k: a(k).bitwiseAND(F.col(f"b.mark{k}"))) + F.size("a.tokens") - count(a)
+    return (most >= least) & (F.size(F.array_intersect("a.tokens", "b.tokens")) >= least)
 
 
 def _by_rarity(rows: DataFrame, name: str, frequency: DataFrame, wanted: Column) -> DataFrame:
@@ -42,8 +70,12 @@ def _by_rarity(rows: DataFrame, name: str, frequency: DataFrame, wanted: Column)
     return each.where(wanted & F.col("df").isNotNull()).drop("df", "n", "before")
 
 
+def _shared(a: str, b: str) -> Column:
+    return F.size(F.array_intersect(a, b)).alias("shared")
+
+
 def _meet(keys: DataFrame, norms: DataFrame, possible: Column) -> DataFrame:
-    """(key, norm) of rows of one token that are ``possible``; a token's rows are dealt into blocks of ``DEAL`` on both sides."""
+    """(key, norm, shared) of rows of one token that are ``possible``, with the tokens they share; a token's rows are dealt into blocks of ``DEAL`` on both sides."""
     blocks = lambda rows, name: rows.groupBy("token").agg(F.ceil(F.count("*") / DEAL).cast("long").alias(name))
     both = blocks(keys, "k_blocks").join(blocks(norms, "n_blocks"), "token")
     own = lambda name, n: F.pmod(F.xxhash64(name), F.col(n))
@@ -51,49 +83,112 @@ def _meet(keys: DataFrame, norms: DataFrame, possible: Column) -> DataFrame:
     a = keys.join(both, "token").withColumn("i", own("key", "k_blocks")).withColumn("j", every("n_blocks")).alias("a")
     b = norms.join(both, "token").withColumn("j", own("norm", "n_blocks")).withColumn("i", every("k_blocks")).alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("token", "i", "j")]
-    return a.join(b.hint("merge"), [*same, possible]).select("key", "norm")
+    return a.join(b.hint("merge"), [*same, possible]).select("key", "norm", _shared("a.tokens", "b.tokens"))
+
+
+def _within(x: str, y: str, cut: float) -> Column:
+    """Whether what title ``x`` may have besides ``y`` can weigh ``cut`` of its length at most, by pairs of letters."""
+    lacks = sum(F.bit_count(F.col(f"{x}.bits{k}").bitwiseAND(F.bitwise_not(f"{y}.bits{k}"))) for k in range(4))
+    return lacks <= cut * F.col(f"{x}.length") + SLACK
 
 
-def _possible(cut: float) -> Column:
-    """Whether titles ``a`` and ``b`` can differ by ``cut`` of a length at most: an edit changes two pairs of letters, a letter more adds one."""
-    lacks = lambda x, y: sum(F.bit_count(F.col(f"{x}.bits{k}").bitwiseAND(F.bitwise_not(f"{y}.bits{k}"))) for k in range(4))
-    la, lb = F.col("a.length"), F.col("b.length")
-    most = cut * F.greatest(la, lb) + SLACK
-    spelt = (F.abs(la - lb) <= most) & (lacks("a", "b") <= 2 * most) & (lacks("b", "a") <= 2 * most)
-    return spelt | (lacks("a", "b") <= cut * la + SLACK) | (lacks("b", "a") <= cut * lb + SLACK)
+#: Counts of letters, digits and ``_`` as 512 bits: so many bits stand for a symbol, the first of them set.
+_LEVELS = np.repeat([18, 4], [26, 11])
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    """A row of eight 64-bit words for each normalised title."""
+    code = np.frombuffer("".join(texts).encode("ascii"), np.uint8).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    symbol = np.where(code >= 97, code - 97, np.where(code == 95, 36, code - 22))
+    seen = code != 32
+    counts = np.bincount(row[seen] * 37 + symbol[seen], minlength=len(texts) * 37).reshape(-1, 37)
+    level = np.concatenate([np.arange(n) for n in _LEVELS])
+    return np.packbits(np.repeat(counts, _LEVELS, axis=1) > level, axis=1).view(np.uint64)
+
+
+def _alike(cut: float):
+    """Of two blocks (id, text), the pairs whose lengths and counts allow that ``cut`` of the longer one is edited."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ta, tb = (t.column("text").to_pylist() for t in (left, right))
+        pairs: list[np.ndarray] = []
+        if ta and tb:
+            a, b = _counts(ta), _counts(tb)
+            na, nb = (np.bitwise_count(x).sum(1).astype(np.int32) for x in (a, b))
+            la, lb = (np.array([len(t) for t in x], np.int32) for x in (ta, tb))
+            for i in range(0, len(ta), 128):
+                common = np.zeros((len(a[i : i + 128]), len(b)), np.uint16)
+                for w in range(8):
+                    common += np.bitwise_count(a[i : i + 128, w, None] & b[None, :, w])
+                most = cut * np.maximum(la[i : i + 128, None], lb) + SLACK
+                apart = np.maximum(np.maximum(na[i : i + 128, None], nb) - common, np.abs(la[i : i + 128, None] - lb))
+                pairs.append(np.argwhere(apart <= most) + [i, 0])
+        at = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        ids = [t.column("id").to_numpy()[at[:, k]] if len(at) else np.zeros(0, np.int64) for k, t in enumerate((left, right))]
+        return pa.table({"a": pa.array(ids[0], pa.int64()), "b": pa.array(ids[1], pa.int64())})
+
+    return run
+
+
+def spelled_alike(keys: DataFrame, titles: DataFrame, cut: float) -> DataFrame:
+    """(a, b): ids of ``keys`` and ``titles`` (id, tokens, length) that may differ by ``cut`` of the longer one at most.
+
+    Titles fall into bands of length, each as wide as an edited title may move, so
+    a key meets three; the titles of a band are dealt into blocks of about
+    ``BLOCK`` on both sides, and each pair of blocks is one group of two tables.
+    """
+    step = max(-math.log(1 - cut) * (1 + SLACK), 0.01)
+    band = F.floor(F.log(F.col("length")) / step).cast("long")
+    text = F.array_join("tokens", " ").alias("text")
+    a = keys.select("id", text, F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    b = titles.where("length > 0").select("id", text, band.alias("band"))
+    blocks = lambda rows, name: rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias(name))
+    both = blocks(a, "m").join(blocks(b, "n"), "band")
+    own, every = lambda n: F.pmod(F.xxhash64("id"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = a.join(both, "band").withColumn("i", own("m")).withColumn("j", every("n")).select("band", "i", "j", "id", "text")
+    b = b.join(both, "band").withColumn("j", own("n")).withColumn("i", every("m")).select("band", "i", "j", "id", "text")
+    place = ["band", "i", "j"]
+    return a.groupBy(*place).cogroup(b.groupBy(*place)).applyInArrow(_alike(cut), "a long, b long")
 
 
 def title_candidates(requests: DataFrame, works: DataFrame, top: int = TOP, threshold: float = THRESHOLD) -> DataFrame:
     """(key, doi, title, score, source, first_author, year, urls): the best works of each source for each distinct title.
 
-    Works that share a token are candidates. They rank by shared tokens, then by
-    the difference in length, then by DOI; the first ``top`` of a source are
-    scored and those at the threshold kept. Titles that reach the threshold are
-    found first, then all that share as many tokens with the same request.
+    Works that share a token are candidates, and those that reach the threshold
+    without one. They rank by shared tokens, then by the difference in length,
+    then by DOI; the first ``top`` of a source are scored and those at the
+    threshold kept. Titles that reach the threshold are found first, then all that
+    share as many tokens with the same request. Titles are written to the shared
+    folder once.
     """
     cut = 1 - threshold / 100
-    keys = _titles(requests.select(T.normalize_title(F.col("title")).alias("key")).where("key <> ''").distinct(), "key").persist()
+    numbered = lambda rows, name: staged(_titles(rows, name).withColumn("id", F.monotonically_increasing_id()))
+    keys = numbered(requests.select(T.normalize_title(F.col("title")).alias("key")).where("key <> ''").distinct(), "key")
     works = works.where("doi IS NOT NULL AND title IS NOT NULL")
     right = works.withColumn("norm", T.normalize_title(F.col("title")))
     # titles, not works: equal titles are compared once
-    titles = _titles(right.select("norm").distinct(), "norm").persist()
+    titles = numbered(right.select("norm").distinct(), "norm")
     frequency = titles.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     every = lambda rows: rows.select("*", F.explode("tokens").alias("token"))
-    # what a near subset lacks weighs ``cut`` of its length at most; in near spellings an edit spoils two tokens at most
+    # what a near subset lacks weighs ``cut`` of its length at most
     subset = F.col("before") <= cut * F.col("length") + SLACK
-    spelt = F.col("n") <= 2 * F.floor(cut / (1 - cut) * F.col("length") + SLACK) + 1
-    a = _meet(_by_rarity(keys, "key", frequency, subset | spelt), every(titles), _possible(cut))
-    b = _meet(every(keys), _by_rarity(titles, "norm", frequency, subset), _possible(cut))
+    a = _meet(_by_rarity(keys, "key", frequency, subset), every(titles), _within("a", "b", cut))
+    b = _meet(every(keys), _by_rarity(titles, "norm", frequency, subset), _within("b", "a", cut))
+    of = lambda rows, k, name: rows.select(F.col("id").alias(k), name, F.col("tokens").alias(f"{k}_tokens"))
+    alike = spelled_alike(keys, titles, cut).join(of(keys, "a", "key"), "a").join(of(titles, "b", "norm"), "b")
+    pairs = a.union(b).union(alike.select("key", "norm", _shared("a_tokens", "b_tokens"))).distinct()
     # grouped, as a filter would move below the steps of the ratio and repeat them
-    good = T.with_token_set_ratio(a.union(b).distinct(), "key", "norm", "score").groupBy("key", "norm").agg(F.max("score").alias("score")).where(F.col("score") >= threshold)
-    shared = F.size(F.array_intersect(T.title_tokens(F.col("key")), T.title_tokens(F.col("norm"))))
-    asked = keys.join(good.groupBy("key").agg(F.min(shared).alias("least")), "key").persist()
+    good = T.with_token_set_ratio(pairs, "key", "norm", "score").groupBy("key", "norm", "shared").agg(F.max("score").alias("score")).where(F.col("score") >= threshold)
+    best = Window.partitionBy("key", "source").orderBy(F.desc("shared"), F.abs(F.length("key") - F.length("norm")), "doi")
+    ranked = lambda rows, works: rows.join(works, "norm").withColumn("n", F.row_number().over(best)).where(F.col("n") <= top)
+    # of those at the threshold only the first few of each source can be among the first of all
+    good = staged(ranked(good.drop("score"), right.select("norm", "source", "doi")).select("key", "norm", "shared").distinct())
+    asked = keys.join(good.groupBy("key").agg(F.min("shared").alias("least")), "key")
     # of n tokens, those that share ``least`` share one of the first n - least + 1
     rivals = _by_rarity(asked, "key", frequency, F.col("n") <= F.size("tokens") - F.col("least") + 1)
-    pairs = _meet(rivals, every(titles), F.size(F.array_intersect("a.tokens", "b.tokens")) >= F.col("a.least")).distinct()
-    scored = pairs.withColumn("shared", shared).withColumn("apart", F.abs(F.length("key") - F.length("norm")))
-    best = Window.partitionBy("key", "source").orderBy(F.desc("shared"), "apart", "doi")
-    found = scored.join(right, "norm").withColumn("n", F.row_number().over(best)).where(F.col("n") <= top)
+    pairs = _meet(rivals, every(titles), _share(F.col("a.least")))
+    found = ranked(pairs.union(good).distinct(), right)
     found = T.with_token_set_ratio(found, "key", "norm", "score").where(F.col("score") >= threshold)
     return found.select("key", "doi", "title", "score", "source", "first_author", "year", "urls")
 
@@ -146,13 +241,14 @@ def augment_dois(requests: DataFrame, works: DataFrame) -> DataFrame:
     """``requests`` with the DOI of their title, null if unknown or ambiguous.
 
     Requests that share a normalised title resolve once; the least request_id's
-    metadata decides.
+    metadata decides. Other columns are kept, but for one named ``doi``.
     """
-    keyed = requests.withColumn("key", T.normalize_title(F.col("title")))
-    first = F.struct("first_author", "year", "source_url")
-    asked = keyed.groupBy("key").agg(F.min_by(first, "request_id").alias("m")).select("key", "m.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in requests.columns if c != "doi"]).alias("row")
+    keyed = requests.select(T.normalize_title(F.col("title")).alias("key"), row)
+    first = F.struct("row.first_author", "row.year", "row.source_url")
+    asked = keyed.groupBy("key").agg(F.min_by(first, "row.request_id").alias("m")).select("key", "m.*")
     best = select_best_candidate(asked, merge_candidates(title_candidates(requests, works)))
-    return keyed.join(best.select("key", "doi"), "key", "left").drop("key")
+    return keyed.join(best.select("key", "doi"), "key", "left").select("row.*", "doi")
 
 
 def resolve_references(entries: DataFrame, works: DataFrame, pmc_ids: DataFrame, handles: DataFrame, show_all: bool = False, most: int = MAX_AUGMENTED) -> DataFrame:

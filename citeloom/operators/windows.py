@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def first_occurrence(occurrences: DataFrame, notices: DataFrame) -> DataFrame:
     """The first mention (by ``pos``) of each DOI with a notice on a page."""
@@ -42,7 +44,22 @@ def doi_set_minus(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def page_sessions(events: DataFrame) -> DataFrame:
-    """``events`` (tab, ts, seq, url) with ``visit``, counted from 1: a new one begins when a tab's url changes."""
-    order = Window.partitionBy("tab").orderBy("ts", "seq")
-    changed = ~F.col("url").eqNullSafe(F.lag("url").over(order)) | (F.row_number().over(order) == 1)
-    return events.withColumn("new", changed.cast("long")).withColumn("visit", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    """``events`` (tab, ts, seq, url) with ``visit``, counted from 1: a new one begins when a tab's url changes.
+
+    A tab's events are dealt over tasks wherever they are many; each part begins
+    with the last url and the visits of the parts before it.
+    """
+    rows = scans.in_order(events.select("tab", "ts", "seq", F.struct(F.col("url")).alias("place"), F.struct("*").alias("row")), "tab", "ts", "seq")
+    own = Window.partitionBy("tab", "part").orderBy("at")
+    # a struct, so that a null url is told from no event before
+    new = F.lag("place").over(own).isNotNull() & ~F.col("place").eqNullSafe(F.lag("place").over(own))
+    rows = rows.withColumn("new", new.cast("long"))
+    parts = rows.groupBy("tab", "part").agg(F.min_by("place", "at").alias("first"), F.max_by("place", "at").alias("last"), F.sum("new").alias("inner"))
+    tab = Window.partitionBy("tab").orderBy("part")
+    begins = (~F.col("first").eqNullSafe(F.lag("last").over(tab))).cast("long")  # a tab's first part does
+    parts = parts.withColumn("begins", begins)
+    carried = F.sum("begins").over(tab.rowsBetween(*scans.UPTO)) + F.coalesce(F.sum("inner").over(tab.rowsBetween(*scans.BEFORE)), F.lit(0))
+    parts = parts.select("tab", "part", carried.alias("carried"))
+    rows = scans.with_parts(rows.withColumn("within", F.sum("new").over(own.rowsBetween(*scans.UPTO))), parts, "tab", "part")
+    kept = rows.select("row", (F.col("carried") + F.col("within")).alias("visit"))
+    return kept.select("row.*", "visit")

@@ -29,7 +29,7 @@ _REF = "concat('10.7777/ref.', CAST(page_id % 50 AS STRING))"
 
 TABLES = {
     "papers": f"""SELECT p_partkey AS paper_id, {d('p_partkey')} AS doi,
-        concat(p_name, ' ', lower(p_type), ' trial ', {_s('p_partkey % 500')}) AS title,
+        CASE WHEN p_partkey % 50 = 7 THEN replace(p_name, ' ', '') ELSE concat(p_name, ' ', lower(p_type), ' trial ', {_s('p_partkey % 500')}) END AS title,
         concat('Author', {_s('p_partkey % 40')}) AS first_author, CAST(1985 + p_size AS INT) AS year FROM {{part}}""",
     "raw_dois": f"""SELECT p_partkey AS paper_id, CASE p_partkey % 6
         WHEN 0 THEN concat('https://doi.org/', upper({d('p_partkey')})) WHEN 1 THEN concat(' DOI:', {d('p_partkey')}, ' ')

@@ -5,9 +5,8 @@ A query without SQL has tests against worked examples or its batch form instead.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +17,7 @@ from ..functions import text as T
 from ..functions import web as U
 from ..operators import caches, lookups, notices, pages, reports, resolve, windows
 from ..sources import readers, writers
+from ..sources.staging import scratch
 from ..streaming import streams
 from .fixtures import LINE, d, sql, table
 
@@ -288,7 +288,7 @@ def _works(spark, sf_dir) -> DataFrame:
 def _requests(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "papers")
     k = F.col("paper_id")
-    title = F.when(k % 3 == 0, F.upper("title")).when(k % 3 == 1, F.concat("title", F.lit(": results"))).otherwise(F.col("title"))
+    title = F.when(k % 50 == 7, F.concat("title", F.lit("s"))).when(k % 3 == 0, F.upper("title")).when(k % 3 == 1, F.concat("title", F.lit(": results"))).otherwise(F.col("title"))
     return p.select(
         k.alias("request_id"), title.alias("title"), F.when(k % 4 < 2, F.col("first_author")).alias("first_author"), F.when(k % 4 == 0, F.col("year")).alias("year"),
         F.when(k % 8 == 7, F.concat(F.lit("https://www.host"), (k % 30).cast("string"), F.lit(".example.org/y"))).alias("source_url"),
@@ -297,7 +297,7 @@ def _requests(spark, sf_dir) -> DataFrame:
 
 _ASKED = """
 req AS (
-  SELECT paper_id AS request_id, CASE paper_id % 3 WHEN 0 THEN upper(title) WHEN 1 THEN concat(title, ': results') ELSE title END AS title,
+  SELECT paper_id AS request_id, CASE WHEN paper_id % 50 = 7 THEN concat(title, 's') WHEN paper_id % 3 = 0 THEN upper(title) WHEN paper_id % 3 = 1 THEN concat(title, ': results') ELSE title END AS title,
          CASE WHEN paper_id % 4 < 2 THEN first_author END AS first_author, CASE WHEN paper_id % 4 = 0 THEN year END AS year,
          CASE WHEN paper_id % 8 = 7 THEN concat('host', CAST(paper_id % 30 AS STRING), '.example.org') END AS host FROM papers),
 rk AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')) AS key FROM req),
@@ -305,7 +305,12 @@ wk AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')) AS
        concat('host', CAST(paper_id % 30 AS STRING), '.example.org') AS host FROM papers),
 kt AS (SELECT DISTINCT key, unnest(string_split(key, ' ')) AS token FROM rk WHERE key <> ''),
 nt AS (SELECT DISTINCT norm, unnest(string_split(norm, ' ')) AS token FROM wk),
-pairs AS (SELECT key, norm, count(*) AS shared FROM kt JOIN nt USING (token) GROUP BY key, norm),
+kl AS (SELECT key, list_sort(list(token)) AS a FROM kt GROUP BY key), nl AS (SELECT norm, list_sort(list(token)) AS b FROM nt GROUP BY norm),
+pairs AS (
+  SELECT key, norm, count(*) AS shared FROM kt JOIN nt USING (token) GROUP BY key, norm
+  UNION ALL
+  SELECT key, norm, 0 FROM (SELECT key, norm, array_to_string(a, ' ') AS ca, array_to_string(b, ' ') AS cb FROM kl, nl WHERE NOT list_has_any(a, b))
+  WHERE levenshtein(ca, cb) <= 0.12 * greatest(length(ca), length(cb)) + 0.000001),
 top AS (
   SELECT * FROM (SELECT p.key, p.norm, w.doi, w.title, w.source, w.first_author, w.year, w.host,
     row_number() OVER (PARTITION BY p.key, w.source ORDER BY shared DESC, abs(length(p.key) - length(p.norm)), w.doi) AS n FROM pairs p JOIN wk w USING (norm)) WHERE n <= 5),
@@ -377,7 +382,7 @@ _REFS = """
 ent AS (
   SELECT c.page_id, c.ref_no AS pos, c.cited, c.place, p.doi AS own, concat(p.title, ' ', CAST(p.year AS STRING)) AS text,
          CASE WHEN c.place = 'href' THEN 'hidden' WHEN c.place = 'none' AND c.cited % 2 = 0 THEN 'pmc' WHEN c.place = 'none' THEN 'augment' END AS mode
-  FROM citations c JOIN papers p ON p.paper_id = c.cited),
+  FROM citations c JOIN papers p ON p.paper_id = c.cited WHERE length(concat(p.title, ' ', CAST(p.year AS STRING))) >= 16),
 req AS (SELECT DISTINCT text AS request_id, text AS title, CAST(NULL AS STRING) AS first_author, CAST(NULL AS INT) AS year, CAST(NULL AS STRING) AS host FROM ent WHERE mode = 'augment'),
 """ + _ASKED[_ASKED.index("rk AS") :]
 
@@ -538,7 +543,7 @@ def augment_pages_from_title(spark, sf_dir):
     """Pages titled after a paper; a seventh of them has a DOI of its own, a fifth is not scholarly."""
     p = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "papers"), F.col("page_id") + 1 == F.col("paper_id"))
     k = F.col("page_id")
-    title = F.when(k % 3 == 0, F.upper("title")).when(k % 3 == 1, F.concat("title", F.lit(": results"))).otherwise(F.col("title"))
+    title = F.when(k % 50 == 7, F.concat("title", F.lit("s"))).when(k % 3 == 0, F.upper("title")).when(k % 3 == 1, F.concat("title", F.lit(": results"))).otherwise(F.col("title"))
     titles = p.select("page_id", title.alias("title"), F.when(k % 4 < 2, F.col("first_author")).alias("first_author"), F.when(k % 4 == 0, F.col("year")).alias("year"), F.lit(None).cast("string").alias("url"), (k % 5 != 0).alias("scholarly"))
     return resolve.augment_pages_from_title(titles, p.where(k % 7 == 3).select("page_id", F.lit("10.1/own").alias("doi")), _works(spark, sf_dir))
 
@@ -649,7 +654,7 @@ def report_round_trip(spark, sf_dir):
 @query(f"""WITH {_REDUCED}, f AS (SELECT page_id, to_json(struct_pack(doi := doi, comments := total_comments, kind := kind, replications := replications, reproductions := reproductions, originals := originals))::VARCHAR AS j
   FROM (SELECT DISTINCT page_id, doi FROM cites) LEFT JOIN feedback USING (doi) LEFT JOIN folded USING (doi) LEFT JOIN evidence USING (doi)
   WHERE coalesce(total_comments, 0) > 0 OR kind IS NOT NULL OR coalesce(replications + reproductions + originals, 0) > 0)
-SELECT page_id, sha256(string_agg(j, '|' ORDER BY j)) AS fingerprint FROM f GROUP BY page_id""", "notice_events", "cites", "feedback", "evidence")
+SELECT page_id, sha256(concat(count(*), ',', sum(CAST(concat('0x', substr(md5(j), 1, 15)) AS BIGINT)), ',', sum(CAST(concat('0x', substr(md5(j), 16, 15)) AS BIGINT)))) AS fingerprint FROM f GROUP BY page_id""", "notice_events", "cites", "feedback", "evidence")
 def panel_fingerprint(spark, sf_dir):
     return reports.panel_fingerprint(flagged_references(spark, sf_dir), "page_id", ["doi", "comments", "kind", "replications", "reproductions", "originals"])
 
@@ -747,16 +752,6 @@ def cache_hits_asof(spark, sf_dir):
 # -- streams: the events table replayed as files ---------------------------------------------------------
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
@@ -768,7 +763,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _replayed(out: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all files that there are, and return what it wrote."""
     spark = out.sparkSession
-    at = _scratch(spark)
+    at = scratch(spark)
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
@@ -778,6 +773,18 @@ def _replayed(out: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
+@contextlib.contextmanager
+def _rocks(spark: SparkSession):
+    """The RocksDB state store, for streams started within; other streams of the session keep their own."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @query("""SELECT tab, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS changes, sum(n) > 50 OR bool_or(body) AS "full" FROM (
   SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY tab ORDER BY ts, event_id) AS burst FROM (
     SELECT user_id AS tab, ts, event_id, event_id % 40 AS n, event_type = 'error' AS body, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY tab, burst""")
@@ -790,9 +797,23 @@ def debounce_scans(spark, sf_dir):
 _DOI_OF = "concat('10.', CAST(1000 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 97 AS STRING), '/part.', json_extract_string(props, '$.k'))"
 
 
-@query(f"SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS batch_start, {_DOI_OF} AS doi, string_agg(CAST(event_id AS STRING), ' ' ORDER BY event_id) AS waiters FROM events GROUP BY 1, 2")
+#: What a stream of all events has settled: its watermark is an hour before the last.
+_SETTLED = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+
+
+@query(f"""WITH RECURSIVE e AS (
+  SELECT user_id AS tab, ts, event_id AS request_id, {_DOI_OF} AS doi, min(ts) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10 MINUTE FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM events),
+n AS (SELECT DISTINCT tab, ts, next FROM e),
+b AS (SELECT tab, min(ts) AS batch_start FROM e GROUP BY tab UNION ALL SELECT b.tab, n.next FROM b JOIN n ON n.tab = b.tab AND n.ts = b.batch_start WHERE n.next IS NOT NULL)
+SELECT e.tab, b.batch_start, e.doi, e.request_id FROM e JOIN b ON b.tab = e.tab AND e.ts >= b.batch_start AND e.ts < b.batch_start + INTERVAL 10 MINUTE WHERE b.batch_start + INTERVAL 10 MINUTE <= {_SETTLED}""")
 def batch_lookups(spark, sf_dir):
-    out = _replayed(streams.batch_lookups(_events(spark, sf_dir), "10 minutes", "1 hour"), "complete")
+    with _rocks(spark):
+        return _replayed(streams.batch_lookups(_events(spark, sf_dir), "10 minutes", "1 hour"), "append")
+
+
+@query(f"SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS batch_start, {_DOI_OF} AS doi, string_agg(CAST(event_id AS STRING), ' ' ORDER BY event_id) AS waiters FROM events GROUP BY 1, 2")
+def tumbling_lookups(spark, sf_dir):
+    out = _replayed(streams.tumbling_lookups(_events(spark, sf_dir), "10 minutes", "1 hour"), "complete")
     return out.withColumn("waiters", F.array_join(F.transform("waiters", lambda x: x.cast("string")), " "))
 
 
@@ -803,10 +824,22 @@ def dedupe_in_flight(spark, sf_dir):
 
 
 @query(f"SELECT DISTINCT user_id AS tab, date_trunc('day', ts) AS visit, {_DOI_OF} AS doi FROM events")
-def seen_dois(spark, sf_dir):
+def seen_in_visit(spark, sf_dir):
     """A tab's visit is a day here: a DOI comes once in each."""
     e = _events(spark, sf_dir).withColumn("visit", F.date_trunc("day", "ts"))
-    return _replayed(streams.seen_dois(e, "60 days"), "append").select("tab", "visit", "doi")
+    return _replayed(streams.seen_in_visit(e, "60 days"), "append").select("tab", "visit", "doi")
+
+
+@query(f"""SELECT tab, url, min(ts) AS ts, doi FROM (
+  SELECT *, sum(CASE WHEN url = prev THEN 0 ELSE 1 END) OVER (PARTITION BY tab ORDER BY ts, seq) AS visit FROM (
+    SELECT *, lag(url) OVER (PARTITION BY tab ORDER BY ts, seq) AS prev FROM (
+      SELECT user_id AS tab, concat('/', event_type) AS url, ts, event_id AS seq, {_DOI_OF} AS doi FROM events)))
+WHERE ts <= {_SETTLED} GROUP BY tab, visit, url, doi""")
+def seen_dois(spark, sf_dir):
+    """A tab's address is the kind of its events, so visits end and old addresses return."""
+    e = _events(spark, sf_dir).select("tab", F.concat(F.lit("/"), "event_type").alias("url"), "ts", F.col("request_id").alias("seq"), "doi")
+    with _rocks(spark):
+        return _replayed(streams.seen_dois(e, "1 hour"), "append")
 
 
 @query("""SELECT key, request_id, ts, coalesce(ts - last <= INTERVAL 60 MINUTE, false) AS hit FROM (
@@ -814,14 +847,9 @@ def seen_dois(spark, sf_dir):
     SELECT request_id, CAST(user_id AS STRING) AS key, ts, event_type = 'purchase' AS w FROM lookups)) WHERE NOT w""", "lookups")
 def ttl_cache_stream(spark, sf_dir):
     """The stateful form of cache_hits_asof; the state store is RocksDB."""
-    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name)
     e = _events(spark, sf_dir).select(F.col("tab").cast("string").alias("key"), "request_id", "ts", (F.col("event_type") != "purchase").alias("is_read"))
-    spark.conf.set(name, store)
-    try:
+    with _rocks(spark):
         return _replayed(streams.ttl_cache_stream(e, dt.timedelta(minutes=60), "60 days"), "append")
-    finally:  # other streams of the session keep their own
-        spark.conf.set(name, before)
 
 
 @query(f"""WITH {_REDUCED}, e AS (SELECT event_id AS request_id, {_DOI_OF} AS doi FROM events)
@@ -839,7 +867,7 @@ def read_notice_csv(spark, sf_dir):
     """A CSV with quotes, commas and line ends inside fields."""
     e = table(spark, sf_dir, "notice_events")
     title = F.concat(F.lit('A "quoted", title\n of '), "original_doi")
-    at = f"{_scratch(spark)}/csv"
+    at = f"{scratch(spark)}/csv"
     e.select(
         title.alias("Title"), F.col("nature").alias("RetractionNature"), F.date_format("event_time", "M/d/yyyy H:mm").alias(" RetractionDate"),
         F.col("notice_doi").alias("RetractionDOI"), F.concat(F.lit(" "), "original_doi").alias("OriginalPaperDOI"),
@@ -850,7 +878,7 @@ def read_notice_csv(spark, sf_dir):
 @query(f"WITH {_REDUCED} SELECT * FROM reduced", "notice_events")
 def write_notices(spark, sf_dir):
     """Notices written twice, the second time over the first."""
-    at = f"{_scratch(spark)}/notices"
+    at = f"{scratch(spark)}/notices"
     writers.write_notices(_notices(spark, sf_dir).limit(1), at)
     writers.write_notices(_notices(spark, sf_dir), at)
     return writers.read_notices(spark, at).select("origin_doi", "notice_doi", "kind", "pos")
@@ -863,7 +891,7 @@ SELECT p.doi, title, kind AS notice_kind, notice_doi, coalesce(a, 0) AS n_replic
 FROM papers p LEFT JOIN e ON e.cited = p.paper_id LEFT JOIN r ON r.page_id = p.paper_id LEFT JOIN folded USING (doi)""", "notice_events", "cites", "citations", "papers", "feedback", "evidence")
 def write_reports(spark, sf_dir):
     """Reports written to files and read again, beside lines that are none."""
-    at = f"{_scratch(spark)}/reports"
+    at = f"{scratch(spark)}/reports"
     writers.write_reports(_reports(spark, sf_dir), at)
     table(spark, sf_dir, "papers").selectExpr("""explode(array('{"v":2,"doi":"x","title":"t"}', '{"v":1,"doi":"x","title":7}', '{broken'))""").write.mode("append").text(at)
     counts = [F.col(f"stats.n_{k}").alias(f"n_{k}") for k in ("replications", "reproductions", "originals", "references")]

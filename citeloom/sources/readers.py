@@ -2,27 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import doi as D
 from ..functions import text as T
+from .staging import staged
 
 NOTICE_COLUMNS = ("RetractionNature", "RetractionDate", "RetractionDOI", "OriginalPaperDOI")
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, record): the records of quoted CSV files, headers included, numbered over all files in order.
+
+    Files are read by splits, a line at a time. A line begins a record if an even
+    number of quotes stands before it in its file. Each split counts its quotes, and
+    the lines that begin a record if an even or an odd number came before the
+    split; one row a split then tells where every split stands, so one large file is
+    read by many tasks. Only the lines of one record come together. Blank lines
+    between records are no records.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"),
+        F.regexp_count("value", F.lit('"')).alias("quotes"),
+    )
+    inside = Window.partitionBy("file", "at").orderBy("line")
+    odd = F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    lines = lines.withColumn("odd", odd).withColumn("blank", F.col("value").isin("", "\r"))
+    begins = [((F.col("odd") == k) & ~F.col("blank")).cast("long").alias(f"begins{k}") for k in (0, 1)]
+    lines = lines.select("*", *begins)
+    lines = staged(lines.select("*", *[F.sum(f"begins{k}").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(f"upto{k}") for k in (0, 1)]))
+    splits = lines.groupBy("file", "at").agg(F.sum("quotes").alias("quotes"), *[F.sum(f"begins{k}").alias(f"begins{k}") for k in (0, 1)])
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("flip", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    own = lambda name: F.when(F.col("flip") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    order = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    splits = splits.select("file", "at", "flip", F.coalesce(F.sum(own("begins")).over(order), F.lit(0)).alias("base"))
+    lines = lines.join(splits, ["file", "at"]).withColumn("n", F.col("base") + own("upto"))
+    inner = F.col("odd") != F.col("flip")
+    parts = lines.where(inner | ~F.col("blank")).groupBy("file", "n").agg(F.array_sort(F.collect_list(F.struct("at", "line", "value"))).alias("parts"))
+    return parts.select("file", "n", F.regexp_replace(F.array_join("parts.value", "\n"), r"\r\z", "").alias("record"))
+
+
 def read_notice_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Status events (seq, original_doi, nature, event_time, notice_doi) of a quoted CSV with a header; raises if a column is missing.
+    """Status events (seq, original_doi, nature, event_time, notice_doi) of quoted CSV files with a header; raises if a column is missing or headers differ.
 
-    Quotes are doubled inside fields and fields may span lines. ``seq`` follows the file order.
+    Quotes are doubled inside fields and fields may span lines. An empty or
+    missing field is an empty text, an unparsable date null. ``seq`` follows the
+    order of the files' paths and of the records within a file.
     """
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
-    if missing := [c for c in NOTICE_COLUMNS if c not in raw.columns]:
+    records = staged(csv_records(spark, path))
+    firsts = records.groupBy("file").agg(F.min("n").alias("n"))
+    headers = records.join(firsts, ["file", "n"]).select(F.regexp_replace("record", "\\A\uFEFF", "").alias("record")).distinct().limit(2).collect()
+    if len(headers) != 1:
+        raise ValueError("the CSV files have different headers" if headers else "the CSV has no header")
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    names = [x.strip() for x in next(csv.reader([headers[0].record]))]
+    if missing := [c for c in NOTICE_COLUMNS if c not in names]:
         raise ValueError(f"the CSV has no column {', '.join(missing)}")
-    return raw.select(
-        F.monotonically_increasing_id().alias("seq"), D.trim(F.col("OriginalPaperDOI")).alias("original_doi"), D.trim(F.col("RetractionNature")).alias("nature"),
-        T.parse_notice_date(F.col("RetractionDate")).alias("event_time"), F.coalesce(D.trim(F.col("RetractionDOI")), F.lit("")).alias("notice_doi"),
+    kept = {c: f"c{names.index(c)}" for c in NOTICE_COLUMNS}
+    rows = records.join(firsts.withColumnRenamed("n", "first"), "file").where("n > first")
+    rows = rows.select(F.col("n").alias("seq"), F.from_csv("record", ", ".join(f"c{k} string" for k in range(len(names))), options).alias("r"))
+    field = lambda c: F.coalesce(D.trim(F.col(f"r.{kept[c]}")), F.lit(""))
+    return rows.select(
+        "seq", field("OriginalPaperDOI").alias("original_doi"), field("RetractionNature").alias("nature"),
+        T.parse_notice_date(field("RetractionDate")).alias("event_time"), field("RetractionDOI").alias("notice_doi"),
     )
 
 

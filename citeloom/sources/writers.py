@@ -1,30 +1,61 @@
-"""Sinks: reduced notices and reports."""
+"""Sinks: snapshots in versions, reduced notices and reports."""
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
 
 
-def write_notices(notices: DataFrame, path: str) -> None:
-    """Replace the notice table by kind. The write is staged beside ``path`` and moved at its end, so a failure keeps the old one."""
-    spark = notices.sparkSession
+#: Versions of a snapshot that stay, so that jobs which began on one end on it.
+KEEP = 3
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions of a snapshot, oldest first: those whose writing job left its marker."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    target, staged, old = (hadoop.Path(f"{path}{x}") for x in ("", ".new", ".old"))
-    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    notices.write.mode("overwrite").partitionBy("kind").parquet(staged.toString())
-    store.delete(old, True)
-    if store.exists(target):
-        store.rename(target, old)
-    if not store.rename(staged, target):
-        raise OSError(f"{path} could not be replaced")
-    store.delete(old, True)
+    root = hadoop.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.globStatus(hadoop.Path(root, "v-*/_SUCCESS")) or []
+    return sorted(f.getPath().getParent().toString() for f in found)
+
+
+def write_snapshot(rows: DataFrame, path: str, partition_by: tuple[str, ...] = (), keep: int = KEEP) -> str:
+    """Write ``rows`` as the new version of the snapshot at ``path`` and return its folder.
+
+    A version is a folder of its own, and counts once its job has left the marker
+    that it writes last. Until then, and if it fails at any step, readers find the
+    version before. The ``keep`` newest stay; older ones go after the new is there.
+    """
+    spark = rows.sparkSession
+    version = f"{path.rstrip('/')}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").partitionBy(*partition_by).parquet(version)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for old in _versions(spark, path)[:-keep]:
+        target = hadoop.Path(old)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return version
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of the snapshot at ``path``."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"{path} has no complete version")
+    return spark.read.parquet(versions[-1])
+
+
+def write_notices(notices: DataFrame, path: str) -> None:
+    """Replace the notice table, by kind; a failure keeps the old one."""
+    write_snapshot(notices, path, ("kind",))
 
 
 def read_notices(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return read_snapshot(spark, path)
 
 
 def report_lines(reports: DataFrame) -> DataFrame:

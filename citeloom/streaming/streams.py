@@ -8,14 +8,16 @@ their own.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.lookups import evidence_lookup, folded_notices
+from ..sources.writers import read_snapshot
 
 
 def debounce_scans(stream: DataFrame, gap: str = "300 milliseconds", watermark: str = "10 seconds", most: int = 50) -> DataFrame:
@@ -28,7 +30,134 @@ def debounce_scans(stream: DataFrame, gap: str = "300 milliseconds", watermark:
     return out.select("tab", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "changes", ((F.col("nodes") > most) | F.col("any_body")).alias("full"))
 
 
+class _InOrder(StatefulProcessor):
+    """Keeps the rows of a key until the watermark has passed them, then hands them to ``settle`` by time and ``seq``.
+
+    ``us`` is a row's time in microseconds since 1970, so no time zone enters.
+    """
+
+    columns: tuple[str, ...]  # of a waiting row, after ``us`` and ``seq``
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", ", ".join(["us long", "seq long", *(f"{c} string" for c in self.columns)]))
+
+    def settle(self, key: tuple, rows: pd.DataFrame, upto: int) -> tuple[pd.DataFrame | None, pd.DataFrame, int | None]:
+        """What comes out, the rows that stay, and the time to look at them again; all of ``rows`` before ``upto`` are there."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        names = ["us", "seq", *self.columns]
+        first = None
+        for pdf in rows:
+            self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in pdf[names].astype(object).itertuples(index=False)])
+            least = int(pdf["us"].min())
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(-(-self.due(first) // 1000) + 1)
+        yield from ()
+
+    def due(self, us: int) -> int:
+        """When a row of that time can be settled."""
+        return us
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        if not self.waiting.exists():
+            return
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = pd.DataFrame(list(self.waiting.get()), columns=["us", "seq", *self.columns]).sort_values(["us", "seq"], kind="stable", ignore_index=True)
+        out, rest, again = self.settle(key, rows, upto)
+        if len(rest):
+            self.waiting.put([tuple(None if pd.isna(v) else v for v in r) for r in rest.astype(object).itertuples(index=False)])
+            if again is not None:
+                self.handle.registerTimer(max(-(-again // 1000), upto // 1000) + 1)
+        else:
+            self.waiting.clear()
+        if out is not None and len(out):
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+class _Batches(_InOrder):
+    """A batch opens at the first row of a key that no batch holds, and takes the rows of the time ``width`` from there."""
+
+    columns = ("doi", "request_id")
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def due(self, us: int) -> int:
+        return us + self.width
+
+    def settle(self, key, rows, upto):
+        at = rows["us"].to_numpy()
+        starts, k = np.zeros(len(at), np.int64), 0
+        while k < len(at):
+            end = int(np.searchsorted(at, at[k] + self.width))
+            starts[k:end] = at[k]
+            k = end
+        done = starts + self.width <= upto
+        out = rows[done].assign(batch_us=starts[done])
+        out.insert(0, "tab", key[0])
+        rest = rows[~done]
+        return out[["tab", "batch_us", "doi", "request_id"]], rest, int(rest["us"].iloc[0]) + self.width if len(rest) else None
+
+
+class _Visits(_InOrder):
+    """The DOIs seen since a key's address last changed."""
+
+    columns = ("url", "doi")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.url = handle.getValueState("url", "url string")
+        self.seen = handle.getMapState("seen", "doi string", "us long")
+
+    def settle(self, key, rows, upto):
+        ready, rest = rows[rows["us"] <= upto], rows[rows["us"] > upto]
+        again = int(rest["us"].iloc[0]) if len(rest) else None
+        if not len(ready):
+            return None, rest, again
+        url = ready["url"].fillna("")
+        held = self.url.get()[0] if self.url.exists() else None
+        visit = (url != url.shift(fill_value=held if held is not None else url.iloc[0])).cumsum()
+        fresh = ready[~pd.DataFrame({"v": visit, "doi": ready["doi"]}).duplicated() & ready["doi"].notna()]
+        old = visit[fresh.index] == 0
+        known = [bool(o) and self.seen.containsKey((d,)) for o, d in zip(old, fresh["doi"])]
+        fresh = fresh[~np.array(known, bool)]
+        if visit.iloc[-1] > 0:
+            self.seen.clear()
+        for d, us in fresh.loc[visit[fresh.index] == visit.iloc[-1], ["doi", "us"]].itertuples(index=False):
+            self.seen.updateValue((d,), (int(us),))
+        self.url.update((url.iloc[-1],))
+        out = fresh[["url", "us", "doi"]].copy()
+        out.insert(0, "tab", key[0])
+        return out, rest, again
+
+
+def _micros(width: str) -> int:
+    return int(pd.Timedelta(width) // pd.Timedelta(microseconds=1))
+
+
 def batch_lookups(stream: DataFrame, width: str = "50 milliseconds", watermark: str = "10 seconds") -> DataFrame:
+    """(tab, batch_start, doi, request_id): each lookup (tab, doi, request_id, ts) with its batch; a batch asks once for each DOI.
+
+    A tab's batch opens at its first lookup that no earlier batch holds and takes
+    all lookups of the time ``width`` from there. It comes out once the watermark
+    has passed its end. Needs the RocksDB state store.
+    """
+    rows = stream.withWatermark("ts", watermark).select(
+        "tab", "ts", F.unix_micros("ts").alias("us"), F.xxhash64("request_id").alias("seq"), "doi", F.col("request_id").cast("string").alias("request_id")
+    )
+    out = rows.groupBy("tab").transformWithStateInPandas(
+        _Batches(_micros(width)), outputStructType=f"tab {stream.schema['tab'].dataType.simpleString()}, batch_us long, doi string, request_id string", outputMode="Append", timeMode="EventTime"
+    )
+    return out.select("tab", F.timestamp_micros("batch_us").alias("batch_start"), "doi", F.col("request_id").cast(stream.schema["request_id"].dataType).alias("request_id"))
+
+
+def tumbling_lookups(stream: DataFrame, width: str = "50 milliseconds", watermark: str = "10 seconds") -> DataFrame:
     """(batch_start, doi, waiters): lookups (doi, request_id, ts) of a tumbling window in one batch, each DOI once."""
     out = stream.withWatermark("ts", watermark).groupBy(F.window("ts", width).alias("w"), "doi").agg(F.array_sort(F.collect_set("request_id")).alias("waiters"))
     return out.select(F.col("w.start").alias("batch_start"), "doi", "waiters")
@@ -39,7 +168,22 @@ def dedupe_in_flight(stream: DataFrame, watermark: str = "10 seconds") -> DataFr
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["doi"])
 
 
-def seen_dois(stream: DataFrame, longest: str = "1 day") -> DataFrame:
+def seen_dois(stream: DataFrame, watermark: str = "10 seconds") -> DataFrame:
+    """(tab, url, ts, doi): DOIs not seen before in a tab's visit, from rows (tab, url, ts, seq, doi).
+
+    A tab's visit ends when its address changes, even back to one it had before;
+    the next begins with none seen. Rows are taken in order of time, then ``seq``,
+    once the watermark has passed them; a null address is an empty one, a row
+    without a DOI only moves the tab. Needs the RocksDB state store.
+    """
+    rows = stream.withWatermark("ts", watermark).select("tab", "ts", F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"), "url", "doi")
+    out = rows.groupBy("tab").transformWithStateInPandas(
+        _Visits(), outputStructType=f"tab {stream.schema['tab'].dataType.simpleString()}, url string, us long, doi string", outputMode="Append", timeMode="EventTime"
+    )
+    return out.select("tab", "url", F.timestamp_micros("us").alias("ts"), "doi")
+
+
+def seen_in_visit(stream: DataFrame, longest: str = "1 day") -> DataFrame:
     """DOIs not seen before in a tab's visit, from rows (tab, visit, doi), where ``visit`` is the time at which the visit began.
 
     A new visit starts with none seen. What was seen in a visit is kept while
@@ -48,36 +192,35 @@ def seen_dois(stream: DataFrame, longest: str = "1 day") -> DataFrame:
     return stream.withWatermark("visit", longest).dropDuplicates(["tab", "visit", "doi"])
 
 
+_NEVER = -(1 << 62)
+
+
 class _LastWrite(StatefulProcessor):
     """Keeps a key's last write while a read may still hit; a read hits while that is at most ``ttl`` old."""
 
     def __init__(self, ttl: dt.timedelta):
-        self.ttl = ttl
+        self.ttl = ttl // dt.timedelta(microseconds=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ts timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        pdf = pd.concat(list(rows)).sort_values(["ts", "is_read"], kind="stable")
-        wrote = pdf["ts"].where(~pdf["is_read"].astype(bool)).ffill()
-        if self.last.exists():
-            held = pd.Timestamp(self.last.get()[0])
-            wrote = wrote.fillna(held).clip(lower=held)
-        if len(pdf) and pd.notna(wrote.iloc[-1]):
-            last = wrote.iloc[-1]
-            self.last.update((last.to_pydatetime(),))
+        self.last = handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        pdf = pd.concat(list(rows)).sort_values(["us", "is_read"], kind="stable")
+        read = pdf["is_read"].to_numpy(bool)
+        held = self.last.get()[0] if self.last.exists() else _NEVER
+        wrote = np.maximum.accumulate(np.where(read, held, np.maximum(pdf["us"].to_numpy(np.int64), held)))
+        if len(pdf) and wrote[-1] > held:
+            self.last.update((int(wrote[-1]),))
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
-            # a day more, as times come here without their zone
-            self.handle.registerTimer(int((last + self.ttl + pd.Timedelta(days=1)).timestamp() * 1000))
-        read = pdf["is_read"].astype(bool)
+            self.handle.registerTimer(int(wrote[-1] + self.ttl) // 1000 + 1)
         if read.any():
-            out = pdf.loc[read, ["request_id", "ts"]]
+            out = pdf.loc[read, ["request_id", "us"]]
             out.insert(0, "key", key[0])
-            yield out.assign(hit=((pdf["ts"] - wrote) <= self.ttl)[read])
+            yield out.assign(hit=(wrote[read] > _NEVER) & (out["us"].to_numpy() - wrote[read] <= self.ttl))
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         self.last.clear()
         yield from ()
 
@@ -90,12 +233,27 @@ def ttl_cache_stream(stream: DataFrame, ttl: dt.timedelta, watermark: str = "10
 
     A key's state goes once the watermark is past what its last write can answer.
     """
-    return stream.withWatermark("ts", watermark).groupBy("key").transformWithStateInPandas(
-        _LastWrite(ttl), outputStructType="key string, request_id long, ts timestamp, hit boolean", outputMode="Append", timeMode="EventTime"
+    rows = stream.withWatermark("ts", watermark).select("key", "request_id", "ts", F.unix_micros("ts").alias("us"), "is_read")
+    out = rows.groupBy("key").transformWithStateInPandas(
+        _LastWrite(ttl), outputStructType="key string, request_id long, us long, hit boolean", outputMode="Append", timeMode="EventTime"
     )
+    return out.select("key", "request_id", F.timestamp_micros("us").alias("ts"), "hit")
 
 
 def enrich_stream(stream: DataFrame, notices: DataFrame, evidence: DataFrame) -> DataFrame:
     """Page DOIs joined with the snapshots of notices and evidence; stream-static, so no state."""
     told = evidence_lookup(stream, evidence)
     return told.join(folded_notices(notices), "doi", "left")
+
+
+def enrich_from_snapshots(stream: DataFrame, notices_path: str, evidence_path: str, write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """A writer whose every micro-batch joins the versions of the snapshots that are then the newest, and hands the rows to ``write``.
+
+    Start it with a checkpoint and a trigger. A version replaced meanwhile is read to its end, as the newest few stay.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        write(enrich_stream(batch, read_snapshot(spark, notices_path), read_snapshot(spark, evidence_path)), n)
+
+    return stream.writeStream.foreachBatch(put)

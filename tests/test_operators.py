@@ -141,10 +141,8 @@ def test_evict(spark, quota, kept):
     assert "".join(sorted(r.key for r in caches.evict_to_quota(df, quota, t(2024, 1, 10)).collect())) == kept
 
 
-@pytest.mark.parametrize("walked", [100_000, 3])
-def test_evict_of_one_age(spark, monkeypatch, walked):
+def test_evict_of_one_age(spark):
     """Many rows without a date, of one second, of one instant: as a walk over all rows in order has it."""
-    monkeypatch.setattr(caches, "WALKED", walked)
     t = dt.datetime
     when = [None] * 20 + [t(2024, 1, 3, 5, 0, 0, k % 3) for k in range(20)] + [t(2024, 1, 3, 5, k) for k in range(10)]
     rows = [(f"https://x.org/{k * 7919 % 101:03d}" if k else None, 1 + k % 4, w, None) for k, w in enumerate(when)]
