@@ -8,16 +8,20 @@ dropped when a chosen neighbour is closer to it by ``ALPHA``); a vector's
 neighbour lists from all its shards are united. The search walks greedily from
 the shard's medoids, the query's own node and its neighbours in any shard towards
 the query, then expands every node in range until no new one appears. Each cosine is computed,
-so nothing below the limit links. A sample of queries is held against all
-vectors; if its recall is under ``RECALL`` the search is repeated with wider
-overlap and beam, and after three tries all vectors are compared.
+so nothing below the limit links. Every vector whose id is divisible by ``ASKED``
+(by its hash, where ids are no whole numbers) is held against all vectors; if
+their recall is under ``RECALL`` the search is repeated with wider overlap and
+beam, and after three tries all vectors are compared.
 
 A shard with more than ``CHUNK`` vectors is dealt into chunks, each with a graph
 of its own, and each pair of chunks is a task. A task reports link counts and
 local components, never all pairs; a pair in several shards counts in the first
 that its vectors share, and joins their components wherever it is found.
 
-Centroids are as many as keep shards at about ``CHUNK`` vectors. They are fitted
+Centroids are as many as keep shards at about ``CHUNK`` vectors, but none that
+would link with another: a group so dense that it draws many of them would else
+fall apart into more shards than a vector belongs to. It is one shard, dealt into
+chunks. They are fitted
 on at most ``SAMPLE`` vectors; where more than ``CENTROIDS`` are needed, those are
 fitted within cells, each on at most ``SEEDS`` of its vectors a centroid. All
 vectors are indexed. Vectors of different lengths don't link; those of
@@ -53,6 +57,7 @@ CENTROIDS = 4096
 SEEDS = 16
 PART = 8192
 AUDIT = 4096
+ASKED = 20
 RECALL = 0.97
 
 
@@ -99,6 +104,24 @@ def fit_centroids(sample: np.ndarray, k: int, steps: int = 4) -> np.ndarray:
     return centre
 
 
+def spread(centre: np.ndarray, cosine: float) -> np.ndarray:
+    """Of centroids those that would not link with one before them, so that a dense group is one shard and not many."""
+    kept = centre[:1]
+    for c in centre[1:]:
+        if (kept @ c).max() < cosine:
+            kept = np.concatenate([kept, c[None]])
+    return kept
+
+
+def fit_spread(sample: np.ndarray, k: int, cosine: float) -> np.ndarray:
+    """Up to ``k`` centroids that don't link; those that a dense group loses are fitted anew to what lies outside of it."""
+    centre = spread(fit_centroids(sample, k), cosine)
+    far = np.concatenate([(sample[i : i + 4096] @ centre.T).max(1) < cosine for i in range(0, len(sample), 4096)])
+    if len(centre) < k and far.any():
+        centre = spread(np.concatenate([centre, fit_centroids(sample[far], k - len(centre))]), cosine)
+    return centre
+
+
 def build_graph(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> list[np.ndarray]:
     """Neighbours of each vector of a chunk, robustly pruned, with reverse edges."""
     n = len(x)
@@ -260,7 +283,7 @@ def _placed(reps: DataFrame, centre: np.ndarray, overlap: int, kind: str) -> Dat
     return materialise(reps.mapInArrow(assign, "key long, copies long, vec binary, shards array<long>"))
 
 
-def _placed_in_cells(reps: DataFrame, cells: np.ndarray, k: int, overlap: int, kind: str) -> DataFrame:
+def _placed_in_cells(reps: DataFrame, cells: np.ndarray, k: int, overlap: int, kind: str, cosine: float) -> DataFrame:
     """As ``_placed`` for about ``k`` centroids, fitted within ``cells``.
 
     A vector looks at the centroids of its nearest cells. They never meet in one
@@ -273,7 +296,7 @@ def _placed_in_cells(reps: DataFrame, cells: np.ndarray, k: int, overlap: int, k
     sample = placed.select("key", "vec", F.get("shards", F.lit(0)).alias("cell")).withColumn("rank", rank).where(F.col("rank") <= SEEDS * each)
 
     def fit(table: pa.Table) -> pa.Table:
-        centre = fit_centroids(matrix(table.column("vec"), kind), each)
+        centre = fit_spread(matrix(table.column("vec"), kind), each, cosine)
         return pa.table({"cell": table.column("cell")[:1], "centres": pa.array([centre.tobytes()], pa.binary())})
 
     fitted = sample.select("cell", "vec").groupBy("cell").applyInArrow(fit, "cell long, centres binary")
@@ -302,8 +325,8 @@ def _search(reps: DataFrame, n: int, overlap: int, beam: int, cosine: float, kin
     k = max(1, -(-n * overlap // CHUNK))
     first = k if k <= CENTROIDS else int(np.ceil(np.sqrt(k)))
     sample = reps.orderBy(F.xxhash64("key"), "key").limit(min(SAMPLE, 64 * first)).select("vec").toArrow()
-    centre = fit_centroids(matrix(sample.column("vec"), kind), first)
-    placed = _placed(reps, centre, overlap, kind) if k <= CENTROIDS else _placed_in_cells(reps, centre, k, overlap, kind)
+    centre = fit_spread(matrix(sample.column("vec"), kind), first, cosine)
+    placed = _placed(reps, centre, overlap, kind) if k <= CENTROIDS else _placed_in_cells(reps, centre, k, overlap, kind, cosine)
     members = placed.select("key", "copies", "vec", "shards", F.explode(F.array_distinct("shards")).alias("shard"))
     sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
     members = members.join(sizes, "shard").withColumn("chunk", F.expr("pmod(xxhash64(key, shard), chunks)"))
@@ -324,25 +347,31 @@ def _search(reps: DataFrame, n: int, overlap: int, beam: int, cosine: float, kin
     return materialise(out)
 
 
-def audit(reps: DataFrame, found: DataFrame, cosine: float, kind: str) -> float | None:
-    """Recall of a bounded sample of queries against all vectors: the mean of queries with links.
+def audit(reps: DataFrame, queries: DataFrame, found: DataFrame, cosine: float, kind: str) -> float | None:
+    """Recall of ``queries`` (key) against all vectors: the mean of queries with links.
 
     Queries with more than ``DEGREE`` links and the others are judged apart; the
-    lesser counts. None if no query has a link.
+    lesser counts. None if no query has a link. Queries are dealt into blocks of
+    about ``AUDIT`` and vectors into blocks of about ``PART``; a pair of blocks is a task.
     """
-    sample = reps.orderBy(F.xxhash64(F.lit(7), "key"), "key").limit(AUDIT).select("key", "vec").toArrow()
-    key, x = sample.column("key").to_numpy(), matrix(sample.column("vec"), kind)
-    shared = reps.sparkSession.sparkContext.broadcast((key, x))  # AUDIT vectors at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, x = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                own, weight = batch.column("key").to_numpy(), batch.column("copies").to_numpy()
-                near = (x @ matrix(batch.column("vec"), kind).T >= cosine) & (key[:, None] != own[None, :])
-                yield pa.RecordBatch.from_pydict({"key": key, "truth": near @ weight})
-
-    truth = reps.mapInArrow(run, "key long, truth long").groupBy("key").agg(F.sum("truth").alias("truth"))
+    asked = materialise(reps.join(queries, "key", "left_semi").select("key", "vec"))
+    m, n = (max(1, -(-rows.count() // size)) for rows, size in ((asked, AUDIT), (reps, PART)))
+
+    def run(own: pa.Table, base: pa.Table) -> pa.Table:
+        key, truth = own.column("key").to_numpy(), np.zeros(own.num_rows, np.int64)
+        if own.num_rows and base.num_rows:
+            x, y = matrix(own.column("vec"), kind), matrix(base.column("vec"), kind)
+            other, weight = base.column("key").to_numpy(), base.column("copies").to_numpy()
+            for i in range(0, len(x), 512):
+                near = (x[i : i + 512] @ y.T >= cosine) & (key[i : i + 512, None] != other[None, :])
+                truth[i : i + 512] = near @ weight
+        return pa.table({"key": key, "truth": truth})
+
+    own = lambda k: F.expr(f"pmod(xxhash64(key), {k}L)")
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    left = asked.withColumn("i", own(m)).withColumn("j", every(n)).groupBy("i", "j")
+    right = reps.select("key", "copies", "vec").withColumn("j", own(n)).withColumn("i", every(m)).groupBy("i", "j")
+    truth = left.cogroup(right).applyInArrow(run, "key long, truth long").groupBy("key").agg(F.sum("truth").alias("truth"))
     seen = found.groupBy("key").agg(F.sum("links").alias("links"))
     share = F.least(F.coalesce("links", F.lit(0)) / F.col("truth"), F.lit(1.0))
     means = truth.join(seen, "key", "left").where("truth > 0").groupBy(F.col("truth") > DEGREE).agg(F.avg(share).alias("mean"))
@@ -386,17 +415,20 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     reps = materialise(reps.withColumn("key", F.monotonically_increasing_id()))
     main = F.length("vec") == (usual["b"] if usual else -1)
     points = reps.where(main).select("key", "copies", "vec")
+    whole = rows.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    asked = rows.where((F.col("id") if whole else F.xxhash64("id")) % ASKED == 0).select("d1", "d2").distinct()
+    asked = materialise(reps.join(asked, ["d1", "d2"], "left_semi").select("key"))
     n, recall, overlap, beam = points.count(), None, OVERLAP, BEAM
     found = materialise(points.select("key", F.lit(0).cast("long").alias("links"), F.col("key").alias("root")).limit(0))
     for _ in range(3 if n > 1 else 0):
         found = _search(points, n, overlap, beam, cosine, kind)
-        recall = audit(points, found, cosine, kind)
+        recall = audit(points, asked, found, cosine, kind)
         if recall is None or recall >= RECALL:
             break
         overlap, beam = overlap + 2, 2 * beam
     if recall is not None and recall < RECALL:
         found = _exact(points, cosine, kind)
-        recall = audit(points, found, cosine, kind)
+        recall = audit(points, asked, found, cosine, kind)
     if lengths.count() > 1:
         found = found.unionByName(_exact(reps.where(~main).select("key", "copies", "vec"), cosine, kind))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
