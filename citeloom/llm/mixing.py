@@ -123,8 +123,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mixed rows: each row of ``docs`` as often as the mix takes it."""
     sized = materialise(docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col)).alias("h")))
     cut = materialise(thresholds(sized, materialise(targets(sized))).toDF("s", "passes", "below"))
-    rows = docs.select(F.col(source_col).alias("source"), F.struct(*docs.columns).alias("doc"))
-    own = F.col(f"doc.{id_col}")
+    rows = docs.select(F.col(source_col).alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    own = F.col("doc").getField(id_col)
     copies = F.col("passes") + (doc_hash(own) < F.col("below")).cast("int")
     return with_source(rows, cut, own).withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select("doc.*")
 

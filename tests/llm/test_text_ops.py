@@ -361,6 +361,8 @@ def test_mixing(spark):
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= 30 for s in names)
     assert sorted(map(str, plan)) == sorted(map(str, mixing.plan_mix(df.repartition(7)).collect()))
+    dotted = mixing.mix(df.withColumn("a.b", F.lit(1)))
+    assert dotted.columns[-1] == "a.b" and dotted.count() == mixing.mix(df).count()
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
     assert mixed.count() == sum(r.copies for r in plan)
