@@ -67,9 +67,9 @@ def pmc_lookup(df: DataFrame, pmc_ids: DataFrame) -> DataFrame:
 
 
 def feedback_lookup(df: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Rows of ``df`` with discussion; of several records of a DOI the last (by ``pos``) wins."""
+    """Rows of ``df`` with discussion; of several records of a DOI the last (by ``pos``) wins, of those at one place the greatest as a text."""
     cols = [c for c in feedback.columns if c not in ("doi", "pos")]
-    order = F.col("pos") if "pos" in feedback.columns else F.lit(0)
+    order = F.struct(F.col("pos") if "pos" in feedback.columns else F.lit(0), F.to_json(F.struct(*cols)))
     one = feedback.groupBy(F.lower("doi").alias("doi")).agg(F.max_by(F.struct(*cols), order).alias("r"))
     return df.join(one, "doi").select(*df.columns, *[F.col(f"r.{c}").alias(c) for c in cols])
 
@@ -88,11 +88,15 @@ def _location(raw: Column) -> Column:
 
 
 def oa_status(df: DataFrame, unpaywall: DataFrame) -> DataFrame:
-    """``df`` with is_oa, url and locations: the best copy first, one row an address."""
+    """``df`` with is_oa, url and locations: the best copy first, one row an address.
+
+    Of several records of a DOI an open one counts, of these the greatest as a text.
+    """
     every = F.concat(F.array("best_oa_location"), F.coalesce("oa_locations", F.array().cast("array<struct<url:string,url_for_pdf:string,host_type:string,version:string,repository_institution:string>>")))
     found = F.filter(F.transform(every, _location), lambda x: x.isNotNull())
     once = F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: y["url"]), x["url"]) == i + 1)
-    rows = unpaywall.select(F.lower("doi").alias("doi"), "is_oa", once.alias("locations")).dropDuplicates(["doi"])
+    each = unpaywall.select(F.lower("doi").alias("doi"), F.struct("is_oa", once.alias("locations")).alias("r"))
+    rows = each.groupBy("doi").agg(F.max_by("r", F.struct(F.coalesce("r.is_oa", F.lit(False)), F.to_json("r"))).alias("r")).select("doi", "r.*")
     url = F.get("locations", F.lit(0))["url"]
     return df.join(rows, "doi", "left").select(*df.columns, F.coalesce(F.col("is_oa") & url.isNotNull(), F.lit(False)).alias("is_oa"), url.alias("url"), "locations")
 

@@ -32,6 +32,10 @@ _CLOSES = {"li": "li", "p": "p", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th",
 _LIST_NAME = re.compile(r"(?:^|[-_\s])(?:cites|citations|bibliograph(?:y|ies)|references|reflist|ref-list|works-cited|footnotes|cited-by)(?:$|[-_\s])", re.I)
 _LIST_HEADING = re.compile(r"^(?:\d+\.?\s*)?(?:references|bibliography|works\s+cited|literature\s+cited)\s*:?$", re.I)
 _PANEL_TEXT, _PANEL_HOPS = 100, 8
+_HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
+_FENCES = frozenset(("td", "th", "caption", "object", "template"))
+#: Nesting beyond which elements stand side by side, as in browsers.
+DEEPEST = 512
 
 
 class _Node:
@@ -81,23 +85,48 @@ class _Node:
 
 
 class _Tree(HTMLParser):
+    """A tree in one pass. Links and headings don't hold their like, so one that is left open ends where the next begins; what lies deeper than ``DEEPEST`` stands side by side."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("#root", {}, None)
+        self.depth = 0
+        self.open: dict[str, int] = {}
+
+    def _leave(self, node: _Node) -> None:
+        """Close ``node`` and all that is open in it."""
+        while True:
+            left, self.at = self.at, self.at.parent
+            self.depth -= 1
+            self.open[left.tag] -= 1
+            if left is node:
+                return
+
+    def _open_link(self) -> _Node | None:
+        if not self.open.get("a"):
+            return None
+        for node in (self.at, *self.at.ancestors()):
+            if node.tag == "a":
+                return node
+            if node.tag in _FENCES:  # a link outside goes on
+                return None
+        return None
 
     def handle_starttag(self, tag, attrs):
-        if tag in _CLOSES and self.at.tag in _CLOSES[tag].split():
-            self.at = self.at.parent
+        if tag == "a" and (link := self._open_link()):
+            self._leave(link)
+        elif tag in _HEADINGS and self.at.tag in _HEADINGS or tag in _CLOSES and self.at.tag in _CLOSES[tag].split():
+            self._leave(self.at)
         node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.kids.append(node)
-        if tag not in _VOID:
+        if tag not in _VOID and self.depth < DEEPEST:
             self.at = node
+            self.depth += 1
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        for node in (self.at, *self.at.ancestors()):
-            if node.tag == tag and node.parent is not None:
-                self.at = node.parent
-                return
+        if self.open.get(tag):
+            self._leave(next(n for n in (self.at, *self.at.ancestors()) if n.tag == tag))
 
     def handle_data(self, data):
         self.at.kids.append(data)

@@ -9,7 +9,7 @@ import contextlib
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import doi as D
@@ -901,26 +901,58 @@ def write_reports(spark, sf_dir):
 # -- sources ------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doi, title, first_author, CAST(year AS INT) AS year, 2 AS n_urls FROM papers", "papers")
-def works_from_json(spark, sf_dir):
-    """Work records of two formats, parsed."""
+def _work_lines(spark, sf_dir) -> dict[str, DataFrame]:
     p = table(spark, sf_dir, "papers")
     k = F.col("paper_id")
     a = F.struct(F.upper("doi").alias("DOI"), F.array("title").alias("title"), F.array(F.struct(F.col("first_author").alias("family"))).alias("author"), F.struct(F.array(F.array("year")).alias("date-parts")).alias("issued"), F.lit("https://a.example.org").alias("URL"), F.array(F.struct(F.lit("https://b.example.org").alias("URL")), F.struct(F.lit("https://a.example.org").alias("URL"))).alias("link"))
     place = lambda x, y: F.struct(F.lit(x).alias("landing_page_url"), F.lit(y).alias("pdf_url"))
     b = F.struct(F.concat(F.lit("https://doi.org/"), "doi").alias("doi"), "title", F.col("year").alias("publication_year"), F.array(F.struct(F.struct(F.col("first_author").alias("display_name")).alias("author"))).alias("authorships"), place("https://a.example.org", None).alias("primary_location"), F.array(place("https://a.example.org", "https://b.example.org")).alias("locations"))
-    one = readers.works_from_json(p.where(k % 2 == 0).select(F.to_json(a).alias("value")), "crossref")
-    two = readers.works_from_json(p.where(k % 2 == 1).select(F.to_json(b).alias("value")), "openalex")
+    return {"crossref": p.where(k % 2 == 0).select(F.to_json(a).alias("value")), "openalex": p.where(k % 2 == 1).select(F.to_json(b).alias("value"))}
+
+
+@query("SELECT doi, title, first_author, CAST(year AS INT) AS year, 2 AS n_urls FROM papers", "papers")
+def works_from_json(spark, sf_dir):
+    """Work records of two formats, parsed."""
+    one, two = (readers.works_from_json(lines, source) for source, lines in _work_lines(spark, sf_dir).items())
     return one.unionByName(two).select("doi", "title", "first_author", "year", F.size("urls").alias("n_urls"))
 
 
+@query("SELECT doi, title, first_author, CAST(year AS INT) AS year, 2 AS n_urls FROM papers", "papers")
+def read_works_json(spark, sf_dir):
+    """The same records from files."""
+    out = []
+    for source, lines in _work_lines(spark, sf_dir).items():
+        at = f"{scratch(spark)}/{source}"
+        lines.write.text(at)
+        out.append(readers.read_works_json(spark, at, source))
+    return out[0].unionByName(out[1]).select("doi", "title", "first_author", "year", F.size("urls").alias("n_urls"))
+
+
+def _evidence_record() -> Column:
+    """A record as JSON, with null and malformed ones."""
+    counts = F.format_string('{"n_replications_total":%d,"n_reproductions_total":%d,"n_originals_total":%d}', "replications", "reproductions", "originals")
+    stats = F.when(F.col("replications") % 5 == 4, F.lit("7")).otherwise(counts)
+    return F.when(F.col("reproductions") % 3 == 2, F.lit("null")).otherwise(F.concat(F.lit('{"title":"t","authors":"Lee","seen":'), counts, F.lit(',"record":{"stats":'), stats, F.lit("}}")))
+
+
 @query("SELECT doi, replications, reproductions, originals, replications % 5 <> 4 AS valid FROM evidence WHERE reproductions % 3 <> 2", "evidence")
 def evidence_from_json(spark, sf_dir):
     """Evidence envelopes, one a record, with null and malformed ones."""
     e = table(spark, sf_dir, "evidence")
-    counts = F.format_string('{"n_replications_total":%d,"n_reproductions_total":%d,"n_originals_total":%d}', "replications", "reproductions", "originals")
-    stats = F.when(F.col("replications") % 5 == 4, F.lit("7")).otherwise(counts)
-    record = F.when(F.col("reproductions") % 3 == 2, F.lit("null")).otherwise(F.concat(F.lit('{"title":"t","authors":"Lee","seen":'), counts, F.lit(',"record":{"stats":'), stats, F.lit("}}")))
+    record = _evidence_record()
     lines = e.select(F.concat(F.lit('{"results":{"'), F.upper("doi"), F.lit('":'), record, F.lit("}}")).alias("value"), "doi", "replications", "reproductions", "originals")
     out = readers.evidence_from_json(lines.select("value"))
     return out.select("doi", "valid").join(e, "doi").select("doi", "replications", "reproductions", "originals", "valid")
+
+
+@query("SELECT doi, replications, reproductions, originals FROM evidence WHERE reproductions % 3 <> 2 AND replications % 5 <> 4", "evidence")
+def read_evidence_json(spark, sf_dir):
+    """Files of one envelope each, on one line."""
+    e = table(spark, sf_dir, "evidence")
+    at = f"{scratch(spark)}/evidence"
+    entry = F.concat(F.lit('"'), F.upper("doi"), F.lit('":'), _evidence_record())
+    files = e.groupBy((F.crc32("doi") % max(8, e.count() // 500)).alias("file")).agg(F.concat(F.lit('{"v":{"a":1},"results":{'), F.array_join(F.collect_list(entry), ","), F.lit("}}")).alias("value"))
+    files.write.partitionBy("file").text(at)
+    good, _ = readers.read_evidence_json(spark, at)
+    n = lambda c: F.col(f"stats.n_{c}_total").alias(c)
+    return good.select("doi", n("replications"), n("reproductions"), n("originals"))

@@ -109,7 +109,11 @@ def evidence_from_json(envelopes: DataFrame) -> DataFrame:
     list of one. Keys are lower-cased.
     """
     results = F.from_json(F.get_json_object("value", "$.results"), "map<string,string>")
-    rows = envelopes.select(F.explode(results).alias("key", "record")).where("record IS NOT NULL AND record <> 'null'")
+    return _evidence(envelopes.select(F.explode(results).alias("key", "record")))
+
+
+def _evidence(rows: DataFrame) -> DataFrame:
+    rows = rows.where("record IS NOT NULL AND record <> 'null'")
     j = lambda path: F.get_json_object("record", path)
     authors = F.when(F.substring(F.trim(j("$.authors")), 1, 1) == "[", F.from_json(j("$.authors"), AUTHORS)).otherwise(
         F.when(j("$.authors").isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("sequence"), F.lit(None).cast("string").alias("given"), j("$.authors").alias("family"))))
@@ -120,7 +124,59 @@ def evidence_from_json(envelopes: DataFrame) -> DataFrame:
     return rows.select(F.lower(F.trim("key")).alias("doi"), j("$.title").alias("title"), authors.alias("authors"), j("$.journal").alias("journal"), j("$.year").try_cast("int").alias("year"), stats.alias("stats"), *lists, F.coalesce(valid, F.lit(False)).alias("valid"))
 
 
+#: What stands before the first record of an envelope, up to the brace that opens the results.
+_HEAD = r'(?s)\A\s*,?\s*\{?(?:[^{}"]|"(?:[^"\\]|\\.)*+")*?"results"\s*:\s*\{'
+
+
+def envelope_records(spark: SparkSession, path: str) -> DataFrame:
+    """(key, record) of files that each hold ``{"results": {key: record, ...}}``, however long and on however few lines.
+
+    Files are read by splits, a piece up to the next ``},`` at a time, which may
+    also stand in a text or deeper. Each split adds up its quotes, and its braces
+    for either state that it may begin in; one row a split tells every piece
+    whether it begins in a text and how deep it ends. Only the pieces of one record
+    come together. Records of other keys than ``results`` are left out.
+    """
+    lines = spark.read.option("lineSep", "},").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line")
+    )
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # no escapes
+    lines = lines.withColumn("bare", bare).withColumn("quotes", F.regexp_count("bare", F.lit('"')))
+    texts = r'(?s)"[^"]*("|\z)'
+    net = lambda c: F.regexp_count(c, F.lit(r"[{\[]")) - F.regexp_count(c, F.lit(r"[}\]]"))
+    lines = lines.withColumns({"d0": net(F.regexp_replace("bare", texts, "")), "d1": net(F.regexp_replace(F.concat(F.lit('"'), "bare"), texts, ""))}).drop("bare")
+    inside = Window.partitionBy("file", "at").orderBy("line")
+    before, upto = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    # the brace of the separator closes something unless it stands in a text
+    step = lambda flip: F.when((F.col("odd") + flip) % 2 == 0, F.col("d0")).otherwise(F.col("d1")) - (1 - (F.col("odd") + F.col("quotes") + flip) % 2)
+    lines = lines.withColumns({f"step{k}": step(k) for k in (0, 1)})
+    lines = staged(lines.withColumns({f"deep{k}": F.sum(f"step{k}").over(upto) for k in (0, 1)}))
+    splits = lines.groupBy("file", "at").agg(F.sum("quotes").alias("quotes"), F.sum("step0").alias("step0"), F.sum("step1").alias("step1"))
+    earlier = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("flip", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    own = lambda name: F.when(F.col("flip") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    splits = splits.select("file", "at", "flip", F.coalesce(F.sum(own("step")).over(earlier), F.lit(0)).alias("base"))
+    lines = lines.join(splits, ["file", "at"])
+    outside = (F.col("odd") + F.col("quotes") + F.col("flip")) % 2 == 0
+    depth = F.col("base") + own("deep")
+    ends = {"record": (outside & (depth <= 2)).cast("long"), "part": (outside & (depth <= 1)).cast("long")}
+    lines = staged(lines.withColumns(ends).select("file", "at", "line", "value", *ends))
+    counts = lines.groupBy("file", "at").agg(*[F.sum(c).alias(f"all_{c}") for c in ends])
+    counts = counts.select("file", "at", *[F.coalesce(F.sum(f"all_{c}").over(earlier), F.lit(0)).alias(f"from_{c}") for c in ends])
+    place = {f"n_{c}": F.col(f"from_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ends}
+    lines = lines.join(counts, ["file", "at"]).withColumns(place)
+    pieces = lines.groupBy("file", "n_record").agg(F.min("n_part").alias("n_part"), F.array_sort(F.collect_list(F.struct("at", "line", "value"))).alias("pieces"))
+    texts = staged(pieces.select("file", "n_part", "n_record", F.array_join("pieces.value", "},").alias("text")))
+    # a part begins with its key
+    firsts = texts.groupBy("file", "n_part").agg(F.min("n_record").alias("n_record"))
+    parts = texts.join(firsts, ["file", "n_part", "n_record"]).where(F.col("text").rlike(_HEAD)).select("file", "n_part", F.col("n_record").alias("first"))
+    rows = texts.join(parts, ["file", "n_part"])
+    text = F.when(F.col("n_record") == F.col("first"), F.regexp_replace("text", _HEAD, "")).otherwise(F.col("text"))
+    return rows.select(F.explode(F.from_json(F.concat(F.lit("{"), text, F.lit("}}")), "map<string,string>")).alias("key", "record"))
+
+
 def read_evidence_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, counts): valid records, and one row (records, malformed)."""
-    rows = evidence_from_json(spark.read.text(path, wholetext=True))
+    rows = staged(_evidence(envelope_records(spark, path)))
     return rows.where("valid").drop("valid"), rows.agg(F.count_if("valid").alias("records"), F.count_if(~F.col("valid")).alias("malformed"))

@@ -3,6 +3,7 @@
 import csv
 import datetime as dt
 import io
+import json
 import os
 
 import numpy as np
@@ -101,3 +102,46 @@ def test_notices_are_replaced_by_kind(spark, tmp_path):
         n = spark.createDataFrame([("10.1/a", "10.9/n", kind)], "origin_doi string, notice_doi string, kind string")
         writers.write_notices(n, str(tmp_path / "out"))
         assert [r.kind for r in writers.read_notices(spark, str(tmp_path / "out")).collect()] == [kind]
+
+
+def envelope(n, seed=0):
+    rng = np.random.default_rng(seed)
+    odd = ["plain", 'a "quoted" one', "brace },{ inside", "end },", "back\\slash\\", "[{", "é€\n", "}}", '\\"},']
+    stats = {"n_replications_total": 1, "n_reproductions_total": 0, "n_originals_total": 2}
+    out = {}
+    for k in range(n):
+        record = {"title": odd[rng.integers(len(odd))], "authors": "Lee", "record": {"stats": stats, "replications": [{"title": odd[rng.integers(len(odd))], "year": 2000 + k % 20}, {}]}}
+        out[f"10.1/K{k}"] = None if k % 7 == 3 else {"title": "no stats"} if k % 11 == 5 else record
+    return out
+
+
+@pytest.mark.parametrize("split", ["64b", "900b", "1m"])
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("around", [({}, {}), ({"meta": {"results": {"x": {"title": "no"}}, "n": [1]}, "v": 1}, {"after": {"y": {"z": 2}}})])
+def test_envelopes_in_splits(spark, tmp_path, split, indent, around):
+    """One long line or many, splits within texts and records, keys beside the results: the records that a parser of the whole file finds."""
+    records = [envelope(40), envelope(3, 1), {}]
+    for k, r in enumerate(records):
+        r = {key.replace("K", f"K{k}."): v for key, v in r.items()}
+        records[k] = r
+        (tmp_path / f"{k}.json").write_text(json.dumps({**around[0], "results": r, **around[1]}, indent=indent, separators=None if indent else (",", ":")))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = {r.key: r.record and json.loads(r.record) for r in readers.envelope_records(spark, str(tmp_path)).collect()}
+        good, counts = readers.read_evidence_json(spark, str(tmp_path))
+        titles = {r.doi: r.title for r in good.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {k: v for r in records for k, v in r.items()}
+    assert {k: v for k, v in got.items() if v is not None} == {k: v for k, v in want.items() if v is not None}
+    valid = {k.lower(): v["title"] for k, v in want.items() if v and "record" in v}
+    assert titles == valid and counts.first().records == len(valid)
+    assert counts.first().malformed == sum(1 for v in want.values() if v and "record" not in v)
+
+
+def test_works_files(spark, tmp_path):
+    (tmp_path / "w.json").write_text('{"DOI":"10.1234/A","title":["T"],"author":[{"family":"Lee"}],"issued":{"date-parts":[[2001,2]]},"URL":"u"}\n{"DOI":"10.1234/b"}\nnot json\n')
+    assert [(r.doi, r.title, r.first_author, r.year, r.urls) for r in readers.read_works_json(spark, str(tmp_path / "w.json"), "crossref").collect()] == [("10.1234/a", "T", "Lee", 2001, ["u"])]
