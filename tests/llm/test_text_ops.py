@@ -305,7 +305,7 @@ def test_differencing_evens_out():
 
 def test_token_store(spark, tokenizer, tmp_path):
     docs = [*ODD, *texts(6, 150)]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "doc_id long, text string").repartition(5)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "doc_id long, text string").repartition(5).cache()
     out = f"file://{tmp_path}/store"
     manifest = token_store.build(df, out, length=64, shard=50).cache()
     rows = sorted(manifest.collect(), key=lambda r: r.shard)
@@ -315,8 +315,12 @@ def test_token_store(spark, tokenizer, tmp_path):
     assert sorted(back) == list(range(total))
     number = token_store.permute(np.arange(total), total, inverse=True)
     stream = [back[s] for s in np.argsort(number)]
-    want = sorted(i for t in docs for i in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] if i != 1)
-    assert sorted(i for x in stream for i in x.tolist() if i != 1) == want
+    # each partition's texts one after another, in order, filled up to whole sequences
+    want = defaultdict(list)
+    for r in df.select(F.spark_partition_id().alias("p"), "text").collect():
+        want[r.p] += [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]
+    assert [i for x in stream for i in x.tolist()] == [i for p in sorted(want) for i in want[p] + [1] * (-len(want[p]) % 64)]
+    assert [back[s].tolist() for s in token_store.permute(np.arange(total), total)] == [x.tolist() for x in stream]
     assert sum(r.n_tokens for r in rows) == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for t in docs)
     late = token_store.read_sequences(spark, out, manifest, 73, 64).collect()
     assert sorted(r.slot for r in late) == list(range(73, total)) and all(np.array_equal(np.frombuffer(r.ids, "<u2"), back[r.slot]) for r in late)
