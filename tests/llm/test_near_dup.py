@@ -198,3 +198,17 @@ def test_links_lost_outside_a_hot_group_are_found(spark, monkeypatch, chunk):
     got = {r.vec_id: r for r in E.link(rows).collect()}
     assert [got[k].n_links for k in range(len(x))] == linked.sum(1).tolist()
     assert [got[k].component_id for k in range(len(x))] == components(len(x), np.argwhere(linked).tolist())
+
+
+def test_a_group_of_many_chunks(spark, monkeypatch):
+    """A group that fills fifteen chunks, beside pairs: the search alone finds every link."""
+    monkeypatch.setattr(E, "CHUNK", 40)
+    monkeypatch.setattr(E, "_exact", None)
+    rng = np.random.default_rng(9)
+    pair = rng.normal(size=(60, 24))
+    x = np.concatenate([rng.normal(size=(1, 24)) + 0.1 * rng.normal(size=(600, 24)), pair, pair + 0.05 * rng.normal(size=pair.shape)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r for r in E.link(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[k].n_links for k in range(len(x))] == linked.sum(1).tolist()
+    assert {r.audit_recall for r in got.values()} == {1.0}
