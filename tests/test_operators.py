@@ -1,6 +1,7 @@
 """Small worked cases for the operators."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,6 +198,13 @@ def test_windows(spark):
     assert [(r.t, r.msg, r.place, r.shown, r.total) for r in got] == [(3, "mmm", 1, 2, 5), (4, "mmm", 2, 2, 5)]
 
 
+def test_fingerprint_hashes_whole_rows(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None)], "k int, v string")
+    rows = {1: '{"v":"a"}|{"v":"a"}|{"v":"b"}', 2: '{"v":null}'}
+    want = {k: hashlib.sha256(x.encode()).hexdigest() for k, x in rows.items()}
+    assert {r.k: r.fingerprint for r in reports.panel_fingerprint(df, "k", ["v"]).collect()} == want
+
+
 def test_fingerprint_ignores_order(spark):
     a = spark.createDataFrame([(1, "x"), (1, None)], "k int, v string")
     b = spark.createDataFrame([(1, None), (1, "x")], "k int, v string")
