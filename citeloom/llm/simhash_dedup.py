@@ -14,11 +14,10 @@ a task of its own, so no link is lost.
 
 ``keep_one``: fingerprints of 256 bits over shingles of five words link when
 they differ in at most ``WIDE`` bits, as texts whose shingles have a Jaccard
-similarity of 0.8 do on average. No band must agree at such a distance, so
-candidates share one of many bands of chosen bits, as many as find ``RECALL`` of
-the pairs at 0.8 (and more of closer ones); bands widen as the table grows, so
-that unlike fingerprints seldom meet. Heavy bands are dealt into blocks, and
-pairs of blocks are tasks.
+similarity of 0.8 do on average. No band must agree at such a distance, so all
+pairs of distinct fingerprints are compared: they are dealt into at most
+``DEALT`` blocks, and each pair of blocks is a group of its own, compared by
+half of the bits first. Its time grows with the square of the distinct texts.
 
 Copies share one fingerprint and are joined as one. A task reports the
 components it finds as stars, never all pairs. Null and word-less texts have
@@ -48,7 +47,9 @@ SEED = 42
 WORDS = 4  # of 64 bits in a wide fingerprint
 WIDE = 38
 WIDE_SHINGLE = 5
-RECALL = 0.9
+DEALT = 32  # blocks of wide fingerprints, each sent to as many groups
+WIDEST = 1 << 19  # fingerprints in a block, whatever their number
+_TILE = 8192
 DEEPEST = 16  # bits by which a heavy band is dealt out
 _LANES = np.uint64(0x0101010101010101)
 _FLUSH = 1_000_000
@@ -289,42 +290,55 @@ def fingerprint_links(fps: DataFrame, budget: int = BUDGET, block: int = BLOCK)
     return _walk(rows, stars)
 
 
-def wide_bands(n: int, recall: float = RECALL) -> np.ndarray:
-    """Bits of each band for ``n`` fingerprints: rows of positions, enough rows for ``recall`` of pairs that differ in ``WIDE`` bits."""
-    width = max(16, (max(n, 2) - 1).bit_length() - 8)
-    agree = (1 - WIDE / (64 * WORDS)) ** width
-    rng = np.random.default_rng(1)
-    return np.array([rng.choice(64 * WORDS, width, replace=False) for _ in range(int(np.ceil(np.log(1 - recall) / np.log(1 - agree))))])
+def _near(a: np.ndarray, b: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in ``a`` and ``b`` of all fingerprints that differ in ``budget`` bits at most, by tiles; two words of each pair are looked at before the rest."""
+    columns = np.ascontiguousarray(b.T)
+    for lo in range(0, len(b), _TILE):
+        first, second = columns[:2, lo : lo + _TILE]
+        for top in range(0, len(a), 16):
+            rows = a[top : top + 16]
+            apart = np.bitwise_count(rows[:, 0, None] ^ first)
+            apart += np.bitwise_count(rows[:, 1, None] ^ second)
+            i, j = np.nonzero(apart <= budget)
+            if len(i):
+                i, j = i + top, j + lo
+                near = np.bitwise_count(a[i] ^ b[j]).sum(1, dtype=np.int64) <= budget
+                yield i[near], j[near]
+
+
+def _linked(words: np.ndarray, block: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions linked in one group of two blocks, or of one with itself, as stars of local components."""
+    labels = np.arange(len(words))
+    sides = [np.flatnonzero(block == k) for k in np.unique(block)]
+    held: list[np.ndarray] = []
+    for i, j in _near(words[sides[0]], words[sides[-1]], budget):
+        held.append(np.stack([sides[0][i], sides[-1][j]]))
+        if sum(h.shape[1] for h in held) > _COMPARED:
+            fold(labels, *np.concatenate(held, axis=1))
+            held = []
+    if held:
+        fold(labels, *np.concatenate(held, axis=1))
+    moved = np.flatnonzero(labels != np.arange(len(words)))
+    return moved, labels[moved]
 
 
 def wide_links(fps: DataFrame, n: int, budget: int = WIDE, block: int = BLOCK) -> DataFrame:
-    """(a, b) edges among the ``n`` rows (key, fp) whose wide fingerprints differ in at most ``budget`` bits and share a band."""
-    at = wide_bands(n)
-    power = 1 << np.arange(at.shape[1])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                bits = np.unpackbits(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
-                value = bits[:, at].astype(np.int64) @ power
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.tile(np.arange(len(at)), part.num_rows)), pa.array(value.ravel()),
-                    part.column("key").take(index := pa.array(np.repeat(np.arange(part.num_rows), len(at)))), part.column("fp").take(index),
-                ], names=["band", "value", "key", "fp"])
-
-    rows = fps.mapInArrow(deal, "band long, value long, key long, fp binary")
-    sizes = rows.groupBy("band", "value").count()
-    many = materialise(sizes.where("count > 1").select("band", "value", F.ceil(F.col("count") / block).cast("long").alias("blocks")))
+    """(a, b) edges whose components are those of all pairs of the ``n`` rows (key, fp) whose wide fingerprints differ in at most ``budget`` bits."""
+    blocks = max(1, min(-(-n // block), DEALT), -(-n // WIDEST))
     rows = (
-        rows.join(many, ["band", "value"])
-        .withColumn("block", F.expr("pmod(xxhash64(key), blocks)"))
-        .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        .select("key", "fp", "band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+        fps.withColumn("block", F.expr(f"pmod(xxhash64(key), {blocks}L)"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        .select("key", "fp", F.lit(0).alias("band"), F.lit(0).alias("value"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
     )
 
     def stars(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        words = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), WORDS)
-        return _stars(words, pdf["key"].to_numpy(np.int64), _group_keys(pdf), 0, budget)
+        out = [(np.zeros(0, np.int64),) * 2]
+        for (i, j), own in pdf.groupby(["i", "j"], sort=False):
+            if i != j and own["block"].nunique() < 2:
+                continue
+            words, key = np.frombuffer(b"".join(own["fp"]), np.uint64).reshape(len(own), WORDS), own["key"].to_numpy(np.int64)
+            out.append(tuple(key[at] for at in _linked(words, own["block"].to_numpy(), budget)))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     return _walk(rows, stars)
 

@@ -96,6 +96,20 @@ def test_keep_one_of_near_copies(spark, monkeypatch, block):
     assert np.mean(np.array(close) <= S.WIDE) > 0.97 and min(apart(i, j) for i in range(len(docs)) for j in range(i) if group[i] != group[j]) > S.WIDE
 
 
+@pytest.mark.parametrize("block", [4096, 37])
+def test_every_link_of_wide_fingerprints(spark, block):
+    """Pairs that differ in as many bits as may be, chained or apart, are all found; one bit more links nothing."""
+    rng = np.random.default_rng(6)
+    bits = rng.integers(0, 2, (400, 256), dtype=np.uint8)
+    flip = lambda row, n: row ^ np.isin(np.arange(256), rng.choice(256, n, replace=False)).astype(np.uint8)
+    near = np.array([flip(b, S.WIDE) for b in bits[:300]])
+    far = np.array([flip(b, S.WIDE + 1) for b in bits[300:]])
+    rows = [(k, np.packbits(b).tobytes()) for k, b in enumerate([*bits, *near, *far, flip(near[0], S.WIDE)])]
+    got = {(min(r), max(r)) for r in S.wide_links(spark.createDataFrame(rows, "key long, fp binary"), len(rows), block=block).collect()}
+    chain = {(0, 400), (400, 800), (0, 800)}
+    assert {p for p in got if p not in chain} == {(k, 400 + k) for k in range(1, 300)} and len(got & chain) >= 2
+
+
 def test_wide_fingerprints():
     """Each word of a fingerprint is the majority of a mix of the shingles' hashes."""
     given = [None, "one two", "a b c d e f", *texts(3, 30)]
