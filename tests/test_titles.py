@@ -82,3 +82,24 @@ def test_columns_of_a_request_stay(spark):
     row = resolve.augment_dois(asks, works).first()
     assert (row["key"], row["a.b"], row["doi"], row["request_id"]) == ("mine", 5, "10.1/0", 1)
     assert resolve.augment_dois(asks.limit(0), works).count() == 0 and resolve.augment_dois(asks, works.limit(0)).first()["doi"] is None
+
+
+@pytest.mark.parametrize("short", [8, 3])
+def test_the_index_settles_what_many_works_share(spark, monkeypatch, short):
+    """Few words in many titles: the first works of each source are those of all pairs, and no such title meets all others; titles too long for the index count."""
+    monkeypatch.setattr(resolve, "SHORT", short)
+    left = []
+    monkeypatch.setattr(resolve, "_all_rivals", lambda keys, *a, rest=resolve._all_rivals: left.append(keys.count()) or rest(keys, *a))
+    rng = np.random.default_rng(8)
+    words = ["large", "small", "ring", "bolt", "plate", "trial"]
+    title = lambda: " ".join([*rng.choice(words, rng.integers(1, 4)), "trial", str(rng.integers(20))])
+    works = spark.createDataFrame([(f"10.1/{k:03}", title(), None, None, None, "st"[k % 2]) for k in range(300)], WORKS)
+    rows = spark.createDataFrame([(k, title() + ": results" * (k % 2)) for k in range(60)] + [(60, "largering")], "request_id long, title string")
+    got = {(r.key, r.doi) for r in resolve.title_candidates(rows, works, top=3).collect()}
+    key, ratio = T.normalize_title(F.col("title")), T.token_set_ratio(F.col("key"), F.col("norm"))
+    pairs = rows.select(key.alias("key")).distinct().crossJoin(works.select("doi", "source", key.alias("norm")))
+    pairs = pairs.withColumns({"shared": F.size(F.array_intersect(T.title_tokens(F.col("key")), T.title_tokens(F.col("norm")))), "score": ratio}).where("shared > 0 OR score >= 88").toPandas()
+    pairs["apart"] = (pairs["key"].str.len() - pairs["norm"].str.len()).abs()
+    first = pairs.sort_values(["shared", "apart", "doi"], ascending=[False, True, True]).groupby(["key", "source"]).head(3)
+    assert got == set(first[first.score >= 88][["key", "doi"]].itertuples(index=False, name=None)) and got
+    assert short < 8 or left == [1]
