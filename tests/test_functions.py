@@ -139,3 +139,12 @@ def test_editor_phrases_without_a_name(spark):
     want = ["A title. Press", "A title, Press", "A title, Press", "A title Press", "A title. Press", "A title, edited by B. Lee, Press"]
     assert apply(spark, plain, given) == want
     assert apply(spark, lambda c: T.tidy_citation_html(c, F.lit("mla")), ["<span> </span>", "[3] <p></p>", "<b class='x'>a</b>"]) == [None, None, "<b>a</b>"]
+
+
+def test_a_citation_is_computed_once(spark):
+    """Each step names its text many times; the expression still holds the text it begins with once."""
+    raw = F.concat(F.lit("[7] "), F.col("raw"))
+    df = spark.createDataFrame([("A &amp; B, edited by , Press.",)], "raw string").select(T.tidy_citation(raw, F.lit("apa")).alias("x"))
+    assert df.first()["x"] == "A & B, Press."
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("concat([7] , raw") == 1
