@@ -103,3 +103,19 @@ def test_the_index_settles_what_many_works_share(spark, monkeypatch, short):
     first = pairs.sort_values(["shared", "apart", "doi"], ascending=[False, True, True]).groupby(["key", "source"]).head(3)
     assert got == set(first[first.score >= 88][["key", "doi"]].itertuples(index=False, name=None)) and got
     assert short < 8 or left == [1]
+
+
+def test_a_title_of_many_works_is_scored_once(spark, monkeypatch):
+    """Works with one title are one title for the index and the score; the first works of each source by DOI are still found."""
+    seen = []
+
+    def counted(df, a, b, name, rest=T.with_token_set_ratio):
+        seen.append((df.select(a, b, "source").count(), df.select(a, b, "source").distinct().count()))
+        return rest(df, a, b, name)
+
+    monkeypatch.setattr(T, "with_token_set_ratio", counted)
+    works = spark.createDataFrame([(f"10.1/{k:03}", f"large ring trial {k // 2 % 3}", None, None, None, "st"[k % 2]) for k in range(90)], WORKS)
+    rows = spark.createDataFrame([(k, f"Large ring: trial {k}") for k in range(3)], "request_id long, title string")
+    got = {(r.key, r.doi) for r in resolve.title_candidates(rows, works).collect()}
+    assert got == {(f"large ring trial {t}", f"10.1/{k:03}") for t in range(3) for k in range(30) if k // 2 % 3 == t}
+    assert seen == [(6, 6)]
