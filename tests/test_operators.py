@@ -239,3 +239,12 @@ def test_title_candidates_against_brute_force(spark):
     want = {(r.key, r.doi) for r in pairs.where(T.token_set_ratio(F.col("key"), F.col("norm")) >= 88).collect()}
     assert (asks[0], "10.1/0") in want and (asks[-1], f"10.1/{len(titles) - 1}") in want
     assert got == want
+
+
+def test_a_page_is_one_group_of_its_evidence(spark):
+    """DOIs are told apart within a page's list, by the greatest of each count; no task groups by page and DOI."""
+    rows = [(1, "b", 1, 5), (1, "b", 3, None), (1, "a", 2, 0), (1, "a", 2, 0), (1, "c", 0, None), (2, "c", None, 4), (3, "a", 0, 0)]
+    out = reports.evidence_totals(spark.createDataFrame(rows, "page_id long, doi string, replications long, reproductions long"))
+    assert {r.page_id: (r.replications, r.reproductions, r.n_dois, r.dois) for r in out.collect()} == {1: (5, 5, 2, ["a", "b"]), 2: (0, 4, 1, ["c"])}
+    groups = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(keys" in line]
+    assert groups and not any("doi" in line[line.index("keys=[") : line.index("]")] for line in groups)
