@@ -70,9 +70,11 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 def parse_reports(lines: DataFrame, schema: str) -> DataFrame:
     """Reports of JSON texts in ``value``: broken ones, other versions and titles that are no text are left out."""
-    parsed = F.try_parse_json("value")
-    title = F.schema_of_variant(F.try_variant_get(parsed, "$.title", "variant"))
-    good = parsed.isNotNull() & (F.get_json_object("value", "$.v") == str(VERSION)) & (title == "STRING")
+    part = lambda x, path: F.try_variant_get(x, path, "variant")
+    kind = lambda x, path: F.schema_of_variant(part(x, path))
+    fine = lambda x: kind(x, "$.v").isin("BIGINT", "STRING") & (F.try_variant_get(x, "$.v", "string") == str(VERSION)) & (kind(x, "$.title") == "STRING")
+    # a list of one, so that a text is parsed once for all that is asked of it; a broken text has no version
+    good = F.exists(F.array(F.try_parse_json("value")), fine)
     return lines.where(good).select(F.from_json("value", f"v int, {schema}").alias("r")).select("r.*")
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,3 +249,43 @@ def test_a_page_is_one_group_of_its_evidence(spark):
     assert {r.page_id: (r.replications, r.reproductions, r.n_dois, r.dois) for r in out.collect()} == {1: (5, 5, 2, ["a", "b"]), 2: (0, 4, 1, ["c"])}
     groups = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(keys" in line]
     assert groups and not any("doi" in line[line.index("keys=[") : line.index("]")] for line in groups)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_notice_summary_holds_sets_of_pages(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", "retraction"), (1, "a", "retraction"), (1, "b", "retraction"), (1, "b", "concern"), (2, "c", "concern"), (3, "d", None), (4, None, "concern"), (4, None, "concern")],
+        "page_id long, doi string, kind string",
+    )
+    out = reports.notice_summary(rows)
+    assert sorted((r.page_id, r.retracted, r.concerns, r.headline) for r in out.collect()) == [
+        (1, 2, 1, "2 retracted papers, 1 expression of concern"), (2, 0, 1, "1 expression of concern"), (3, 0, 0, ""), (4, 0, 1, "1 expression of concern"),
+    ]
+    assert dict(out.dtypes)["retracted"] == "bigint" and not re.search(r"Aggregate \[page_id#\w+, doi#", _plan(out))
+    notice = spark.createDataFrame([("a", "n", "concern", 1)], "origin_doi string, notice_doi string, kind string, pos long")
+    assert "SortMergeJoin" not in lookups.notice_lookup(rows.drop("kind"), notice)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_report_text_is_parsed_once_and_kept_by_version_and_title(spark):
+    texts = ['{"v":1,"title":"a"}', '{"v":"1","title":"b"}', '{"v":1.0,"title":"c"}', '{"v":2,"title":"d"}', '{"v":1,"title":7}', '{"v":1}', '{broken', "[]", None, '{"v":1,"title":"e"} x']
+    out = writers.parse_reports(spark.createDataFrame([(t,) for t in texts], "value string"), "title string")
+    assert sorted(r.title for r in out.collect()) == ["a", "b", "e"]
+    asked = [line for line in _plan(out).splitlines() if "Filter" in line]
+    assert len(asked) == 1 and len(re.findall(r"parse_json|get_json_object", asked[0], re.I)) == 1
+
+
+def test_meta_report_keeps_one_list_of_entries(spark):
+    papers = spark.createDataFrame([("a", "A", None), ("b", "B", None), ("c", "C", None)], "doi string, title string, notice string")
+    e = "doi string, role string, pos int, title string, authors array<struct<sequence:string,given:string,family:string>>, year int, journal string, outcome string"
+    rows = [("a", "original", 2, "t2", None, 2001, "J", None), ("a", "original", 1, "t1", None, 2000, None, "x"), ("a", "replication", 3, "t3", None, None, "J", None), ("b", "comment", 1, "t", None, 1, "J", None)]
+    refs = spark.createDataFrame([], "doi string, pos int, ref_doi string, title string, tags array<string>")
+    talk = spark.createDataFrame([], "doi string, comments long, url string")
+    out = reports.meta_report(papers, spark.createDataFrame(rows, e), refs, talk)
+    got = {r.doi: r for r in out.collect()}
+    assert [tuple(x) for x in got["a"].originals] == [(1, "t1", "2000", "x"), (2, "t2", "2001 · J", None)]
+    assert [tuple(x) for x in got["a"].replications] == [(3, "t3", "J", None)] and got["a"].reproductions == []
+    assert got["b"].originals == [] and got["c"].originals is None and got["a"].stats.n_originals == 2
+    assert max(line.count("collect_list(") for line in _plan(out).splitlines()) == 1
