@@ -120,7 +120,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code points, hashes, sizes): the n-gram that ends at each character of the texts, and the characters of each text."""
     pad = _START * (ORDER - 1)
     code = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le"), np.uint32)
-    sizes = np.array([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts], np.int64)
     first = np.arange(sizes.sum()) + np.repeat((ORDER - 1) * np.arange(len(texts)), sizes)
     windows = np.lib.stride_tricks.sliding_window_view(code, ORDER) if len(code) >= ORDER else np.zeros((0, ORDER), np.uint32)
     return windows[first], _hash(windows)[first], sizes
@@ -135,13 +135,15 @@ def _strings(code: np.ndarray) -> pa.Array:
 
 
 def _slices(texts: list[str]) -> Iterator[slice]:
+    """Slices of some ``_SLICE`` characters; none is empty but that of no texts."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t)
         if size >= _SLICE:
             yield slice(start, i + 1)
             start, size = i + 1, 0
-    yield slice(start, len(texts))
+    if start < len(texts) or not texts:
+        yield slice(start, len(texts))
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:

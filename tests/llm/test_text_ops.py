@@ -488,6 +488,26 @@ def test_quality_rules(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 26, 60, 10**6])
+def test_slices_that_end_with_the_texts(monkeypatch, size):
+    """A slice that is full with the last text is the last one."""
+    monkeypatch.setattr(quality_rules, "_SLICE", size)
+    given = ["the quick fox runs over it", "", "the slow dog walks under it", "a"]
+    for k in range(1, len(given) + 1):
+        parts = [given[:k][part] for part in quality_rules._slices(given[:k])]
+        assert sum(parts, []) == given[:k] and all(parts)
+        assert [len(quality_rules._grams(part)[1]) for part in parts] == [sum(map(len, part)) for part in parts]
+    assert [len(x) for x in quality_rules._grams([])] == [0, 0, 0] and list(quality_rules._slices([])) == [slice(0, 0)]
+
+
+def test_quality_rules_of_a_text_that_fills_a_slice(spark):
+    """The last text of its language and half, alone or after another, is as long as a slice."""
+    long = "the quick fox runs over the house and walks by a green river " * (quality_rules._SLICE // 60)
+    rows = [(0, "the quick fox runs over the house and walks by a green river", "en"), (1, long, "en"), (2, long + "home", "en"), (3, long + "abc", "de"), (4, None, "en")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)).collect()}
+    assert [got[k].n_words for k in range(5)] == [len((t or "").split()) for _, t, _ in rows] and all(got[k].log_probability < 0 for k in range(4))
+
+
 def test_quality_model(spark):
     rng = np.random.default_rng(5)
     good = [" ".join(rng.choice(["the", "and", "house", "river", "stone."], 40)) for _ in range(300)]
