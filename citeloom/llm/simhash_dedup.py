@@ -14,10 +14,13 @@ a task of its own, so no link is lost.
 
 ``keep_one``: fingerprints of 256 bits over shingles of five words link when
 they differ in at most ``WIDE`` bits, as texts whose shingles have a Jaccard
-similarity of 0.8 do on average. No band must agree at such a distance, so all
-pairs of distinct fingerprints are compared: they are dealt into at most
-``DEALT`` blocks, and each pair of blocks is a group of its own, compared by
-half of the bits first. Its time grows with the square of the distinct texts.
+similarity of 0.8 do on average. No band must agree at such a distance, but one
+of thirteen differs in ``APART`` bits at most. Distinct fingerprints are dealt
+into at most ``DEALT`` blocks, and each pair of blocks is a group of its own:
+for each band one block is looked up in a table of the other, with those bits
+turned over, and the pairs that meet are compared whole. No pair within the
+budget is lost. Some 0.33 % of all pairs meet, so at size the time still grows
+with the square of the distinct texts, at that share.
 
 Copies share one fingerprint and are joined as one. A task reports the
 components it finds as stars, never all pairs. Null and word-less texts have
@@ -47,9 +50,15 @@ SEED = 42
 WORDS = 4  # of 64 bits in a wide fingerprint
 WIDE = 38
 WIDE_SHINGLE = 5
-DEALT = 32  # blocks of wide fingerprints, each sent to as many groups
+APART = 2  # bits by which a band of a wide fingerprint differs at most
+WIDE_BLOCK = 1 << 15  # wide fingerprints in a block, until there are ``DEALT`` blocks
+DEALT = 16  # blocks of wide fingerprints, each sent to as many groups
 WIDEST = 1 << 19  # fingerprints in a block, whatever their number
 _TILE = 8192
+_FEW = _TILE**2  # pairs of two blocks that are compared without bands
+_TABLE = 20  # bits of a band at most
+_MET = 1 << 16  # pairs that meet at a time
+_DENSE = 4  # bands are left when they have let one of so many pairs through
 DEEPEST = 16  # bits by which a heavy band is dealt out
 _LANES = np.uint64(0x0101010101010101)
 _FLUSH = 1_000_000
@@ -306,12 +315,70 @@ def _near(a: np.ndarray, b: np.ndarray, budget: int) -> Iterator[tuple[np.ndarra
                 yield i[near], j[near]
 
 
+def _band(words: np.ndarray, at: int, width: int) -> np.ndarray:
+    """The ``width`` bits of each fingerprint from bit ``at`` on."""
+    k, shift = divmod(at, 64)
+    out = words[:, k] >> np.uint64(shift)
+    if shift + width > 64:
+        out |= words[:, k + 1] << np.uint64(64 - shift)
+    return (out & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def _meetings(a: np.ndarray, b: np.ndarray, budget: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Pairs of which some band differs in ``APART`` bits at most: how many met, and the positions in ``a`` and ``b`` of those whose first half is within ``budget``.
+
+    All pairs within ``budget`` bits are among them, some more than once.
+    """
+    bands = max(budget // (APART + 1) + 1, -(-64 * WORDS // _TABLE))
+    for k in range(bands):
+        low = k * 64 * WORDS // bands
+        width = (k + 1) * 64 * WORDS // bands - low
+        masks = [sum(1 << x for x in c) for m in range(APART + 1) for c in combinations(range(width), m)]
+        own, other = (_band(x, low, width) for x in (a, b))
+        i, j = np.argsort(own), np.argsort(other)  # neighbours are looked up one after another
+        own, count = own[i], np.bincount(other, minlength=1 << width)
+        first, some = np.cumsum(count) - count, count > 0
+        halves = [(np.ascontiguousarray(a[i, w]), np.ascontiguousarray(b[j, w])) for w in (0, 1)]
+        for mask in masks:
+            turned = own ^ mask
+            whose = np.flatnonzero(some[turned])
+            turned = turned[whose]
+            times, start = count[turned], first[turned]
+            upto = np.cumsum(times)
+            parts = np.concatenate(([0], np.flatnonzero(np.diff(upto // _MET)) + 1, [len(times)]))
+            for lo, hi in zip(parts, parts[1:]):
+                n = times[lo:hi]
+                before = upto[lo:hi] - n
+                met = int(n.sum())
+                at = np.arange(met) + np.repeat(start[lo:hi] - before + before[:1], n)
+                by = np.repeat(whose[lo:hi], n)
+                (x, y), (z, v) = halves
+                near = np.flatnonzero(np.bitwise_count(x[by] ^ y[at]) + np.bitwise_count(z[by] ^ v[at]) <= budget)
+                yield met, i[by[near]], j[at[near]]
+
+
+def _close(a: np.ndarray, b: np.ndarray, budget: int, apart) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in ``a`` and ``b`` of fingerprints that differ in ``budget`` bits at most; pairs that are not ``apart`` any more may be left out."""
+    pairs = len(a) * len(b)
+    left = pairs // _DENSE if pairs > _FEW else -1
+    for met, i, j in _meetings(a, b, budget) if left >= 0 else ():
+        left -= met
+        if left < 0:
+            break
+        if len(i) and (open_ := apart(i, j)).any():
+            i, j = i[open_], j[open_]
+            near = np.bitwise_count(a[i] ^ b[j]).sum(1, dtype=np.int64) <= budget
+            yield i[near], j[near]
+    if left < 0:
+        yield from _near(a, b, budget)
+
+
 def _linked(words: np.ndarray, block: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions linked in one group of two blocks, or of one with itself, as stars of local components."""
     labels = np.arange(len(words))
-    sides = [np.flatnonzero(block == k) for k in np.unique(block)]
+    sides = sorted((np.flatnonzero(block == k) for k in np.unique(block)), key=len)
     held: list[np.ndarray] = []
-    for i, j in _near(words[sides[0]], words[sides[-1]], budget):
+    for i, j in _close(words[sides[0]], words[sides[-1]], budget, lambda i, j: labels[sides[0][i]] != labels[sides[-1][j]]):
         held.append(np.stack([sides[0][i], sides[-1][j]]))
         if sum(h.shape[1] for h in held) > _COMPARED:
             fold(labels, *np.concatenate(held, axis=1))
@@ -322,7 +389,7 @@ def _linked(words: np.ndarray, block: np.ndarray, budget: int) -> tuple[np.ndarr
     return moved, labels[moved]
 
 
-def wide_links(fps: DataFrame, n: int, budget: int = WIDE, block: int = BLOCK) -> DataFrame:
+def wide_links(fps: DataFrame, n: int, budget: int = WIDE, block: int = WIDE_BLOCK) -> DataFrame:
     """(a, b) edges whose components are those of all pairs of the ``n`` rows (key, fp) whose wide fingerprints differ in at most ``budget`` bits."""
     blocks = max(1, min(-(-n // block), DEALT), -(-n // WIDEST))
     rows = (

@@ -110,6 +110,32 @@ def test_every_link_of_wide_fingerprints(spark, block):
     assert {p for p in got if p not in chain} == {(k, 400 + k) for k in range(1, 300)} and len(got & chain) >= 2
 
 
+@pytest.mark.parametrize("dense", [4, 10**9])
+def test_links_of_wide_fingerprints_by_bands(monkeypatch, dense):
+    """Two large blocks: by bands few pairs are looked at, and links and components are those of all pairs, also where the bands are left."""
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 2**64, (9000, S.WORDS), dtype=np.uint64)
+
+    def flip(row, n):
+        out = row.copy()
+        for b in rng.choice(256, n, replace=False):
+            out[b // 64] ^= np.uint64(1 << int(b % 64))
+        return out
+
+    words[4500:4800] = [flip(words[k], S.WIDE) for k in range(300)]  # the farthest that link
+    words[4800:5000] = [flip(words[k], S.WIDE + 1) for k in range(300, 500)]
+    words[5000:5040] = [flip(words[500], int(n)) for n in rng.integers(0, 30, 40)]  # a group, across and within a block
+    words[600:640] = [flip(words[500], int(n)) for n in rng.integers(0, 30, 40)]
+    for block in (np.arange(9000) // 4500, np.zeros(9000, int)):
+        want = S._linked(words, block, S.WIDE)
+        with monkeypatch.context() as m:
+            m.setattr(S, "_FEW", 0)
+            m.setattr(S, "_DENSE", dense)
+            assert [x.tolist() for x in S._linked(words, block, S.WIDE)] == [x.tolist() for x in want]
+        assert {(k, 4500 + k) for k in range(300)} <= set(zip(want[1].tolist(), want[0].tolist())) and not {*range(4800, 5000)} & {*want[0].tolist()}
+    assert sum(n for n, _, _ in S._meetings(words[:4500], words[4500:], S.WIDE)) < 0.01 * 4500**2
+
+
 def test_wide_fingerprints():
     """Each word of a fingerprint is the majority of a mix of the shingles' hashes."""
     given = [None, "one two", "a b c d e f", *texts(3, 30)]
