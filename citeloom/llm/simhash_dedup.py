@@ -14,7 +14,9 @@ a task of its own, so no link is lost.
 
 ``keep_one``: fingerprints of 256 bits over shingles of five words link when
 they differ in at most ``WIDE`` bits, as texts whose shingles have a Jaccard
-similarity of 0.8 do on average. No band must agree at such a distance, but one
+similarity of 0.8 do on average. The fingerprint is an estimate, so texts whose
+sets of shingles have that similarity link too, whatever their fingerprints:
+``shingle_join`` finds them all. For the fingerprints no band must agree at such a distance, but one
 of thirteen differs in ``APART`` bits at most. Distinct fingerprints are dealt
 into at most ``DEALT`` blocks, and each pair of blocks is a group of its own:
 for each band one block is looked up in a table of the other, with those bits
@@ -41,6 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shingle_join
 from .common import connected_components, materialise, partitions, slices
 
 BUDGET = 3
@@ -117,7 +120,10 @@ def fingerprint_texts(texts, n: int = SHINGLE) -> np.ndarray:
 
 def wide_fingerprints(texts, n: int = WIDE_SHINGLE) -> np.ndarray:
     """Fingerprints of ``WORDS`` unsigned 64-bit integers, from as many mixes of each shingle's hash."""
-    held = [np.array(_hashes(t, n), np.uint64) for t in texts]
+    return _wide([np.array(_hashes(t, n), np.uint64) for t in texts])
+
+
+def _wide(held: list[np.ndarray]) -> np.ndarray:
     counts = np.array([len(h) for h in held])
     out = np.zeros((len(held), WORDS), np.uint64)
     parts = np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(counts) // _FLUSH)) + 1, [len(held)]))
@@ -133,6 +139,10 @@ def wide_fingerprints(texts, n: int = WIDE_SHINGLE) -> np.ndarray:
     return out
 
 
+def _wide_hashes(text: str | None) -> list[int]:
+    return _hashes(text, WIDE_SHINGLE)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """(id, fp): the fingerprint of each row as a signed 64-bit integer."""
 
@@ -430,17 +440,34 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row of each component of near copies, the one with the least id (first of repeated rows); columns stay as they are."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
     at = docs.columns.index(text_col)
+    late = shingle_join.late_shingles(docs.select(F.col(f"`{text_col}`").alias("text")), _wide_hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = wide_fingerprints(batch.column(0).field(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in own], pa.binary())], names=["doc", "row", "fp"])
-
-    rows = materialise(whole.mapInArrow(run, whole.withColumn("fp", F.lit(b"")).schema))
+            held = [np.array(_wide_hashes(t), np.uint64) for t in batch.column(0).field(at).to_pylist()]
+            fps = [x.tobytes() for x in _wide(held)]
+            size, first, parity, sets = shingle_join.describe(held, late)
+            keys = pa.array(map(shingle_join.set_key, fps, sets), pa.int64())
+            more = [pa.array(fps, pa.binary()), keys, pa.array(size, pa.int64()), pa.array(first, pa.binary()), pa.array(parity, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=["doc", "row", "fp", "key", "size", "first", "parity"])
+
+    def sets(some: DataFrame) -> DataFrame:
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                found = [np.unique(np.array(_wide_hashes(t), np.uint64)).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["key", "set"])
+
+        return some.select("key", F.col("doc").getField(text_col).alias("text")).mapInArrow(own, "key long, set binary")
+
+    more = {"fp": F.lit(b""), "key": F.lit(0).cast("long"), "size": F.lit(0).cast("long"), "first": F.lit(b""), "parity": F.lit(b"")}
+    rows = materialise(whole.mapInArrow(run, whole.withColumns(more).schema))
     own = F.col("doc").getField(id_col)
-    first = F.struct(own.isNull().alias("no_id"), own.alias("id"), F.col("row"))
-    distinct = materialise(rows.groupBy("fp").agg(F.min(first).alias("first")).withColumn("key", F.monotonically_increasing_id()))
-    found = connected_components(wide_links(distinct.select("key", "fp"), distinct.count())).withColumnRenamed("node", "key")
-    groups = distinct.select("key", "first").join(found, "key", "left").groupBy(F.coalesce("component", "key").alias("root"))
-    kept = groups.agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    least = F.struct(own.isNull().alias("no_id"), own.alias("id"), F.col("row"))
+    nodes = materialise(rows.groupBy("key").agg(F.min(least).alias("least"), *[F.first(c).alias(c) for c in ("fp", "size", "parity")]))
+    n = nodes.count()
+    found = connected_components(wide_links(nodes.select("key", "fp"), n)).withColumnRenamed("node", "key")
+    nodes = materialise(nodes.drop("fp").join(found, "key", "left").withColumn("root", F.coalesce("component", "key")).drop("component"))
+    joined = shingle_join.join_components(rows, nodes, n, sets)
+    groups = nodes.select("least", "root").join(joined, "root", "left").groupBy(F.coalesce("component", "root").alias("root"))
+    kept = groups.agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -4,6 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from citeloom.llm import embedding_dedup as E
+from citeloom.llm import shingle_join as J
 from citeloom.llm import simhash_dedup as S
 from citeloom.llm.common import connected_components
 
@@ -96,6 +97,56 @@ def test_keep_one_of_near_copies(spark, monkeypatch, block):
     assert np.mean(np.array(close) <= S.WIDE) > 0.97 and min(apart(i, j) for i in range(len(docs)) for j in range(i) if group[i] != group[j]) > S.WIDE
 
 
+def test_keep_one_joins_similar_texts_that_fingerprints_miss(spark):
+    """Components of all pairs that are close by fingerprint or share four fifths of their shingles, over pairs about that similarity and a group that shares most."""
+    rng = np.random.default_rng(12)
+    names = np.array([f"w{k}" for k in range(3000)])
+
+    def changed(words, n, at=None):
+        out, at = list(words), int(rng.integers(0, len(words) - n)) if at is None else at
+        out[at : at + n] = rng.choice(names, n)
+        return out
+
+    docs = []
+    for _ in range(120):
+        words = list(rng.choice(names, int(rng.integers(60, 200))))
+        docs += [words, changed(words, max(1, round(len(words) * rng.uniform(0.09, 0.12)) - 4))]
+    words = list(rng.choice(names, 100))
+    docs += [changed(words, 10, at) for at in range(0, 90, 2)]  # each shares most with many
+    docs += [changed(words, 40, at) for at in range(0, 60, 2)]
+    docs += [["a"], ["a", "b"], list("abcde"), list("abcde") * 9, list("abcde") * 8, list("abcd") * 9]  # few distinct shingles
+    docs = [" ".join(x) for x in docs] + [None, "", " "]
+    sets, fps = [{x for x in shingles(t) if x} for t in docs], S.wide_fingerprints(docs)
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i)]
+    similar = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    close = [(i, j) for i, j in pairs if np.bitwise_count(fps[i] ^ fps[j]).sum() <= S.WIDE]
+    want, without = components(len(docs), similar + close), components(len(docs), close)
+    assert len(set(similar) - set(close)) > 20 and len(set(want)) < len(set(without)) - 20
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in S.keep_one(rows).collect()) == sorted(set(want))
+
+
+def test_hot_shingles_are_handed_on():
+    key, h = np.arange(200), np.repeat([1, 2, 3, 4], [1, J.HOT, J.HOT + 1, 200 - 2 * J.HOT - 2])
+    a, b, hot = J._pairs(key, h)
+    assert set(zip(a.tolist(), b.tolist())) == {(i, j) for j in range(1, J.HOT + 1) for i in range(1, j)}
+    assert hot.tolist() == list(range(J.HOT + 1, 200))
+
+
+def test_parities_never_differ_in_more_bits_than_sets():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    held = [base[:n] for n in (0, 1, 31, 32, 33, 60, 70, 500, 520, 4000, 4700)] + [np.concatenate([base[50:n], base[-9:], base[-9:]]) for n in (60, 500, 4000)] + [base[2500:]]
+    size, first, parity, sets = J.describe(held, base[:40])
+    sets = [set(np.frombuffer(x, np.uint64).tolist()) for x in sets]
+    assert sets == [set(x.tolist()) for x in held] and size.tolist() == list(map(len, sets))
+    assert [len(x) // 6 for x in first] == [n - -(-4 * n // 5) + 1 if n else 0 for n in size]
+    pairs = [(i, j) for i in range(len(held)) for j in range(len(held))]
+    apart = J.parities_apart([parity[i] for i, _ in pairs], [parity[j] for _, j in pairs])
+    differ = np.array([len(sets[i] ^ sets[j]) for i, j in pairs])
+    assert (apart <= differ).all() and (apart[differ == 1] == 1).all() and apart[pairs.index((9, 14))] > 1000
+
+
 @pytest.mark.parametrize("block", [4096, 37])
 def test_every_link_of_wide_fingerprints(spark, block):
     """Pairs that differ in as many bits as may be, chained or apart, are all found; one bit more links nothing."""
